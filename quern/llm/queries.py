@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, langid, line_dedup, mixing, simhash
+from . import ann, embed_dedup, html_text, langid, line_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity
 from .common import table
 
 
@@ -19,6 +19,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, how many they are, and the digest of the text that they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = sentencepiece_codec.vocabulary()
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path)
+    return both.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"), F.md5("decoded").alias("decoded_md5"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.in_fold(F.col("doc_id"), 4, 2))
     model = langid.train(docs.where("not held_out"))
@@ -35,11 +43,29 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are sources; the languages of a source are its paths. Labels of every fifth document stay unseen."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    labels = table(spark, sf_dir, "labels").where(~langid.in_fold(F.col("doc_id"), 5, 0))
+    out = quality.score(docs, quality.train(docs, labels))
+    return out.withColumn("held_out", langid.in_fold(F.col("doc_id"), 5, 0)).select("doc_id", "held_out", "evidence", "prior", "score", "keep")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.in_fold(F.col("doc_id"), 5, 0))
+    labels = table(spark, sf_dir, "labels").where(~langid.in_fold(F.col("doc_id"), 5, 0))
+    return toxicity.predict(docs, toxicity.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
