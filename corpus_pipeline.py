@@ -1,12 +1,74 @@
-"""The training-data pipeline: stages over the table documents."""
+"""The training-data pipeline: STAGES over the table documents.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import langid, line_dedup, mixing, sentencepiece_codec, simhash
+from quern.llm.common import materialise, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text of so many characters can be judged; a lower score than this says it is in no learned language.
+JUDGED_CHARS, LEAST_SCORE = 100, 0.1
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, and those of at least JUDGED_CHARS whose n-grams no language contains.
+
+    The languages are learned from the documents whose crc32(doc_id) mod 4 is not 2.
+    """
+    model = langid.train(docs.where(~langid.in_fold(F.col("doc_id"), 4, 2)))
+    found = langid.predict(docs, model)
+    unknown = (F.col("lang_pred") == "und") | ((F.length("text") >= JUDGED_CHARS) & (F.col("score") < LEAST_SCORE))
+    return found.where(~unknown).select(*COLUMNS)
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that stand on over 5 % of their source's documents; documents of such lines alone go."""
+    out = line_dedup.drop_site_lines(docs)
+    whole = (F.col("n_dropped") == 0) | (F.btrim("text", F.lit(" \t\r\n\f\x0b")) != "")
+    return out.where(whole).withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of near-duplicates."""
+    return simhash.keep_one(docs).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each source's share of words; a document stands as often as it is taken."""
+    return mixing.mixed_documents(docs).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the ids of each document, how many they are, and whether they decode to its text."""
+    path = sentencepiece_codec.vocabulary()
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path)
+    return both.select(*COLUMNS, "ids", F.size("ids").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("same"))
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("line_dedup", drop_boilerplate_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mix", mix_sources),
+    ("encode", encode),
+]
 
-STAGES: list = []
+#: SQL can't express language ID, SimHash or the encoding; tests/llm compares these with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's result over the table documents; each stage before it is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs)
+    return docs
