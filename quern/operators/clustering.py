@@ -164,7 +164,7 @@ def label_answer(answer: Column) -> Column:
         return F.when(F.octet_length(x) > 200, F.trim(F.substring(x, 1, 200))).otherwise(x)
 
     def field(name: str) -> Column:
-        return F.element_at(F.filter(lines, lambda x: x.rlike(rf"(?i)^{name}[ \t]*[:\-=–—]")), -1)
+        return F.try_element_at(F.filter(lines, lambda x: x.rlike(rf"(?i)^{name}[ \t]*[:\-=–—]")), F.lit(-1))
 
     def value(x: Column) -> Column:
         return clean(F.regexp_replace(x, r"(?i)^(name|summary)[ \t]*[:\-=–—]", ""))
