@@ -26,9 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if spark.sparkContext.master.split("[")[0] == "local":
-        made = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-"))
+        return spark.sparkContext.getCheckpointDir()
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern"
 
 
