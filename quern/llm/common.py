@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern"
 
 
+def share(spark: SparkSession, value) -> Callable:
+    """A function that gives value on the executors: broadcast once, with its classes, and loaded once in each worker."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        found = getattr(held, "_loaded", None)
+        if found is None:
+            found = held._loaded = cloudpickle.loads(held.value)
+        return found
+
+    return get
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, its size is known to
     the planner, and an executor's loss costs nothing that was written."""

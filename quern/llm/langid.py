@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import share
+
 #: Bytes of text that are looked at together.
 _WINDOW = 1 << 20
 _HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -165,13 +167,13 @@ def predict(df: DataFrame, model: Filters, text_col: str = "text") -> DataFrame:
     if none of a text's n-grams is known, it is the language that was commonest in training, with score 0.
     The score is the corrected share of n-grams that the language contains. df must not have columns by these names.
     """
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held = share(df.sparkSession, model)
 
     @arrow_udf("struct<lang:string,score:double>")
     def of(texts):
         import pyarrow as pa
 
-        lang, score = predict_texts(held.value, texts)
+        lang, score = predict_texts(held(), texts)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
 
     return df.withColumn("_of", of(F.col(text_col))).withColumns({"lang_pred": F.col("_of.lang"), "score": F.col("_of.score")}).drop("_of")

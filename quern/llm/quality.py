@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textmodel
-from .common import materialise
+from .common import materialise, share
 from .textmodel import Linear, number
 
 _MARKS = re.compile(r"[^\w\s]+")
@@ -65,11 +65,11 @@ def score(df: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str =
     A null host or path is one of its own; a null text is scored as an empty one; repeated rows
     count each time. An empty table gives an empty result.
     """
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held = share(df.sparkSession, model)
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([held.value.score(features(t)) for t in texts], dtype=float)
+        return pd.Series([held().score(features(t)) for t in texts], dtype=float)
 
     rows = materialise(df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), of(F.col(text_col)).alias("p")))
     # sums of whole millionths do not depend on the order of addition

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textmodel
+from .common import share
 from .textmodel import Linear, number
 
 #: Lists of terms that may stand for each other; each has a neutral word.
@@ -63,10 +64,10 @@ def predict(df: DataFrame, model: Linear, text_col: str = "text") -> DataFrame:
     A null text scores as an empty one: by the classifier's bias alone. Whole texts are scored. df must not
     have columns by these names.
     """
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held = share(df.sparkSession, model)
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([held.value.score(textmodel.word_features(t)) for t in texts], dtype=float)
+        return pd.Series([held().score(textmodel.word_features(t)) for t in texts], dtype=float)
 
     return df.withColumn("score", of(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
