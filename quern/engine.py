@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalog, chunking, evaluation, jobs, search
+from .operators import catalog, chunking, evaluation, jobs, lexical, search
 from .plans import imports, interests
 from .sources.config import Settings
 
@@ -69,22 +69,37 @@ class Engine:
     # --- index and search
 
     def index(self, extractions: DataFrame) -> None:
-        """Chunks and embeds extracted documents (document_id, markdown), replacing what they had, and marks them fetched."""
+        """Chunks, embeds and indexes extracted documents (document_id, markdown), replacing what they had, and marks them fetched.
+
+        The lexical index covers a chunk's text, its document's title and the tags of the document's bookmarks.
+        """
         s = self.settings.chunking
         new = chunking.chunk_documents(extractions, "document_id", "markdown", chunking.Sizes(s.size_tokens, s.overlap_tokens, s.size_chars), s.document_prefix)
-        vectors = catalog.checked_vectors(imports.embedded(new, self.embed), self.settings.embedding_dim)
-        parts = (("chunk_vectors", vectors), ("chunks", new.select("chunk_id", "document_id", "ord", "text", "token_count")))
-        for name, rows in parts:
-            self.tables.replace(name, catalog.replace_chunks(self.tables.read(name), rows, extractions) if self.tables.exists(name) else rows)
+        self._replace("chunk_vectors", catalog.checked_vectors(imports.embedded(new, self.embed), self.settings.embedding_dim), extractions)
+        self._replace("chunks", new.select("chunk_id", "document_id", "ord", "text", "token_count"), extractions)
+        chunks = self.tables.read("chunks").join(extractions.select("document_id").distinct(), "document_id", "left_semi")
+        titles = self.tables.read("documents").select(F.col("id").alias("document_id"), "title")
+        tags = catalog.tag_union(self.tables.read("bookmarks").withColumn("tags", F.to_json("tags"))).select("document_id", F.to_json("tags").alias("tags"))
+        wide = chunks.join(titles, "document_id", "left").join(tags, "document_id", "left")
+        terms = lexical.index(wide, columns=("text", "title", "tags")).join(chunks.select("chunk_id", "document_id"), "chunk_id")
+        self._replace("chunk_lengths", terms.select("chunk_id", "document_id", "length"), extractions)
+        posted = lexical.postings(terms).join(chunks.select("chunk_id", "document_id"), "chunk_id")
+        self._replace("postings", posted, extractions, order=("term", "chunk_id"))
         done = extractions.select(F.col("document_id").alias("id")).distinct().withColumn("state", F.lit("fetched"))
         self.tables.replace("documents", catalog.set_values(self.tables.read("documents"), done, "id", ["state"]))
 
+    def _replace(self, name: str, rows: DataFrame, documents: DataFrame, order: tuple[str, ...] = ()) -> None:
+        if self.tables.exists(name):
+            old = self.tables.read(name)
+            rows = catalog.replace_chunks(old, rows.select(*old.columns), documents)
+        self.tables.replace(name, rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows)
+
     def search(self, query: str, k: int = 10, filters: search.Filters = search.Filters()) -> DataFrame:
         if not query:
             raise ValueError("a query is needed")
         s = self.settings.search
         docs = search.matching(self._own("documents").withColumnRenamed("id", "document_id"), filters, self.tables.read("bookmarks"))
-        bm25 = search.bm25_search(self.tables.read("chunks"), docs, query, s.pre_fanout, with_snippets=True)
+        bm25 = search.index_search(self.tables.read("postings"), self.tables.read("chunk_lengths"), self.tables.read("chunks"), docs, query, s.pre_fanout)
         asked = self.spark.createDataFrame([(s.query_prefix + query,)], "text string").select(self.embed(F.col("text")).alias("v"))
         near = search.vector_leg(self.tables.read("chunk_vectors"), docs, asked, s.pre_fanout)
         hits = search.hybrid(bm25, near, k if k > 0 else 10, (s.bm25_weight, s.vector_weight), s.rrf_k, s.collapse)

@@ -32,9 +32,44 @@ def index(chunks: DataFrame, id_col: str = "chunk_id", columns: tuple[str, ...]
 
 
 def postings(indexed: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, positions): the index turned round, for tables that are looked up by term."""
-    each = indexed.select("chunk_id", F.posexplode("terms").alias("at", "term")).where("term is not null")
-    return each.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+    """(term, chunk_id, length, tf, positions): the index turned round, for tables that are looked up by term.
+
+    A chunk's own tokens make its postings, so nothing but a chunk's distinct terms is gathered in one place, and nothing is
+    shuffled. Write it in the order of terms: a query then reads the files and row groups of its own terms alone.
+    """
+    places = F.transform("terms", lambda t, k: F.struct(t.alias("term"), k.alias("at")))
+    distinct = F.array_distinct(F.filter("terms", lambda t: t.isNotNull()))
+    each = indexed.select("chunk_id", "length", F.explode(distinct).alias("term"), places.alias("places"))
+    return each.select("term", "chunk_id", "length", F.transform(F.filter("places", lambda p: p["term"] == F.col("term")), lambda p: p["at"]).alias("positions")).select("term", "chunk_id", "length", F.size("positions").alias("tf"), "positions")
+
+
+def scores_of_postings(posted: DataFrame, stats: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """(chunk_id, score) from postings: only those of the query's terms are read. stats: one row (n_all, mean) of all chunks."""
+    distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
+    if not distinct:
+        return posted.select("chunk_id", F.lit(0.0).alias("score")).where("false")
+    own = posted.where(F.col("term").isin(*sorted({t for p in distinct for t in p})))
+    hits = own.groupBy("chunk_id").agg(F.max("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    none = F.array().cast("array<int>")
+    of = lambda t: F.coalesce(F.try_element_at("at", F.lit(t)), none)
+
+    def count(phrase: list[str]) -> Column:
+        starts = of(phrase[0])
+        for j, t in enumerate(phrase[1:], 1):
+            starts = F.array_intersect(starts, moved(of(t), j))
+        return F.size(starts)
+
+    def moved(places: Column, by: int) -> Column:
+        return F.transform(places, lambda p: p - by)
+
+    counted = hits.select("chunk_id", "length", F.array(*map(count, distinct)).alias("tf")).where(F.exists("tf", lambda t: t > 0))
+    held = counted.agg(F.array(*(F.count_if(F.get("tf", F.lit(k)) > 0) for k in range(len(distinct)))).alias("n_with"))
+    return score_counts(counted, stats.crossJoin(held), [phrases.count(p) for p in distinct])
+
+
+def statistics(lengths: DataFrame) -> DataFrame:
+    """One row (n_all, mean) of chunks' lengths."""
+    return lengths.agg(F.count("*").alias("n_all"), F.avg("length").alias("mean"))
 
 
 def phrases_of(query: str, stemmed: bool = True) -> list[list[str]]:

@@ -56,7 +56,16 @@ def bm25_search(chunks: DataFrame, documents: DataFrame, query: str, limit: int
     Statistics count all chunks; documents decide afterwards which may be returned. An empty result for a query without words.
     """
     phrases = lexical.phrases_of(query, stemmed)
-    found = lexical.scores(lexical.index(chunks, columns=columns, stemmed=stemmed), phrases)
+    return _best(lexical.scores(lexical.index(chunks, columns=columns, stemmed=stemmed), phrases), chunks, documents, phrases, limit, with_snippets)
+
+
+def index_search(posted: DataFrame, lengths: DataFrame, chunks: DataFrame, documents: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """bm25_search, with snippets, over a written index: postings and chunk lengths. Texts are read for snippets alone."""
+    phrases = lexical.phrases_of(query)
+    return _best(lexical.scores_of_postings(posted, lexical.statistics(lengths), phrases), chunks, documents, phrases, limit, True)
+
+
+def _best(found: DataFrame, chunks: DataFrame, documents: DataFrame, phrases: list[list[str]], limit: int, with_snippets: bool) -> DataFrame:
     allowed = chunks.select("chunk_id", "document_id").join(documents.select("document_id"), "document_id", "left_semi")
     best = lexical.top(found.join(allowed, "chunk_id"), limit)
     if with_snippets:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors
 from .fusion import ranked
@@ -16,22 +21,44 @@ def nearest(chunks: DataFrame, query: DataFrame, limit: int = 50, vector_col: st
     missed. Vectors of another length than the query's raise an error. The query is one row, and each task keeps its
     best `limit` rows only.
     """
-    rows = chunks.crossJoin(F.broadcast(query.select(F.col(query.columns[0]).alias("_query")).limit(1)))
-    same = F.size(vector_col) == F.size("_query")
-    d = F.when(same, vectors.distance(F.col(vector_col), F.col("_query"))).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("double"))
-    found = rows.withColumn("distance", d).drop("_query", vector_col)
-    best = found.orderBy("distance", "chunk_id").limit(limit)
+    asked = query.first()  # one vector
+    if asked is None:
+        asked, chunks = ([],), chunks.where("false")
+    q = np.asarray(asked[0], dtype=np.float64)
+
+    @F.pandas_udf(T.DoubleType())
+    def away(rows: pd.Series) -> pd.Series:
+        if any(len(v) != len(q) for v in rows):
+            raise ValueError("vectors of different lengths")
+        x = np.stack(rows).astype(np.float64) if len(rows) else np.zeros((0, len(q)))
+        return pd.Series(np.sqrt(((x - q) ** 2).sum(axis=1)))
+
+    best = chunks.withColumn("distance", away(F.col(vector_col))).drop(vector_col).orderBy("distance", "chunk_id").limit(limit)
     return ranked(best.withColumn("score", vectors.similarity(F.col("distance"))), F.asc("distance"), F.asc("chunk_id"))
 
 
 def mean_pooled(rows: DataFrame, key_cols: list[str], vector_col: str = "embedding", as_float: bool = True) -> DataFrame:
     """(keys, n, embedding): the mean of each group's vectors, summed in double precision.
 
-    Sums are taken place by place with map-side partial sums, so a group of any size costs each task one vector per
-    key and place.
+    Each task first adds up its own rows, a batch at a time, into a vector and a count for each key; those partial sums are added place
+    by place. So a group of any size costs one vector for each batch, and no group is gathered in one task.
     """
-    each = rows.select(*key_cols, F.posexplode(vector_col).alias("at", "x"))
-    sums = each.groupBy(*key_cols, "at").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
+    fields = [rows.schema[k] for k in key_cols]
+    part = T.StructType([*fields, T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            # vectors of one group have one length; groups may differ
+            for _, same in b.groupby(b["_v"].map(len)) if len(b) else ():
+                own = same.groupby(key_cols, dropna=False, sort=False)
+                place = own.ngroup().to_numpy()
+                sums = np.zeros((own.ngroups, len(same["_v"].iloc[0])))
+                np.add.at(sums, place, np.stack(same["_v"]).astype(np.float64))
+                first = np.unique(place, return_index=True)[1]
+                yield same.iloc[first][key_cols].assign(s=list(sums), n=np.bincount(place))
+
+    partial = rows.select(*key_cols, F.col(vector_col).alias("_v")).where("_v is not null").mapInPandas(add_up, part)
+    sums = partial.select(*key_cols, "n", F.posexplode("s").alias("at", "x")).groupBy(*key_cols, "at").agg(F.sum("x").alias("s"), F.sum("n").alias("n"))
     packed = sums.groupBy(*key_cols).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", (F.col("s") / F.col("n")).alias("m")))).alias("p"))
     out = F.transform("p", lambda x: x["m"].cast("float") if as_float else x["m"])
     return packed.select(*key_cols, "n", out.alias(vector_col))

@@ -59,6 +59,9 @@ def test_bm25_and_snippets_match_fts5(spark):
         want = {r[0]: (round(-r[1], 9), r[2]) for r in db.execute("select rowid, bm25(f), snippet(f, 0, '<em>', '</em>', '…', 32) from f where f match ?", (match,))}
         got = search.bm25_search(chunks, docs, query, columns=("text", "title", "tags"), with_snippets=True).collect()
         assert {r["chunk_id"]: round(r["score"], 9) for r in got} == {k: v[0] for k, v in want.items()}, query
+        indexed = lexical.index(chunks, columns=("text", "title", "tags"))
+        again = search.index_search(lexical.postings(indexed), indexed, chunks, docs, query).collect()
+        assert sorted(map(str, again)) == sorted(map(str, got)), query
         shown = {r["chunk_id"]: r["snippet"] for r in got if "<em>" in want[r["chunk_id"]][1]}
         assert shown == {k: v[1] for k, v in want.items() if "<em>" in v[1]}, query
 
