@@ -15,21 +15,25 @@ boundaries in usual vocabularies, so the stretches between them are searched on
 
 from __future__ import annotations
 
+import bisect
 import re
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+
+from .common import share
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Remembered stretches and pairs of pieces; more are forgotten all at once.
-_REMEMBER = 400_000
-#: Last pieces depend on what stands before alone, so those of a stretch's first characters are remembered too.
-_HEAD = 9
+_REMEMBER = 300_000
+#: Stretches of up to so many characters are searched together and remembered; characters that are looked at together.
+SHORT, _WINDOW = 64, 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -82,18 +86,9 @@ class Model:
         self.worst = min(self.scores.values(), default=0.0) - 10.0
         # Spaces are boundaries if no piece has one after another character.
         self.splits = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else None
-        # Lengths over 1 of the pieces that end in the last three (or fewer) characters, longest first.
-        sizes: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 1:
-                sizes.setdefault(p[-3:], set()).add(len(p))
-                if len(p) == 2:
-                    sizes.setdefault(p, set()).add(2)
-        for end in [e for e in sizes if len(e) == 3 and e[1:] in self.ids]:
-            sizes[end].add(2)
-        self.sizes = {e: tuple(sorted(v, reverse=True)) for e, v in sizes.items()}
+        self.batch: BatchEncoder | None = None
+        self.plain: list[str | None] | None = None
         self.seen: dict[str, list[int]] = {}
-        self.heads: dict[str, list[str]] = {}
         self.apart: dict[tuple[str, str], bool] = {}
         self.ends: dict[str, tuple[list, list] | None] = {}
 
@@ -185,40 +180,6 @@ class Model:
                         return [t[0] for t in self._merged(a + b)] == [a, b]
         return True
 
-    def _short(self, text: str) -> list[int]:
-        """stream for a short text of a BPE model, without a window."""
-        ids, known, compare, sizes = self.ids, self.apart.get, self._stay_apart, self.sizes
-        head = self.heads.get(text[:_HEAD])
-        last = [""] if head is None else head.copy()
-        for n in range(len(last), len(text) + 1):
-            p = text[n - 1]
-            for size in sizes.get(text[n - 3 : n] if n > 2 else text[:n], ()) or sizes.get(text[n - 2 : n], ()):
-                if size > n:
-                    continue
-                q = text[n - size : n]
-                if q in ids:
-                    if size == n:
-                        if self._edges(q) is None:
-                            continue
-                    else:
-                        left = last[n - size]
-                        if left in ids:
-                            fits = known((left, q))
-                            if not (compare(left, q) if fits is None else fits):
-                                continue
-                    p = q
-                    break
-            last.append(p)
-        if head is None and len(text) >= _HEAD:
-            if len(self.heads) > _REMEMBER // 4:
-                self.heads.clear()
-            self.heads[text[:_HEAD]] = last[: _HEAD + 1]
-        out, n = [], len(text)
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return self._numbers(out[::-1])
-
     def stream(self, text: Iterator[str] | str) -> Iterator[int]:
         """Ids of a text whose spaces are escaped; reads it once, holding a bounded window of it."""
         ids, scores, longest, bpe = self.ids, self.scores, self.longest, self.kind == BPE
@@ -313,8 +274,8 @@ class Model:
         for s in self.splits.findall(escaped):
             ids = seen.get(s)
             if ids is None:
-                ids = self._short(s) if self.kind == BPE and len(s) <= 64 else list(self.stream(s))
-                if len(s) <= 64:
+                ids = list(self.stream(s))
+                if len(s) <= SHORT:
                     if len(seen) > _REMEMBER:
                         seen.clear()
                     seen[s] = ids
@@ -324,6 +285,13 @@ class Model:
     def decode(self, ids: list[int]) -> str:
         """The text of ids. Bytes that are no UTF-8 become replacement characters."""
         pieces, byte_of, silent = self.pieces, self.byte_of, self.silent
+        if self.plain is None:
+            self.plain = [None if k in byte_of or k in silent else p.replace(SPACE, " ") for k, p in enumerate(pieces)]
+        try:
+            text = "".join([self.plain[k] for k in ids])
+            return text[1:] if self.dummy_prefix and text[:1] == " " else text
+        except TypeError:  # bytes, or ids that stand for nothing
+            pass
         out: list[str] = []
         run = bytearray()
         for k in ids:
@@ -341,6 +309,224 @@ class Model:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
+class Suffixes:
+    """All ends of a model's pieces by a hash of their characters, in open addressing: which piece one is, or none.
+
+    A hash grows by a character in front: h + (code + 1) * BASE ** length.
+    """
+
+    def __init__(self, ids: dict[str, int], longest: int) -> None:
+        self.power = np.cumprod(np.r_[np.uint64(1), np.full(longest, 0x5851F42D4C957F2D, dtype=np.uint64)])
+        found: dict[int, int] = {}
+        base = [int(x) for x in self.power]
+        for piece, k in ids.items():
+            h = 0
+            for n, c in enumerate(reversed(piece)):
+                h = (h + (ord(c) + 1) * base[n]) % 2**64
+                found.setdefault(h, -1)
+            if found[h] >= 0:
+                raise ValueError("two pieces with one hash")
+            found[h] = k
+        self.bits = max(8, (8 * len(found)).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, dtype=np.uint64), np.full(1 << self.bits, -2, dtype=np.int32)
+        self.steps = 0
+        for h, k in found.items():
+            at = self._home(h)
+            step = 0
+            while self.values[at] != -2:
+                at, step = (at + 1) % len(self.keys), step + 1
+            self.keys[at], self.values[at] = h, k
+            self.steps = max(self.steps, step)
+
+    def _home(self, h: int) -> int:
+        return (h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - self.bits)
+
+    def look(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash; -1 if it is only the end of one, -2 if not even that."""
+        at = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.where(self.keys[at] == h, self.values[at], -2)
+        wrong = np.flatnonzero((out == -2) & (self.values[at] != -2))
+        for _ in range(self.steps):
+            if not len(wrong):
+                break
+            at[wrong] = (at[wrong] + 1) % len(self.keys)
+            there = at[wrong]
+            hit = self.keys[there] == h[wrong]
+            out[wrong[hit]] = self.values[there[hit]]
+            wrong = wrong[~hit & (self.values[there] != -2)]
+        return out
+
+
+class BatchEncoder:
+    """Encodes many texts at a time with a BPE model: their distinct short stretches go through the lattice together, a node of
+    all of them after the other; longer ones are streamed one by one. What was found is remembered, within bounds."""
+
+    PAIRS = 1 << 21
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.suffixes = Suffixes(model.ids, model.longest)
+        self.reached = np.full(len(model.pieces), -1, dtype=np.int8)
+        self.pair_keys, self.pair_apart = np.zeros(self.PAIRS, dtype=np.uint64), np.zeros(self.PAIRS, dtype=bool)
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _reached(self, ids: np.ndarray) -> np.ndarray:
+        for k in np.unique(ids[self.reached[ids] < 0]):
+            self.reached[k] = self.model._edges(self.model.pieces[k]) is not None
+        return self.reached[ids] == 1
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = ((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)) + np.uint64(1)
+        at = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 21)).astype(np.int64)
+        new = np.flatnonzero(self.pair_keys[at] != key)
+        out = self.pair_apart[at]
+        if len(new):
+            keys, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            pieces, l, r = self.model.pieces, left[new[first]].tolist(), right[new[first]].tolist()
+            known = np.fromiter((self.model._compare(pieces[a], pieces[b]) for a, b in zip(l, r, strict=True)), dtype=bool, count=len(keys))
+            out[new] = known[back]
+            self.pair_keys[at[new[first]]], self.pair_apart[at[new[first]]] = keys, known
+        return out
+
+    def search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has) of short stretches, by length from long to short."""
+        n_words, longest = len(words), max(map(len, words))
+        size = np.fromiter(map(len, words), dtype=np.int64, count=n_words)
+        codes = np.array(words, dtype=f"U{longest}").view(np.uint32).reshape(n_words, longest).astype(np.uint64) + np.uint64(1)
+        last = np.zeros((n_words, longest + 1), dtype=np.int32)  # the last piece of each prefix; an unknown character is negative
+        step = np.ones((n_words, longest + 1), dtype=np.int8 if self.model.longest < 128 else np.int32)
+        for n in range(1, longest + 1):
+            rows = np.arange(np.searchsorted(-size, -n, side="right"))
+            h = np.zeros(len(rows), dtype=np.uint64)
+            for s in range(1, min(n, self.model.longest) + 1):
+                h = h + codes[rows, n - s] * self.suffixes.power[s - 1]
+                piece = self.suffixes.look(h)
+                if s == 1:
+                    last[rows, n] = np.where(piece >= 0, piece, -codes[rows, n - 1].astype(np.int32))
+                rows, h, piece = rows[go := piece != -2], h[go], piece[go]
+                if not len(rows):
+                    break
+                at = np.flatnonzero(piece >= 0)
+                if len(at):
+                    if s == n:
+                        fits = self._reached(piece[at]) if s > 1 else np.ones(len(at), dtype=bool)
+                    else:
+                        left = last[rows[at], n - s]
+                        fits = left < 0
+                        both = np.flatnonzero(~fits)
+                        fits[both] = self._apart(left[both], piece[at[both]])
+                        alone = np.flatnonzero(left < 0)
+                        if s > 1 and len(alone):
+                            fits[alone] = self._reached(piece[at[alone]])
+                    done = at[fits]
+                    last[rows[done], n], step[rows[done], n] = piece[done], s
+                    stay = np.ones(len(rows), dtype=bool)
+                    stay[done] = False
+                    rows, h = rows[stay], h[stay]
+                    if not len(rows):
+                        break
+        ids, used = np.zeros((n_words, longest), dtype=np.int32), np.zeros((n_words, longest), dtype=bool)
+        rows, node, place = np.arange(n_words), size.copy(), longest - 1
+        while len(rows):
+            ids[rows, place], used[rows, place] = last[rows, node], True
+            node = node - step[rows, node]
+            place -= 1
+            rows, node = rows[node > 0], node[node > 0]
+        return self._spelled(ids[used], used.sum(axis=1))
+
+    def _spelled(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with the bytes of unknown characters in their places."""
+        unknown = {int(u): self.model._numbers([chr(-int(u) - 1)]) for u in np.unique(flat[flat < 0])}
+        if not unknown:
+            return flat, size
+        width = np.ones(len(flat), dtype=np.int64)
+        for u, own in unknown.items():
+            width[flat == u] = len(own)
+        out, start = np.repeat(flat, width), np.cumsum(width) - width
+        for u, own in unknown.items():
+            at = start[flat == u]
+            for k, b in enumerate(own):
+                out[at + k] = b
+        return out, np.add.reduceat(width, np.cumsum(size) - size)
+
+    def learn(self, words: set[str]) -> None:
+        """Adds the ids of stretches to what is remembered."""
+        short = [w for w in words if len(w) <= SHORT]
+        by_length = np.argsort(-np.fromiter(map(len, short), dtype=np.int64, count=len(short)), kind="stable")
+        order = [short[k] for k in by_length]
+        flats, sizes = [], []
+        at = 0
+        while at < len(order):
+            # words of like length, so that little is padded
+            to, least = min(len(order), at + 50_000), len(order[at]) // 2
+            to = at + 1 + bisect.bisect_left(order[at + 1 : to], -least, key=lambda w: -len(w))
+            flat, size = self.search(order[at:to])
+            flats.append(flat)
+            sizes.append(size)
+            at = to
+        for w in sorted(w for w in words if len(w) > SHORT):
+            ids = np.fromiter(self.model.stream(w), dtype=np.int32)
+            flats.append(ids)
+            sizes.append(np.array([len(ids)]))
+            order.append(w)
+        size = np.concatenate(sizes)
+        first = len(self.flat) + np.cumsum(size) - size
+        self.index.update(zip(order, range(len(self.index), len(self.index) + len(order)), strict=True))
+        self.flat, self.start, self.size = np.concatenate([self.flat, *flats]), np.concatenate([self.start, first]), np.concatenate([self.size, size])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has). Works on a bounded number of characters at a time; texts that repeat, as a mix
+        repeats them, are encoded once."""
+        once = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+        if len(once) < len(texts):
+            flat, counts = self.encode(list(once))
+            rows = np.fromiter(map(once.__getitem__, texts), dtype=np.int64, count=len(texts))
+            start, size = (np.cumsum(counts) - counts)[rows], counts[rows]
+            return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+        out: list[np.ndarray] = [np.zeros(0, np.int32)]
+        counts = np.zeros(len(texts), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            to, width = at, 0
+            while to < len(texts) and (to == at or width + len(texts[to]) <= _WINDOW):
+                width += len(texts[to])
+                to += 1
+            out.append(self._some(texts[at:to], counts[at:to]))
+            at = to
+        return np.concatenate(out), counts
+
+    def _some(self, texts: list[str], counts: np.ndarray) -> np.ndarray:
+        m = self.model
+        lead = SPACE if m.dummy_prefix else ""
+        odd = {k: np.array(m.encode(t), dtype=np.int32) for k, t in enumerate(texts) if SPACE in t}
+        words: list[str] = []
+        ends = np.zeros(len(texts), dtype=np.int64)
+        for k, t in enumerate(texts):
+            if t and k not in odd:
+                words += m.splits.findall(lead + t.replace(" ", SPACE))
+            ends[k] = len(words)
+        if len(self.index) > _REMEMBER:
+            self.forget()
+        if new := {w for w in words if w not in self.index}:
+            self.learn(new)
+        rows = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        size = self.size[rows]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(self.start[rows] - upto[:-1], size) + np.arange(upto[-1])]
+        bounds = upto[np.concatenate([[0], ends])]
+        counts[:] = np.diff(bounds)
+        if odd:
+            parts = np.split(flat, bounds[1:-1])
+            for k, ids in odd.items():
+                parts[k], counts[k] = ids, len(ids)
+            flat = np.concatenate(parts)
+        return flat
+
+
 def vocabulary(name: str = "piece_bpe_32k.model") -> str:
     return f"/opt/tokenizers/{name}"
 
@@ -348,21 +534,45 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> str:
 def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """df with ids (array of int): null for a null text, empty for an empty one. The model is read on the
     driver, from path. df must not have a column ids."""
-    held = df.sparkSession.sparkContext.broadcast(Model.read(path))
-
-    @F.pandas_udf("array<int>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else held.value.encode(t) for t in texts], dtype=object)
+    held = share(df.sparkSession, Model.read(path))
+
+    @arrow_udf("array<int>")
+    def of(texts):
+        import pyarrow as pa
+
+        model = held()
+        null = texts.is_null().to_numpy(zero_copy_only=False)
+        whole = [t or "" for t in texts.to_pylist()]
+        if model.kind == BPE and model.splits is not None:
+            if model.batch is None:  # kept with the model in the worker, for the batches and tasks to come
+                model.batch = BatchEncoder(model)
+            flat, counts = model.batch.encode(whole)
+        else:
+            each = [model.encode(t) for t in whole]
+            flat, counts = np.array([k for ids in each for k in ids], dtype=np.int32), np.array([len(ids) for ids in each], dtype=np.int64)
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=pa.array(null))
 
     return df.withColumn("ids", of(F.col(text_col)))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """df with the text of its ids; null for null ids."""
-    held = df.sparkSession.sparkContext.broadcast(Model.read(path))
-
-    @F.pandas_udf("string")
-    def of(ids: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else held.value.decode(list(x)) for x in ids], dtype=object)
+    held = share(df.sparkSession, Model.read(path))
+
+    @arrow_udf("string")
+    def of(ids):
+        import pyarrow as pa
+
+        flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        ok = ids.is_valid().to_numpy(zero_copy_only=False)
+        out: list[str | None] = []
+        last, text = None, ""
+        for a, b, y in zip(offsets[:-1], offsets[1:], ok, strict=True):
+            own = flat[a:b]
+            if y and (last is None or not np.array_equal(own, last)):
+                last, text = own, held().decode(own.tolist())
+            out.append(text if y else None)
+        return pa.array(out, pa.string())
 
     return df.withColumn(out_col, of(F.col(ids_col)))

@@ -46,6 +46,24 @@ def test_encoding_is_the_librarys(model, library, text):
             assert list(model.stream("▁" + text.replace(" ", "▁"))) == ids
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.lists(ALPHABET, max_size=12))
+def test_batches_are_the_same(model, library, texts):
+    batch = sentencepiece_codec.BatchEncoder(model)
+    for _ in range(2):  # the second time from memory
+        flat, counts = batch.encode(texts)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [model.encode(t) for t in texts] or not texts
+
+
+def test_batches_forget(model, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "_REMEMBER", 3)
+    monkeypatch.setattr(sentencepiece_codec, "_WINDOW", 20)
+    batch = sentencepiece_codec.BatchEncoder(model)
+    texts = [f"some words {k} and\nmore " + "x" * (k * 9) for k in range(30)]
+    flat, counts = batch.encode(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [model.encode(t) for t in texts] and len(batch.index) < 30
+
+
 def test_long_stretches(model, library):
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé日本") for _ in range(5000))
