@@ -143,8 +143,8 @@ def word_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = F.size("all")
     last = F.when(n <= words, 0).otherwise(F.ceil((n - words) / (words - overlap))).cast("int")
     return (
-        split.where(n > 0)
-        .select(id_col, "all", F.explode(F.sequence(F.lit(0), last)).alias("ord"))
+        # a null range has no rows; a filter would be pushed down and split every text twice
+        split.select(id_col, "all", F.explode(F.when(n > 0, F.sequence(F.lit(0), last))).alias("ord"))
         .select(id_col, "ord", F.slice("all", F.col("ord") * (words - overlap) + 1, words).alias("words"))
         .withColumn("token_count", F.size("words"))
     )

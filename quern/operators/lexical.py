@@ -97,8 +97,7 @@ def frequency(terms: Column, phrase: list[str]) -> Column:
 def scores(indexed: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """(chunk_id, score) of the chunks that hold at least one of the phrases.
 
-    One pass counts, a second scores: the counts are one row, whatever the size of the corpus, and chunks without
-    a phrase go before anything is joined.
+    One pass counts, a second scores: the counts are one row, whatever the size of the corpus.
     """
     distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
     if not distinct:
@@ -106,7 +105,9 @@ def scores(indexed: DataFrame, phrases: list[list[str]]) -> DataFrame:
     counted = indexed.select("chunk_id", "length", F.array(*(frequency(F.col("terms"), p) for p in distinct)).alias("tf"))
     holding = [F.count_if(F.get("tf", F.lit(k)) > 0) for k in range(len(distinct))]
     stats = counted.agg(F.count("*").alias("n_all"), F.avg("length").alias("mean"), F.array(*holding).alias("n_with"))
-    return score_counts(counted.where(F.exists("tf", lambda t: t > 0)), stats, [phrases.count(p) for p in distinct])
+    # A chunk without a phrase scores 0 and any other more. A filter on the counts would be pushed down, and with it, for each phrase, the
+    # whole tokenisation; one on the score stays above.
+    return score_counts(counted, stats, [phrases.count(p) for p in distinct]).where("score > 0")
 
 
 def score_counts(counted: DataFrame, stats: DataFrame, repeats: list[int]) -> DataFrame:
