@@ -154,9 +154,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
         .agg(F.collect_list(F.struct("lang", "rate")).alias("r"), F.max("rate").alias("top"))
         .select("code", F.expr(f"transform(filter(r, x -> x.rate >= {dominance} * top), x -> x.lang)").alias("langs"))
         .select("code", F.explode("langs").alias("lang"))
-        .toPandas()  # 1 / min_rate rows for each language at most
+        .toArrow()  # 1 / min_rate rows for each language at most
     )
-    by = {k: np.sort(v["code"].to_numpy().astype(np.int64).view(np.uint64)) for k, v in rows.groupby("lang")} if len(rows) else {}
+    code, lang = rows["code"].to_numpy().astype(np.int64).view(np.uint64), rows["lang"].to_numpy(zero_copy_only=False)
+    by = {k: np.sort(code[lang == k]) for k in langs}
     return build(langs, [by.get(k, np.zeros(0, dtype=np.uint64)) for k in langs], n, bits)
 
 

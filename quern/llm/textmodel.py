@@ -60,12 +60,23 @@ def collect_features(sample: DataFrame, text_col: str, features: Callable[[str |
                 "terms": [np.array(terms(t) if terms else [], dtype=np.int32) for t in b["text"]],
             })
 
-    rows = sample.select("y", F.col(text_col).alias("text")).mapInPandas(of, "y int, bins array<int>, terms array<int>").toPandas()
-    order = sorted(range(len(rows)), key=lambda k: (rows["y"][k], len(rows["bins"][k]), list(rows["bins"][k])))
-    return rows["y"].to_numpy()[order].astype(float), [np.asarray(rows["bins"][k], dtype=np.int64) for k in order], [[int(t) for t in rows["terms"][k]] for k in order]
+    # Arrow keeps the bins as plain numbers; rows of Python objects would take ten times the driver's memory
+    rows = sample.select("y", F.col(text_col).alias("text")).mapInPandas(of, "y int, bins array<int>, terms array<int>").toArrow()
+    y = rows["y"].to_numpy().astype(float)
+    bins, found = _lists(rows["bins"]), _lists(rows["terms"])
+    order = sorted(range(len(y)), key=lambda k: (y[k], len(bins[k]), bins[k].tobytes()))
+    return y[order], [bins[k] for k in order], [found[k].tolist() for k in order]
 
 
-def fit(y: np.ndarray, bins: list[np.ndarray], pairs: list[tuple[set[int], set[int]]] = (), invariance: float = 0.0, keep: int = 4096, least_rows: int = 4, always: set[int] = frozenset(), l2: float = 1e-3, steps: int = 300) -> Linear:
+def _lists(column) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        values, offsets = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return out
+
+
+def fit(y: np.ndarray, bins: list[np.ndarray], pairs: list[tuple[set[int], set[int]]] = (), invariance: float = 0.0, keep: int = 4096, least_rows: int = 4, always: set[int] = frozenset(), l2: float = 3e-5, steps: int = 400) -> Linear:
     """Logistic regression on the `keep` bins that tell the labels apart best.
 
     pairs: (bins of a text, bins of its counterfactual); invariance times the mean squared difference of
@@ -76,7 +87,7 @@ def fit(y: np.ndarray, bins: list[np.ndarray], pairs: list[tuple[set[int], set[i
     bias = float(np.log((ones + 0.5) / (n - ones + 0.5)))
     if n == 0 or ones in (0, n):
         return Linear(bias, {})
-    flat, row = np.concatenate(bins), np.repeat(np.arange(n), [len(b) for b in bins])
+    flat, row = np.concatenate(bins), np.repeat(np.arange(n, dtype=np.int32), [len(b) for b in bins])
     all_, pos = np.bincount(flat, minlength=1 << BITS), np.bincount(flat, weights=y[row], minlength=1 << BITS)
     neg = all_ - pos
     odds = np.log((pos + 0.5) / (ones - pos + 0.5)) - np.log((neg + 0.5) / (n - ones - neg + 0.5))
