@@ -19,6 +19,7 @@ import bisect
 import re
 import struct
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,9 +32,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Remembered stretches and pairs of pieces; more are forgotten all at once.
-_REMEMBER = 300_000
+_REMEMBER = 200_000
 #: Stretches of up to so many characters are searched together and remembered; characters that are looked at together.
-SHORT, _WINDOW = 64, 1_000_000
+SHORT, _WINDOW = 64, 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -286,11 +287,12 @@ class Model:
         """The text of ids. Bytes that are no UTF-8 become replacement characters."""
         pieces, byte_of, silent = self.pieces, self.byte_of, self.silent
         if self.plain is None:
-            self.plain = [None if k in byte_of or k in silent else p.replace(SPACE, " ") for k, p in enumerate(pieces)]
+            # an ASCII byte is its character, whatever stands beside it
+            self.plain = [chr(byte_of[k]) if byte_of.get(k, 128) < 128 else None if k in byte_of or k in silent else p.replace(SPACE, " ") for k, p in enumerate(pieces)]
         try:
-            text = "".join([self.plain[k] for k in ids])
+            text = "".join(map(self.plain.__getitem__, ids))
             return text[1:] if self.dummy_prefix and text[:1] == " " else text
-        except TypeError:  # bytes, or ids that stand for nothing
+        except TypeError:  # other bytes, or ids that stand for nothing
             pass
         out: list[str] = []
         run = bytearray()
@@ -361,7 +363,7 @@ class BatchEncoder:
     """Encodes many texts at a time with a BPE model: their distinct short stretches go through the lattice together, a node of
     all of them after the other; longer ones are streamed one by one. What was found is remembered, within bounds."""
 
-    PAIRS = 1 << 21
+    PAIRS = 1 << 20
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -381,7 +383,7 @@ class BatchEncoder:
 
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = ((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)) + np.uint64(1)
-        at = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 21)).astype(np.int64)
+        at = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)).astype(np.int64)
         new = np.flatnonzero(self.pair_keys[at] != key)
         out = self.pair_apart[at]
         if len(new):
@@ -485,8 +487,8 @@ class BatchEncoder:
         if len(once) < len(texts):
             flat, counts = self.encode(list(once))
             rows = np.fromiter(map(once.__getitem__, texts), dtype=np.int64, count=len(texts))
-            start, size = (np.cumsum(counts) - counts)[rows], counts[rows]
-            return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+            start = np.cumsum(counts) - counts
+            return np.concatenate([flat[start[k] : start[k] + counts[k]] for k in rows]), counts[rows]
         out: list[np.ndarray] = [np.zeros(0, np.int32)]
         counts = np.zeros(len(texts), dtype=np.int64)
         at = 0
@@ -511,9 +513,11 @@ class BatchEncoder:
             ends[k] = len(words)
         if len(self.index) > _REMEMBER:
             self.forget()
-        if new := {w for w in words if w not in self.index}:
-            self.learn(new)
-        rows = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        rows = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if len(missed := np.flatnonzero(rows < 0).tolist()):
+            new = [words[k] for k in missed]
+            self.learn(set(new))
+            rows[missed] = list(map(self.index.__getitem__, new))
         size = self.size[rows]
         upto = np.concatenate([[0], np.cumsum(size)])
         flat = self.flat[np.repeat(self.start[rows] - upto[:-1], size) + np.arange(upto[-1])]
