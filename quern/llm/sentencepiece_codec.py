@@ -32,9 +32,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Remembered stretches and pairs of pieces; more are forgotten all at once.
-_REMEMBER = 200_000
+_REMEMBER = 500_000
 #: Stretches of up to so many characters are searched together and remembered; characters that are looked at together.
-SHORT, _WINDOW = 64, 500_000
+SHORT, _WINDOW = 64, 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -363,7 +363,7 @@ class BatchEncoder:
     """Encodes many texts at a time with a BPE model: their distinct short stretches go through the lattice together, a node of
     all of them after the other; longer ones are streamed one by one. What was found is remembered, within bounds."""
 
-    PAIRS = 1 << 20
+    PAIRS = 1 << 22
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -383,7 +383,7 @@ class BatchEncoder:
 
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = ((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)) + np.uint64(1)
-        at = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)).astype(np.int64)
+        at = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 22)).astype(np.int64)
         new = np.flatnonzero(self.pair_keys[at] != key)
         out = self.pair_apart[at]
         if len(new):
