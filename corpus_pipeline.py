@@ -29,8 +29,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that stand on over 5 % of their source's documents; documents of such lines alone go."""
-    out = line_dedup.drop_site_lines(docs)
+    """Cuts lines that stand on over 5 % of their source's distinct texts; documents of such lines alone go.
+
+    Copies count once: near_dedup comes later, and leaves one of them.
+    """
+    out = line_dedup.drop_site_lines(docs, copies=False)
     whole = (F.col("n_dropped") == 0) | (F.btrim("text", F.lit(" \t\r\n\f\x0b")) != "")
     return out.where(whole).withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 

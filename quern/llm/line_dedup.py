@@ -25,9 +25,14 @@ def _key(line):
     return F.xxhash64(F.btrim(line, F.lit(_BLANK)))
 
 
-def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
-    """(site, pages, lines array<long>): each site's page total and the hashes of its boilerplate lines."""
-    pages = df.where(F.col(text_col).isNotNull()).select(F.col(site_col).alias("site"), F.array_distinct(line_keys(F.col(text_col))).alias("lines"))
+def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5, copies: bool = True) -> DataFrame:
+    """(site, pages, lines array<long>): each site's page total and the hashes of its boilerplate lines.
+
+    Without copies, the rows of a site that have the same text are one page, in its total and for its lines.
+    """
+    pages = df.where(F.col(text_col).isNotNull()).select(F.col(site_col).alias("site"), F.xxhash64(text_col).alias("text"), F.array_distinct(line_keys(F.col(text_col))).alias("lines"))
+    if not copies:
+        pages = pages.distinct()
     blank = F.xxhash64(F.lit(""))
     # One job for both counts: a page adds one row for itself (null) and one for each of its lines.
     counts = materialise(
@@ -47,15 +52,16 @@ def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text",
     return materialise(often)
 
 
-def drop_site_lines(df: DataFrame, site_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def drop_site_lines(df: DataFrame, site_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5, copies: bool = True) -> DataFrame:
     """df with boilerplate lines of their site cut from its texts, and n_lines and n_dropped.
 
     Lines end at line feeds and compare without white space around them; the others stay as they were,
     in order. Blank lines are never boilerplate. A null text stays null with 0 lines; an empty text has one,
     blank line; if all lines go, the text is empty. Pages with a null site are one site. Every copy of a repeated page
-    counts as a page. df must not have columns n_lines and n_dropped.
+    counts as a page, unless copies is False: then a site's pages are its distinct texts, and a page that is
+    repeated often does not make its own lines boilerplate. df must not have columns n_lines and n_dropped.
     """
-    found = boilerplate(df, site_col, text_col, max_ratio, min_pages).select(F.col("site").alias("_site"), F.col("lines").alias("_lines"))
+    found = boilerplate(df, site_col, text_col, max_ratio, min_pages, copies).select(F.col("site").alias("_site"), F.col("lines").alias("_lines"))
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_lines"), _key(x)))
     return (
