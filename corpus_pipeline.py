@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, line_dedup, mixing, sentencepiece_codec, simhash
+from quern.llm import langid, line_dedup, mixing, sentencepiece_codec, shingle_dedup, simhash
 from quern.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,8 +39,11 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near-duplicates."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """Keeps the document with the smallest id of each class of texts whose five-word shingles have a similarity of 0.8.
+
+    The classes of op8_simhash_dedup are narrower: three words, and 3 of 64 bits.
+    """
+    return simhash.keep_one(docs, classify=shingle_dedup.near_duplicates).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ never paired: no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -159,13 +159,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.join(classes, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df with one document of each class: the one with the smallest id.
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classify: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
+    """df with one document of each class that classify finds: the one with the smallest id.
 
     Rows that share an id are one document, and one of them stays. Rows with a null id stay only if no
     row of their class has an id, and then one of them does.
     """
-    classes = materialise(near_duplicates(df, id_col, text_col, **how).select(F.col(id_col).alias("_id"), "component_id"))
+    classes = materialise(classify(df, id_col, text_col, **how).select(F.col(id_col).alias("_id"), "component_id"))
     own = F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
     gone = classes.where("not (_id <=> component_id)").select("_id").distinct()
     again = materialise(classes.where("_id <=> component_id").groupBy("_id").count().where("count > 1").select("_id"))

@@ -1,4 +1,10 @@
+import random
+from itertools import combinations
+
+import pytest
+
 import corpus_pipeline
+from quern.llm import shingle_dedup
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -20,3 +26,51 @@ def test_copies_do_not_hide_boilerplate(spark):
     rows = [(k, f"site header\nwords of page {k}" if k < 5 else f"words of page {k}", "a") for k in range(60)] + [(100 + k, "copied", "a") for k in range(60)]
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate_lines(spark, docs(spark, rows), "").collect()}
     assert len(got) == 120 and all(got[k] == f"words of page {k}" for k in range(60))
+
+
+def runs(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+
+def brute_classes(rows):
+    sets, root = [runs(t) for _, t, _ in rows], {i: i for i, _, _ in rows}
+    pairs = [(rows[a][0], rows[b][0]) for a, b in combinations(range(len(rows)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while any(root[a] != root[b] for a, b in pairs):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def copies():
+    """Texts of 120 words; copies with none to 12 words changed, of which a few changes keep them near and more do not."""
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(900)}" for _ in range(120)] for _ in range(12)]
+    rows = [(k, " ".join(b), "s") for k, b in enumerate(base)]
+    for k in range(150):
+        b = list(base[k % 12 if k % 2 else 0])
+        for at in rng.sample(range(120), k % 13):
+            b[at] = f"x{k}"
+        rows.append((100 + k, " ".join(b).upper() if k % 3 else " ".join(b), "s"))
+    return [*rows, (300, "", "s"), (301, " \n", "s"), (302, "one two", "s"), (303, "One  TWO", "s")]
+
+
+@pytest.mark.parametrize("tile", [65_536, 500])
+def test_shingle_classes_match_brute_force(spark, tile):
+    rows = copies()
+    got = {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_duplicates(docs(spark, rows), tile=tile).collect()}
+    want = brute_classes(rows)
+    assert got == want and 20 < len(set(want.values())) < 150
+
+
+def test_near_copies_beyond_three_bits_go(spark):
+    rows = copies()
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()}
+    assert got == set(brute_classes(rows).values())
+
+
+def test_shingle_classes_of_odd_rows(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (None, "alone"), (9, None), (8, ""), (7, "another text of this id")], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["component_id"] or 0) for r in shingle_dedup.near_duplicates(df).collect()))
+    assert got == [(0, 0), (0, 7), (7, 7), (7, 7), (8, 8), (9, 8)]
+    assert shingle_dedup.near_duplicates(df.where("false")).count() == 0
