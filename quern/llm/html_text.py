@@ -35,19 +35,40 @@ _CLOSED_BY_BLOCK = "p"
 _CLOSED_BY_OWN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "math", "object", "iframe", "title")}
 
+#: Of these, those that hold elements of their own name, and those that take the rest of a page if nothing ends them.
+_NESTED = frozenset(("template", "svg", "math", "object"))
+_TO_END = frozenset(("script", "style", "title"))
+
 Block = tuple[tuple[str, ...], str, float]
 
 
+def _nested_ends(page: str, name: str) -> dict[int, int]:
+    """Where each element of this name that is ended ends, by where it starts."""
+    found: dict[int, int] = {}
+    begun: list[int] = []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>", page, re.I):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                begun.append(m.start())
+        elif begun:
+            found[begun.pop()] = m.end()
+    return found
+
+
 def blocks(page: str | None) -> list[Block]:
     """(path, text, share of its letters that are in links) of each leaf block, in page order.
 
     Character references are decoded after tags are found; white space inside a block is one space. Unclosed
     tags are closed as browsers close them: a paragraph ends at the next block, a list item at the next one.
+    A start tag of an element without text (svg, object, iframe) that nothing ends is passed over alone; script,
+    style and title take the rest.
     """
     page = page or ""
     stack: list[tuple[str, tuple[str, ...]]] = []
     out: list[Block] = []
     run: list[str] = []
+    ends: dict[str, dict[int, int]] = {}
+    open_ended: set[str] = set()
     linked = 0
 
     def flush() -> None:
@@ -80,10 +101,17 @@ def blocks(page: str | None) -> list[Block]:
                     break
             continue
         if name in _RAW_END and not m.group(3).endswith("/>"):
-            close = _RAW_END[name].search(page, at)
-            at = close.end() if close else end
             if name in BLOCK:
                 flush()
+            if name in _NESTED:
+                if name not in ends:
+                    ends[name] = _nested_ends(page, name)
+                at = ends[name].get(m.start(), at)
+            elif name not in open_ended:
+                close = _RAW_END[name].search(page, at)
+                if close is None:
+                    open_ended.add(name)
+                at = close.end() if close else end if name in _TO_END else at
             continue
         if name == "br":
             run.append(" ")

@@ -323,3 +323,13 @@ def test_extract(spark, labeller):
     df = spark.createDataFrame([(1, PAGE, "u"), (2, None, None), (3, "", "u"), (4, "<p>", "u")], "page_id long, html string, url string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(df, model=labeller).collect()}
     assert got[1][1] == len(got[1][0]) and got[1][0].startswith("A & B é\n") and got[2] == got[3] == got[4] == ("", 0)
+
+
+def test_elements_that_nothing_ends():
+    texts = lambda page: [t for _, t, _ in html_text.blocks(page)]
+    for tag in ("svg", "math", "object", "iframe", "template", "noscript"):
+        assert texts(f"<p>a</p><{tag} x='>'><p>b</p><p>c") == ["a", "b", "c"], tag
+    for tag in ("svg", "math", "object", "template"):
+        assert texts(f"<p>a</p><{tag}>x<{tag}>y</{tag}>z</{tag}><p>b") == ["a", "b"], tag
+        assert texts(f"<{tag}><p>a</p><{tag}>y</{tag}><p>b") == ["a", "b"], tag
+    assert texts("<p>a</p><title>never closed <p>x") == ["a"]
