@@ -126,7 +126,7 @@ def blocks(page: str | None) -> list[Block]:
                     break
         if name not in VOID and not m.group(3).endswith("/>"):
             marks = [p for a in _ATTR.finditer(m.group(3)) for p in _PIECE.findall((a[1] or a[2] or a[3] or "").lower())] if len(m.group(3)) > 1 else []
-            stack.append((name, (name, *("." + p for p in marks[:8]))))
+            stack.append((name, (name, *("." + p for p in marks))))
     flush()
     return out
 
@@ -140,7 +140,7 @@ SIZE = PATH_BINS + WORD_BINS + COUNTS
 def path_vector(path: tuple[str, ...]) -> np.ndarray:
     v = np.zeros(PATH_BINS, dtype=np.float32)
     tags = [p for p in path if p[0] != "."]
-    for x in [*set(path[-24:]), *("leaf " + t for t in tags[-1:]), *("in " + t for t in tags[-2:-1])]:
+    for x in [*set(path), *("leaf " + t for t in tags[-1:]), *("in " + t for t in tags[-2:-1])]:
         h = crc32(x.encode())
         v[h % PATH_BINS] += 1 if h & 0x10000 else -1
     return v

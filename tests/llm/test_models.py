@@ -333,3 +333,13 @@ def test_elements_that_nothing_ends():
         assert texts(f"<p>a</p><{tag}>x<{tag}>y</{tag}>z</{tag}><p>b") == ["a", "b"], tag
         assert texts(f"<{tag}><p>a</p><{tag}>y</{tag}><p>b") == ["a", "b"], tag
     assert texts("<p>a</p><title>never closed <p>x") == ["a"]
+
+
+def test_the_whole_path_is_read(labeller):
+    pieces = " ".join(f"{a}x" for a in "abcdefghij")
+    (path, _, _), *_ = html_text.blocks(f"<div class='{pieces} sidebar'><p>x</p></div>")
+    assert ".sidebar" in path
+    deep = tuple(f"t{k}" for k in range(40))
+    assert (html_text.path_vector((".comments", *deep)) != html_text.path_vector(deep)).any()
+    wrapped = PAGE.replace("<article>", "<div class='flex grow'>" * 30 + "<article>").replace("</article>", "</article>" + "</div>" * 30)
+    assert html_text.main_texts(labeller, [wrapped]) == html_text.main_texts(labeller, [PAGE])
