@@ -128,11 +128,13 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
         if len(rows):
             order = np.argsort(row_ids, kind="stable")
             rows, row_ids = rows[order], row_ids[order]
+            firsts = np.flatnonzero(np.r_[True, row_ids[1:] != row_ids[:-1]])  # k counts ids, however many rows they have
             for s in range(0, int(ask.sum()), 512):
                 q, qi = x[ask][s : s + 512], ids[ask][s : s + 512]
                 rough = q @ rows.T
                 rough[qi[:, None] == row_ids[None, :]] = -np.inf
-                low = np.partition(rough, -min(k, len(rows)), axis=1)[:, -min(k, len(rows))] - 1e-9
+                most = rough if len(firsts) == len(rows) else np.maximum.reduceat(rough, firsts, axis=1)
+                low = np.partition(most, -min(k, len(firsts)), axis=1)[:, -min(k, len(firsts))] - 1e-9
                 for i in range(len(qi)):
                     at = np.flatnonzero(rough[i] >= max(low[i], -2.0))
                     score = cosines(rows[at], q[i])

@@ -96,3 +96,12 @@ def test_dedup_odd_rows(spark):
 def test_proper(spark):
     got = {r["vec_id"]: r["ok"] for r in table(spark, [*ODD, [1.0]]).select("vec_id", ann.proper(F.col("embedding")).alias("ok")).collect()}
     assert got == {**dict.fromkeys(range(6), False), 6: True}
+
+
+def test_search_counts_ids_not_rows(spark):
+    """Ids stored 12 times each, in one bucket: its k nearest ids are found, not k rows of the nearest."""
+    x = np.tile(np.random.default_rng(7).standard_normal(16), (7, 1))
+    x[:, 1] += 0.01 * np.arange(7)
+    df = table(spark, np.repeat(x, 12, axis=0), np.repeat(np.arange(7), 12))
+    got = ann.search(df, df.where("vec_id = 0").limit(1), tables=1, probe=1).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
