@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> None:
+    """An operator's output columns must not be there already."""
+    clash = sorted({n.lower() for n in names} & {c.lower() for c in df.columns})
+    if clash:
+        raise ValueError(f"the table has columns that this operator adds: {', '.join(clash)}")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 

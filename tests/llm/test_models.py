@@ -55,13 +55,56 @@ def test_batches_are_the_same(model, library, texts):
         assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [model.encode(t) for t in texts] or not texts
 
 
+def same_as_one_by_one(model, texts, batch=None):
+    flat, counts = (batch or sentencepiece_codec.BatchEncoder(model)).encode(texts)
+    got = np.split(flat, np.cumsum(counts)[:-1]) if texts else []
+    assert [x.tolist() for x in got] == [model.encode(t) for t in texts]
+    assert sentencepiece_codec.decoded(model, flat, np.r_[0, np.cumsum(counts)]) == texts
+
+
 def test_batches_forget(model, monkeypatch):
-    monkeypatch.setattr(sentencepiece_codec, "_REMEMBER", 3)
+    monkeypatch.setattr(sentencepiece_codec, "_PLACES_KEPT", 64)
     monkeypatch.setattr(sentencepiece_codec, "_WINDOW", 20)
     batch = sentencepiece_codec.BatchEncoder(model)
     texts = [f"some words {k} and\nmore " + "x" * (k * 9) for k in range(30)]
-    flat, counts = batch.encode(texts)
-    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [model.encode(t) for t in texts] and len(batch.index) < 30
+    same_as_one_by_one(model, texts, batch)
+    same_as_one_by_one(model, texts[::-1], batch)
+    assert len(batch.known.hash) <= 32
+
+
+def test_equal_hashes_are_told_apart(model, monkeypatch):
+    """A hash that is the length alone: stretches are still compared by their characters."""
+    monkeypatch.setattr(sentencepiece_codec, "_PLACES_KEPT", 1 << 12)
+    batch = sentencepiece_codec.BatchEncoder(model)
+    batch.power[:] = 0
+    same_as_one_by_one(model, ["the cat sat on the mat", "cat tac act the eht", "a b c"], batch)
+
+
+@pytest.mark.parametrize("few", [0, 8, 1000])
+def test_lanes_commit_where_paths_meet(model, monkeypatch, few):
+    """Stretches far longer than the window, of which some have no early boundary, side by side and one by one."""
+    monkeypatch.setattr(sentencepiece_codec, "_FEW", few)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aabcdeéstn日") for _ in range(rng.randrange(1, 900))) for _ in range(30)]
+    texts += ["-" * n for n in (15, 64, 65, 200, 333)] + ["=" * 129 + "ab" * 80, "▁" * 70, "x" + "▁a" * 100]
+    same_as_one_by_one(model, texts)
+
+
+def test_windows_are_bounded(model, monkeypatch):
+    """However long the stretches are, no more nodes are held than a few windows of them."""
+    widest = 0
+    real = sentencepiece_codec.BatchEncoder._extend
+
+    def extend(self, ends, cols, codes, last, step):
+        nonlocal widest
+        widest = max(widest, last.shape[1])
+        return real(self, ends, cols, codes, last, step)
+
+    monkeypatch.setattr(sentencepiece_codec.BatchEncoder, "_extend", extend)
+    monkeypatch.setattr(sentencepiece_codec, "_FEW", 0)
+    rng = random.Random(5)
+    same_as_one_by_one(model, ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)) for _ in range(3)])
+    assert widest <= 8 * model.longest + 1
 
 
 def test_long_stretches(model, library):
@@ -125,6 +168,24 @@ def test_columns(spark):
     df = docs(spark, [(1, "the cat sat", "en"), (2, None, None), (3, "", None)]).withColumn("decoded", F.lit(1)).drop("decoded")
     got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in sentencepiece_codec.decode(sentencepiece_codec.encode(df, PATH), PATH).collect()}
     assert got[1][1] == "the cat sat" and got[2] == (None, None) and got[3] == ([], "")
+    assert {r["doc_id"]: (r["ids"], r["decoded"]) for r in sentencepiece_codec.round_trip(df, PATH).collect()} == got
+    empty = sentencepiece_codec.round_trip(df.where("false"), PATH)
+    assert empty.count() == 0 and empty.columns == [*df.columns, "ids", "decoded"]
+    with pytest.raises(ValueError, match="ids"):
+        sentencepiece_codec.encode(df.withColumn("IDS", F.lit(1)), PATH)
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = "word another " * 60_000 + "y" * 40_000
+    rows = [(1, long, "en"), (2, "short", "en"), (3, long, "en"), (4, " \n ", "en"), *((k, "short", "en") for k in range(10, 700))]
+    got = {r["doc_id"]: (r["n"], r["same"]) for r in sentencepiece_codec.round_trip(docs(spark, rows), PATH).select("doc_id", F.size("ids").alias("n"), (F.col("decoded") == F.col("text")).alias("same")).collect()}
+    assert len(got) == len(rows) and all(same for _, same in got.values()) and got[1] == got[3] and got[1][0] > 120_000
+
+
+def test_ids_that_stand_for_nothing(spark, model):
+    df = spark.createDataFrame([(1, [None, 450, -4, 99_999_999, 1]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    got = {r["doc_id"]: r["decoded"] for r in sentencepiece_codec.decode(df, PATH).collect()}
+    assert got == {1: model.decode([450]), 2: None, 3: ""}
 
 
 def test_bpe_ties():
