@@ -53,8 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the ids of each document, how many they are, and whether they decode to its text."""
-    path = sentencepiece_codec.vocabulary()
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path)
+    both = sentencepiece_codec.round_trip(docs, sentencepiece_codec.vocabulary())
     return both.select(*COLUMNS, "ids", F.size("ids").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("same"))
 
 
