@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import ann, embed_dedup
+from quern.llm import ann, embed_dedup, queries
 
 rng = np.random.default_rng(1)
 SCHEMA = "vec_id long, embedding array<float>, label int, score double"
@@ -26,22 +26,70 @@ def test_hadamard():
     assert np.allclose(h @ h.T, np.eye(8)) and np.allclose(np.abs(h), 8**-0.5)
 
 
-def test_search_recall_and_scores(spark):
-    x = rng.standard_normal((800, 16))
-    x[700:] = x[:100] + 0.1 * rng.standard_normal((100, 16))
-    df = table(spark, x)
-    got = ann.search(df, df.where("vec_id % 50 = 0"), chunk=64).collect()
+def brute_neighbours(x, q, k=5):
     s = units(x) @ units(x).T
     np.fill_diagonal(s, -9)
-    hits = total = 0
-    for q in range(0, 800, 50):
+    return s, {i: set(np.argsort(-s[i], kind="stable")[:k].tolist()) for i in q}
+
+
+def checked(got, x, ids):
+    """Ranks, order and scores are right; returns the recall at 5."""
+    s, want = brute_neighbours(x, ids)
+    hits = 0
+    for q in ids:
         mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
         assert [m[0] for m in mine] == [1, 2, 3, 4, 5]
         assert all(abs(sc - s[q, v]) < 1e-12 for _, v, sc in mine)
         assert [m[2] for m in mine] == sorted((m[2] for m in mine), reverse=True)
-        hits += len({m[1] for m in mine} & set(np.argsort(-s[q])[:5].tolist()))
-        total += 5
-    assert hits / total >= 0.95
+        hits += len({m[1] for m in mine} & want[q])
+    return hits / (5 * len(ids))
+
+
+def test_search_recall_and_scores(spark):
+    x = rng.standard_normal((800, 16))
+    x[700:] = x[:100] + 0.1 * rng.standard_normal((100, 16))
+    df = table(spark, x)
+    assert checked(ann.search(df, df.where("vec_id % 50 = 0"), chunk=64, bin_rows=100).collect(), x, range(0, 800, 50)) >= 0.9
+
+
+def test_search_joins_rotations(spark):
+    """Buckets of about 4 rows: two rotations to a table, and a recall near what was asked for, by looking at a part of the rows."""
+    r = np.random.default_rng(3)
+    centre = r.standard_normal((60, 32))
+    x = centre[r.integers(60, size=3000)] + 0.35 * r.standard_normal((3000, 32))
+    df = table(spark, x)
+    own = ann._vectors(df, "vec_id", "embedding")
+    index = ann.fit(own, own.where("id % 20 = 0"), 5, 4, 4, 0.96, 128, 11)
+    t = index[32]
+    assert (t.rotations, t.sampled) == (2, 128) and 0.95 <= t.recall < 1 and t.probe < t.listed / 4
+    got = ann.search(df, df.where("vec_id % 20 = 0"), bucket_rows=4, index=index).collect()
+    assert checked(got, x, range(0, 3000, 20)) >= 0.92
+
+
+def test_registered_search(spark):
+    """The registered query on a whole table against brute force."""
+    got = queries.op1_nearest_neighbours(spark, "/root/testdata/sf0.01").collect()
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    assert e["vec_id"].tolist() == list(range(len(e)))
+    assert checked(got, np.stack(e["embedding"]), [i for i in e["vec_id"] if i % 50 == 0]) >= 0.9
+
+
+def test_search_lists_the_nearest_buckets_first():
+    t = ann.tables_for(100_000, 16, 3, 16, 5)
+    assert t.rotations > 1 and t.cells * 16 >= 100_000
+    q = units(rng.standard_normal((4, 16)))
+    few, many = t.probes(q, 40), t.probes(q, 400)
+    assert (few == many[:, :40]).all() and all(len(set(p)) == 400 for p in many.tolist())
+    assert all(set(b) <= set(p[: 3 * 40]) for b, p in zip(t.buckets(q).tolist(), many.tolist(), strict=True))
+
+
+def test_search_by_length(spark):
+    """Each query meets vectors of its own length, whichever is common."""
+    rows = [[1.0, 0.1 * k, 0.0, 0.0] for k in range(8)] + [[1.0, 0.1 * k] for k in range(4)] + [[1.0] * 7]
+    df = table(spark, rows).withColumns({"d": F.lit("x"), "bucket": F.lit("y"), "query": F.lit(1)})
+    got = ann.search(df, df.where("vec_id in (0, 8, 12)"))
+    by = {q: [r["vec_id"] for r in got.orderBy("rank").collect() if r["query_id"] == q] for q in (0, 8, 12)}
+    assert by == {0: [1, 2, 3, 4, 5], 8: [9, 10, 11], 12: []}
 
 
 def test_search_odd_rows_and_ties(spark):
@@ -49,7 +97,7 @@ def test_search_odd_rows_and_ties(spark):
     vectors = [base, base, base, [0.9, 0.1] + [0.0] * 14, [float(k == 5) for k in range(16)], *ODD, [1.0] * 3, base]
     ids = [10, 3, 3, 7, 8, 20, 21, 22, 23, 24, 25, 26, None]
     df = table(spark, vectors, ids)
-    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, df.where("vec_id in (10, 20, 21)"), probe=300).orderBy("rank").collect()]
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, df.where("vec_id in (10, 20, 21)"), recall=1.0).orderBy("rank").collect()]
     assert [g[1] for g in got] == [3, 7, 8] and got[0][2] == 1.0
     assert ann.search(df.where("false"), df).count() == 0
     assert ann.search(df.where("vec_id = 10"), df.where("vec_id = 10")).count() == 0
@@ -103,5 +151,5 @@ def test_search_counts_ids_not_rows(spark):
     x = np.tile(np.random.default_rng(7).standard_normal(16), (7, 1))
     x[:, 1] += 0.01 * np.arange(7)
     df = table(spark, np.repeat(x, 12, axis=0), np.repeat(np.arange(7), 12))
-    got = ann.search(df, df.where("vec_id = 0").limit(1), tables=1, probe=1).orderBy("rank").collect()
+    got = ann.search(df, df.where("vec_id = 0").limit(1), tables=1, index={16: ann.Tables(16, 1, 1, 16, 11, probe=1)}).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
