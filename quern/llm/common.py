@@ -62,13 +62,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes what materialise wrote for df."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
+def forget(*frames: DataFrame) -> None:
+    """Deletes what materialise wrote for these, when nothing that is still to run reads it."""
+    for df in frames:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if f.rsplit("/", 1)[1].startswith("quern-"):
+                path = jvm.org.apache.hadoop.fs.Path(f)
+                path.getFileSystem(conf).delete(path, True)
 
 
 def components(edges: DataFrame) -> DataFrame:

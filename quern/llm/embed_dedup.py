@@ -1,29 +1,44 @@
 """Embedding near-dedup: Euclidean p-stable hashing of unit vectors, then exact cosines.
 
 In each table, projections on random normal directions, shifted and cut into cells of one width, give
-a vector's bucket (Datar et al., 2004). Two unit vectors at cosine c are sqrt(2 - 2c) apart, so those that
-should link nearly always share a bucket in one of the tables: with the defaults a pair at cosine 0.95 is found with a
-probability of 0.997, one at 0.97 with 0.9997. Pairs in a bucket are then compared by exact cosine.
+a vector's bucket (Datar et al., 2004). Two unit vectors at cosine c are sqrt(2 - 2c) apart, which fixes the probability that
+they share a bucket. The number of projections grows with the logarithm of the rows, so that a vector meets about `crowd` unrelated ones in a
+bucket whatever the size of the table, and the number of tables grows with it, so that a pair at the threshold is
+missed with a probability of `miss` at most, and nearer ones far more rarely.
 
-A pair counts in the first table whose bucket it shares, so counts need no list of pairs; links leave a
+Only ids and bucket numbers are dealt out by bucket; vectors are fetched for those that share one, and pairs in a bucket
+are then compared by exact cosine. A pair counts in the first table whose bucket it shares, so counts need no list of pairs; links leave a
 task as a spanning forest. Equal vectors are one vector with a count from the start. Buckets of over `chunk`
 vectors are dealt over chunks, and pairs of chunks are compared in tasks of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ann import proper, unit
-from .common import components, materialise
+from .ann import proper, stacked, unit
+from .common import components, forget, materialise
 from .simhash import _roots
 
 
+def together(distance: float, width: float) -> float:
+    """The probability that two points this far apart fall into one cell of a projection."""
+    t = width / max(distance, 1e-9)
+    return max(0.0, 1 - math.erfc(t / math.sqrt(2)) - math.sqrt(2 / math.pi) / t * (1 - math.exp(-t * t / 2)))
+
+
+def sizes(rows: int, least: float, width: float, crowd: float, miss: float) -> tuple[int, int]:
+    """(tables, projections) for so many distinct vectors."""
+    near, far = together(math.sqrt(max(0.0, 2 - 2 * least)), width), together(math.sqrt(2), width)
+    projections = max(1, math.ceil(math.log(max(1.0, rows / crowd)) / -math.log(far)))
+    return max(1, math.ceil(math.log(miss) / math.log1p(-min(near**projections, 1 - 1e-12)))), projections
+
+
 def cells(x: np.ndarray, tables: int, projections: int, width: float, seed: int) -> np.ndarray:
     """A 32-bit bucket number of each unit vector in each table."""
     d = x.shape[1]
@@ -36,35 +51,64 @@ def cells(x: np.ndarray, tables: int, projections: int, width: float, seed: int)
     return ((h ^ (h >> 32)) * 0x9E3779B1 >> 16).astype(np.int32)
 
 
-def _segments(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of at least two equal keys."""
-    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-    for s, e in zip(edge[:-1], edge[1:], strict=True):
-        if e - s > 1:
-            yield int(s), int(e)
-
-
-def _compare(x: np.ndarray, sig: np.ndarray, n: np.ndarray, table: int, left: slice, right: slice, least: float, links: np.ndarray, label: np.ndarray) -> None:
-    """Counts and labels the links of rows in left with later rows in right, of which `table` is the first
-    that puts them together."""
-    step = max(1, 1_000_000 // max(1, right.stop - right.start))
-    for s in range(left.start, left.stop, step):
-        e = min(s + step, left.stop)
-        i, j = np.nonzero(x[s:e] @ x[right].T >= least)
-        i, j = i + s, j + right.start
-        fresh = i < j
+def _small_pairs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of positions within runs."""
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    stop = np.repeat(end, end - start)
+    at = np.concatenate([np.arange(s, e) for s, e in zip(start.tolist(), end.tolist(), strict=True)]) if len(start) else np.zeros(0, np.int64)
+    step = 1
+    while len(at):
+        inside = at + step < stop
+        at, stop = at[inside], stop[inside]
+        i.append(at)
+        j.append(at + step)
+        step += 1
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _fresh(i: np.ndarray, j: np.ndarray, sig: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which pairs share no bucket in a table before that of their run."""
+    out = np.zeros(len(i), dtype=bool)
+    for s in range(0, len(i), 65_536):
+        p = slice(s, s + 65_536)
+        out[p] = (sig[i[p]] == sig[j[p]]).argmax(axis=1) == table[i[p]]
+    return out
+
+
+def compared(x: np.ndarray, sig: np.ndarray, n: np.ndarray, table: np.ndarray, run: np.ndarray, left: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each row, label of each row) from the pairs of each run: of rows in left with rows that aren't, if a
+    run has both, else all. Rows stand in the order of their runs, those in left first."""
+    links, label = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        fresh = _fresh(i, j, sig, table)
         i, j = i[fresh], j[fresh]
-        if table:
-            fresh = ~(sig[i, :table] == sig[j, :table]).any(axis=1)
-            i, j = i[fresh], j[fresh]
         if len(i):
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
             _roots(i, j, label)
 
+    edge = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True])
+    start, end = edge[:-1], edge[1:]
+    small = (end - start <= 32) & (left[start] == left[end - 1])
+    i, j = _small_pairs(start[small], end[small])
+    for s in range(0, len(i), 65_536):
+        a, b = i[s : s + 65_536], j[s : s + 65_536]
+        near = np.einsum("nd,nd->n", x[a], x[b]) >= least
+        add(a[near], b[near])
+    for s, e in zip(start[~small].tolist(), end[~small].tolist(), strict=True):
+        mid = s + int(left[s:e].sum()) if left[s] != left[e - 1] else e
+        first = mid if mid < e else s
+        step = max(1, 1_000_000 // max(1, e - first))
+        for k in range(s, mid, step):
+            a, b = np.nonzero(x[k : min(k + step, mid)] @ x[first:e].T >= least)
+            a, b = a + k, b + first
+            add(a[a < b], b[a < b])
+    return links, label
+
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, tables: int = 14, projections: int = 8, width: float = 2.0, chunk: int = 1024, bin_rows: int = 2048, seed: int = 5
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, miss: float = 0.005, crowd: float = 0.03, width: float = 2.0, chunk: int = 1024, bin_rows: int = 2048, seed: int = 5
 ) -> DataFrame:
     """(id, n_links long, component_id long, kept boolean) of every row.
 
@@ -72,65 +116,59 @@ def near_duplicates(
     the other rows linked directly, component_id is the smallest id that links reach, itself included, and
     kept says whether that is the row's own. Vectors that `proper` refuses link with nothing; so do null ids,
     whose component is null and which are kept. Vectors of different lengths do not link. Repeated rows are
-    vectors of their own: copies link with each other. An empty table gives an empty result.
+    vectors of their own: copies link with each other. An empty table gives an empty result. Other columns take no part.
     """
-    kind = "f4" if df.schema[vector_col].dataType.elementType.typeName() == "float" else "f8"
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     good = rows.where(proper(F.col("v")) & F.col("id").isNotNull())
-    classes = materialise(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    total = classes.count()
-    bins = max(1, -(-total // bin_rows))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for d, part in b.groupby(b["v"].map(len)) if len(b) else ():
-                raw = np.stack([np.asarray(v, dtype=kind) for v in part["v"]])
-                sig = cells(unit(raw.astype(np.float64)), tables, projections, width, seed)
-                again = np.repeat(np.arange(len(part)), tables)
-                sigs, vs = [s.tobytes() for s in sig], [v.tobytes() for v in raw]
-                yield pd.DataFrame({
-                    "table": np.tile(np.arange(tables, dtype=np.int32), len(part)), "key": (sig.astype(np.int64) * 65_536 + int(d) % 65_536).reshape(-1),
-                    "rep": part["rep"].to_numpy()[again], "n": part["n"].to_numpy()[again], "sig": [sigs[k] for k in again], "v": [vs[k] for k in again],
-                })
-
-    placed = materialise(classes.mapInPandas(place, "table int, key long, rep long, n long, sig binary, v binary"))
-    hot = materialise(placed.groupBy("table", "key").agg(F.count("*").alias("size")).where(F.col("size") > chunk).select("table", "key", F.ceil(F.col("size") / chunk).cast("int").alias("chunks")))
+    total = good.count()
+    tables, projections = sizes(total, least, width, crowd, miss)
+
+    @F.pandas_udf("array<int>")
+    def signature(vs: pd.Series) -> pd.Series:
+        out: list = [None] * len(vs)
+        size = vs.map(len).to_numpy()
+        for d in np.unique(size).tolist():
+            at = np.flatnonzero(size == d)
+            for s in range(0, len(at), 1024):
+                some = at[s : s + 1024]
+                for j, c in zip(some.tolist(), cells(unit(stacked(vs.iloc[some])), tables, projections, width, seed), strict=True):
+                    out[j] = c
+        return pd.Series(out, dtype=object)
+
+    classes = materialise(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("sig", signature("v")))
+    # a bucket's number: of vectors of one length
+    placed = classes.select("rep", F.size("v").alias("d"), F.posexplode("sig").alias("t", "cell")).select("rep", "t", F.expr("cell * 65536L + d % 65536").alias("key"))
+    shared = placed.groupBy("t", "key").count().where("count > 1").select("t", "key", F.when(F.col("count") > chunk, F.ceil(F.col("count") / chunk).cast("int")).alias("chunks"))
+    met = materialise(placed.join(shared, ["t", "key"]))
+    bins = max(1, -(-met.count() // bin_rows))
     # a row of a hot bucket goes to the tasks of all pairs of chunks that have its own
     own = F.expr("cast(pmod(xxhash64(rep), chunks) as int)")
     pairs = F.expr("transform(sequence(0, chunks - 1), o -> struct(least(o, own) as a, greatest(o, own) as b))")
     dealt = (
-        placed.join(hot, ["table", "key"], "left")
-        .withColumn("own", F.coalesce(own, F.lit(0)))
+        met.withColumn("own", F.coalesce(own, F.lit(0)))
         .withColumn("pair", F.explode(F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(pairs)))
-        .withColumn("bin", F.when(F.col("chunks").isNull(), F.expr(f"pmod(xxhash64(key), {bins})")).otherwise(F.xxhash64("key", "pair.a", "pair.b")))
-        .select("table", "bin", F.col("chunks").isNotNull().alias("hot"), "key", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "own", "rep", "n", "sig", "v")
+        # bins of hot buckets have negative numbers
+        .withColumn("bin", F.when(F.col("chunks").isNull(), F.expr(f"pmod(xxhash64(t, key), {bins}L)")).otherwise(F.expr("-1L - shiftrightunsigned(xxhash64(t, key, pair.a, pair.b), 1)")))
+        .select("bin", "t", "key", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), (F.col("own") == F.col("pair.a")).alias("first"), "rep")
+        .join(classes, "rep")
     )
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (is_hot, _), part in b.groupby(["hot", b["v"].map(len)]):
-            part = part.sort_values(["key", "a", "b", "own", "rep"], kind="stable")
-            x = unit(np.frombuffer(b"".join(part["v"]), dtype=kind).reshape(len(part), -1).astype(np.float64))
-            sig = np.frombuffer(b"".join(part["sig"]), dtype=np.int32).reshape(len(part), -1)
-            n, rep, t = part["n"].to_numpy(), part["rep"].to_numpy(), int(part["table"].iloc[0])
-            links, label = np.zeros(len(part), dtype=np.int64), np.arange(len(part))
-            own, a, c = (part[k].to_numpy() for k in ("own", "a", "b"))
-            # one number for (key, a, b), which are sorted
-            run = np.cumsum(np.r_[0, np.any([part[k].to_numpy()[1:] != part[k].to_numpy()[:-1] for k in ("key", "a", "b")], axis=0)])
-            for s, e in _segments(run):
-                if is_hot and a[s] != c[s]:
-                    mid = s + int((own[s:e] == a[s]).sum())
-                    _compare(x, sig, n, t, slice(s, mid), slice(mid, e), least, links, label)
-                else:
-                    _compare(x, sig, n, t, slice(s, e), slice(s, e), least, links, label)
+        for _, part in b.groupby(b["v"].map(len)):
+            part = part.sort_values(["t", "key", "a", "b", "first", "rep"], ascending=[True, True, True, True, False, True], kind="stable")
+            run = np.cumsum(np.r_[0, np.any([part[k].to_numpy()[1:] != part[k].to_numpy()[:-1] for k in ("t", "key", "a", "b")], axis=0)])
+            n, rep = part["n"].to_numpy(), part["rep"].to_numpy()
+            links, label = compared(unit(stacked(part["v"])), np.stack(part["sig"].to_list()), n, part["t"].to_numpy(), run, part["first"].to_numpy(), least)
             own_rows = np.flatnonzero(links)
             out.append(pd.DataFrame({"rep": rep[own_rows], "root": rep[label[own_rows]], "links": links[own_rows]}))
         return pd.concat(out)
 
-    found = materialise(dealt.groupBy("table", "bin").applyInPandas(compare, "rep long, root long, links long"))
+    found = materialise(dealt.groupBy("bin").applyInPandas(compare, "rep long, root long, links long"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     linked = materialise(counts.join(roots, counts["rep"] == roots["node"], "left").select("rep", "links", "root"))
+    forget(found, met, roots)
     whole = classes.join(linked, "rep", "left").select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     fine = proper(F.col("v")) & F.col("id").isNotNull()
     joined = rows.withColumn("_v", F.when(fine, F.col("v"))).join(whole.withColumnRenamed("v", "_w"), F.col("_v") == F.col("_w"), "left")

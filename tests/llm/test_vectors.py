@@ -122,12 +122,42 @@ def test_dedup_matches_brute_force(spark, chunk):
     x[160:200] = x[40:80] + 0.05 * rng.standard_normal((40, 16))  # pairs
     x[200:230] = x[5]  # copies
     n, root = brute_links(x)
-    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(table(spark, x), chunk=chunk, bin_rows=50, tables=24).collect()}
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(table(spark, x), chunk=chunk, bin_rows=50).collect()}
     assert [got[k]["n_links"] for k in range(260)] == n.tolist()
     assert [got[k]["component_id"] for k in range(260)] == root.tolist()
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_dedup_recall_at_the_threshold(spark):
+    """Registered parameters: pairs of 64 dimensions at cosines from 0.95 to 1, and just below."""
+    r = np.random.default_rng(12)
+    x = units(r.standard_normal((1200, 64)))
+    noise = r.standard_normal((600, 64))
+    noise = units(noise - (noise * x[:600]).sum(axis=1, keepdims=True) * x[:600])
+    cos = np.r_[np.linspace(0.951, 0.96, 300), np.linspace(0.96, 1, 200), np.linspace(0.93, 0.949, 100)]
+    x[600:] = cos[:, None] * x[:600] + np.sqrt(1 - cos**2)[:, None] * noise
+    df = table(spark, x)
+    n, root = brute_links(x)
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df).collect()}
+    right = sum(got[k]["component_id"] == root[k] and got[k]["n_links"] == n[k] for k in range(600, 1200))
+    assert sum(n) == 1000 and right >= 590 and all(got[k]["n_links"] <= n[k] for k in range(1200))
+
+
+def test_dedup_sizes_grow_with_the_logarithm():
+    few, many = embed_dedup.sizes(50_000, 0.95, 2.0, 0.03, 0.005), embed_dedup.sizes(50_000_000, 0.95, 2.0, 0.03, 0.005)
+    assert few[1] < many[1] < 2 * few[1] and few[0] < many[0] < 5 * few[0]
+    r = np.random.default_rng(2)
+    a, b = r.standard_normal(200_000) * 0.3, r.uniform(0, 2, 200_000)
+    assert embed_dedup.together(0.3, 2.0) == pytest.approx(float((np.floor((a + b) / 2) == np.floor(b / 2)).mean()), abs=0.005)
+
+
+def test_registered_dedup(spark):
+    got = queries.op6_embedding_dedup(spark, "/root/testdata/sf0.01").collect()
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    n, root = brute_links(np.stack(e["embedding"]))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (a, e["vec_id"].iloc[b]) for i, a, b in zip(e["vec_id"], n, root, strict=True)}
+
+
 def test_dedup_odd_rows(spark):
     base = [1.0] + [0.0] * 15
     df = table(spark, [base, base, *ODD, [1.0, 0.0], base, base], [4, 2, 20, 21, 22, 23, 24, 25, 26, None, 2])
