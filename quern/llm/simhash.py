@@ -1,26 +1,28 @@
 """SimHash near-duplicates: 64-bit fingerprints and a tiled exact comparison.
 
 Fingerprints are compared in tiles by exclusive-or and bit counts. A tile holds fingerprints with the
-same population counts of the lower and the upper 32 bits. Changing one bit changes one of the two
+same population counts of each of their parts (runs of bits). Changing one bit changes one of the
 counts by one, so two tiles whose counts differ in sum by more than the radius hold no link and are
-never paired: no link is lost.
+never paired: no link is lost. There are more parts the more fingerprints there are, so that a tile keeps about as many and the share of
+tiles that are paired falls as their number grows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialise
+from .common import components, forget, materialise
 
-#: Shingles whose bits are counted at a time.
-_BLOCK = 65_536
+#: Shingles whose bits are counted at a time; comparisons of a task; the base in which a cell's counts are digits, more than twice a count and the radius.
+_BLOCK, _WORK, _DIGIT = 65_536, 1 << 32, 101
 
 
 def fingerprint(data: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -92,42 +94,59 @@ def tile_links(fp_a: np.ndarray, id_a: np.ndarray, fp_b: np.ndarray | None, id_b
     return ids[child], ids[label[child]]
 
 
-def links(prints: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
+def parts_for(prints: int, fill: int = 2048) -> int:
+    """How many parts of 64 bits: as many as leave about `fill` of so many evenly spread fingerprints in a cell, at least 2 and at most 8."""
+    parts = 2
+    # two counts of n fair bits are equal with a probability of about 1 / sqrt(pi * n)
+    while parts < 8 and prints * (math.pi * 64 / (parts + 1)) ** (-(parts + 1) / 2) >= fill:
+        parts += 1
+    return parts
+
+
+def _cell(fp: str, parts: int) -> Column:
+    """The population counts of the parts as digits of one number."""
+    bits = [64 * k // parts for k in range(parts + 1)]
+    return sum((F.expr(f"bit_count(shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1 if b - a < 64 else -1}L)") * F.lit(_DIGIT**k) for k, (a, b) in enumerate(zip(bits[:-1], bits[1:], strict=True))), F.lit(0).cast("long"))
+
+
+def _steps(parts: int, radius: int) -> list[int]:
+    """What leads from a cell to those after it whose counts differ by no more than radius in sum, and to itself."""
+    found = {(0, 0)}  # (step, how far)
+    for k in range(parts):
+        found = {(s + d * _DIGIT**k, far + abs(d)) for s, far in found for d in range(far - radius, radius - far + 1)}
+    return sorted(s for s, _ in found if s >= 0)
+
+
+def links(prints: DataFrame, radius: int = 3, tile: int = 16_384, parts: int | None = None) -> DataFrame:
     """(src, dst) edges whose components are those of all pairs of prints (fp long, id long; fp
     distinct) at Hamming distance of at most radius."""
-    prints = prints.select(
-        "fp",
-        "id",
-        F.expr("bit_count(fp & 4294967295L)").alias("lo"),
-        F.expr("bit_count(shiftrightunsigned(fp, 32))").alias("hi"),
-    )
-    # 33 x 33 cells at most: a bounded table
-    cells = materialise(prints.groupBy("lo", "hi").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / tile).cast("int")).drop("n"))
+    parts = parts_for(prints.count()) if parts is None else parts
+    prints = prints.select("fp", "id", _cell("fp", parts).alias("cell"))
+    cells = materialise(prints.groupBy("cell").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / tile).cast("int")))
     tiles = materialise(
-        prints.join(F.broadcast(cells), ["lo", "hi"])
+        prints.join(cells, "cell")
         .withColumn("chunk", F.expr("cast(pmod(xxhash64(fp, 7L), chunks) as int)"))
-        .groupBy("lo", "hi", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("id", "fp"))).alias("rows"))
-        .select("lo", "hi", "chunk", F.col("rows.id").alias("ids"), F.col("rows.fp").alias("fps"))
+        .groupBy("cell", "chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("id", "fp"))).alias("rows"))  # about `tile` rows
+        .select("cell", "chunk", F.col("rows.id").alias("ids"), F.col("rows.fp").alias("fps"))
     )
-    steps = [(a, b) for a in range(radius + 1) for b in range(-radius, radius + 1) if abs(a) + abs(b) <= radius and (a, b) >= (0, 0)]
-    near = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps)))
-    there = cells.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk2"))
-    pairs = (
-        cells.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), near.alias("d"))
-        .select("lo", "hi", "chunk", (F.col("lo") + F.col("d.a")).alias("lo2"), (F.col("hi") + F.col("d.b")).alias("hi2"))
-        .join(there, ["lo2", "hi2"])
-        .where("(lo, hi) <> (lo2, hi2) or chunk <= chunk2")
+    chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    held = (F.col("n") / F.col("chunks")).alias("held")
+    there = cells.select(F.col("cell").alias("cell2"), chunk.alias("chunk2"), held.alias("held2"))
+    pairs = materialise(
+        cells.select("cell", F.explode(F.array(*map(F.lit, _steps(parts, radius)))).alias("step"), "chunks", held)
+        .withColumn("cell2", F.col("cell") + F.col("step"))
+        .join(cells.select(F.col("cell").alias("cell2")), "cell2")
+        .select("cell", chunk.alias("chunk"), "cell2", "held")
+        .join(there, "cell2")
+        .where("cell <> cell2 or chunk <= chunk2")
     )
-    other = tiles.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("chunk").alias("chunk2"), F.col("ids").alias("ids2"), F.col("fps").alias("fps2"))
-    both = pairs.join(tiles, ["lo", "hi", "chunk"]).join(other, ["lo2", "hi2", "chunk2"])
-    both = both.select(
-        *("lo", "hi", "chunk", "lo2", "hi2", "chunk2", "ids", "fps", "fps2"),
-        F.when(F.expr("(lo, hi, chunk) = (lo2, hi2, chunk2)"), None).otherwise(F.col("ids2")).alias("ids2"),
-    )
-
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = both.repartition(n, F.xxhash64("lo", "hi", "chunk", "lo2", "hi2", "chunk2")).select("ids", "fps", "ids2", "fps2")
+    work = pairs.agg(F.sum(F.col("held") * F.col("held2"))).first()[0] or 0
+    other = tiles.select(F.col("cell").alias("cell2"), F.col("chunk").alias("chunk2"), F.col("ids").alias("ids2"), F.col("fps").alias("fps2"))
+    both = pairs.join(tiles, ["cell", "chunk"]).join(other, ["cell2", "chunk2"])
+    same = F.expr("(cell, chunk) = (cell2, chunk2)")
+    n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / _WORK))
+    both = both.repartition(n, F.xxhash64("cell", "chunk", "cell2", "chunk2")).select("ids", "fps", *(F.when(same, None).otherwise(F.col(c)).alias(c) for c in ("ids2", "fps2")))
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -141,10 +160,12 @@ def links(prints: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
                 if len(src):
                     yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
-    return both.mapInArrow(compare, "src long, dst long")
+    out = materialise(both.mapInArrow(compare, "src long, dst long"))
+    forget(cells, tiles, pairs)
+    return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, tile: int = 4096) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, tile: int = 16_384) -> DataFrame:
     """(id, fingerprint long, component_id long): the class of every row under links of fingerprints.
 
     Rows whose fingerprints differ in at most radius bits link; component_id is the smallest id that
@@ -154,8 +175,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = materialise(df.select(F.col(id_col).cast("long").alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")))
     prints = materialise(found.groupBy("fp").agg(F.min("id").alias("id")))
-    own = components(links(prints.where("id is not null"), radius, tile))
+    near = links(prints.where("id is not null"), radius, tile)
+    own = components(near)
     classes = materialise(prints.join(own, prints["id"] == own["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id")))
+    forget(prints, near, own)
     return found.join(classes, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
@@ -165,10 +188,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", clas
     Rows that share an id are one document, and one of them stays. Rows with a null id stay only if no
     row of their class has an id, and then one of them does.
     """
-    classes = materialise(classify(df, id_col, text_col, **how).select(F.col(id_col).alias("_id"), "component_id"))
-    own = F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-    gone = classes.where("not (_id <=> component_id)").select("_id").distinct()
-    again = materialise(classes.where("_id <=> component_id").groupBy("_id").count().where("count > 1").select("_id"))
+    classes = materialise(classify(df, id_col, text_col, **how).select(F.col(id_col).alias("_id_of_class"), "component_id"))
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("_id_of_class"))
+    gone = classes.where("not (_id_of_class <=> component_id)").select("_id_of_class").distinct()
+    again = materialise(classes.where("_id_of_class <=> component_id").groupBy("_id_of_class").count().where("count > 1").select("_id_of_class"))
     stay = df.join(gone, own, "left_anti")
     if again.isEmpty():
         return stay

@@ -1,6 +1,6 @@
 import random
 from fractions import Fraction
-from itertools import combinations
+from itertools import combinations, product
 
 import duckdb
 import pytest
@@ -73,7 +73,8 @@ def test_near_duplicates_match_brute_force(spark, tile):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(fps)
 
 
-def test_links_of_single_bits(spark):
+@pytest.mark.parametrize("parts", [1, 2, 3, 5, 8])
+def test_links_of_single_bits(spark, parts):
     """Fingerprints a few bits apart, wherever the bits are, and chains of them."""
     rng = random.Random(9)
     fps = []
@@ -89,10 +90,25 @@ def test_links_of_single_bits(spark):
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)], "fp long, id long")
     from quern.llm.common import components
 
-    got = {r["node"]: r["root"] for r in components(simhash.links(df, tile=5)).collect()}
+    got = {r["node"]: r["root"] for r in components(simhash.links(df, tile=5, parts=parts)).collect()}
     assert got == {k: r for k, r in brute_components(dict(enumerate(fps))).items() if k != r}
 
 
+def test_parts_grow_with_the_fingerprints():
+    assert [simhash.parts_for(n) for n in (0, 200_000, 2_000_000, 10**7, 10**10)] == [2, 2, 3, 4, 8]
+    for parts in (1, 2, 4, 6):
+        steps = simhash._steps(parts, 3)
+        assert len(set(steps)) == len(steps) and steps[0] == 0 and 2 * len(steps) - 1 == sum(1 for x in product(range(-3, 4), repeat=parts) if sum(map(abs, x)) <= 3)
+
+
+def test_registered_simhash(spark):
+    """The registered query on a whole table against brute force."""
+    got = queries.op8_simhash_dedup(spark, "/root/testdata/sf0.01").collect()
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    fps = {i: plain_fingerprint(t) for i, t in rows}
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fps[i]:016x}", c) for i, c in brute_components(fps).items()}
+
+
 def test_keep_one(spark):
     rows = [*texts(), (2, texts()[2][1], "s2"), (None, "alone here with no id", "s"), (None, "alone here with no id", "s"), (None, texts()[3][1], "s")]
     got = simhash.keep_one(docs(spark, rows)).collect()
