@@ -14,12 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
-from .common import share
+from .common import fresh, share
 
 #: Bytes of text that are looked at together.
-_WINDOW = 1 << 20
+_WINDOW = 1 << 18
+#: Rows of a batch that are looked at together.
+_ROWS = 512
 _HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: ASCII letters and all bytes of other characters stay; the rest becomes a space.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint8)
@@ -69,10 +71,13 @@ def codes_of(data: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[np.ndar
 
     Works in windows of bounded size, whatever the texts' lengths.
     """
-    row, carry = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at)), (np.zeros(0, np.uint8), np.zeros(0, np.int32))
-    base = int(at[0])
-    for s in range(0, len(row), _WINDOW):
-        b, r = _FOLD[data[base + s : base + min(s + _WINDOW, len(row))]], row[s : s + _WINDOW]
+    carry = (np.zeros(0, np.uint8), np.zeros(0, np.int32))
+    at = np.asarray(at, dtype=np.int64)
+    for s in range(int(at[0]), int(at[-1]), _WINDOW):
+        e = min(s + _WINDOW, int(at[-1]))
+        first, last = np.searchsorted(at, [s, e - 1], side="right") - 1
+        edge = np.clip(at[first : last + 2], s, e)
+        b, r = _FOLD[data[s:e]], np.repeat(np.arange(first, last + 1, dtype=np.int32), np.diff(edge))
         b, r = np.concatenate([carry[0], b]), np.concatenate([carry[1], r])
         blank = b == 32
         keep = np.r_[True, ~(blank[1:] & blank[:-1] & (r[1:] == r[:-1]))]
@@ -137,7 +142,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             names = np.array(b.column(1).to_pylist(), dtype=object)
             data, at = _flat(b.column(0))
             for row, code in codes_of(data, at, n):
@@ -166,18 +171,22 @@ def predict(df: DataFrame, model: Filters, text_col: str = "text") -> DataFrame:
 
     lang_pred is `und` with score 0 if the text is null, empty or has no letter, or nothing was learned;
     if none of a text's n-grams is known, it is the language that was commonest in training, with score 0.
-    The score is the corrected share of n-grams that the language contains. df must not have columns by these names.
+    The score is the corrected share of n-grams that the language contains. Columns of df by these names are an error.
     """
+    fresh(df, "lang_pred", "score")
     held = share(df.sparkSession, model)
 
-    @arrow_udf("struct<lang:string,score:double>")
-    def of(texts):
+    def of(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        lang, score = predict_texts(held(), texts)
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
+        for batch in batches:
+            for k in range(0, max(1, len(batch)), _ROWS):
+                lang, score = predict_texts(held(), batch.slice(k, _ROWS))
+                yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
 
-    return df.withColumn("_of", of(F.col(text_col))).withColumns({"lang_pred": F.col("_of.lang"), "score": F.col("_of.score")}).drop("_of")
+    found = arrow_udf(of, "struct<lang:string,score:double>", ArrowUDFType.SCALAR_ITER)(F.col(text_col))
+    out = df.select("*", found.alias("_lang_and_score"))
+    return out.select("*", F.col("_lang_and_score.lang").alias("lang_pred"), F.col("_lang_and_score.score").alias("score")).drop("_lang_and_score")
 
 
 def in_fold(ids, parts: int, part: int):

@@ -1,8 +1,11 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, found by MinHash bands.
-
-Texts with the same set of shingles are one set. Sets that share a band of minima are candidates of each other, and
-all that candidates reach is a group. Within a group every pair is compared exactly, in tiles of bounded size, so a
-large group spreads over tasks and only links that join something leave a tile. A pair is compared
+"""Near-duplicates by the exact Jaccard similarity of word shingles, a wider relation than SimHash can find.
+
+Two of 64 bits in ten differ between texts of a similarity of 0.8, so a radius of 3 bits misses most such pairs, and one that
+finds them (19) pairs all tiles. Here, texts with the same set of shingles are one set. Sets that share a band of
+minima (MinHash) are candidates of each other, and all that candidates reach is a group. Within a group, sets are compared
+exactly in tiles of bounded size, each of which also holds the group's first set; then only sets outside the largest class that this gives
+are compared with all others of the group, in pairs of tiles. So a large group of copies costs about as much as reading it once, it
+spreads over tasks, and only links that join something leave a tile. A pair is compared or already in one class
 if a band leads from one to the other: two sets of similarity 0.8 share a band with probability 0.9999.
 """
 
@@ -12,10 +15,11 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from . import simhash
+from .common import components, forget, materialise
 from .simhash import _roots
 
 #: Hashes that are permuted, and columns of a matrix that are multiplied, at a time; rows sent back at a time.
@@ -112,24 +116,8 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
     return df.mapInArrow(of, "id long, root long, hashes array<long>")
 
 
-def links(sets: DataFrame, least: float, tile: int, tile_rows: int) -> DataFrame:
-    """(src, dst) edges whose components are those of all pairs of sets (id, root, hashes) of the same root with a
-    similarity of at least `least`. A tile holds about `tile` hashes and tile_rows sets at most."""
-    sizes = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("hashes")).alias("w")).where("n > 1")
-    chunks = materialise(sizes.select("root", F.greatest(F.ceil(F.col("w") / tile), F.ceil(F.col("n") / tile_rows)).cast("int").alias("chunks")))
-    tiles = materialise(
-        sets.join(chunks, "root")
-        .withColumn("chunk", F.expr("cast(pmod(xxhash64(id, 7L), chunks) as int)"))
-        .groupBy("root", "chunk")
-        .agg(F.collect_list(F.struct("id", "hashes")).alias("rows"))
-        .select("root", "chunk", F.col("rows.id").alias("ids"), F.col("rows.hashes").alias("sets"))
-    )
-    pairs = chunks.select("root", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks").select("root", "chunk", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk2"))
-    other = tiles.select("root", F.col("chunk").alias("chunk2"), F.col("ids").alias("ids2"), F.col("sets").alias("sets2"))
-    # a tile with itself is not sent twice
-    apart = pairs.where("chunk < chunk2").join(tiles, ["root", "chunk"]).join(other, ["root", "chunk2"])
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    apart = apart.repartition(n, F.xxhash64("root", "chunk", "chunk2")).select(F.concat("ids", "ids2").alias("ids"), F.concat("sets", "sets2").alias("sets"))
+def _linked(tiles: DataFrame, least: float) -> DataFrame:
+    """(src, dst): a spanning forest of the links within each row of tiles (ids, sets)."""
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -142,7 +130,43 @@ def links(sets: DataFrame, least: float, tile: int, tile_rows: int) -> DataFrame
                 if len(src):
                     yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
-    return tiles.select("ids", "sets").unionAll(apart).mapInArrow(compare, "src long, dst long")
+    return tiles.select("ids", "sets").mapInArrow(compare, "src long, dst long")
+
+
+def links(sets: DataFrame, least: float, tile: int, tile_rows: int) -> DataFrame:
+    """(src, dst) edges whose components are those of all pairs of sets (id, root, hashes) of the same root with a
+    similarity of at least `least`; the root is one of its sets. A tile holds about `tile` hashes and tile_rows sets at most."""
+
+    def chunks() -> Column:
+        return F.greatest(F.ceil(F.col("w") / tile), F.ceil(F.col("n") / tile_rows)).cast("int").alias("chunks")
+
+    def gathered(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by, "chunk").agg(F.collect_list(F.struct("id", "hashes")).alias("rows")).select(*by, "chunk", F.col("rows.id").alias("ids"), F.col("rows.hashes").alias("sets"))
+
+    measured = (F.count("*").alias("n"), F.sum(F.size("hashes")).alias("w"))
+    own = F.expr("cast(pmod(xxhash64(id, 7L), chunks) as int)")
+    groups = materialise(sets.groupBy("root").agg(*measured).where("n > 1").select("root", chunks()))
+    # the first set of a group stands in all of its tiles
+    dealt = sets.join(groups, "root").withColumn("chunk", F.explode(F.when(F.col("id") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))))
+    found = materialise(_linked(gathered(dealt, "root"), least))
+    wide = materialise(sets.join(groups.where("chunks > 1"), "root").select("id", "root", "hashes"))
+    known = components(found.join(wide.select(F.col("id").alias("src")), "src", "left_semi"))
+    labelled = materialise(wide.join(known.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")))
+    classes = labelled.groupBy("root", "label").agg(*measured)
+    first = classes.groupBy("root").agg(F.max(F.struct("w", -F.col("label"))).alias("most"), F.count("*").alias("classes")).where("classes > 1").select("root", (-F.col("most.col2")).alias("main"))
+    sided = materialise(labelled.join(first, "root").select("id", "root", "hashes", (F.col("label") == F.col("main")).alias("main")))
+    sides = materialise(sided.groupBy("root", "main").agg(*measured).select("root", "main", chunks()))
+    tiles = materialise(gathered(sided.join(sides, ["root", "main"]).withColumn("chunk", own), "root", "main"))
+    each = sides.select("root", "main", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    other = lambda df: df.select("root", *(F.col(c).alias(c + "2") for c in df.columns if c != "root"))
+    pairs = each.where("not main").join(other(each), "root").where("main2 or chunk <= chunk2")
+    both = pairs.join(tiles, ["root", "main", "chunk"]).join(other(tiles), ["root", "main2", "chunk2"])
+    same = F.expr("not main2 and chunk = chunk2")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(n, F.xxhash64("root", "main2", "chunk", "chunk2")).select(*(F.when(same, F.col(c)).otherwise(F.concat(c, c + "2")).alias(c) for c in ("ids", "sets")))
+    across = materialise(_linked(both, least))
+    forget(groups, wide, known, labelled, sided, sides, tiles)
+    return found.unionAll(across)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bands: int = 30, rows: int = 6, tile: int = 65_536, tile_rows: int = 512) -> DataFrame:
@@ -158,10 +182,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = found.groupBy("sig", "bands").agg(F.min("id").alias("id"))
     keys = materialise(prints.where("id is not null").select("id", F.explode("bands").alias("key")))
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head")
-    groups = materialise(components(keys.join(heads, "key").where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))))
+    groups = components(keys.join(heads, "key").where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst")))
     members = materialise(groups.select(F.col("node").alias("id"), "root").unionAll(groups.select(F.col("root").alias("id"), "root").distinct()))
     sets = materialise(_sets(texts.join(members, "id").select("id", "root", "text").distinct(), words))
-    own = components(links(sets, least, tile, tile_rows))
+    linked = links(sets, least, tile, tile_rows)
+    own = components(linked)
     firsts = found.groupBy("sig").agg(F.min("id").alias("id"))
     classes = materialise(firsts.join(own, firsts["id"] == own["node"], "left").select("sig", F.coalesce("root", "id").alias("component_id")))
+    forget(keys, groups, members, sets, linked, own)
     return found.join(classes, "sig").select(F.col("id").alias(id_col), "component_id")
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
+    """(id, component_id long): classes under both kinds of links: SimHash fingerprints of the same shingles that differ in at
+    most radius bits, by the tiled comparison, and shingle sets with a similarity of at least `least`.
+
+    Null, wordless and repeated rows and null ids are as in either.
+    """
+    kinds = [simhash.near_duplicates(df, id_col, text_col, words, radius), near_duplicates(df, id_col, text_col, words, least)]
+    found = [materialise(x.select(F.col(id_col).alias("id"), F.col("component_id").alias("root"))) for x in kinds]
+    own = components(found[0].unionAll(found[1]).where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
+    narrow = found[1].join(own, found[1]["root"] == own["node"], "left").select(found[1]["id"].alias(id_col), F.coalesce(own["root"], found[1]["root"]).alias("component_id"))
+    return narrow

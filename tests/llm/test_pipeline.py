@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from quern.llm import shingle_dedup
+from quern.llm import shingle_dedup, simhash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,6 +63,31 @@ def test_shingle_classes_match_brute_force(spark, tile):
     assert got == want and 20 < len(set(want.values())) < 150
 
 
+def test_classes_join_both_kinds_of_links(spark):
+    """Links by fingerprints alone and by sets alone make one class."""
+    rows = copies()
+    got = {r["doc_id"]: r["component_id"] for r in shingle_dedup.similar(docs(spark, rows), radius=14).collect()}
+    sets = brute_classes(rows)
+    prints = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), words=5, radius=14).collect()}
+    root = {i: i for i in sets}
+    while any(root[i] != root[c[i]] for c in (sets, prints) for i in c):
+        for c in (sets, prints):
+            for i in c:
+                root[i] = root[c[i]] = min(root[i], root[c[i]])
+    assert got == root and len(set(root.values())) < len(set(sets.values()))
+
+
+def test_a_group_whose_first_set_is_unlike_the_others(spark):
+    """Tiles of a few sets, and classes that only pairs of tiles join."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(60):  # a chain: each text shares its start with the last one's end
+        rows.append((k, " ".join(words[k : k + 60] if k < 40 else rng.sample(words, 60)), "s"))
+    got = {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_duplicates(docs(spark, rows), tile=200, tile_rows=4).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_copies_beyond_three_bits_go(spark):
     rows = copies()
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()}
