@@ -136,10 +136,14 @@ def near_duplicates(
         return pd.Series(out, dtype=object)
 
     classes = materialise(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("sig", signature("v")))
-    # a bucket's number: of vectors of one length
-    placed = classes.select("rep", F.size("v").alias("d"), F.posexplode("sig").alias("t", "cell")).select("rep", "t", F.expr("cell * 65536L + d % 65536").alias("key"))
-    shared = placed.groupBy("t", "key").count().where("count > 1").select("t", "key", F.when(F.col("count") > chunk, F.ceil(F.col("count") / chunk).cast("int")).alias("chunks"))
-    met = materialise(placed.join(shared, ["t", "key"]))
+    # a bucket's number: its table, its cell, and the length of its vectors
+    key = F.expr("shiftleft(cast(t as long), 48) + (cell & 4294967295L) * 65536L + d % 65536")
+    placed = classes.select("rep", F.size("v").alias("d"), F.posexplode("sig").alias("t", "cell")).select("rep", key.alias("key"))
+    shared = materialise(placed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("size > 1"))
+    # most buckets that are shared have two rows, which their bounds tell
+    two = shared.where("size = 2").select("key", F.lit(None).cast("int").alias("chunks"), F.explode(F.array("low", "high")).alias("rep"))
+    more = shared.where("size > 2").select("key", F.when(F.col("size") > chunk, F.ceil(F.col("size") / chunk).cast("int")).alias("chunks"))
+    met = materialise(two.unionByName(placed.join(more, "key")))
     bins = max(1, -(-met.count() // bin_rows))
     # a row of a hot bucket goes to the tasks of all pairs of chunks that have its own
     own = F.expr("cast(pmod(xxhash64(rep), chunks) as int)")
@@ -148,18 +152,19 @@ def near_duplicates(
         met.withColumn("own", F.coalesce(own, F.lit(0)))
         .withColumn("pair", F.explode(F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(pairs)))
         # bins of hot buckets have negative numbers
-        .withColumn("bin", F.when(F.col("chunks").isNull(), F.expr(f"pmod(xxhash64(t, key), {bins}L)")).otherwise(F.expr("-1L - shiftrightunsigned(xxhash64(t, key, pair.a, pair.b), 1)")))
-        .select("bin", "t", "key", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), (F.col("own") == F.col("pair.a")).alias("first"), "rep")
+        .withColumn("bin", F.when(F.col("chunks").isNull(), F.expr(f"pmod(xxhash64(key), {bins}L)")).otherwise(F.expr("-1L - shiftrightunsigned(xxhash64(key, pair.a, pair.b), 1)")))
+        .select("bin", "key", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), (F.col("own") == F.col("pair.a")).alias("first"), "rep")
         .join(classes, "rep")
     )
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in b.groupby(b["v"].map(len)):
-            part = part.sort_values(["t", "key", "a", "b", "first", "rep"], ascending=[True, True, True, True, False, True], kind="stable")
-            run = np.cumsum(np.r_[0, np.any([part[k].to_numpy()[1:] != part[k].to_numpy()[:-1] for k in ("t", "key", "a", "b")], axis=0)])
+            part = part.sort_values(["key", "a", "b", "first", "rep"], ascending=[True, True, True, False, True], kind="stable")
+            table = part["key"].to_numpy() >> 48
+            run = np.cumsum(np.r_[0, np.any([part[k].to_numpy()[1:] != part[k].to_numpy()[:-1] for k in ("key", "a", "b")], axis=0)])
             n, rep = part["n"].to_numpy(), part["rep"].to_numpy()
-            links, label = compared(unit(stacked(part["v"])), np.stack(part["sig"].to_list()), n, part["t"].to_numpy(), run, part["first"].to_numpy(), least)
+            links, label = compared(unit(stacked(part["v"])), np.stack(part["sig"].to_list()), n, table, run, part["first"].to_numpy(), least)
             own_rows = np.flatnonzero(links)
             out.append(pd.DataFrame({"rep": rep[own_rows], "root": rep[label[own_rows]], "links": links[own_rows]}))
         return pd.concat(out)
@@ -168,10 +173,11 @@ def near_duplicates(
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     linked = materialise(counts.join(roots, counts["rep"] == roots["node"], "left").select("rep", "links", "root"))
-    forget(found, met, roots)
-    whole = classes.join(linked, "rep", "left").select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    forget(found, shared, met, roots)
+    whole = classes.join(linked, "rep", "left").select(F.xxhash64("v").alias("_g"), F.col("v").alias("_w"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     fine = proper(F.col("v")) & F.col("id").isNotNull()
-    joined = rows.withColumn("_v", F.when(fine, F.col("v"))).join(whole.withColumnRenamed("v", "_w"), F.col("_v") == F.col("_w"), "left")
+    # the hash comes first, so rows are sorted by it and vectors compared where it is equal
+    joined = rows.withColumn("_v", F.when(fine, F.col("v"))).withColumn("_h", F.when(fine, F.xxhash64("v"))).join(whole, (F.col("_h") == F.col("_g")) & (F.col("_v") == F.col("_w")), "left")
     return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn(
         "kept", F.col(id_col).eqNullSafe(F.col("component_id"))
     )

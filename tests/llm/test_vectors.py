@@ -143,6 +143,12 @@ def test_dedup_recall_at_the_threshold(spark):
     assert sum(n) == 1000 and right >= 590 and all(got[k]["n_links"] <= n[k] for k in range(1200))
 
 
+def test_dedup_of_signed_zeros(spark):
+    df = table(spark, [[0.0, 1.0], [-0.0, 1.0], [1.0, -0.0], [2.0, 0.0]])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2)}
+
+
 def test_dedup_sizes_grow_with_the_logarithm():
     few, many = embed_dedup.sizes(50_000, 0.95, 2.0, 0.03, 0.005), embed_dedup.sizes(50_000_000, 0.95, 2.0, 0.03, 0.005)
     assert few[1] < many[1] < 2 * few[1] and few[0] < many[0] < 5 * few[0]
