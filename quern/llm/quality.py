@@ -24,7 +24,7 @@ _MARKS = re.compile(r"[^\w\s]+")
 
 
 def features(text: str | None) -> set[int]:
-    """Bins of a text's words, of its runs of marks, and of its shape."""
+    """Bins of a text's words, of its shape, and of its runs of marks: a run of over four is the feature of its first four."""
     text = text or ""
     words, marks = text.split(), _MARKS.findall(text)
     letters = sum(map(str.isalpha, text))
@@ -42,8 +42,9 @@ def features(text: str | None) -> set[int]:
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 12_000) -> Linear:
-    """A classifier of label_col, learned from at most max_rows labelled rows (the documented bound of the sample)."""
-    y, bins, _ = textmodel.collect_features(textmodel.labelled_sample(df, labels, id_col, label_col, max_rows), text_col, features)
+    """A classifier of label_col, learned from at most max_rows labelled rows (the documented bound of the sample). Contradicting
+    labels of a row are two rows."""
+    y, bins, _ = textmodel.collect_features(textmodel.labelled_sample(df, labels, id_col, label_col, text_col, max_rows), features)
     return textmodel.fit(y, bins)
 
 

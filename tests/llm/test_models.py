@@ -272,9 +272,54 @@ def test_toxicity_and_neutral_mentions(spark):
 
 
 def test_counterfactuals():
-    pairs = toxicity.counterfactuals(textmodel.word_features("the muslim house"), toxicity.terms_of("the Muslim house"))
-    assert len(pairs) == len(toxicity.IDENTITY_TERMS[3]) - 1
-    assert all(textmodel.number("muslim") in a and textmodel.number("muslim") not in b for a, b in pairs)
+    bins = textmodel.word_features("the muslim house, a sikh")
+    for term, (gone, come) in zip([t for t in toxicity.IDENTITY_TERMS[3] if t != "muslim"], toxicity.counterfactuals(bins, toxicity.terms_of("Muslim")), strict=True):
+        copy = (bins - textmodel.word_features("muslim")) | textmodel.word_features(term)
+        assert (gone, come) == (bins - copy, copy - bins)
+
+
+def plain_loss(y, rows, pairs, w, invariance, l2):
+    total = 0.0
+    for label, places in zip(y, rows, strict=True):
+        z = w[-1] + sum(w[k] for k in places)
+        total -= math.log(1 / (1 + math.exp(-z)) if label else 1 - 1 / (1 + math.exp(-z)))
+    far = sum((sum(w[k] for k in gone) - sum(w[k] for k in come)) ** 2 for gone, come in pairs)
+    return total / len(y) + l2 / 2 * sum(x * x for x in w[:-1]) + (invariance * far / len(pairs) if pairs else 0.0)
+
+
+@pytest.mark.parametrize("paired", [True, False])
+def test_loss_by_plain_loops(paired):
+    r = np.random.default_rng(4)
+    y = r.integers(0, 2, 30).astype(float)
+    rows = [np.array(sorted(r.choice(9, r.integers(0, 6), replace=False).tolist()), dtype=np.int64) for _ in y]
+    pairs = [([0, 3], [1]), ([2], []), ([], [8, 4]), ([], [])] if paired else []
+    w = r.standard_normal(10)
+    loss = textmodel.Loss(y, rows, 9, pairs, 0.7, 0.02)
+    assert loss.value(w) == pytest.approx(plain_loss(y, rows, pairs, w.tolist(), 0.7, 0.02))
+    for k in range(10):
+        step = np.eye(10)[k] * 1e-5
+        slope = (plain_loss(y, rows, pairs, (w + step).tolist(), 0.7, 0.02) - plain_loss(y, rows, pairs, (w - step).tolist(), 0.7, 0.02)) / 2e-5
+        assert loss.gradient(w)[k] == pytest.approx(slope, abs=1e-6)
+
+
+def test_registered_training_has_counterfactuals(spark):
+    """The labelled texts of the tables name no group: carriers do, and swapping their terms hardly moves a score."""
+    docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen = labels.where(~langid.in_fold(F.col("doc_id"), 5, 0))
+    fair, plain = toxicity.train(docs_, seen), toxicity.train(docs_, seen, invariance=0.0)
+    assert fair.pairs > 1000 and fair.gap < 0.1 < plain.gap
+    base = textmodel.word_features("a quiet text about nothing at all")
+    for terms in toxicity.IDENTITY_TERMS:
+        odds = [fair.bias + sum(fair.weights.get(k, 0.0) for k in base | textmodel.word_features(t)) for t in terms]
+        assert max(odds) - min(odds) < 0.5
+
+
+def test_carriers_are_bounded_and_of_both_labels():
+    y = np.array([1.0] * 5 + [0.0] * 40)
+    bins = [np.array([k], dtype=np.int32) for k in range(45)]
+    got = toxicity.carriers(y, bins, [[3] if k % 4 == 0 else [] for k in range(45)], 20)
+    assert len(got) == len(set(got)) == 20 and sum(y[k] for k, _ in got) == 3 and all(k % 4 for k, _ in got)
+    assert all(toxicity._FLAT[t] in toxicity._PLACE for _, t in got)
 
 
 def test_classifiers_without_labels(spark):
@@ -286,7 +331,7 @@ def test_classifiers_without_labels(spark):
 
 def test_sample_is_bounded(spark):
     df, labels = labelled(spark, [("a", k % 2) for k in range(50)])
-    assert textmodel.labelled_sample(df, labels, "doc_id", "toxic", 20).count() == 20
+    assert textmodel.labelled_sample(df, labels, "doc_id", "toxic", "text", 20).count() == 20
 
 
 def test_quality(spark):
