@@ -12,7 +12,6 @@ if a band leads from one to the other: two sets of similarity 0.8 share a band w
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,20 +21,13 @@ from . import simhash
 from .common import components, forget, materialise
 from .simhash import _roots
 
-#: Hashes that are permuted, and columns of a matrix that are multiplied, at a time; rows sent back at a time.
-_BLOCK, _COLUMNS, _ROWS = 512, 4096, 1024
+#: Hashes that are permuted, and columns of a matrix that are multiplied, at a time; rows sent back at a time; hashes whose bits are counted.
+_BLOCK, _COLUMNS, _ROWS, _FP_BLOCK = 512, 4096, 512, 65_536
 
 
-def shingles(data: bytes | None, words: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted distinct hashes of a UTF-8 text's runs of so many words, in lower-case ASCII; a shorter text is one
-    run, one without words has none."""
-    import xxhash
-
-    w = data.lower().split() if data else []
-    if not w:
-        return np.zeros(0, dtype=np.uint64)
-    runs = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), dtype=np.uint64))
+def shingles(data: bytes | None, words: int = 5) -> np.ndarray:
+    """The hashes of a text's runs of so many words, repeats included."""
+    return np.fromiter(simhash.shingle_hashes(data, words), dtype=np.uint64)
 
 
 def band_keys(hashes: np.ndarray, bands: int, rows: int, seed: int = 5) -> np.ndarray:
@@ -86,7 +78,7 @@ def _arrays(values: list[np.ndarray], kind):
 
 
 def _sketches(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, text) to (id, sig binary, bands array<long>)."""
+    """(id, text) to (id, sig binary, fp long, bands array<long>)."""
 
     def of(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -95,11 +87,17 @@ def _sketches(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(s, _ROWS)
-                found = [shingles(x.as_py(), words) for x in part.column(1)]
-                sig = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), sig, _arrays([band_keys(h, bands, rows) for h in found], pa.int64())], names=["id", "sig", "bands"])
+                sigs, fps, keys = [], [], []
+                for x in part.column(1):
+                    all_ = shingles(x.as_py(), words)
+                    once = np.unique(all_)
+                    sigs.append(xxhash.xxh3_128_digest(once.tobytes()))
+                    fps.append(simhash.of_hashes(all_[k : k + _FP_BLOCK] for k in range(0, len(all_), _FP_BLOCK)))
+                    keys.append(band_keys(once, bands, rows))
+                fp = np.array(fps, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(fp), _arrays(keys, pa.int64())], names=["id", "sig", "fp", "bands"])
 
-    return df.mapInArrow(of, "id long, sig binary, bands array<long>")
+    return df.mapInArrow(of, "id long, sig binary, fp long, bands array<long>")
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
@@ -111,7 +109,7 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(s, _ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _arrays([shingles(x.as_py(), words) for x in part.column(2)], pa.int64())], names=["id", "root", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _arrays([np.unique(shingles(x.as_py(), words)) for x in part.column(2)], pa.int64())], names=["id", "root", "hashes"])
 
     return df.mapInArrow(of, "id long, root long, hashes array<long>")
 
@@ -149,12 +147,16 @@ def links(sets: DataFrame, least: float, tile: int, tile_rows: int) -> DataFrame
     # the first set of a group stands in all of its tiles
     dealt = sets.join(groups, "root").withColumn("chunk", F.explode(F.when(F.col("id") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))))
     found = materialise(_linked(gathered(dealt, "root"), least))
-    wide = materialise(sets.join(groups.where("chunks > 1"), "root").select("id", "root", "hashes"))
+    wide = groups.where("chunks > 1").select("root")
+    if wide.isEmpty():
+        forget(groups)
+        return found
+    wide = sets.join(wide, "root").select("id", "root", "hashes")
     known = components(found.join(wide.select(F.col("id").alias("src")), "src", "left_semi"))
     labelled = materialise(wide.join(known.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")))
     classes = labelled.groupBy("root", "label").agg(*measured)
-    first = classes.groupBy("root").agg(F.max(F.struct("w", -F.col("label"))).alias("most"), F.count("*").alias("classes")).where("classes > 1").select("root", (-F.col("most.col2")).alias("main"))
-    sided = materialise(labelled.join(first, "root").select("id", "root", "hashes", (F.col("label") == F.col("main")).alias("main")))
+    first = classes.groupBy("root").agg(F.max(F.struct(F.col("w"), (-F.col("label")).alias("minus"))).alias("most"), F.count("*").alias("classes")).where("classes > 1").select("root", (-F.col("most.minus")).alias("main"))
+    sided = labelled.join(first, "root").select("id", "root", "hashes", (F.col("label") == F.col("main")).alias("main"))
     sides = materialise(sided.groupBy("root", "main").agg(*measured).select("root", "main", chunks()))
     tiles = materialise(gathered(sided.join(sides, ["root", "main"]).withColumn("chunk", own), "root", "main"))
     each = sides.select("root", "main", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
@@ -164,43 +166,44 @@ def links(sets: DataFrame, least: float, tile: int, tile_rows: int) -> DataFrame
     same = F.expr("not main2 and chunk = chunk2")
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = both.repartition(n, F.xxhash64("root", "main2", "chunk", "chunk2")).select(*(F.when(same, F.col(c)).otherwise(F.concat(c, c + "2")).alias(c) for c in ("ids", "sets")))
-    across = materialise(_linked(both, least))
-    forget(groups, wide, known, labelled, sided, sides, tiles)
-    return found.unionAll(across)
+    out = materialise(found.unionAll(_linked(both, least)))
+    forget(groups, found, known, labelled, sides, tiles)
+    return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bands: int = 30, rows: int = 6, tile: int = 65_536, tile_rows: int = 512) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int | None = None, bands: int = 30, rows: int = 6, tile: int = 65_536, tile_rows: int = 512
+) -> DataFrame:
     """(id, component_id long): the class of every row under links of texts whose sets of word shingles have a
-    Jaccard similarity of at least `least`.
+    Jaccard similarity of at least `least`, and, given a radius, of texts whose SimHash fingerprints of the same shingles, compared
+    in tiles, differ in at most so many bits.
 
     component_id is the smallest id that links reach. Null and wordless texts are one class. A null id gets
     the component of the rows with its set, null if none there has an id. Repeated rows and ids stay,
-    each with its class.
+    each with its class. Other columns take no part. An empty table gives an empty result.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     found = materialise(_sketches(texts, words, bands, rows))
-    prints = found.groupBy("sig", "bands").agg(F.min("id").alias("id"))
-    keys = materialise(prints.where("id is not null").select("id", F.explode("bands").alias("key")))
+    prints = materialise(found.groupBy("sig", "bands").agg(F.min("id").alias("id")))
+    keys = prints.where("id is not null").select("id", F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head")
     groups = components(keys.join(heads, "key").where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst")))
-    members = materialise(groups.select(F.col("node").alias("id"), "root").unionAll(groups.select(F.col("root").alias("id"), "root").distinct()))
+    members = groups.select(F.col("node").alias("id"), "root").unionAll(groups.select(F.col("root").alias("id"), "root").distinct())
     sets = materialise(_sets(texts.join(members, "id").select("id", "root", "text").distinct(), words))
-    linked = links(sets, least, tile, tile_rows)
-    own = components(linked)
-    firsts = found.groupBy("sig").agg(F.min("id").alias("id"))
-    classes = materialise(firsts.join(own, firsts["id"] == own["node"], "left").select("sig", F.coalesce("root", "id").alias("component_id")))
-    forget(keys, groups, members, sets, linked, own)
+    held = [links(sets, least, tile, tile_rows)]
+    all_links = held[0]
+    if radius is not None:
+        firsts = found.where("id is not null").select("fp", "sig").distinct().join(prints.where("id is not null").select("sig", "id"), "sig")
+        by_print = materialise(firsts.groupBy("fp").agg(F.min("id").alias("id")))
+        near = simhash.links(by_print, radius)
+        alike = firsts.join(by_print.select("fp", F.col("id").alias("dst")), "fp").where("id <> dst").select(F.col("id").alias("src"), "dst")
+        all_links, held = all_links.unionAll(near).unionAll(alike), [*held, by_print, near]
+    own = components(all_links)
+    classes = materialise(prints.join(own, prints["id"] == own["node"], "left").select("sig", F.coalesce("root", "id").alias("component_id")))
+    forget(prints, groups, sets, own, *held)
     return found.join(classes, "sig").select(F.col("id").alias(id_col), "component_id")
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
-    """(id, component_id long): classes under both kinds of links: SimHash fingerprints of the same shingles that differ in at
-    most radius bits, by the tiled comparison, and shingle sets with a similarity of at least `least`.
-
-    Null, wordless and repeated rows and null ids are as in either.
-    """
-    kinds = [simhash.near_duplicates(df, id_col, text_col, words, radius), near_duplicates(df, id_col, text_col, words, least)]
-    found = [materialise(x.select(F.col(id_col).alias("id"), F.col("component_id").alias("root"))) for x in kinds]
-    own = components(found[0].unionAll(found[1]).where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
-    narrow = found[1].join(own, found[1]["root"] == own["node"], "left").select(found[1]["id"].alias(id_col), F.coalesce(own["root"], found[1]["root"]).alias("component_id"))
-    return narrow
+def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, **how) -> DataFrame:
+    """near_duplicates under both kinds of links."""
+    return near_duplicates(df, id_col, text_col, radius=radius, **how)

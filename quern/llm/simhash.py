@@ -10,8 +10,8 @@ tiles that are paired falls as their number grows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -25,23 +25,29 @@ from .common import components, forget, materialise
 _BLOCK, _WORK, _DIGIT = 65_536, 1 << 32, 101
 
 
-def fingerprint(data: bytes | None, words: int = 3, seed: int = 42) -> int:
-    """The unsigned fingerprint of a UTF-8 text; 0 for null and for a text without words."""
+def shingle_hashes(data: bytes | None, words: int, seed: int = 42) -> Iterator[int]:
+    """XXH64 of each run of so many words of a UTF-8 text, in lower-case ASCII; a shorter text is one run, one without words has none."""
     import xxhash
 
     w = data.lower().split() if data else []
-    if not w:
-        return 0
-    if len(w) < words:
-        shingles, n = [b" ".join(w)], 1
-    else:
-        shingles, n = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)), len(w) - words + 1
-    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(seed))
-    ones, left = np.zeros(64, dtype=np.int64), n
-    while left:
-        block = np.fromiter(hashes, dtype="<u8", count=min(left, _BLOCK))
-        left -= len(block)
-        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    runs = ([b" ".join(w)] if w else []) if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
+    return map(xxhash.xxh64_intdigest, runs, repeat(seed))
+
+
+def fingerprint(data: bytes | None, words: int = 3, seed: int = 42) -> int:
+    """The unsigned fingerprint of a UTF-8 text; 0 for null and for a text without words."""
+    hashes = shingle_hashes(data, words, seed)
+    return of_hashes(np.fromiter(islice(hashes, _BLOCK), dtype=np.uint64) for _ in repeat(None))
+
+
+def of_hashes(blocks: Iterable[np.ndarray]) -> int:
+    """The unsigned fingerprint of hashes that come in blocks, until an empty one."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for block in blocks:
+        if not len(block):
+            break
+        n += len(block)
+        ones += np.unpackbits(block.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
@@ -191,7 +197,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", clas
     classes = materialise(classify(df, id_col, text_col, **how).select(F.col(id_col).alias("_id_of_class"), "component_id"))
     own = F.col(id_col).cast("long").eqNullSafe(F.col("_id_of_class"))
     gone = classes.where("not (_id_of_class <=> component_id)").select("_id_of_class").distinct()
-    again = materialise(classes.where("_id_of_class <=> component_id").groupBy("_id_of_class").count().where("count > 1").select("_id_of_class"))
+    again = classes.where("_id_of_class <=> component_id").groupBy("_id_of_class").count().where("count > 1").select("_id_of_class")
     stay = df.join(gone, own, "left_anti")
     if again.isEmpty():
         return stay

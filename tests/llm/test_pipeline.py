@@ -66,7 +66,7 @@ def test_shingle_classes_match_brute_force(spark, tile):
 def test_classes_join_both_kinds_of_links(spark):
     """Links by fingerprints alone and by sets alone make one class."""
     rows = copies()
-    got = {r["doc_id"]: r["component_id"] for r in shingle_dedup.similar(docs(spark, rows), radius=14).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in shingle_dedup.with_fingerprints(docs(spark, rows), radius=14).collect()}
     sets = brute_classes(rows)
     prints = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), words=5, radius=14).collect()}
     root = {i: i for i in sets}
