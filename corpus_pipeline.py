@@ -41,7 +41,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class: under links of SimHash fingerprints of five-word shingles, and of shingle sets
     with a similarity of 0.8, which no radius of 64 bits finds without comparing all tiles."""
-    return simhash.keep_one(docs, classify=shingle_dedup.similar).select(*COLUMNS)
+    return simhash.keep_one(docs, classify=shingle_dedup.with_fingerprints).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
