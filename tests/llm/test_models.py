@@ -1,11 +1,15 @@
 import math
 import random
+import re
+import time
+from zlib import crc32
 
 import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from layouts import LAYOUTS
 from pyspark.sql import functions as F
 
 from quern.llm import html_text, langid, quality, sentencepiece_codec, textmodel, toxicity
@@ -376,10 +380,105 @@ def test_main_text(labeller):
     assert html_text.main_texts(labeller, [PAGE]) == ["A & B é\nFirst line of text, which goes on for a while. and more.\nSecond <p> one, that also goes on for some words.\npoint one of the list\npoint two of the list\nLast paragraph of the whole text here."]
 
 
+def plain_path(names):
+    v = np.zeros(html_text.PATH_BINS, np.float32)
+    for x in set(names):
+        h = crc32(x.encode())
+        v[h % html_text.PATH_BINS] += 1 if h & 0x10000 else -1
+    return v
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.sampled_from(["<div class='a b'>", "<div id=b>", "</div>", "<ul>", "<li>", "</ul>", "<p>", "</p>", "<b>", "</b>", "<a href=x>", "</a>", "<table>", "<tr>", "<td>", "</table>", "<br>", "x", "y z", "</i>"]), max_size=40))
+def test_paths_by_plain_lists(parts):
+    """The rules of open elements by scans of a list."""
+    stack, want, run = [], [], []
+
+    def flush():
+        if text := " ".join("".join(run).split()):
+            want.append((text, [n for _, ns in stack for n in ns], [t for t, _ in stack][-2:]))
+        run.clear()
+
+    for part in parts:
+        if not part.startswith("<"):
+            run.append(part)
+            continue
+        tag = re.match(r"</?(\w+)", part)[1]
+        block = tag in html_text.BLOCK
+        if block:
+            flush()
+        if part.startswith("</"):
+            at = [k for k, (t, _) in enumerate(stack) if t == tag]
+            if at:
+                del stack[at[-1] :]
+            continue
+        if tag == "br":
+            run.append(" ")
+            continue
+        tops = html_text._CLOSED_BY_OWN.get(tag)
+        for k in range(len(stack) - 1, -1, -1) if block else ():
+            if stack[k][0] == "p" or tops and stack[k][0] == tag:
+                del stack[k:]
+                break
+            if stack[k][0] in (tops or html_text.BLOCK):
+                break
+        marks = {"<div class='a b'>": ("a", "b"), "<div id=b>": ("b",)}.get(part, ())
+        stack.append((tag, (tag, *("." + m for m in marks))))
+    flush()
+    got = html_text.blocks("".join(parts))
+    assert [(t, inner, leaf) for (_, leaf, inner), t, _ in got] == [(t, tail[-2] if len(tail) > 1 else "", tail[-1] if tail else "") for t, _, tail in want]
+    assert all((b[0][0] == plain_path(names)).all() for b, (_, names, _) in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<ul><li><ul>" + "<div>" * 20_000 + "<li>y</li>" * 40_000, "<p>" + "<b>" * 80_000 + "</i>" * 80_000 + "<li>x" * 10_000])
+def test_deep_pages_take_linear_time(page):
+    html_text.blocks(page[: len(page) // 10])
+    start = time.process_time()
+    assert len(html_text.blocks(page)) >= 10_000
+    assert time.process_time() - start < 10  # scans of the open elements would take minutes
+
+
+def plain_logits(model, x):
+    """A bidirectional LSTM over the vectors of one page, a block after the other."""
+    p, h_ = model.p, model.hidden
+    sides = []
+    for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h, c, states = [0.0] * h_, [0.0] * h_, {}
+        for t in order:
+            z = [float(p["c" + d][k] + sum(x[t][i] * p["w" + d][i][k] for i in range(len(x[t]))) + sum(h[i] * p["u" + d][i][k] for i in range(h_))) for k in range(4 * h_)]
+            sig = [1 / (1 + math.exp(-v)) for v in z[: 3 * h_]]
+            c = [sig[h_ + k] * c[k] + sig[k] * math.tanh(z[3 * h_ + k]) for k in range(h_)]
+            h = [sig[2 * h_ + k] * math.tanh(c[k]) for k in range(h_)]
+            states[t] = h
+        sides.append(states)
+    return [float(model.p["bias"][0]) + sum(a * b for a, b in zip([*sides[0][t], *sides[1][t], *x[t]], model.p["out"], strict=True)) for t in range(len(x))]
+
+
+def test_network_by_plain_loops(labeller):
+    pages = [html_text.vectors(html_text.blocks(PAGE)), html_text.vectors(html_text.blocks("<nav><a>b</a></nav><p>One short page."))]
+    for x, there, step in ((*html_text.padded(pages), 4096), (*html_text.padded(pages), 3)):
+        got = labeller.read(lambda a, b, x=x: x[a:b], there, step)
+        for k, page in enumerate(pages):
+            assert np.allclose(got[: len(page), k], plain_logits(labeller, page.astype(float).tolist()), atol=1e-3)
+
+
+def test_layouts_by_hand(labeller):
+    """Main text of pages in layouts that nobody generated."""
+    for name, (page, want) in LAYOUTS.items():
+        assert html_text.main_texts(labeller, [page]) == ["\n".join(want)], name
+
+
+def test_long_pages_run_alone(labeller):
+    many = PAGE.replace("<article>", "<article>" + "<p>A line of the article, one of many.</p>" * 12_000)
+    text = html_text.main_texts(labeller, [PAGE, many])[1]
+    assert text.count("one of many") > 11_000 and "Home" not in text
+
+
 def test_blocks():
     got = html_text.blocks("a<b>b</b> c<p>d<p>e<div class='x Y'>f</div>g<1 h</p>i<a href=q>j</a>")
     assert [t for _, t, _ in got] == ["ab c", "d", "e", "f", "g<1 h", "ij"]
-    assert got[3][0] == ("div", ".x", ".y") and got[5][2] == 0.5
+    names, leaf, inner = got[3][0]
+    assert (names == plain_path(("div", ".x", ".y"))).all() and (leaf, inner) == ("div", "") and got[5][2] == 0.5
     assert html_text.blocks(None) == html_text.blocks("") == html_text.blocks("<p> </p><script>x</script><title>t</title>") == []
     assert [t for _, t, _ in html_text.blocks("<script>never closed <p>x")] == []
     assert [t for _, t, _ in html_text.blocks("<p title='>'>x</p><p a=\"unclosed>y</p>")] == ["x", "y"]
@@ -442,10 +541,8 @@ def test_elements_that_nothing_ends():
 
 
 def test_the_whole_path_is_read(labeller):
-    pieces = " ".join(f"{a}x" for a in "abcdefghij")
-    (path, _, _), *_ = html_text.blocks(f"<div class='{pieces} sidebar'><p>x</p></div>")
-    assert ".sidebar" in path
-    deep = tuple(f"t{k}" for k in range(40))
-    assert (html_text.path_vector((".comments", *deep)) != html_text.path_vector(deep)).any()
+    pieces = [f"{a}x" for a in "abcdefghij"]
+    ((names, _, _), _, _), *_ = html_text.blocks(f"<div class='{' '.join(pieces)} sidebar'><p>x</p></div>")
+    assert (names == plain_path(("div", "p", ".sidebar", *("." + x for x in pieces)))).all()
     wrapped = PAGE.replace("<article>", "<div class='flex grow'>" * 30 + "<article>").replace("</article>", "</article>" + "</div>" * 30)
     assert html_text.main_texts(labeller, [wrapped]) == html_text.main_texts(labeller, [PAGE])
