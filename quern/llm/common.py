@@ -25,6 +25,18 @@ def fresh(df: DataFrame, *names: str) -> None:
         raise ValueError(f"the table has columns that this operator adds: {', '.join(clash)}")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, for an operator's own columns beside them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 

@@ -93,12 +93,13 @@ from r
 """
 
 OP5_SQL = r"""
-with d as (select doc_id, source, text, row_number() over () as page, string_split(text, chr(10)) as lines from documents),
+with d as (select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
+p as (select distinct source, text, lines from d where text is not null),
 c as (select source, k, count(*) as n from (
-        select distinct page, source, unnest(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)))) as k from d where text is not null)
+        select distinct source, text, unnest(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)))) as k from p)
       where k <> '' group by source, k),
-t as (select source, count(*) as pages from d where text is not null group by source),
-b as (select c.source, list(c.k) as bad from c join t on c.source is not distinct from t.source where n >= 5 and n > 0.05::double * pages group by c.source),
+t as (select source, count(*) as pages from p group by source),
+b as (select c.source, list(c.k) as bad from c join t on c.source is not distinct from t.source where n >= least(5, greatest(2, pages)) and n > 0.05::double * pages group by c.source),
 k as (select d.*, case when bad is null then lines else list_filter(lines, lambda x: not list_contains(bad, trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)))) end as kept
       from d left join b on d.source is not distinct from b.source)
 select doc_id, case when text is null then 0 else len(lines) end::int as n_lines, case when text is null then 0 else len(lines) - len(kept) end::int as n_dropped,
