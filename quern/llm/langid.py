@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
-from .common import fresh, share
+from .common import fresh, share, unused
 
 #: Bytes of text that are looked at together.
 _WINDOW = 1 << 18
@@ -185,8 +185,8 @@ def predict(df: DataFrame, model: Filters, text_col: str = "text") -> DataFrame:
                 yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
 
     found = arrow_udf(of, "struct<lang:string,score:double>", ArrowUDFType.SCALAR_ITER)(F.col(text_col))
-    out = df.select("*", found.alias("_lang_and_score"))
-    return out.select("*", F.col("_lang_and_score.lang").alias("lang_pred"), F.col("_lang_and_score.score").alias("score")).drop("_lang_and_score")
+    (name,) = unused(df, "_found")
+    return df.select("*", found.alias(name)).select("*", F.col(f"{name}.lang").alias("lang_pred"), F.col(f"{name}.score").alias("score")).drop(name)
 
 
 def in_fold(ids, parts: int, part: int):

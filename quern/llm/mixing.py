@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, fresh, materialise, unused
 
 #: Key ranges of a source at most; a range is meant to hold RANGE_ROWS documents.
 MAX_RANGES, RANGE_ROWS = 65_536, 512
@@ -105,20 +105,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     A source's taken words add up to its target, rounded down (less, by fewer words than a repeated
     row has copies, if the cut falls on one). A null text has size 0; a null source is one source;
     rows that repeat, null ids included, are taken alike. An empty table gives an empty result. how: weights,
-    share and most of source_targets. Reruns agree, as keys depend on ids and the seed alone. df must not have
-    columns by the names that are added, but for those of its own that are named here.
+    share and most of source_targets. Reruns agree, as keys depend on ids and the seed alone. Columns of df by the names that are
+    added are an error.
     """
+    fresh(df, "size", "source_size", "target", "taken")
+    source, epochs, cut, part = unused(df, "_source", "_epochs", "_cut", "_part")
     spelled = materialise(
         df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     ).withColumn("key", random_key(F.col("id"), seed))
-    per = materialise(cuts(spelled, **how)).select(F.col("source").alias("_source"), "source_size", "target", F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"), F.col("part").alias("_part"))
+    per = materialise(cuts(spelled, **how)).select(F.col("source").alias(source), "source_size", "target", F.col("epochs").alias(epochs), F.col("cut").alias(cut), F.col("part").alias(part))
     here = F.struct(random_key(F.col(id_col).cast("long"), seed).alias("key"), F.col(id_col).cast("long").alias("id"), F.col("size").alias("size"))
-    once = F.when(F.col("_cut").isNull() | (here > F.col("_cut")), 0).when(here < F.col("_cut"), F.col("size")).otherwise(F.col("_part"))
+    once = F.when(F.col(cut).isNull() | (here > F.col(cut)), 0).when(here < F.col(cut), F.col("size")).otherwise(F.col(part))
     return (
         df.withColumn("size", word_count(F.col(text_col)))
-        .join(per, F.col(source_col).eqNullSafe(F.col("_source")))
-        .withColumn("taken", (F.col("_epochs") * F.col("size") + once).cast("long"))
-        .drop("_source", "_epochs", "_cut", "_part")
+        .join(per, F.col(source_col).eqNullSafe(F.col(source)))
+        .withColumn("taken", (F.col(epochs) * F.col("size") + once).cast("long"))
+        .drop(source, epochs, cut, part)
     )
 
 
@@ -128,10 +130,12 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "so
     A document is repeated ceil(taken / size) times; those of size 0 and those not taken go. The document
     at which a source's budget ends is kept whole, so a source exceeds its budget by less than that document.
     """
-    names = df.columns
-    own = [c for c in ("size", "source_size", "target", "taken") if c in names]
-    safe = df.withColumnsRenamed({c: f"_own_{c}" for c in own})
+    own = [c for c in df.columns if c.lower() in ("size", "source_size", "target", "taken")]
+    away = dict(zip(own, unused(df, *(f"_own_{c}" for c in own)), strict=True))
+    safe = df.withColumnsRenamed(away)
+    ids = [away.get(c, c) for c in (id_col, source_col, text_col)]
+    (again_col,) = unused(safe, "_again")
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    again = F.explode(F.array_repeat(F.lit(0), times)).alias("_again")
-    out = mix(safe, id_col, source_col, text_col, **how).select(*safe.columns, again).drop("_again")
-    return out.withColumnsRenamed({f"_own_{c}": c for c in own})
+    again = F.explode(F.array_repeat(F.lit(0), times)).alias(again_col)
+    out = mix(safe, *ids, **how).select(*safe.columns, again).drop(again_col)
+    return out.withColumnsRenamed({new: old for old, new in away.items()})

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
-from .common import fresh, share
+from .common import fresh, share, unused
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -738,4 +738,5 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     once for both. Columns by these names are an error."""
     fresh(df, "ids", "decoded")
     both = ids_of(share(df.sparkSession, Model.read(path)), F.col(text_col), with_decoded=True)
-    return df.select("*", both.alias("_both_of_text")).select("*", F.col("_both_of_text.ids").alias("ids"), F.col("_both_of_text.decoded").alias("decoded")).drop("_both_of_text")
+    (name,) = unused(df, "_both")
+    return df.select("*", both.alias(name)).select("*", F.col(f"{name}.ids").alias("ids"), F.col(f"{name}.decoded").alias("decoded")).drop(name)

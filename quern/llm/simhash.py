@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, forget, materialise
+from .common import components, forget, materialise, unused
 
 #: Shingles whose bits are counted at a time; comparisons of a task; the base in which a cell's counts are digits, more than twice a count and the radius.
 _BLOCK, _WORK, _DIGIT = 65_536, 1 << 32, 101
@@ -194,10 +194,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", clas
     Rows that share an id are one document, and one of them stays. Rows with a null id stay only if no
     row of their class has an id, and then one of them does.
     """
-    classes = materialise(classify(df, id_col, text_col, **how).select(F.col(id_col).alias("_id_of_class"), "component_id"))
-    own = F.col(id_col).cast("long").eqNullSafe(F.col("_id_of_class"))
-    gone = classes.where("not (_id_of_class <=> component_id)").select("_id_of_class").distinct()
-    again = classes.where("_id_of_class <=> component_id").groupBy("_id_of_class").count().where("count > 1").select("_id_of_class")
+    (name,) = unused(df, "_id")
+    classes = materialise(classify(df, id_col, text_col, **how).select(F.col(id_col).alias(name), "component_id"))
+    own, first = F.col(id_col).cast("long").eqNullSafe(F.col(name)), F.col(name).eqNullSafe(F.col("component_id"))
+    gone = classes.where(~first).select(name).distinct()
+    again = classes.where(first).groupBy(name).count().where("count > 1").select(name)
     stay = df.join(gone, own, "left_anti")
     if again.isEmpty():
         return stay

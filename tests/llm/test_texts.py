@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.llm import line_dedup, mixing, queries, simhash
+from quern.llm import ann, embed_dedup, html_text, langid, line_dedup, mixing, quality, queries, sentencepiece_codec, shingle_dedup, simhash, textmodel, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -197,19 +197,86 @@ def test_mixed_documents(spark):
 # --- lines -----------------------------------------------------------------------------------------------------
 
 
-def test_lines_match_brute_force(spark):
+@pytest.mark.parametrize("copies", [False, True])
+def test_lines_match_brute_force(spark, copies):
     rng = random.Random(2)
     rows = [(k, "\n".join(rng.choice(["head", " foot ", "", f"text {k} {j}", "rare", "text 5"]) for j in range(rng.randrange(1, 8))), "a" if k < 70 else rng.choice(["b", None])) for k in range(140)]
     rows += [(500, None, "a"), (501, "", "a"), (502, "head", "a"), (502, "head", "a")]
-    got = line_dedup.drop_site_lines(docs(spark, rows), max_ratio=0.3, min_pages=4).collect()
+    rows += [(600 + k, "one page\nthat is copied", "c") for k in range(30)] + [(700 + k, f"small site\n{k}", "d") for k in range(2)] + [(800, "alone\nhere", "e")]
+    got = line_dedup.drop_site_lines(docs(spark, rows), max_ratio=0.3, min_pages=4, copies=copies).collect()
     pages, seen = {}, {}
-    for _, t, s in rows:
+    for t, s in [(t, s) for _, t, s in rows] if copies else {(t, s) for _, t, s in rows}:
         if t is not None:
             pages[s] = pages.get(s, 0) + 1
             for x in {x.strip() for x in t.split("\n")} - {""}:
                 seen[s, x] = seen.get((s, x), 0) + 1
-    bad = {k for k, n in seen.items() if n >= 4 and n > 0.3 * pages[k[0]]}
+    bad = {k for k, n in seen.items() if n >= min(4, max(2, pages[k[0]])) and n > 0.3 * pages[k[0]]}
     want = sorted((i, None if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip()) not in bad)) for i, t, s in rows)
     assert sorted((r["doc_id"], r["text"]) for r in got) == want
     assert bad and all(r["n_dropped"] == 0 for r in got if r["text"] is None)
+    assert ("d", "small site") in bad and ("e", "alone") not in bad and (("c", "one page") in bad) == copies
     assert line_dedup.drop_site_lines(docs(spark, [])).count() == 0
+
+
+def test_lines_are_the_sql(spark):
+    """Sites of any size, a group of copies that is a third of its site, and repeated rows."""
+    rng = random.Random(3)
+    rows = [(k, "\n".join([*(["head "] if k % 3 else []), f"text {k}", *(["\tfoot"] if k % 30 == 0 else []), ""]), "big") for k in range(200)]
+    rows += [(300 + k, "the copied page\nand its lines", "big") for k in range(100)]
+    rows += [(500 + k, f"menu\n{rng.random()}", f"site {k % 9}") for k in range(14)] + [(600, None, "big"), (601, "", None), (602, "x\r\nx", None), (602, "x\r\nx", None), (None, "menu\nz", "site 1")]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, source varchar, text varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", [(i, s, t) for i, t, s in rows])
+    want = con.execute(queries.OP5_SQL).fetchall()
+    out = line_dedup.drop_site_lines(docs(spark, rows))
+    got = out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long"), F.md5("text")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and sum(w[2] for w in want) > 130
+    assert {r["text"] for r in out.where("doc_id between 300 and 399").collect()} == {"the copied page\nand its lines"}
+
+
+def test_lines_of_a_very_long_text(spark):
+    rows = [(k, "top\n" + "".join(f"line {j} of {k}\n" for j in range(100_000 if k == 0 else 3)), "s") for k in range(8)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_site_lines(docs(spark, rows)).collect()}
+    assert got == {0: (100_002, 1), **{k: (5, 1) for k in range(1, 8)}}
+
+
+# --- tables of odd columns ---------------------------------------------------------------------------------------
+
+CLASHES = "_site _lines _kept _source _epochs _cut _part _again _own_size size labelled y id v d t key bucket sig fp bands root component_id _id _id_ _both _found line pages n part lang text2".split()
+OPERATORS = {
+    "mix": lambda df: mixing.mix(df.drop("size")),
+    "mixed_documents": lambda df: mixing.mixed_documents(df),
+    "encode": lambda df: sentencepiece_codec.round_trip(df, sentencepiece_codec.vocabulary()),
+    "language": lambda df: langid.predict(df, langid.train(df)),
+    "lines": lambda df: line_dedup.drop_site_lines(df),
+    "simhash": lambda df: simhash.near_duplicates(df),
+    "shingles": lambda df: shingle_dedup.with_fingerprints(df),
+    "keep_one": lambda df: simhash.keep_one(df),
+    "quality": lambda df: quality.score(df, quality.train(df, df.select("doc_id", F.lit(1).alias("quality"), "y")), host_col="source", path_col="lang"),
+    "toxicity": lambda df: toxicity.predict(df, toxicity.train(df, df.select("doc_id", (F.col("doc_id") % 2).alias("toxic"), "y", "text"))),
+    "html": lambda df: html_text.extract(df.withColumnRenamed("text", "html"), model=html_text.Labeller(2, 1)),
+    "embeddings": lambda df: embed_dedup.near_duplicates(df.withColumn("embedding", F.array(F.lit(1.0), F.col("doc_id").cast("double"))), "doc_id"),
+    "neighbours": lambda df: ann.search((e := df.withColumn("embedding", F.array(F.lit(1.0), F.col("doc_id").cast("double")))), e, "doc_id"),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_extra_columns_and_empty_tables(spark, name):
+    """Columns by the operators' own names stay as they were; an empty table gives an empty result with the same columns."""
+    df = docs(spark, [(k, f"some words of text {k // 2}\nand a line", "s") for k in range(12)]).drop("lang", "n_chars")
+    df = df.select("*", *(F.lit(f"<{c}>").alias(c) for c in CLASHES))
+    out = OPERATORS[name](df)
+    rows = out.collect()
+    assert len(rows) > 0
+    if name not in ("simhash", "shingles", "quality", "embeddings", "neighbours"):  # these return columns of their own alone
+        kept = [c for c in CLASHES if c != "size" or name == "mixed_documents"]
+        assert {tuple(r[c] for c in kept) for r in rows} == {tuple(f"<{c}>" for c in kept)}
+    empty = OPERATORS[name](df.where("false"))
+    assert empty.columns == out.columns and empty.count() == 0
+
+
+def test_output_columns_that_are_there_already(spark):
+    df = docs(spark, [(1, "x", "s")])
+    for name, act in {"taken": mixing.mix, "N_lines": line_dedup.drop_site_lines, "score": lambda d: toxicity.predict(d, textmodel.Linear(0.0, {})), "lang_pred": lambda d: langid.predict(d, langid.build([], [], 4, 1))}.items():
+        with pytest.raises(ValueError, match=name.lower()):
+            act(df.withColumn(name, F.lit(0)))
