@@ -7,16 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalog, chunking, evaluation, jobs, lexical, search
-from .plans import imports, interests
+from pyspark.sql.streaming import StreamingQuery
+
+from .operators import catalog, chunking, clustering, evaluation, jobs, lexical, search
+from .plans import imports, interests, worker
 from .sources.config import Settings
+from .streaming import queue
 
 
-class Engine:
-    """embed: a function from a text column to a vector column."""
+class Conflict(ValueError):
+    """What was asked for can't be done to a thing in its present state."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embed: Callable[[Column], Column] | None = None, labeler: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        self.spark, self.settings, self.embed, self.labeler = spark, settings or Settings(), embed, labeler
+
+class Engine:
+    """All operations over a folder of tables, which may be empty at first.
+
+    embed: a function from a text column to a vector column. generate: a function from a column of prompts to a column of a language model's
+    answers. clusterer: a function from (id, embedding) points and the settings to (id, label).
+    """
+
+    def __init__(
+        self, spark: SparkSession, root: str, settings: Settings | None = None, embed: Callable[[Column], Column] | None = None, generate: Callable[[Column], Column] | None = None,
+        labeler: Callable[[DataFrame], DataFrame] | None = None, clusterer: interests.Clusterer | None = None,
+    ) -> None:
+        self.spark, self.settings, self.embed, self.clusterer = spark, settings or Settings(), embed, clusterer
+        self.labeler = labeler or (None if generate is None else lambda titles: clustering.generated_labels(titles, generate))
         self.settings.validate()
         self.tables = catalog.Tables(spark, root)
 
@@ -45,6 +60,35 @@ class Engine:
     def documents(self, state: str = "", limit: int = 50) -> DataFrame:
         return jobs.newest(self.tables.read("documents"), limit, self.settings.tenant_id, "updated_at", state=state)
 
+    def bookmark(self, bookmark_id: str) -> DataFrame:
+        return self._one(self._own("bookmarks").where(F.col("id") == bookmark_id), bookmark_id)
+
+    def extractions(self, document_id: str) -> DataFrame:
+        """All extractions of a document, the newest first."""
+        return self.tables.read("document_extractions").where(F.col("document_id") == document_id).orderBy(F.desc("fetched_at"), "id")
+
+    def chunks(self, chunk_ids: list[str]) -> DataFrame:
+        """Chunks by their ids, in any order; none for no ids, an error if none of them is there."""
+        found = self.tables.read("chunks").where(F.col("chunk_id").isin(*chunk_ids))
+        return self._one(found, ", ".join(chunk_ids)) if chunk_ids else found
+
+    def link_bookmark(self, bookmark_id: str, document_id: str) -> None:
+        """Points a bookmark at a document; both must be there."""
+        row = self.bookmark(bookmark_id)
+        self._one(self._own("documents").where(F.col("id") == document_id), document_id)
+        self.tables.merge("bookmarks", row.withColumn("document_id", F.lit(document_id)), "id")
+
+    def set_state(self, document_id: str, state: str, now: Column | None = None) -> None:
+        row = self._one(self._own("documents").where(F.col("id") == document_id), document_id)
+        self._set_states(row.select("id", F.lit(state).alias("state")), now)
+
+    def set_current_extraction(self, document_id: str, extraction_id: str, now: Column | None = None) -> None:
+        """Points a document at one of the stored extractions."""
+        row = self._one(self._own("documents").where(F.col("id") == document_id), document_id)
+        self._one(self.tables.read("document_extractions").where(F.col("id") == extraction_id), extraction_id)
+        at = F.current_timestamp() if now is None else now
+        self.tables.merge("documents", row.withColumn("current_extraction_id", F.lit(extraction_id)).withColumn("updated_at", at), "id")
+
     def document(self, document_id: str) -> DataFrame:
         """The document with its current extraction."""
         runs = self.tables.read("document_extractions").select(F.col("id").alias("current_extraction_id"), "fetcher", "markdown", "extraction_meta")
@@ -62,37 +106,72 @@ class Engine:
         return jobs.page(rows.where(F.col("folder_path").startswith(folder_prefix)) if folder_prefix else rows, cursor, limit)
 
     def delete_bookmark(self, bookmark_id: str) -> None:
-        rows = self.tables.read("bookmarks")
-        self._one(rows.where(F.col("id") == bookmark_id), bookmark_id)
-        self.tables.replace("bookmarks", rows.where(F.col("id") != bookmark_id))
+        row = self.bookmark(bookmark_id)
+        self.tables.merge("bookmarks", row.limit(0), "id", row.select("id"))
+
+    # --- extractions, index and search
 
-    # --- index and search
+    def _set_states(self, states: DataFrame, now: Column | None = None, columns: tuple[str, ...] = ()) -> None:
+        """Sets state, and other columns, of documents (id, state, ...)."""
+        at = F.current_timestamp() if now is None else now
+        docs = self.tables.read("documents")
+        new = states.withColumn("updated_at", at)
+        changed = docs.join(states.select("id"), "id", "left_semi")
+        self.tables.merge("documents", catalog.set_values(changed, new, "id", ["state", "updated_at", *columns]).select(*docs.columns), "id")
 
-    def index(self, extractions: DataFrame) -> None:
-        """Chunks, embeds and indexes extracted documents (document_id, markdown), replacing what they had, and marks them fetched.
+    def add_extractions(self, rows: DataFrame, now: Column | None = None) -> DataFrame:
+        """Stores extractions of documents (document_id, markdown; fetcher, title, author, language, content_type, published_at, final_url, meta where they
+        are known), one for each document, and returns them with their ids.
 
-        The lexical index covers a chunk's text, its document's title and the tags of the document's bookmarks.
+        A document's earlier extractions stay. It points at the new one and takes its title and so on where these are given; it is pending until it
+        is indexed. An extraction of an unknown document is left out.
+        """
+        at = F.current_timestamp() if now is None else now
+        docs = self.tables.read("documents")
+        have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+        known = rows.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        new = self.tables.scratch(known.select(
+            catalog.stable_id(F.lit("extraction"), F.col("document_id"), at.cast("string")).alias("id"), "document_id", F.coalesce(have("fetcher"), F.lit("manual")).alias("fetcher"), F.lit("ok").alias("status"), at.alias("fetched_at"),
+            "markdown", have("meta").alias("extraction_meta"), *(have(c).alias(c) for c in ("title", "author", "language", "content_type", "final_url")), have("published_at").cast("timestamp").alias("published_at"),
+        ))
+        written = self.tables.append("document_extractions", self._shaped(new, self.tables.read("document_extractions")))
+        filled = lambda c: F.coalesce(F.when(F.col(f"n.{c}") != "", F.col(f"n.{c}")), F.col(f"d.{c}"))
+        words = F.when(F.col("n.markdown").isNotNull(), F.size(F.filter(F.split("n.markdown", r"\s+"), lambda w: w != ""))).cast("int")
+        values = {
+            "content_type": filled("content_type"), "title": filled("title"), "author": filled("author"), "language": filled("language"), "published_at": F.coalesce("n.published_at", "d.published_at"),
+            "url_canonical": F.coalesce(F.when((F.col("n.final_url") != "") & (F.col("n.final_url") != F.col("d.url")), F.col("n.final_url")), F.col("d.url_canonical")),
+            "current_extraction_id": F.col("n.id"), "state": F.lit("pending"), "updated_at": at, "word_count": words,
+        }
+        both = docs.alias("d").join(new.alias("n"), F.col("d.id") == F.col("n.document_id"))
+        self.tables.merge("documents", both.select(*((values[c] if c in values else F.col(f"d.{c}")).alias(c) for c in docs.columns)), "id")
+        self.tables.drop(new)
+        return written
+
+    def index(self, extractions: DataFrame, now: Column | None = None) -> None:
+        """Stores extractions, as add_extractions does, and indexes their documents."""
+        self.index_documents(self.add_extractions(extractions, now).select("document_id", "markdown"), now)
+
+    def index_documents(self, extractions: DataFrame, now: Column | None = None) -> None:
+        """Chunks, embeds and indexes documents (document_id, markdown), replacing what they had, and marks them fetched.
+
+        The lexical index covers a chunk's text, its document's title and the tags of the document's bookmarks. Texts are cut once and tokenised once.
         """
         s = self.settings.chunking
-        new = chunking.chunk_documents(extractions, "document_id", "markdown", chunking.Sizes(s.size_tokens, s.overlap_tokens, s.size_chars), s.document_prefix)
-        self._replace("chunk_vectors", catalog.checked_vectors(imports.embedded(new, self.embed), self.settings.embedding_dim), extractions)
-        self._replace("chunks", new.select("chunk_id", "document_id", "ord", "text", "token_count"), extractions)
-        chunks = self.tables.read("chunks").join(extractions.select("document_id").distinct(), "document_id", "left_semi")
-        titles = self.tables.read("documents").select(F.col("id").alias("document_id"), "title")
-        tags = catalog.tag_union(self.tables.read("bookmarks").withColumn("tags", F.to_json("tags"))).select("document_id", F.to_json("tags").alias("tags"))
-        wide = chunks.join(titles, "document_id", "left").join(tags, "document_id", "left")
-        terms = lexical.index(wide, columns=("text", "title", "tags")).join(chunks.select("chunk_id", "document_id"), "chunk_id")
-        self._replace("chunk_lengths", terms.select("chunk_id", "document_id", "length"), extractions)
-        posted = lexical.postings(terms).join(chunks.select("chunk_id", "document_id"), "chunk_id")
-        self._replace("postings", posted, extractions, order=("term", "chunk_id"))
-        done = extractions.select(F.col("document_id").alias("id")).distinct().withColumn("state", F.lit("fetched"))
-        self.tables.replace("documents", catalog.set_values(self.tables.read("documents"), done, "id", ["state"]))
-
-    def _replace(self, name: str, rows: DataFrame, documents: DataFrame, order: tuple[str, ...] = ()) -> None:
-        if self.tables.exists(name):
-            old = self.tables.read(name)
-            rows = catalog.replace_chunks(old, rows.select(*old.columns), documents)
-        self.tables.replace(name, rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows)
+        new = chunking.chunk_documents(extractions, "document_id", "markdown", chunking.Sizes(s.size_tokens, s.overlap_tokens, s.size_chars))
+        docs = self.tables.read("documents").select(F.col("id").alias("document_id"), "title", F.col("current_extraction_id").alias("extraction_id"))
+        keys = extractions.select("document_id")
+        shaped = lambda name, rows: self._shaped(rows, self.tables.read(name))
+        chunks = self.tables.merge("chunks", shaped("chunks", new.join(docs.select("document_id", "extraction_id"), "document_id", "left")), "document_id", keys)
+        vectors = imports.embedded(chunks.withColumn("embed_text", F.concat(F.lit(s.document_prefix), F.col("text"))), self.embed)
+        self.tables.merge("chunk_vectors", shaped("chunk_vectors", catalog.checked_vectors(vectors, self.settings.embedding_dim)), "document_id", keys)
+        marks = self.tables.read("bookmarks").join(keys.distinct(), "document_id", "left_semi")
+        tags = catalog.tag_union(marks.withColumn("tags", F.to_json("tags"))).select("document_id", F.to_json("tags").alias("tags"))
+        wide = chunks.join(docs.select("document_id", "title"), "document_id", "left").join(tags, "document_id", "left")
+        terms = self.tables.scratch(lexical.index(wide, columns=("text", "title", "tags"), keep=("document_id",)))
+        self.tables.merge("chunk_lengths", shaped("chunk_lengths", terms), "document_id", keys)
+        self.tables.merge("postings", shaped("postings", lexical.postings(terms, keep=("document_id",))), "document_id", keys, order=("term", "chunk_id"))
+        self.tables.drop(terms)
+        self._set_states(keys.distinct().select(F.col("document_id").alias("id"), F.lit("fetched").alias("state")), now)
 
     def search(self, query: str, k: int = 10, filters: search.Filters = search.Filters()) -> DataFrame:
         if not query:
@@ -118,7 +197,12 @@ class Engine:
     # --- topics, jobs
 
     def rebuild_interests(self, now: Column | None = None) -> str:
-        return interests.rebuild(self.tables, F.current_timestamp() if now is None else now, self.settings.clustering, self.labeler, self.settings.tenant_id)
+        return interests.rebuild(self.tables, F.current_timestamp() if now is None else now, self.settings.clustering, self.labeler, self.settings.tenant_id, self.clusterer)
+
+    def interest(self, cluster_id: str, members: int = 50) -> DataFrame:
+        """One topic with its most central members."""
+        found = self._one(self._own("clusters").where(F.col("id") == cluster_id), cluster_id)
+        return interests.interests(found, self.tables.read("cluster_documents").where(F.col("cluster_id") == cluster_id), self.tables.read("documents"), 1, members)
 
     def interests(self, limit: int = 50, members: int = 5) -> DataFrame:
         return interests.interests(self.tables.read("clusters"), self.tables.read("cluster_documents"), self.tables.read("documents"), limit, members)
@@ -131,16 +215,55 @@ class Engine:
         return jobs.metrics(self.tables.read("jobs"), F.current_timestamp() if now is None else now, window_seconds, self.settings.tenant_id)
 
     def prune_jobs(self, status: str | None = None, before: Column | None = None) -> int:
-        stay, gone = jobs.pruned(self.tables.read("jobs"), status, before, self.settings.tenant_id)
-        n = gone.count()
-        self.tables.replace("jobs", stay)
+        _, gone = jobs.pruned(self.tables.read("jobs"), status, before, self.settings.tenant_id)
+        ids = self.tables.scratch(gone.select("id"))
+        n = ids.count()
+        self.tables.merge("jobs", self.tables.read("jobs").limit(0), "id", ids)
+        self.tables.drop(ids)
         return n
 
-    def refetch_all(self, state: str | None = None, force: bool = False, now: Column | None = None) -> None:
-        self.tables.append("jobs", jobs.refetch(self.tables.read("documents"), F.current_timestamp() if now is None else now, state, force, self.settings.tenant_id))
-
-    def reindex_all(self, state: str = "fetched", now: Column | None = None) -> None:
-        self.tables.append("jobs", jobs.reindex(self.tables.read("documents"), F.current_timestamp() if now is None else now, state, self.settings.tenant_id))
+    def enqueue(self, kind: str, documents: DataFrame, now: Column | None = None) -> DataFrame:
+        """Adds a job for each document (document_id), and returns the jobs."""
+        return self.tables.append("jobs", jobs.new_jobs(documents, kind, F.current_timestamp() if now is None else now, self.settings.tenant_id))
+
+    def _enqueue_for(self, chosen: DataFrame, kind: str, now: Column | None) -> DataFrame:
+        targets = self.tables.scratch(chosen.select(F.col("id").alias("document_id")))
+        if kind == "fetch":
+            self._set_states(targets.select(F.col("document_id").alias("id"), F.lit("pending").alias("state")), now)
+        out = self.enqueue(kind, targets, now)
+        self.tables.drop(targets)
+        return out
+
+    def refetch(self, document_id: str, force: bool = False, now: Column | None = None) -> str:
+        """Enqueues a fetch of a document, which is pending again, and returns the job's id. A dead one needs force."""
+        row = self._one(self._own("documents").where(F.col("id") == document_id), document_id)
+        if row.first()["state"] == "dead" and not force:
+            raise Conflict(f"{document_id} is dead")
+        return self._enqueue_for(row, "fetch", now).first()["id"]
+
+    def reindex(self, document_id: str, now: Column | None = None) -> str:
+        """Enqueues the index of a document's current extraction, and returns the job's id."""
+        row = self._one(self._own("documents").where(F.col("id") == document_id), document_id)
+        if row.first()["current_extraction_id"] is None:
+            raise Conflict(f"{document_id} has no extraction")
+        return self._enqueue_for(row, "index", now).first()["id"]
+
+    def refetch_all(self, state: str | None = None, force: bool = False, now: Column | None = None) -> int:
+        """Enqueues fetches of all documents of a state, else of all but dead ones, which force brings back; returns how many."""
+        return self._enqueue_for(jobs.to_refetch(self._own("documents"), state, force), "fetch", now).count()
+
+    def reindex_all(self, state: str = "fetched", now: Column | None = None) -> int:
+        return self._enqueue_for(jobs.to_reindex(self._own("documents"), state), "index", now).count()
+
+    def work(self, fetch: worker.Fetch | None = None, rules: DataFrame | Callable[[], DataFrame] | None = None, now: Column | None = None, kinds: tuple[str, ...] = (), **how) -> int:
+        """Runs jobs that are due until none is left, and returns how many were run. fetch: see worker.fetch_handler."""
+        at = F.current_timestamp() if now is None else now
+        return queue.drain(self.tables, None, worker.handlers(self, fetch, rules, at), at, kinds, on_failed=lambda rows: worker.mark_failed(self, rows, at), **how)
+
+    def work_stream(self, arriving: DataFrame, checkpoint: str, fetch: worker.Fetch | None = None, rules: DataFrame | Callable[[], DataFrame] | None = None, **how) -> StreamingQuery:
+        """Runs jobs as they arrive and as they are due."""
+        at = F.current_timestamp()
+        return queue.run(arriving, self.tables, worker.handlers(self, fetch, rules, at), checkpoint, on_failed=lambda rows: worker.mark_failed(self, rows, at), **how)
 
     def stats(self) -> DataFrame:
         """(what, key, n): documents by state, jobs by status, and bookmarks."""

@@ -1,12 +1,16 @@
-"""Changes of stored tables, each as the table that results. Parquet tables have no MERGE, so writers replace what these return."""
+"""Changes of stored tables, each as the rows that result, and the tables themselves."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import STORED
+
 
 def stable_id(*parts: Column) -> Column:
     """An id that depends on what it identifies alone, in the form of a UUID."""
@@ -81,46 +85,146 @@ def latest_run(runs: DataFrame, done_only: bool = False, tenant: str = "local")
     return (own.where("status = 'done'") if done_only else own).orderBy(F.desc("created_at"), "id").limit(1)
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has changed the table since it was read."""
+
+
 class Tables:
-    """Tables as folders of Parquet files below one path, replaced as a whole.
+    """Tables below one path, each a list of Parquet parts that a manifest names.
 
-    A new version is written beside the current one and then named as current, so a reader sees the old version or the new one, and a writer
-    that is lost leaves the old one.
+    A change writes a part beside the others, and then a manifest with the next number: readers see all of the change or none of
+    it, and a writer that is lost leaves the last manifest. A row is replaced by its key: the manifest also names lists of replaced keys, each of which holds
+    for the parts before it. So a change costs what it changes, not what the table holds; after `most_parts` parts the table is written anew as
+    one. Tables of quern.schemas exist from the start, without rows. Of two writers that start from one manifest, the later one raises ConcurrentWrite.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, most_parts: int = 24) -> None:
+        self.spark, self.root, self.most_parts = spark, root.rstrip("/"), most_parts
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, name: str) -> str | None:
+    def _names(self, name: str) -> list[str]:
         fs, p = self._fs(f"{self.root}/{name}")
-        if not fs.exists(p):
-            return None
-        done = sorted(x.getPath().getName() for x in fs.listStatus(p) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")))
-        return f"{self.root}/{name}/{done[-1]}" if done else None
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _manifests(self, name: str) -> list[dict]:
+        """The last two manifests that are whole, the newest first."""
+        out: list[dict] = []
+        for file in reversed([n for n in self._names(name) if n.startswith("_manifest-")]):
+            fs, p = self._fs(f"{self.root}/{name}/{file}")
+            stream = fs.open(p)
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            try:
+                out.append(json.loads(text))
+            except ValueError:  # its writer was lost
+                continue
+            if len(out) == 2:
+                break
+        return out
+
+    def _commit(self, name: str, manifest: dict, before: dict | None) -> None:
+        number = manifest["number"] = (before["number"] if before else 0) + 1
+        fs, p = self._fs(f"{self.root}/{name}/_manifest-{number:012d}.json")
+        try:
+            out = fs.create(p, False)
+        except Exception as e:
+            raise ConcurrentWrite(name) from e
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        keep = {x["dir"] for m in (manifest, before) if m for x in (*m["parts"], *m["gone"])} | {f"_manifest-{n:012d}.json" for n in (number, number - 1)}
+        for n in self._names(name):
+            # what is written but not named yet may be another writer's
+            if n not in keep and (n.startswith("_manifest-") or int(n[1:].split("-")[0]) < number):
+                fs.delete(self._fs(f"{self.root}/{name}/{n}")[1], True)
+
+    def _write(self, name: str, rows: DataFrame, number: int, order: list[str]) -> str:
+        at = f"v{number:012d}-{uuid.uuid4().hex}"
+        (rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows).write.parquet(f"{self.root}/{name}/{at}")
+        return at
+
+    def _part(self, name: str, at: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/{at}")
 
     def exists(self, name: str) -> bool:
-        return self._current(name) is not None
+        return bool(self._manifests(name))
 
     def read(self, name: str) -> DataFrame:
-        at = self._current(name)
-        if at is None:
+        found = self._manifests(name)
+        if not found:
+            if name in STORED:
+                return self.spark.createDataFrame([], STORED[name])
             raise FileNotFoundError(f"{self.root}/{name}")
-        return self.spark.read.parquet(at)
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Writes rows as the table's new version, and drops all but the version before it."""
-        current = self._current(name)
-        number = int(current.rsplit("/v", 1)[1].split("-")[0]) + 1 if current else 0
-        rows.write.parquet(f"{self.root}/{name}/v{number:012d}-{uuid.uuid4().hex}")
-        fs, p = self._fs(f"{self.root}/{name}")
-        keep = {self._current(name), current}
-        for x in fs.listStatus(p):
-            if f"{self.root}/{name}/{x.getPath().getName()}" not in keep:
-                fs.delete(x.getPath(), True)
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, self.read(name).unionByName(rows) if self.exists(name) else rows)
+        m = found[0]
+        path = f"{self.root}/{name}/"
+        if not m["gone"]:
+            return self.spark.read.parquet(*(path + x["dir"] for x in m["parts"]))
+        key = m["key"]
+        gone = [self._part(name, x["dir"]).select(F.col(key).alias("_gone_key"), F.lit(x["number"]).alias("_gone_at")) for x in m["gone"]]
+        last = reduce(DataFrame.unionAll, gone).groupBy("_gone_key").agg(F.max("_gone_at").alias("_gone_at"))
+        end = m["gone"][-1]["number"]
+        old = [self._part(name, x["dir"]).withColumn("_at", F.lit(x["number"])) for x in m["parts"] if x["number"] < end]
+        new = [path + x["dir"] for x in m["parts"] if x["number"] >= end]
+        out = []
+        if old:
+            rows = reduce(DataFrame.unionByName, old)
+            out.append(rows.join(last, F.col(key) == F.col("_gone_key"), "left").where("_gone_at is null or _at >= _gone_at").drop("_at", "_gone_key", "_gone_at"))
+        if new:
+            out.append(self.spark.read.parquet(*new))
+        return reduce(DataFrame.unionByName, out)
+
+    def replace(self, name: str, rows: DataFrame, order: tuple[str, ...] = ()) -> None:
+        """Writes rows as the whole table. order: columns by which its parts are sorted from now on."""
+        before = next(iter(self._manifests(name)), None)
+        order = list(order) or (before["order"] if before else [])
+        number = before["number"] + 1 if before else 1
+        at = self._write(name, rows, number, order)
+        self._commit(name, {"parts": [{"dir": at, "number": number}], "gone": [], "key": None, "order": order}, before)
+
+    def append(self, name: str, rows: DataFrame) -> DataFrame:
+        return self.merge(name, rows)
+
+    def merge(self, name: str, rows: DataFrame, key: str | None = None, keys: DataFrame | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+        """Adds rows, after all rows with their keys (or those in keys, a table with that column) are gone; without a key, none go.
+        Returns the rows as they were written, once. A null key replaces nothing."""
+        before = next(iter(self._manifests(name)), None)
+        m = dict(before) if before else {"parts": [], "gone": [], "key": None, "order": list(order)}
+        m |= {"parts": list(m["parts"]), "gone": list(m["gone"])}
+        if key is not None and m["key"] not in (None, key):
+            raise ValueError(f"{name} replaces rows by {m['key']}")
+        number = before["number"] + 1 if before else 1
+        at = self._write(name, rows, number, m["order"])
+        written = self._part(name, at)
+        if (empty := written.isEmpty()) and before:
+            written = self.spark.createDataFrame([], written.schema)
+            fs, part = self._fs(f"{self.root}/{name}/{at}")
+            fs.delete(part, True)
+        if not empty or not before:
+            m["parts"].append({"dir": at, "number": number})
+        if key is not None and before and not (empty and keys is None):
+            old = (written if keys is None else keys).select(key).where(F.col(key).isNotNull()).distinct()
+            m["gone"].append({"dir": self._write(name, old, number, []), "number": number})
+            m["key"] = key
+        if before and m["parts"] == before["parts"] and m["gone"] == before["gone"]:
+            return written
+        if len(m["parts"]) + len(m["gone"]) > self.most_parts:
+            self._commit(name, m, before)
+            self.replace(name, self.read(name))
+        else:
+            self._commit(name, m, before)
+        return written
+
+    def scratch(self, rows: DataFrame) -> DataFrame:
+        """rows, written once, for what has effects or is read more than once; `drop` deletes them."""
+        at = f"{self.root}/_scratch/{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def drop(self, *scratched: DataFrame) -> None:
+        for df in scratched:
+            for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                if "/_scratch/" in at:
+                    fs, p = self._fs(at)
+                    fs.delete(p, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,35 +33,46 @@ def unit_residuals(points: DataFrame, center: bool = True, id_col: str = "id", v
 def knn_edges(units: DataFrame, k: int = 10, least: float = 0.5, block: int = 2048, id_col: str = "id") -> DataFrame:
     """(src, dst, w): each node's k nearest others at a cosine of at least `least`, equal ones by id.
 
-    Exact: blocks of rows meet in pairs, each pair in a task that multiplies two bounded matrices and keeps the best k of
-    each row; a second step keeps the best k of those. Zero vectors have no edges. Vectors of different lengths are an error.
+    Exact: blocks of rows meet in pairs, each unordered pair in one task that multiplies two bounded matrices and keeps the best k of
+    each row of either side; a second step keeps the best k of those. Zero vectors have no edges. Vectors of different lengths are an error.
     """
     n_blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int")
     counts = units.agg(n_blocks.alias("blocks"))
     rows = units.where(F.exists("unit", lambda x: x != 0)).crossJoin(F.broadcast(counts))  # one row
     rows = rows.withColumn("block", F.expr(f"cast(pmod(xxhash64({id_col}), blocks) as int)"))
-    sides = F.explode(F.concat(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.col("block").alias("left"), o.alias("right"), F.lit(True).alias("is_left"))), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(o.alias("left"), F.col("block").alias("right"), F.lit(False).alias("is_left")))))
-    dealt = rows.select(F.col(id_col).alias("id"), "unit", sides.alias("s")).select("id", "unit", "s.*")
+    sides = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high"))))
+    dealt = rows.select(F.col(id_col).alias("id"), "unit", "block", sides.alias("s")).select("id", "unit", "block", "s.*")
     kind = units.schema[id_col].dataType.simpleString()
 
+    def kept(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The best k of y for each row of x; y is in the order of ids."""
+        for s in range(0, len(x), 256):
+            rough = x[s : s + 256] @ y.T
+            rough[xi[s : s + 256][:, None] == yi[None, :]] = -np.inf
+            if rough.shape[1] > k:  # all that may be among the k best
+                floor = np.partition(rough, -k, axis=1)[:, -k][:, None]
+                rough[rough < floor - 1e-9] = -np.inf
+            r, j = np.nonzero(rough >= least - 1e-9)
+            # added from the first component to the last, whatever the size of the block
+            w = np.zeros(len(r))
+            for c in range(x.shape[1]):
+                w += x[s + r, c] * y[j, c]
+            r, j, w = r[w >= least], j[w >= least], w[w >= least]
+            order = np.lexsort((j, -w, r))
+            r, j, w = r[order], j[order], w[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            best = place < k
+            yield pd.DataFrame({"src": xi[s + r[best]], "dst": yi[j[best]], "w": w[best]})
+
     def best(b: pd.DataFrame) -> pd.DataFrame:
-        left, right = b[b["is_left"]], b[~b["is_left"]].sort_values("id", kind="stable")
-        out = []
-        if len(left) and len(right):
-            x, y = (np.stack([np.asarray(v, dtype=np.float64) for v in s["unit"]]) for s in (left, right))
-            li, ri = left["id"].to_numpy(), right["id"].to_numpy()
-            for s in range(0, len(x), 256):
-                w = x[s : s + 256] @ y.T
-                w[li[s : s + 256][:, None] == ri[None, :]] = -np.inf
-                for r, row in enumerate(w):
-                    at = np.flatnonzero(row >= least - 1e-9)
-                    exact = np.array([float(np.cumsum(x[s + r] * y[j])[-1]) for j in at])
-                    at, exact = at[exact >= least], exact[exact >= least]
-                    first = np.lexsort((at, -exact))[:k]
-                    out.append(pd.DataFrame({"src": li[s + r], "dst": ri[at[first]], "w": exact[first]}))
+        b = b.sort_values("id", kind="stable")
+        low = (b["block"] == b["low"]).to_numpy()
+        x, ids = np.stack(b["unit"].to_list()).astype(np.float64), b["id"].to_numpy()
+        sides = [(low, low)] if low.all() else [(low, ~low), (~low, low)]
+        out = [f for one, other in sides if one.any() and other.any() for f in kept(x[one], ids[one], x[other], ids[other])]
         return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "w": []})
 
-    found = dealt.groupBy("left", "right").applyInPandas(best, f"src {kind}, dst {kind}, w double")
+    found = dealt.groupBy("low", "high").applyInPandas(best, f"src {kind}, dst {kind}, w double")
     order = W.partitionBy("src").orderBy(F.desc("w"), "dst")
     return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
 
@@ -101,30 +112,49 @@ def propagate(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, iters: in
 def cluster(points: DataFrame, k: int = 10, min_similarity: float = 0.5, min_size: int = 3, max_iters: int = 20, center: bool = False, id_col: str = "id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
     """(id, label) of each point; label -1 is noise.
 
-    Neighbours are found in parallel. Propagation goes node by node, each step seeing the one before, so it runs in one
-    task over the edges (at most 2 k for each point, without vectors); points without edges never go there. Clusters are numbered by size,
+    Neighbours are found in parallel. Propagation goes node by node, each step seeing the one before; labels never leave a connected
+    component of the graph, so each component is swept in a task of its own, over its edges (at most 2 k for each point, without vectors), and the
+    result is that of one sweep over all. Points without edges never go there. Clusters are numbered by size,
     largest first, then by their first member in the order of ids; those below min_size are noise.
     """
     edges = undirected(knn_edges(unit_residuals(points, center, id_col, vector_col), k, min_similarity, block, id_col))
     kind = points.schema[id_col].dataType.simpleString()
 
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_ = list(batches)
-        if not all_:
-            return
-        e = pd.concat(all_)
+    def sweep(e: pd.DataFrame) -> pd.DataFrame:
         ids = np.array(sorted(set(e["src"])))
         lab = propagate(len(ids), np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy()), e["w"].to_numpy(), max_iters)
-        yield pd.DataFrame({"id": ids, "root": ids[lab]})
+        return pd.DataFrame({"id": ids, "root": ids[lab]})
 
-    # Nodes keep their order among those with edges, so leaving the others out changes no label.
-    lab = edges.repartition(1).mapInPandas(sweep, f"id {kind}, root {kind}")
+    # Nodes keep their order among those of their component, so leaving the others out changes no label.
+    lab = with_component(edges).groupBy("component").applyInPandas(lambda e: sweep(e), f"id {kind}, root {kind}")
     groups = lab.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("first")).where(F.col("size") >= min_size)
-    numbered = groups.withColumn("label", (F.row_number().over(W.orderBy(F.desc("size"), "first")) - 1).cast("int"))
+    numbered = groups.withColumn("label", (F.row_number().over(W.orderBy(F.desc("size"), "first")) - 1).cast("int"))  # a row for each cluster
     named = lab.join(numbered.select("root", "label"), "root").select(F.col("id").alias("_id"), "label")
     return points.select(id_col).join(named, F.col(id_col) == F.col("_id"), "left").select(id_col, F.coalesce("label", F.lit(NOISE)).alias("label"))
 
 
+def with_component(edges: DataFrame) -> DataFrame:
+    """Undirected edges (src, dst, ...; both directions) with component, the smallest node that each is connected to.
+
+    Every node takes the smallest of its own and its neighbours' components, and then that node's, until none changes: each round groups by node
+    alone, and a long chain is halved by the second step. A round is checkpointed, in Spark's checkpoint folder where one is set.
+    """
+    spark = edges.sparkSession
+    lasting = spark.sparkContext.getCheckpointDir() is not None or spark.conf.get("spark.checkpoint.dir", None) is not None
+    keep = lambda df: df.checkpoint() if lasting else df.persist()
+    edges = keep(edges)
+    at = keep(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("component")))
+    while True:
+        near = edges.select("src", F.col("dst").alias("node")).join(at, "node").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
+        low = at.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        up = low.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        new = keep(low.join(up, "component").select("node", "old", F.least("component", "up").alias("component")))
+        changed = not new.where("old <> component").isEmpty()
+        at = new.select("node", "component")
+        if not changed:
+            return edges.join(at, F.col("src") == F.col("node")).drop("node")
+
+
 def summaries(points: DataFrame, labels: DataFrame, center: bool = True, id_col: str = "id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """(clusters, members): (label, size, cohesion) and (label, id, similarity, rank).
 
@@ -152,6 +182,24 @@ def term_labels(titles: DataFrame, key_cols: list[str], order_col: str = "rank",
     return best.groupBy(*key_cols).agg(F.array_join(named, " ").alias("label"))
 
 
+def label_prompt(titles: Column) -> Column:
+    """What a language model is asked about a group of titles; label_answer reads its answer."""
+    listed = F.array_join(F.transform(titles, lambda t: F.concat(F.lit("- "), t)), "\n")
+    return F.concat(
+        F.lit("Below are titles of documents that one reader saved and that were found to be alike. Use nothing but the titles.\n\n"), listed,
+        F.lit("\n\nAnswer in two lines. The first: NAME: and what they have in common, in at most four words. The second: SUMMARY: and a sentence about it."),
+    )
+
+
+def generated_labels(titles: DataFrame, generate: Callable[[Column], Column]) -> DataFrame:
+    """(label, name, summary) of groups of titles (label, rank, title) by a language model: generate, a function from a column of prompts
+    to a column of answers, such as a pandas UDF that asks a service for a batch at a time. A group whose answer names nothing is left out."""
+    best = F.transform(F.sort_array(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"])  # a few titles of each group
+    asked = titles.groupBy("label").agg(best.alias("titles")).select("label", generate(label_prompt(F.col("titles"))).alias("answer"))
+    named = asked.select("label", label_answer(F.coalesce("answer", F.lit(""))).alias("said"))
+    return named.select("label", "said.name", "said.summary").where("name <> ''")
+
+
 def label_answer(answer: Column) -> Column:
     """(name, summary) of a language model's answer with NAME and SUMMARY lines.
 

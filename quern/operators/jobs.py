@@ -19,14 +19,18 @@ def metrics(jobs: DataFrame, now: Column, window_seconds: int = 3600, tenant: st
     ended = own.where(F.col("status").isin("done", "failed") & (F.col("updated_at") > now - F.make_dt_interval(secs=F.lit(window_seconds))) & F.col("started_at").isNotNull())
     ms = times.millis_between(F.col("started_at"), F.col("updated_at"))
     done = F.col("status") == "done"
-    # One window over both states: the rank of a done job is its place among the done ones.
-    rank = F.percent_rank().over(W.partitionBy("kind", "done").orderBy("ms"))
-    timed = ended.select("kind", done.alias("done"), ms.alias("ms")).withColumn("pct", rank)
+    # Jobs are counted by duration first, so ranks go over the distinct durations of a kind: a percent rank is the share of the others
+    # of its kind and state that took less.
+    counted = ended.groupBy("kind", done.alias("done"), ms.alias("ms")).agg(F.count("*").alias("n"))
+    own = W.partitionBy("kind", "done")
+    less = F.coalesce(F.sum("n").over(own.orderBy("ms").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    all_ = F.sum("n").over(own)
+    timed = counted.withColumn("pct", F.when(all_ > 1, less / (all_ - 1)).otherwise(0.0))
     at = lambda p: F.coalesce(F.min(F.when(F.col("done") & (F.col("pct") >= p), F.col("ms"))), F.lit(0.0))
     by_kind = timed.groupBy("kind").agg(
-        F.count("*").alias("total"),
-        F.count_if(~F.col("done")).alias("failed"),
-        F.coalesce(F.avg(F.when(F.col("done"), F.col("ms"))), F.lit(0.0)).alias("mean_ms"),
+        F.sum("n").alias("total"),
+        F.sum(F.when(F.col("done"), 0).otherwise(F.col("n"))).alias("failed"),
+        F.coalesce(F.sum(F.when(F.col("done"), F.col("ms") * F.col("n"))) / F.sum(F.when(F.col("done"), F.col("n"))), F.lit(0.0)).alias("mean_ms"),
         at(0.50).alias("p50_ms"),
         at(0.95).alias("p95_ms"),
         at(0.99).alias("p99_ms"),
@@ -132,17 +136,14 @@ def live_hosts(failures: DataFrame, now: Column, ttl_seconds: int = 900) -> Data
     return fresh.groupBy("host").agg(F.max_by("kind", F.struct("seen_at", "kind")).alias("kind"))
 
 
-def refetch(documents: DataFrame, now: Column, state: str | None = None, force: bool = False, tenant: str = "local") -> DataFrame:
-    """Fetch jobs for all documents of a state; without one, for all but dead ones, which force brings back."""
-    own = documents.where(F.col("tenant_id") == tenant)
-    chosen = own.where(F.col("state") == state) if state else own if force else own.where("state in ('pending', 'fetched', 'failed')")
-    return new_jobs(chosen.select(F.col("id").alias("document_id")), "fetch", now, tenant)
+def to_refetch(documents: DataFrame, state: str | None = None, force: bool = False) -> DataFrame:
+    """Documents of a state; without one, all but dead ones, which force brings back."""
+    return documents.where(F.col("state") == state) if state else documents if force else documents.where("state in ('pending', 'fetched', 'failed')")
 
 
-def reindex(documents: DataFrame, now: Column, state: str = "fetched", tenant: str = "local") -> DataFrame:
-    """Index jobs for the documents of a state that have an extraction."""
-    chosen = documents.where((F.col("tenant_id") == tenant) & (F.col("state") == state) & F.col("current_extraction_id").isNotNull())
-    return new_jobs(chosen.select(F.col("id").alias("document_id")), "index", now, tenant)
+def to_reindex(documents: DataFrame, state: str = "fetched") -> DataFrame:
+    """Documents of a state that have an extraction."""
+    return documents.where((F.col("state") == state) & F.col("current_extraction_id").isNotNull())
 
 
 def new_jobs(targets: DataFrame, kind: str, now: Column, tenant: str = "local") -> DataFrame:

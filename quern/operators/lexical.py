@@ -17,8 +17,8 @@ from ..functions.text import tokens as plain_tokens
 K1, B = 1.2, 0.75
 
 
-def index(chunks: DataFrame, id_col: str = "chunk_id", columns: tuple[str, ...] = ("text",), stemmed: bool = True) -> DataFrame:
-    """(chunk_id, length, terms): the tokens of the indexed columns, one column after the other.
+def index(chunks: DataFrame, id_col: str = "chunk_id", columns: tuple[str, ...] = ("text",), stemmed: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, columns of keep, terms, length): the tokens of the indexed columns, one column after the other.
 
     Columns are kept apart by a null, so that no phrase runs from one into the next. Write this table, sorted or bucketed by
     what queries filter on, and search it many times.
@@ -28,19 +28,19 @@ def index(chunks: DataFrame, id_col: str = "chunk_id", columns: tuple[str, ...]
     for k, c in enumerate(columns):
         parts += ([F.array(F.lit(None).cast("string"))] if k else []) + [F.coalesce(of(F.col(c)), F.array().cast("array<string>"))]
     all_ = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return chunks.select(F.col(id_col).alias("chunk_id"), all_.alias("terms")).withColumn("length", F.size(F.filter("terms", lambda t: t.isNotNull())))
+    return chunks.select(F.col(id_col).alias("chunk_id"), *keep, all_.alias("terms")).withColumn("length", F.size(F.filter("terms", lambda t: t.isNotNull())))
 
 
-def postings(indexed: DataFrame) -> DataFrame:
-    """(term, chunk_id, length, tf, positions): the index turned round, for tables that are looked up by term.
+def postings(indexed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, chunk_id, columns of keep, length, tf, positions): the index turned round, for tables that are looked up by term.
 
     A chunk's own tokens make its postings, so nothing but a chunk's distinct terms is gathered in one place, and nothing is
     shuffled. Write it in the order of terms: a query then reads the files and row groups of its own terms alone.
     """
     places = F.transform("terms", lambda t, k: F.struct(t.alias("term"), k.alias("at")))
     distinct = F.array_distinct(F.filter("terms", lambda t: t.isNotNull()))
-    each = indexed.select("chunk_id", "length", F.explode(distinct).alias("term"), places.alias("places"))
-    return each.select("term", "chunk_id", "length", F.transform(F.filter("places", lambda p: p["term"] == F.col("term")), lambda p: p["at"]).alias("positions")).select("term", "chunk_id", "length", F.size("positions").alias("tf"), "positions")
+    each = indexed.select("chunk_id", *keep, "length", F.explode(distinct).alias("term"), places.alias("places"))
+    return each.select("term", "chunk_id", *keep, "length", F.transform(F.filter("places", lambda p: p["term"] == F.col("term")), lambda p: p["at"]).alias("positions")).select("term", "chunk_id", *keep, "length", F.size("positions").alias("tf"), "positions")
 
 
 def scores_of_postings(posted: DataFrame, stats: DataFrame, phrases: list[list[str]]) -> DataFrame:

@@ -18,11 +18,11 @@ def nearest(chunks: DataFrame, query: DataFrame, limit: int = 50, vector_col: st
     """chunks' columns but the vector, with distance, score and rank: the `limit` rows nearest to the one row of query.
 
     query has one column, the vector. Filters belong on chunks: they hold before the limit, so no row that passes them is
-    missed. Vectors of another length than the query's raise an error. The query is one row, and each task keeps its
+    missed. Null vectors are near nothing, and a null query finds nothing; vectors of another length than the query's raise an error. The query is one row, and each task keeps its
     best `limit` rows only.
     """
     asked = query.first()  # one vector
-    if asked is None:
+    if asked is None or asked[0] is None:
         asked, chunks = ([],), chunks.where("false")
     q = np.asarray(asked[0], dtype=np.float64)
 
@@ -33,7 +33,7 @@ def nearest(chunks: DataFrame, query: DataFrame, limit: int = 50, vector_col: st
         x = np.stack(rows).astype(np.float64) if len(rows) else np.zeros((0, len(q)))
         return pd.Series(np.sqrt(((x - q) ** 2).sum(axis=1)))
 
-    best = chunks.withColumn("distance", away(F.col(vector_col))).drop(vector_col).orderBy("distance", "chunk_id").limit(limit)
+    best = chunks.where(F.col(vector_col).isNotNull()).withColumn("distance", away(F.col(vector_col))).drop(vector_col).orderBy("distance", "chunk_id").limit(limit)
     return ranked(best.withColumn("score", vectors.similarity(F.col("distance"))), F.asc("distance"), F.asc("chunk_id"))
 
 

@@ -25,7 +25,15 @@ def titles_of(members: DataFrame, documents: DataFrame, most: int = 12) -> DataF
     return members.where(F.col("rank") <= most).join(docs, "id").select("label", "rank", "title")
 
 
-def rebuild(tables: catalog.Tables, now: Column, settings: Clustering | None = None, labeler: Callable[[DataFrame], DataFrame] | None = None, tenant: str = "local") -> str:
+#: Points (id, embedding) and settings to (id, label); label -1 is noise.
+Clusterer = Callable[[DataFrame, Clustering], DataFrame]
+
+
+def knn_graph(points: DataFrame, s: Clustering) -> DataFrame:
+    return clustering.cluster(points, s.k, s.min_similarity, s.min_cluster_size, s.max_iters, s.center)
+
+
+def rebuild(tables: catalog.Tables, now: Column, settings: Clustering | None = None, labeler: Callable[[DataFrame], DataFrame] | None = None, tenant: str = "local", clusterer: Clusterer | None = None) -> str:
     """Clusters the fetched documents anew and returns the id of the run that now holds.
 
     Without vectors an earlier run stays, and its id is returned. A failure marks the new run failed and leaves the last done one in place.
@@ -46,7 +54,7 @@ def rebuild(tables: catalog.Tables, now: Column, settings: Clustering | None = N
 
     def run(status: str, n: int = 0, clusters: int = 0, noise: int = 0, error: str | None = None) -> DataFrame:
         return spark.range(1).select(
-            F.lit(run_id).alias("id"), F.lit(tenant).alias("tenant_id"), F.lit(status).alias("status"), F.lit("knn-graph").alias("algo"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), F.lit(error).cast("string").alias("error"),
+            F.lit(run_id).alias("id"), F.lit(tenant).alias("tenant_id"), F.lit(status).alias("status"), F.lit("knn-graph" if clusterer is None else getattr(clusterer, "__name__", "custom")).alias("algo"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), F.lit(error).cast("string").alias("error"),
             F.lit(n).alias("num_documents"), F.lit(clusters).alias("num_clusters"), F.lit(noise).alias("num_noise"), at.alias("started_at"), at.alias("finished_at"), at.alias("created_at"), at.alias("updated_at"),
         )
 
@@ -54,9 +62,7 @@ def rebuild(tables: catalog.Tables, now: Column, settings: Clustering | None = N
         return new if runs is None else runs.where("status = 'done'").unionByName(new)
 
     try:
-        labels = clustering.cluster(points, s.k, s.min_similarity, s.min_cluster_size, s.max_iters, s.center)
-        tables.replace("cluster_labels", labels)  # read three times below; the propagation runs once
-        labels = tables.read("cluster_labels")
+        labels = tables.scratch((clusterer or knn_graph)(points, s))  # read three times below; the propagation runs once
         sizes, members = clustering.summaries(points, labels, s.center)
         titles = titles_of(members, documents)
         named = clustering.term_labels(titles.withColumnRenamed("label", "cluster"), ["cluster"]).withColumnRenamed("label", "term_name")
@@ -74,6 +80,7 @@ def rebuild(tables: catalog.Tables, now: Column, settings: Clustering | None = N
         n = labels.agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("c"), F.count_if(F.col("label") < 0).alias("x")).first()
         tables.replace("cluster_runs", keep_done(run("done", n["n"], n["c"], n["x"])))
         kept = tables.read("clusters").where(F.col("run_id") == run_id)
+        tables.drop(labels)
         tables.replace("cluster_documents", tables.read("cluster_documents").join(kept.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi").select("cluster_id", "document_id", "similarity"))
         tables.replace("clusters", kept)
         tables.replace("cluster_runs", tables.read("cluster_runs").where(F.col("id") == run_id))

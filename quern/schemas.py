@@ -17,8 +17,10 @@ DOCUMENTS = _table(
     {"url_canonical": _S, "title": _S, "author": _S, "language": _S, "published_at": _TS, "word_count": _I, "current_extraction_id": _S},
 )
 EXTRACTIONS = _table({"id": _S, "document_id": _S, "fetcher": _S, "status": _S, "fetched_at": _TS}, {"markdown": _S, "raw_path": _S, "extraction_meta": _S, "error_message": _S})
-CHUNKS = _table({"id": _S, "document_id": _S, "extraction_id": _S, "ord": _I, "text": _S}, {"token_count": _I})
-CHUNK_VECTORS = _table({"chunk_id": _S, "embedding": T.ArrayType(T.FloatType(), False)})
+CHUNKS = _table({"chunk_id": _S, "document_id": _S, "ord": _I, "text": _S}, {"extraction_id": _S, "token_count": _I})
+CHUNK_VECTORS = _table({"chunk_id": _S, "document_id": _S, "ord": _I, "embedding": T.ArrayType(T.FloatType())})
+CHUNK_LENGTHS = _table({"chunk_id": _S, "document_id": _S, "length": _I})
+POSTINGS = _table({"term": _S, "chunk_id": _S, "length": _I, "tf": _I, "positions": T.ArrayType(_I), "document_id": _S})
 BOOKMARKS = _table(
     {"id": _S, "tenant_id": _S, "url": _S, "source": _S, "saved_at": _TS, "created_at": _TS, "updated_at": _TS},
     {"document_id": _S, "title": _S, "folder_path": _S, "tags": T.ArrayType(_S)},
@@ -35,6 +37,12 @@ CLUSTERS = _table({"id": _S, "tenant_id": _S, "run_id": _S, "size": _I, "cohesio
 CLUSTER_DOCUMENTS = _table({"cluster_id": _S, "document_id": _S, "similarity": _D})
 PARSED_BOOKMARK = _table({"url": _S}, {"title": _S, "folder_path": _S, "tags": T.ArrayType(_S), "saved_at": _TS})
 
+#: Tables by their names in a store.
+STORED = {
+    "documents": DOCUMENTS, "document_extractions": EXTRACTIONS, "chunks": CHUNKS, "chunk_vectors": CHUNK_VECTORS, "chunk_lengths": CHUNK_LENGTHS, "postings": POSTINGS, "bookmarks": BOOKMARKS, "jobs": JOBS,
+    "cluster_runs": CLUSTER_RUNS, "clusters": CLUSTERS, "cluster_documents": CLUSTER_DOCUMENTS,
+}
+
 CONTENT_TYPES = ("article", "repo", "video", "pdf", "thread", "unknown")
 DOC_STATES = ("pending", "fetched", "failed", "dead")
 SOURCES = ("chrome", "safari", "firefox", "manual", "html")

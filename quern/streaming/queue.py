@@ -15,37 +15,54 @@ from ..operators.catalog import Tables
 Handler = Callable[[DataFrame], DataFrame]
 
 
-def drain(tables: Tables, arrived: DataFrame | None, handler: Handler, now: Column, kinds: tuple[str, ...] = (), n: int = 10_000, max_attempts: int = 5) -> None:
-    """One step of the queue: adds arrived jobs, claims those that may run, handles them, and writes the table `jobs` anew.
+def drain(tables: Tables, arrived: DataFrame | None, handler: Handler, now: Column, kinds: tuple[str, ...] = (), n: int = 10_000, max_attempts: int = 5, on_failed: Callable[[DataFrame], None] | None = None) -> int:
+    """Adds arrived jobs, then claims, handles and ends those that may run, n at a time, until none is left; returns how many
+    were handled.
 
-    Jobs that arrive again (a micro-batch that is repeated after a failure) are known by their id and not added twice. A claimed job that the handler says
-    nothing about failed for good.
+    Each step is written before the next one reads it: a claim (jobs are running from then on, and stay so if the handler is
+    lost), what the handler says of it, and what becomes of its jobs. So a handler sees a claimed job once. Jobs that arrive again (a
+    micro-batch that is repeated after a failure) are known by their id and not added twice. A claimed job that the handler says
+    nothing about fails for good. on_failed: is given jobs that did.
     """
     if arrived is not None:
-        arrived = arrived.dropDuplicates(["id"])
-    old = tables.read("jobs") if tables.exists("jobs") else None
-    if old is None:
-        if arrived is None:
-            return
-        tables.replace("jobs", arrived)
-    elif arrived is not None:
-        tables.replace("jobs", old.unionByName(arrived.join(old.select("id"), "id", "left_anti")))
-    all_ = tables.read("jobs")
-    claimed = rules.claim(all_, now, n, kinds)
-    results = handler(claimed).select("id", "ok", "retry", "error")
-    done = claimed.join(results, "id", "left")
-    good = rules.after_success(done.where("ok"), now)
-    bad = rules.after_failure(done.where("not coalesce(ok, false)"), now, F.coalesce("error", F.lit("no handler")), F.coalesce("retry", F.lit(False)), max_attempts)
-    changed = good.unionByName(bad).select(*all_.columns)
-    tables.replace("jobs", all_.join(claimed.select("id"), "id", "left_anti").unionByName(changed))
+        known = tables.read("jobs")
+        tables.append("jobs", arrived.dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti").select(*known.columns))
+    handled = 0
+    while True:
+        claimed = tables.merge("jobs", rules.claim(tables.read("jobs"), now, n, kinds), "id")
+        some = claimed.count()
+        if not some:
+            return handled
+        handled += some
+        # a job that the handler speaks of twice has failed if any of it has
+        said = handler(claimed).groupBy("id").agg(F.min("ok").alias("ok"), F.min("retry").alias("retry"), F.min("error").alias("error"))
+        done = tables.scratch(claimed.join(said, "id", "left"))
+        good = rules.after_success(done.where("ok"), now)
+        bad = rules.after_failure(done.where("not coalesce(ok, false)"), now, F.coalesce("error", F.lit("no handler")), F.coalesce("retry", F.lit(False)), max_attempts)
+        ended = tables.merge("jobs", good.unionByName(bad).select(*claimed.columns), "id")
+        if on_failed is not None:
+            on_failed(ended.where("status = 'failed'"))
+        tables.drop(done)
+
+
+def reset_orphans(tables: Tables, now: Column) -> None:
+    """Jobs that were running when the last run ended are pending again."""
+    tables.merge("jobs", rules.orphans_reset(tables.read("jobs").where("status = 'running'"), now), "id")
+
+
+def with_ticks(stream: DataFrame) -> DataFrame:
+    """The stream, with a micro-batch each second even if nothing arrives, so that retries run when they are due."""
+    ticks = stream.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load().where("value < 0")
+    return stream.unionByName(ticks.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema)))
 
 
 def run(stream: DataFrame, tables: Tables, handler: Handler, checkpoint: str, now: Callable[[], Column] = F.current_timestamp, available_now: bool = True, **how) -> StreamingQuery:
-    """Starts the queue over a stream of jobs; each micro-batch is one step. Jobs that were running when the last run ended are pending
-    again first."""
-    if tables.exists("jobs"):
-        tables.replace("jobs", rules.orphans_reset(tables.read("jobs"), now()))
-    writer = stream.writeStream.foreachBatch(lambda batch, _: drain(tables, batch, handler, now(), **how)).option("checkpointLocation", checkpoint)
+    """Starts the queue over a stream of jobs; each micro-batch drains it. Jobs that were running when the last run ended are pending
+    again first, and what is due is handled before anything arrives."""
+    reset_orphans(tables, now())
+    drain(tables, None, handler, now(), **how)
+    source = stream if available_now else with_ticks(stream)
+    writer = source.writeStream.foreachBatch(lambda batch, _: drain(tables, batch, handler, now(), **how)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="500 milliseconds")).start()
 
 

@@ -1,4 +1,7 @@
 import datetime as dt
+import random
+import time
+import uuid
 
 import numpy as np
 import pytest
@@ -6,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern import schemas
-from quern.engine import Engine
-from quern.operators import catalog, jobs
+from quern.engine import Conflict, Engine
+from quern.operators import catalog, clustering, jobs
 from quern.plans import imports
 from quern.sources.config import load_settings
 from quern.streaming import queue
@@ -104,6 +107,56 @@ def test_tables_keep_the_last_version(spark, tmp_path):
     assert t.read("x").count() == 13 and len([p for p in (tmp_path / "x").iterdir() if p.name.startswith("v")]) == 2
 
 
+def test_merges(spark, tmp_path):
+    """Random changes by key, with few and many parts, against a dictionary."""
+    rng = random.Random(1)
+    for most in (3, 100):
+        t, want = catalog.Tables(spark, str(tmp_path / str(most)), most), {}
+        for step in range(9):
+            rows = [(rng.randrange(12), step, n) for n in range(rng.randrange(0, 4))]
+            cleared = rng.sample(range(12), rng.randrange(0, 3)) if step % 2 else None
+            df = spark.createDataFrame(rows, "id long, step int, n int")
+            keys = None if cleared is None else spark.createDataFrame([(k,) for k in cleared], "id long")
+            written = t.merge("x", df, "id", keys)
+            assert sorted(map(tuple, written.collect())) == sorted(rows)
+            for k in {r[0] for r in rows} if cleared is None else cleared:
+                want.pop(k, None)
+            for r in rows:
+                want.setdefault(r[0], []).append(r)
+            assert sorted(map(tuple, t.read("x").collect())) == sorted(r for rs in want.values() for r in rs)
+    with pytest.raises(ValueError, match="replaces rows by id"):
+        t.merge("x", df, "step")
+
+
+def test_appends_write_what_they_add(spark, tmp_path):
+    t = catalog.Tables(spark, str(tmp_path))
+    t.replace("x", spark.range(100_000))
+    held = {p.name for p in (tmp_path / "x").iterdir()}
+    t.append("x", spark.range(1))
+    assert t.read("x").count() == 100_001 and {n for n in held if n.startswith("v")} <= {p.name for p in (tmp_path / "x").iterdir()}
+    t.append("x", spark.range(0))  # nothing to add: no new part
+    assert len([p for p in (tmp_path / "x").iterdir() if p.name.startswith("v")]) == 2
+
+
+def test_tables_start_empty_and_survive_lost_writers(spark, tmp_path):
+    t = catalog.Tables(spark, str(tmp_path))
+    assert all(t.read(n).count() == 0 and not t.exists(n) for n in schemas.STORED)
+    with pytest.raises(FileNotFoundError):
+        t.read("unknown")
+    t.replace("x", spark.range(3))
+    (tmp_path / "x" / "_manifest-000000000002.json").write_text('{"parts": [')  # a writer that was lost while it named its change
+    assert t.read("x").count() == 3
+    real = t._manifests
+    stale = real("x")
+    (tmp_path / "x" / "_manifest-000000000002.json").unlink()
+    t.append("x", spark.range(1))
+    t._manifests = lambda name: stale
+    with pytest.raises(catalog.ConcurrentWrite):
+        t.append("x", spark.range(10))
+    t._manifests = real
+    assert t.read("x").count() == 4
+
+
 def test_import(spark):
     incoming = spark.createDataFrame(
         [(0, "https://h/a?utm_source=x", "A", "/F", ["t"], None), (1, "https://H/a", "again", "", [], None), (2, "javascript:x", "", "", [], None), (3, "https://h/b", "", "", [], at(1)), (4, "https://h/c", "", "", [], None)],
@@ -140,6 +193,67 @@ def test_queue_stream(spark, tmp_path):
     assert len(got) == 3 and got["a"]["attempts"] == 1 and got["b"]["attempts"] == 2
 
 
+def counting(folder, answer="true"):
+    """A handler that leaves a file for each call of a job, and whose answers may differ from call to call."""
+
+    def handle(rows):
+        @F.udf("struct<ok:boolean,retry:boolean>")
+        def of(i):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(i)
+            ok = answer == "true" or random.random() < 0.5
+            return ok, answer == "retry"
+
+        said = rows.select("id", of.asNondeterministic()(F.col("id")).alias("s"))
+        return said.select("id", "s.ok", "s.retry", F.lit("erratic").alias("error"))
+
+    return handle
+
+
+@pytest.mark.parametrize("answer", ["true", "erratic"])
+def test_each_job_is_handled_once(spark, tmp_path, answer):
+    t = catalog.Tables(spark, str(tmp_path / "t"))
+    (tmp_path / "calls").mkdir()
+    arrived = table(spark, [job(f"j{k}", created=k) for k in range(20)])
+    assert queue.drain(t, arrived, counting(tmp_path / "calls", answer), now(), n=8) == 20
+    rows = t.read("jobs").collect()
+    calls = sorted(p.read_text() for p in (tmp_path / "calls").iterdir())
+    assert calls == sorted(f"j{k}" for k in range(20)) and sorted(r["id"] for r in rows) == calls
+    assert {r["status"] for r in rows} == ({"done"} if answer == "true" else {"done", "failed"}) and {r["attempts"] for r in rows} == {1}
+
+
+def test_jobs_of_a_lost_handler_run_again(spark, tmp_path):
+    src, t = str(tmp_path / "in"), catalog.Tables(spark, str(tmp_path / "t"))
+    table(spark, [job("a"), job("b")]).write.parquet(src)
+
+    def lost(rows):
+        raise RuntimeError("killed")
+
+    stream = lambda: spark.readStream.schema(JOB).parquet(src)
+    with pytest.raises(Exception, match="killed"):
+        queue.run(stream(), t, lost, str(tmp_path / "cp"), now).awaitTermination()
+    assert {r["status"] for r in t.read("jobs").collect()} == {"running"}
+    queue.run(stream(), t, lambda rows: rows.select("id", F.lit(True).alias("ok"), F.lit(False).alias("retry"), F.lit(None).cast("string").alias("error")), str(tmp_path / "cp"), now).awaitTermination()
+    got = t.read("jobs").collect()
+    assert {(r["id"], r["status"], r["attempts"]) for r in got} == {("a", "done", 2), ("b", "done", 2)} and len(got) == 2
+
+
+def test_retries_run_on_an_idle_stream(spark, tmp_path):
+    src, t = str(tmp_path / "in"), catalog.Tables(spark, str(tmp_path / "t"))
+    (tmp_path / "in").mkdir()
+    start = time.time()
+    clock = lambda: F.lit(dt.datetime(2024, 5, 1, 12) + dt.timedelta(seconds=60 * (time.time() - start)))  # noqa: E731  a minute a second
+    t.append("jobs", table(spark, [job("a")]))
+    failing = lambda rows: rows.select("id", (F.col("attempts") > 1).alias("ok"), F.lit(True).alias("retry"), F.lit("boom").alias("error"))
+    q = queue.run(spark.readStream.schema(JOB).parquet(src), t, failing, str(tmp_path / "cp"), clock, available_now=False)
+    try:
+        while time.time() < start + 90 and t.read("jobs").first()["status"] != "done":
+            time.sleep(1)
+        assert (t.read("jobs").first()["status"], t.read("jobs").first()["attempts"]) == ("done", 2)
+    finally:
+        q.stop()
+
+
 def test_rates_as_a_stream(spark, tmp_path):
     rows = spark.createDataFrame([(at(k), "fetch") for k in (1, 2, 12)] + [(dt.datetime(2024, 5, 2), "fetch")], "ts timestamp, kind string")
     rows.write.parquet(str(tmp_path / "in"))
@@ -157,12 +271,74 @@ def embedder(column):
     return F.array(*(F.size(F.split(F.lower(column), w)).cast("float") - 1 for w in WORDS))
 
 
+def fetched(pages):
+    """A fetcher of a made-up web: pages 0 to 7 are there, others are gone, or don't answer."""
+    n = F.regexp_extract("url", r"(\d+)$", 1)
+    ok = n.cast("int") < 8
+    return pages.select(
+        "document_id", ok.alias("ok"), (n == "9").alias("retry"), F.when(~ok, F.when(n == "8", "dead link: 404").otherwise("no answer")).alias("error"), "fetcher",
+        F.concat(F.lit("# Page "), n, F.lit("\n\nRust borrow rules of page "), n).alias("markdown"), F.concat(F.lit("Page "), n).alias("title"), F.lit("article").alias("content_type"), F.concat("url", F.lit("/")).alias("final_url"),
+    )
+
+
+def test_worker_from_an_empty_folder(spark, tmp_path):
+    """Bookmarks go through fetch, index and cluster jobs; nothing is there at first."""
+    e = Engine(spark, str(tmp_path), load_settings("embedding_dim: 4\nclustering: {center: false}"), embedder)
+    for k in (0, 3, 8, 9):
+        assert e.add_bookmark(f"https://h.example.com/{k}", tags=["db"], now=now()).first()["jobs_enqueued"] == 1
+    e.tables.append("jobs", table(spark, [job("lone", payload='{"document_id": "nobody"}'), job("c", "cluster", created=59), job("odd", "summarize")]))
+    rules = spark.createDataFrame([(1, "any", [], "reader")], "rule_no int, kind string, hosts array<string>, fetcher string")
+    assert e.work(fetched, lambda: rules, now()) == 9
+    docs = {r["url"]: r for r in e.tables.read("documents").collect()}
+    state = {u[-1]: (r["state"], r["title"], r["content_type"], r["url_canonical"]) for u, r in docs.items()}
+    assert state == {
+        "0": ("fetched", "Page 0", "article", "https://h.example.com/0/"), "3": ("fetched", "Page 3", "article", "https://h.example.com/3/"),
+        "8": ("dead", None, "unknown", None), "9": ("pending", None, "unknown", None),
+    }
+    ended = {(r["kind"], r["status"], r["last_error"]) for r in e.tables.read("jobs").collect()}
+    assert ended == {("fetch", "done", None), ("index", "done", None), ("cluster", "done", None), ("fetch", "failed", "dead link: 404"), ("fetch", "pending", "no answer"), ("fetch", "failed", "no document nobody"), ("summarize", "failed", "no handler")}
+    three = docs["https://h.example.com/3"]["id"]
+    assert e.document(three).first()["markdown"].startswith("# Page 3") and e.document(three).first()["fetcher"] == "reader"
+    assert [r["url"] for r in e.search("page 3").collect()][0] == "https://h.example.com/3"
+    assert e.chunks([f"{three}#0"]).first()["extraction_id"] == docs["https://h.example.com/3"]["current_extraction_id"] and e.chunks([]).count() == 0
+    # again: a second extraction, and the first one stays
+    later = F.lit("2024-05-02 12:00:00").cast("timestamp")
+    with pytest.raises(Conflict):
+        e.refetch(docs["https://h.example.com/8"]["id"], now=later)
+    assert e.refetch(three, now=later) and e.document(three).first()["state"] == "pending"
+    assert e.work(fetched, now=later) == 3  # the fetch, the index that follows, and the one that did not answer
+    assert e.extractions(three).count() == 2 and e.document(three).first()["current_extraction_id"] == e.extractions(three).first()["id"]
+    assert e.chunks([f"{three}#0"]).count() == 1
+    first = e.extractions(three).collect()[1]["id"]
+    e.set_current_extraction(three, first)
+    assert e.document(three).first()["current_extraction_id"] == first
+    for act in (lambda: e.set_current_extraction(three, "none"), lambda: e.refetch("none"), lambda: e.chunks(["none"]), lambda: e.interest("none"), lambda: e.bookmark("none"), lambda: e.set_state("none", "dead")):
+        with pytest.raises(KeyError):
+            act()
+    with pytest.raises(Conflict):
+        e.reindex(docs["https://h.example.com/8"]["id"])
+    at = F.lit("2024-05-03 12:00:00").cast("timestamp")
+    assert e.reindex(three, at) and e.reindex_all(now=at) == 2 and e.refetch_all(now=at) == 3
+    mark = e.bookmarks().first()["id"]
+    e.link_bookmark(mark, three)
+    assert e.bookmark(mark).first()["document_id"] == three
+    e.set_state(three, "failed", at)
+    assert e.documents("failed").count() == 1 and e.documents("dead").count() == 1
+
+
+def test_labels_by_a_language_model(spark, tmp_path):
+    asked = lambda prompt: F.when(prompt.contains("Rust"), F.concat(F.lit("NAME: Systems\nSUMMARY: About "), F.regexp_extract(prompt, "- ([^\n]*)", 1))).otherwise("")
+    titles = spark.createDataFrame([(0, 2, "B"), (0, 1, "Rust A"), (1, 1, "Pasta")], "label int, rank int, title string")
+    assert [tuple(r) for r in clustering.generated_labels(titles, asked).collect()] == [(0, "Systems", "About Rust A")]
+
+
 def test_engine(spark, tmp_path):
+    def by_host(points, settings):
+        """A clusterer of one's own."""
+        return points.select("id", (F.get("embedding", F.lit(0)) > 0).cast("int").alias("label"))
+
     settings = load_settings("embedding_dim: 4\nclustering: {center: false}")
     e = Engine(spark, str(tmp_path), settings, embedder)
-    for name in ("documents", "bookmarks", "jobs", "document_extractions"):
-        schema = getattr(schemas, {"document_extractions": "EXTRACTIONS"}.get(name, name.upper()))
-        e.tables.replace(name, table(spark, [], schema))
     urls = [(k, f"https://h{k % 2}.example.com/{k}", f"{'Rust borrow' if k % 2 else 'Pasta cooking'} {k}", "", [], None) for k in range(8)]
     incoming = spark.createDataFrame(urls, "place long, url string, title string, folder_path string, tags array<string>, saved_at timestamp")
     c = e.import_bookmarks(incoming, "html", now()).first()
@@ -182,10 +358,14 @@ def test_engine(spark, tmp_path):
     assert [r["size"] for r in shown] == [4, 4] and all(len(r["members"]) == 4 for r in shown) and all(r["run_id"] == run for r in shown)
     assert e.tables.read("cluster_runs").first()["num_clusters"] == 2
     stats = {(r["what"], r["key"]): r["n"] for r in e.stats().collect()}
-    assert stats == {("documents", "fetched"): 8, ("jobs", "pending"): 9, ("bookmarks", "all"): 9} or stats[("documents", "fetched")] == 8
-    e.refetch_all(now=F.lit("2024-05-02").cast("timestamp"))
-    assert e.jobs(kind="fetch").count() >= 16
-    assert e.prune_jobs(status="pending") >= 16 and e.jobs().count() == 0
+    assert stats == {("documents", "fetched"): 8, ("jobs", "pending"): 9, ("bookmarks", "all"): 9}
+    assert e.interest(shown[0]["id"], 2).first()["members"][1]["title"] == shown[0]["members"][1]["title"]
+    own = Engine(spark, str(tmp_path), settings, embedder, clusterer=by_host)
+    own.rebuild_interests(F.lit("2024-05-01 13:00:00").cast("timestamp"))
+    assert own.tables.read("cluster_runs").first()["algo"] == "by_host" and own.interests().count() == 2
+    assert e.refetch_all(now=F.lit("2024-05-02").cast("timestamp")) == 8
+    assert e.jobs(kind="fetch").count() == 17
+    assert e.prune_jobs(status="pending") == 17 and e.jobs().count() == 0
     assert e.document(docs["https://h1.example.com/3"]).count() == 1
     with pytest.raises(KeyError):
         e.related("absent")
