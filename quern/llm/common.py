@@ -85,6 +85,19 @@ def forget(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def maybe_among(df: DataFrame, ids: DataFrame, id_col: str = "id", bits: int = 26) -> DataFrame:
+    """The rows of df whose id may be one of ids (id long): all that are, and by chance few others while there are fewer ids than 2 ** bits.
+
+    A bitmap of hashed ids is what is sent round: 2 ** (bits - 6) rows of two numbers at most, however many ids there are. So a join by id
+    that follows need not move rows that it would drop.
+    """
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << bits))
+    word, bit = unused(df, "_word", "_bit")
+    bitmap = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("b")).groupBy(F.expr("cast(b div 64 as int)").alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias(bit))
+    held = df.join(F.broadcast(bitmap), F.floor(place / 64).cast("int") == F.col(word))
+    return held.where(F.expr(f"shiftrightunsigned(`{bit}`, cast(pmod(xxhash64(`{id_col}`), {1 << bits}L) % 64 as int)) & 1L") == 1).drop(word, bit)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected links: (src long, dst long) to (node long, root long).
 

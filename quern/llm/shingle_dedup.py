@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, forget, materialise
+from .common import components, forget, materialise, maybe_among
 from .simhash import _roots
 
 #: Hashes that are permuted, and columns of a matrix that are multiplied, at a time; rows sent back at a time; hashes whose bits are counted.
@@ -189,7 +189,7 @@ def near_duplicates(
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head")
     groups = components(keys.join(heads, "key").where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst")))
     members = groups.select(F.col("node").alias("id"), "root").unionAll(groups.select(F.col("root").alias("id"), "root").distinct())
-    sets = materialise(_sets(texts.join(members, "id").select("id", "root", "text").distinct(), words))
+    sets = materialise(_sets(maybe_among(texts, members).join(members, "id").select("id", "root", "text").distinct(), words))
     held = [links(sets, least, tile, tile_rows)]
     all_links = held[0]
     if radius is not None:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, forget, materialise, shared_dir
+from quern.llm.common import components, forget, materialise, maybe_among, shared_dir
 
 
 def brute(edges):
@@ -55,3 +55,13 @@ def test_materialise(spark):
     forget(got)
     with pytest.raises(Exception):  # noqa: B017
         got.count()
+
+
+def test_maybe_among(spark):
+    ids = spark.range(0, 3000, 3).union(spark.createDataFrame([(-5,), (None,)], "id long"))
+    df = spark.range(-10, 3000).withColumn("_word", F.lit("own"))
+    for bits in (6, 12, 26):
+        got = {r["id"]: r["_word"] for r in maybe_among(df, ids, bits=bits).collect()}
+        assert {*range(0, 3000, 3), -5} <= set(got) and set(got.values()) == {"own"}
+        assert bits < 26 or len(got) < 1010
+    assert maybe_among(df, ids.where("false")).count() == 0
