@@ -214,9 +214,14 @@ def hostname_exact(texts: pd.Series) -> pd.Series:
     return pd.Series([host(t) for t in texts], dtype=object)
 
 
+def stripped(text: Column) -> Column:
+    """text without white space around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def hostname(url: Column) -> Column:
     """The host in lower case, without user and port; null without an authority."""
-    found = F.lower(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?\[?([^/?#:\]]*)", 1))
+    found = F.lower(F.regexp_extract(stripped(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?\[?([^/?#:\]]*)", 1))
     return F.when(found != "", found)
 
 
@@ -275,7 +280,7 @@ def repository(url: Column) -> Column:
 
 def filter_reason(url: Column) -> Column:
     """Why a URL can't be fetched and indexed; null if it can."""
-    text = F.trim(url)
+    text = stripped(url)
     low = F.lower(text)
     internal = low.startswith(BROWSER_PREFIXES[0])
     for p in BROWSER_PREFIXES[1:]:

@@ -31,6 +31,26 @@ def fuse(lists: list[DataFrame], weights: list[float] | None = None, k: int = 60
     return both.groupBy(*key, "id").agg(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b).alias("score"))
 
 
+def fuse_carrying(lists: list[DataFrame], carried: list[dict[str, str]], weights: list[float] | None = None, k: int = 60, key: tuple[str, ...] = ()) -> DataFrame:
+    """fuse, with columns that the lists bring along: carried has, for each list, its columns by the names they get. Each list is read once; a
+    column of several lists is that of the first one that holds the id."""
+    k = k if k > 0 else 60
+    weights = list(weights or [])
+    names = list(dict.fromkeys(n for c in carried for n in c.values()))
+    kinds = {n: x.schema[c].dataType for x, cs in zip(lists, carried, strict=True) for c, n in cs.items()}
+    each = []
+    for at, (x, cs) in enumerate(zip(lists, carried, strict=True)):
+        of = {n: c for c, n in cs.items()}
+        part = (F.lit(float(weights[at]) if at < len(weights) else 1.0) / (k + F.col("rank"))).alias("part")
+        each.append(x.where("rank >= 1").select(*key, "id", F.lit(at).alias("list"), part, *((F.col(of[n]) if n in of else F.lit(None).cast(kinds[n])).alias(f"_{n}") for n in names)))
+    both = each[0]
+    for x in each[1:]:
+        both = both.unionByName(x)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("list", "part"))), lambda x: x["part"])
+    first = [F.min_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("list"))).alias(n) for n in names]
+    return both.groupBy(*key, "id").agg(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b).alias("score"), *first)
+
+
 def collapse_score(strategy: str, score: str = "score") -> Column:
     """Aggregate: a document's score from its chunks'. max (0 at least), sum, or top3_avg; others are max."""
     if strategy == "sum":

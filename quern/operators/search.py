@@ -83,12 +83,11 @@ def hybrid(bm25: DataFrame, near: DataFrame, k: int = 10, weights: tuple[float,
     """(document_id, score, rank, chunks) from the two legs' results. Each chunk shows its fused score and the score of each leg
     that found it."""
     weights = tuple(w or 1.0 for w in weights)
-    legs = [x.select(F.col("chunk_id").alias("id"), "rank") for x in (bm25, near)]
-    fused = fusion.fuse(legs, list(weights), rrf_k).withColumnRenamed("id", "chunk_id")
-    a = bm25.select("chunk_id", F.col("document_id").alias("_a"), F.col("score").alias("bm25_score"), *([F.col("snippet")] if "snippet" in bm25.columns else []))
-    b = near.select("chunk_id", F.col("document_id").alias("_b"), F.col("score").alias("vector_score"))
-    scored = fused.join(a, "chunk_id", "left").join(b, "chunk_id", "left").withColumn("document_id", F.coalesce("_a", "_b")).drop("_a", "_b")
-    return fusion.collapse(scored, strategy, k)
+    legs = [x.withColumnRenamed("chunk_id", "id") for x in (bm25, near)]
+    shown = {"snippet": "snippet"} if "snippet" in bm25.columns else {}
+    carried = [{"document_id": "document_id", "score": "bm25_score", **shown}, {"document_id": "document_id", "score": "vector_score"}]
+    fused = fusion.fuse_carrying(legs, carried, list(weights), rrf_k)
+    return fusion.collapse(fused.withColumnRenamed("id", "chunk_id"), strategy, k)
 
 
 def related(vectors: DataFrame, documents: DataFrame, document, k: int = 10, strategy: str = "max", fanout: int = 50, pooled: int = 64) -> DataFrame:

@@ -25,7 +25,10 @@ def dispatched(pages: DataFrame, rules: DataFrame, fallback: str | None = None,
 
 def filtered(bookmarks: DataFrame, url_col: str = "url") -> DataFrame:
     """bookmarks with reason (null: it can be indexed) and normalized."""
-    return bookmarks.withColumn("reason", urls.filter_reason(F.col(url_col))).withColumn("normalized", F.when(F.col("reason").isNull(), urls.normalized(F.trim(F.col(url_col)))))
+    return bookmarks.withColumn("reason", urls.filter_reason(F.col(url_col))).withColumn("normalized", F.when(F.col("reason").isNull(), urls.normalized(urls.stripped(F.col(url_col)))))
+
+
+MOST_ERRORS = 10
 
 
 @dataclass
@@ -41,7 +44,7 @@ class Import:
 def import_bookmarks(incoming: DataFrame, documents: DataFrame, bookmarks: DataFrame, source: str, now: Column, tenant: str = "local") -> Import:
     """Adds bookmarks (place, url, title, folder_path, tags, saved_at) of one source.
 
-    Those that can't be indexed go, by reason. A document is made for a URL that has none; of bookmarks with one URL the first is added,
+    Those that can't be indexed go, by reason; the first MOST_ERRORS of them are listed. A document is made for a URL that has none; of bookmarks with one URL the first is added,
     unless there is one from this source; an added one whose document is pending gets a fetch job.
     """
     if source not in SOURCES:
@@ -58,8 +61,9 @@ def import_bookmarks(incoming: DataFrame, documents: DataFrame, bookmarks: DataF
     todo = added.where("state = 'pending'").select("document_id")
     reasons = seen.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
     by = F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("filtered_by")
+    first = seen.where("reason is not null").orderBy("place").limit(MOST_ERRORS).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "url", "reason"))), lambda e: F.concat_ws(": ", e["url"], e["reason"])).alias("errors"))
     total = seen.agg(F.count("*").alias("total"), F.count("reason").alias("filtered"))
-    counts = total.crossJoin(added.agg(F.count("*").alias("created"), F.count_if(F.col("state") == "pending").alias("jobs_enqueued"))).crossJoin(conflicts.agg(F.count("*").alias("skipped"))).crossJoin(reasons.agg(by))
+    counts = total.crossJoin(added.agg(F.count("*").alias("created"), F.count_if(F.col("state") == "pending").alias("jobs_enqueued"))).crossJoin(conflicts.agg(F.count("*").alias("skipped"))).crossJoin(reasons.agg(by)).crossJoin(first)  # one row each
     return Import(
         made.select(F.col("document_id").alias("id"), F.lit(tenant).alias("tenant_id"), "url", F.lit("unknown").alias("content_type"), "state", now.alias("created_at"), now.alias("updated_at")),
         added.select(
