@@ -103,8 +103,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     root is the smallest node that links reach; only nodes with a link are returned. Alternates
     the large-star and small-star steps (Kiveris et al., 2014): each only groups by node with
-    map-side minima, so hubs spread, and the number of links never grows. Two rounds' links are
-    written to the shared folder at a time. Empty input gives an empty result; null ends take no part.
+    map-side minima, so hubs spread, and the number of links never grows. Each round's links are
+    written to the shared folder. Empty input gives an empty result; null ends take no part.
     """
     at = materialise(
         edges.where("src is not null and dst is not null and src <> dst")
@@ -113,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     sign = _sign(at)
     while sign[0]:
-        after = materialise(_stars(_stars(at)))
+        after = materialise(_stars(at))
         new = _sign(after)
         forget(at)
         at = after
@@ -127,13 +127,8 @@ def _stars(at: DataFrame) -> DataFrame:
     """A large-star and a small-star step on links (u, v), u > v."""
     both = at.unionAll(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
-    large = (
-        both.where("v > u")
-        .join(low, "u")
-        .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        # a centre keeps its own links: its smallest neighbour may be larger than itself
-        .distinct()
-    )
+    # a centre keeps its own links: its smallest neighbour may be larger than itself; links that come twice go at the end
+    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
     least = large.groupBy("u").agg(F.min("v").alias("m"))
     return (
         large.join(least, "u")

@@ -4,7 +4,7 @@ Two of 64 bits in ten differ between texts of a similarity of 0.8, so a radius o
 finds them (19) pairs all tiles. Here, texts with the same set of shingles are one set. Sets that share a band of
 minima (MinHash) are candidates of each other, and all that candidates reach is a group. Within a group, sets are compared
 exactly in tiles of bounded size, each of which also holds the group's first set; then only sets outside the largest class that this gives
-are compared with all others of the group, in pairs of tiles. So a large group of copies costs about as much as reading it once, it
+(as a rule, that of the first set) are compared with all others of the group, in pairs of tiles. So a large group of copies costs about as much as reading it once, it
 spreads over tasks, and only links that join something leave a tile. A pair is compared or already in one class
 if a band leads from one to the other: two sets of similarity 0.8 share a band with probability 0.9999.
 """
@@ -152,8 +152,9 @@ def links(sets: DataFrame, least: float, tile: int, tile_rows: int) -> DataFrame
         forget(groups)
         return found
     wide = sets.join(wide, "root").select("id", "root", "hashes")
-    known = components(found.join(wide.select(F.col("id").alias("src")), "src", "left_semi"))
-    labelled = materialise(wide.join(known.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")))
+    # A link leads from a set to the first of its class within the tile; that of the group's first set is one class in all tiles.
+    known = found.select(F.col("src").alias("id"), F.col("dst").alias("label"))
+    labelled = materialise(wide.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")))
     classes = labelled.groupBy("root", "label").agg(*measured)
     first = classes.groupBy("root").agg(F.max(F.struct(F.col("w"), (-F.col("label")).alias("minus"))).alias("most"), F.count("*").alias("classes")).where("classes > 1").select("root", (-F.col("most.minus")).alias("main"))
     sided = labelled.join(first, "root").select("id", "root", "hashes", (F.col("label") == F.col("main")).alias("main"))
@@ -167,7 +168,7 @@ def links(sets: DataFrame, least: float, tile: int, tile_rows: int) -> DataFrame
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = both.repartition(n, F.xxhash64("root", "main2", "chunk", "chunk2")).select(*(F.when(same, F.col(c)).otherwise(F.concat(c, c + "2")).alias(c) for c in ("ids", "sets")))
     out = materialise(found.unionAll(_linked(both, least)))
-    forget(groups, found, known, labelled, sides, tiles)
+    forget(groups, found, labelled, sides, tiles)
     return out
 
 
