@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import hostname, path_of
+from .urls import hostname, path_of, stripped
 
 # Titles and paths that mark login walls and missing pages.
 LOGIN_TITLE = r"(?i)^(sign in|log in|join now|join linkedin)"
@@ -64,4 +64,4 @@ def login_wall(text: Column, page_title: Column, source_url: Column, final_url:
 
 def pdf_markdown(text: Column) -> Column:
     """A document's text with line feeds alone and two of them in a row at most."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\n{3,}", "\n\n"))

@@ -56,7 +56,7 @@ select document_id, round(score, 9) as score, row_number() over (order by score
 
 _JOBS = """
 e0 as (select *, json_extract_string(props, '$.k')::int as k from events),
-jobs as (select event_id as id, event_type as kind, user_id, k % 6 as attempts, ts as created_at, ts + to_microseconds((k * 60000000)::bigint) as run_after, to_microseconds(round(value * 1000)::bigint) + ts as updated_at,
+jobs as (select event_id as id, event_type as kind, user_id, k % 6 as attempts, ts as created_at, ts + to_microseconds(k::bigint * 60000000) as run_after, to_microseconds(round(value * 1000)::bigint) + ts as updated_at,
   round(value * 1000)::bigint / 1000.0::double as ms, case when k >= 80 then 'failed' when k < 10 then 'running' when k < 20 then 'pending' else 'done' end as status,
   case when k >= 80 then 'error ' || k end as last_error, case when k <> 50 then ts end as started_at from e0)"""
 _AT = f"timestamp '{NOW}'"

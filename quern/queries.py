@@ -65,7 +65,7 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(k >= 80, "failed").when(k < 10, "running").when(k < 20, "pending").otherwise("done")
     return _read(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"), F.lit("local").alias("tenant_id"), F.col("event_type").alias("kind"), F.to_json(F.struct(F.col("user_id").alias("document_id"))).alias("payload"), status.alias("status"), (k % 6).alias("attempts"),
-        F.timestamp_micros(F.unix_micros(ts) + k * 60_000_000).alias("run_after"), ts.alias("created_at"), F.timestamp_micros(F.unix_micros(ts) + F.round(F.col("value") * 1000).cast("long")).alias("updated_at"),
+        F.timestamp_micros(F.unix_micros(ts) + k.cast("long") * 60_000_000).alias("run_after"), ts.alias("created_at"), F.timestamp_micros(F.unix_micros(ts) + F.round(F.col("value") * 1000).cast("long")).alias("updated_at"),
         F.when(k >= 80, F.concat(F.lit("error "), k.cast("string"))).alias("last_error"), F.when(k != 50, ts).alias("started_at"),
     )
 

@@ -150,6 +150,11 @@ def read_export(spark: SparkSession, path: str, kind: str) -> DataFrame:
     kind is html, chrome or safari. url is canonical where the raw one has a canonical form. A file that can't be read, or
     without bookmarks, raises.
     """
+    return parse_exports(spark.read.format("binaryFile").load(path).select("path", "content"), kind)
+
+
+def parse_exports(files: DataFrame, kind: str) -> DataFrame:
+    """Bookmarks of files (path, content), as read_export gives them."""
     parse = _PARSERS[kind]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +165,7 @@ def read_export(spark: SparkSession, path: str, kind: str) -> DataFrame:
                     raise EmptyExport(p)
                 yield pd.DataFrame([{"path": p, "place": k, **r} for k, r in enumerate(found)], columns=ROW.names)
 
-    parsed = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, ROW)
+    parsed = files.select("path", "content").mapInPandas(rows, ROW)
     saved = {"html": times.from_attribute, "chrome": times.from_1601_micros, "safari": lambda c: F.lit(None).cast("timestamp")}[kind]
     return _finished(parsed.withColumn("saved_at", saved(F.col("date"))).drop("date"))
 
