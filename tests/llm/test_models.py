@@ -241,6 +241,34 @@ def test_predictions_do_not_depend_on_windows(monkeypatch):
     assert langid.predict_texts(model, sliced)[0] == whole[0]
 
 
+def plain_grams(text, n=4):
+    """n-grams of bytes of a text whose runs of other than letters are one space."""
+    b = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode())
+    b = re.sub(b" +", b" ", b)
+    return [b[k : k + n] for k in range(len(b) - n + 1)]
+
+
+def test_predictions_by_exact_sets(spark):
+    """Languages and scores by sets of n-grams instead of filters: rates, dominance and shares by plain loops."""
+    rng = random.Random(9)
+    rows = [(k, sentence(lang := rng.choice(list(SYLLABLES)), rng, 25) + (" ko sch" if k % 7 == 0 else ""), lang) for k in range(200)]
+    counts = {}
+    for _, t, lang in rows:
+        for g in plain_grams(t):
+            counts.setdefault(lang, {}).setdefault(g, 0)
+            counts[lang][g] += 1
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    held = {lang: {g for g, r in c.items() if r >= 1e-5 and r >= 0.2 * max(x.get(g, 0) for x in rates.values())} for lang, c in rates.items()}
+    model = langid.train(docs(spark, rows))
+    test = [(1000 + k, sentence(lang, rng, 6) + sentence(rng.choice(list(SYLLABLES)), rng, 3), lang) for k, lang in enumerate(list(SYLLABLES) * 12)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs(spark, test), model).collect()}
+    for i, t, _ in test:
+        grams = plain_grams(t)
+        share = {lang: sum(g in held[lang] for g in grams) / len(grams) for lang in model.langs}
+        assert got[i][1] == pytest.approx(max(share.values()), abs=0.02)
+        assert share[got[i][0]] >= max(share.values()) - 0.02
+
+
 def test_masks_hold_many_languages():
     names = [f"l{k}" for k in range(70)]
     model = langid.build(names, [np.array([k * 7919 + 1], dtype=np.uint64) for k in range(70)], 4, 16)
@@ -353,6 +381,38 @@ def test_quality(spark):
     assert quality.score(site.select("doc_id", "text", "host", "path").where("false"), model).count() == 0
 
 
+def test_quality_by_plain_loops(spark):
+    """Posteriors of paths and hosts, leave-one-out priors and scores, by loops over lists."""
+    rng = random.Random(11)
+    df, labels = labelled(spark, [(neutral(rng, 20), 1) if k % 2 else ("%%% ".join(neutral(rng, 8).split()), 0) for k in range(120)])
+    model = quality.train(df, labels)
+    rows = [(k, neutral(rng, 3) + (" %%%" if rng.random() < {"a": 0.1, "b": 0.8, None: 0.5}[h] else ""), h, rng.choice(["x", "y", None])) for k in range(90) for h in [rng.choice(["a", "b", None])]] + [(200, None, "lone", "z")]
+    got = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), model).collect()}
+    p = {i: model.score(quality.features(t)) for i, t, _, _ in rows}
+    group = lambda key: {k: [p[i] for i, _, h, q in rows if key(h, q) == k] for k in {key(h, q) for _, _, h, q in rows}}
+    hosts, paths = group(lambda h, q: h), group(lambda h, q: (h, q))
+    rate = sum(p.values()) / len(p)
+
+    def strength(groups, parent):
+        n = sum(map(len, groups.values()))
+        chance = sum(parent(k) * (1 - parent(k)) for k in groups)
+        spread = sum(len(v) * (sum(v) / len(v) - parent(k)) ** 2 for k, v in groups.items())
+        mean = sum(len(v) * parent(k) * (1 - parent(k)) for k, v in groups.items()) / n
+        excess = (spread - chance) / n
+        return max(1.0, mean / excess - 1) if excess > mean / 1e4 else 1e4
+
+    m1 = strength(hosts, lambda k: rate)
+    m2 = strength(paths, lambda k: (sum(hosts[k[0]]) + m1 * rate) / (len(hosts[k[0]]) + m1))
+    odds = lambda x: math.log(x / (1 - x))
+    clip = lambda x: min(1 - 1e-6, max(1e-6, x))
+    for i, _, h, q in rows:
+        host = (sum(hosts[h]) - p[i] + m1 * rate) / (len(hosts[h]) - 1 + m1)
+        prior = (sum(paths[h, q]) - p[i] + m2 * host) / (len(paths[h, q]) - 1 + m2)
+        z = odds(clip(p[i])) + odds(clip(prior)) - odds(rate)
+        assert got[i]["evidence"] == pytest.approx(p[i]) and got[i]["prior"] == pytest.approx(prior, abs=1e-4)
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3) and got[i]["keep"] == (got[i]["score"] >= 0.5)
+
+
 def test_strength_follows_the_spread(spark):
     alike = spark.createDataFrame([(100, 50.0)] * 20, "n long, ones double")
     apart = spark.createDataFrame([(100, 99.0 if k % 2 else 1.0) for k in range(20)], "n long, ones double")

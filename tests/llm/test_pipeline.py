@@ -1,10 +1,18 @@
 import random
+from collections import Counter
+from hashlib import md5
 from itertools import combinations
+from zlib import crc32
 
 import pytest
+import sentencepiece
+import xxhash
+from test_models import plain_grams
+from test_texts import plain_targets
 
 import corpus_pipeline
-from quern.llm import shingle_dedup, simhash
+from quern.llm import sentencepiece_codec, shingle_dedup, simhash
+from quern.llm.common import materialise
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -99,3 +107,81 @@ def test_shingle_classes_of_odd_rows(spark):
     got = sorted(((r["doc_id"] or 0, r["component_id"] or 0) for r in shingle_dedup.near_duplicates(df).collect()))
     assert got == [(0, 0), (0, 7), (7, 7), (7, 7), (8, 8), (9, 8)]
     assert shingle_dedup.near_duplicates(df.where("false")).count() == 0
+
+
+def plain_language(rows):
+    """Documents with a letter, of which long ones share n-grams with a language that was learned."""
+    counts = {}
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            counts.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+    rates = {k: {g: n / c.total() for g, n in c.items()} for k, c in counts.items()}
+    held = {k: {g for g, x in c.items() if x >= 1e-5 and x >= 0.2 * max(o.get(g, 0) for o in rates.values())} for k, c in rates.items()}
+
+    def known(text):
+        grams = plain_grams(text)
+        return len(text) < 100 or max(sum(g in h for g in grams) / len(grams) for h in held.values()) >= 0.1
+
+    return [r for r in rows if r["text"] and any(c.isalpha() for c in r["text"]) and known(r["text"])]
+
+
+def plain_lines(rows):
+    pages, on = Counter(), Counter()
+    for source, text in {(r["source"], r["text"]) for r in rows}:
+        pages[source] += 1
+        on.update({(source, x.strip(" \t\r\f\v")) for x in text.split("\n")} - {(source, "")})
+    bad = {k for k, n in on.items() if n > 0.05 * pages[k[0]] and n >= min(5, max(2, pages[k[0]]))}
+    out = []
+    for r in rows:
+        kept = [x for x in r["text"].split("\n") if (r["source"], x.strip(" \t\r\f\v")) not in bad]
+        if len(kept) == r["text"].count("\n") + 1 or "\n".join(kept).strip(" \t\r\n\f\v"):
+            out.append(r | {"text": "\n".join(kept)})
+    return out
+
+
+def plain_near(rows):
+    words = {r["doc_id"]: r["text"].encode().lower().split() for r in rows}
+    shingles = {i: [b" ".join(w[k : k + 5]) for k in range(len(w) - 4)] or [b" ".join(w)] for i, w in words.items()}
+    sets = {i: set(x) for i, x in shingles.items()}
+    prints = {i: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for i, hs in ((i, [xxhash.xxh64_intdigest(x, 42) for x in xs]) for i, xs in shingles.items())}
+    root = {i: i for i in words}
+    pairs = [(a, b) for a, b in combinations(words, 2) if (prints[a] ^ prints[b]).bit_count() <= 3 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while any(root[a] != root[b] for a, b in pairs):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return [r for r in rows if root[r["doc_id"]] == r["doc_id"]]
+
+
+def plain_mix(rows):
+    size = {r["doc_id"]: len(r["text"].encode().split()) for r in rows}
+    by = {}
+    for r in rows:
+        by.setdefault(r["source"], []).append(r)
+    targets = plain_targets({s: sum(size[r["doc_id"]] for r in own) for s, own in by.items()})
+    out = []
+    for source, own in by.items():
+        whole = sum(size[r["doc_id"]] for r in own)
+        epochs, left = divmod(int(targets[source]), whole) if whole else (0, 0)
+        for r in sorted(own, key=lambda r: md5(f"17:{r['doc_id']}".encode()).hexdigest()):
+            n = size[r["doc_id"]]
+            taken = epochs * n + max(0, min(n, left))
+            left -= n
+            out += [r] * (-(-taken // n) if n else 0)
+    return out
+
+
+def test_the_pipeline_by_plain_loops(spark):
+    """Every stage's rows on a whole table, and the ids of the last one."""
+    sf = "/root/testdata/sf0.01"
+    rows = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    found = spark.read.parquet(f"{sf}/documents.parquet")
+    for (name, stage), plain in zip(corpus_pipeline.STAGES[:4], (plain_language, plain_lines, plain_near, plain_mix), strict=True):
+        found, before = materialise(stage(spark, found, sf)), rows
+        rows = plain(rows)
+        assert found.columns == list(corpus_pipeline.COLUMNS)
+        assert sorted((r["doc_id"], r["text"]) for r in found.collect()) == sorted((r["doc_id"], r["text"]) for r in rows), name
+        assert rows != before or name in ("language_id", "line_dedup")
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.vocabulary())
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == sorted((r["doc_id"], library.encode(r["text"])) for r in rows)
+    assert all(r["same"] and r["n_ids"] == len(r["ids"]) for r in got)
