@@ -63,7 +63,7 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: SQL can't express language ID, SimHash or the encoding; tests/llm compares these with brute force.
+#: SQL can't express language ID, SimHash or the encoding; tests/llm/test_pipeline.py compares every stage with plain loops on a whole table.
 ORACLE_SQL = None
 
 
