@@ -114,6 +114,30 @@ def rules_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
     return spark.createDataFrame([(r["rule_no"], r["kind"], r["hosts"], r["fetcher"]) for r in rules], "rule_no int, kind string, hosts array<string>, fetcher string")
 
 
+class RulesFile:
+    """A file of dispatch rules, read again when it has changed; a change that can't be read leaves the last good rules. Calling it gives
+    the table of rules, so it can stand where rules are asked for with each batch of jobs."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.seen, self.error = spark, path, None, None
+        self.rules: list[dict] = []
+        self()
+        if self.error is not None:
+            raise self.error
+
+    def __call__(self) -> DataFrame:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        try:
+            at = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(p)
+            seen = (at.getModificationTime(), at.getLen())
+            if seen != self.seen:
+                self.rules = load_rules("\n".join(r["value"] for r in self.spark.read.text(self.path).collect()))  # a short file
+                self.seen, self.error = seen, None
+        except Exception as e:  # the last good rules hold
+            self.error = e
+        return rules_table(self.spark, self.rules)
+
+
 def load_judgements(spark: SparkSession, text: str) -> DataFrame:
     """(query_id, query, url) of a judged query set; an empty set, query or list of relevant URLs raises ValueError."""
     import yaml

@@ -5,7 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from quern.sources import bookmarks, config, readers
+from quern.sources import bookmarks, config, hosts, readers
 
 MARK = '<DT><A HREF="{}"{}>{}</A>'
 
@@ -134,6 +134,40 @@ def test_threads(spark):
     assert one(spark, readers.file_markdown(F.lit("o"), F.lit("r"), F.lit("a.py"), F.lit("d"), F.lit("Py"), F.lit(1), F.lit("c"))) == "# a.py\n\n**Repository:** o/r — d\n**Language:** Py | **Stars:** 1\n\n## Content\n\nc\n"
 
 
+def test_answers_of_hosts(spark):
+    meta = json.dumps({"description": "Tide tables", "language": "Go", "stargazers_count": 7, "license": {"name": "MIT"}, "topics": ["sea"], "archived": False, "more": 1})
+    assert one(spark, hosts.repository(F.lit(meta), F.lit(" read "))) == "# Tide tables\n\n**Language:** Go\n**Stars:** 7\n**License:** MIT\n**Topics:** sea\n\n## README\n\nread\n"
+    assert one(spark, hosts.repository(F.lit("{}"), F.lit(None).cast("string"))) == "# (no description)\n\n**Stars:** 0\n"
+    assert one(spark, hosts.file(F.lit("o"), F.lit("r"), F.lit("a.go"), F.lit(meta), F.lit("x\n"))) == "# a.go\n\n**Repository:** o/r — Tide tables\n**Language:** Go | **Stars:** 7\n\n## Content\n\nx\n"
+    issue = json.dumps({"title": "Wrong moon", "body": " It is full. ", "state": "closed", "state_reason": "completed", "user": {"login": "al"}, "labels": [{"name": "moon"}], "comments": 2})
+    said = json.dumps([{"user": {"login": "bo"}, "body": "no", "created_at": "2001-02-03T04:05:06Z"}])
+    want = "# Wrong moon (#5)\n\n**Repository:** o/r\n**State:** closed (completed)\n**Author:** al\n**Labels:** moon\n**Comments:** 2\n\nIt is full.\n\n## Comments\n\n### bo (2001-02-03)\n\nno\n\n_(1 more comments not shown)_\n"
+    assert one(spark, hosts.issue(F.lit("o"), F.lit("r"), F.lit(5), F.lit(issue), F.lit(said))) == want
+    pull = json.dumps({"title": "Fix", "state": "open", "draft": True, "base": {"ref": "main"}, "head": {"ref": "moon"}, "additions": 3, "deletions": 1, "changed_files": 2, "comments": 0, "pull_request": {}})
+    want = "# Fix (#6)\n\n**Repository:** o/r\n**State:** draft\n**Branches:** main ← moon\n**Diff:** +3 −1 across 2 files\n**Comments:** 0\n"
+    assert one(spark, hosts.pull(F.lit("o"), F.lit("r"), F.lit(6), F.lit(pull), F.lit("[]"))) == want
+    assert one(spark, hosts.is_pull(F.lit(pull))) and not one(spark, hosts.is_pull(F.lit(issue)))
+    video = json.dumps({"title": "Tides", "uploader": "Sea", "upload_date": "20010203", "duration": 61.5, "description": ""})
+    assert one(spark, hosts.video(F.lit(video), F.lit("WEBVTT\n\n00:00:00.000 --> 00:00:01.000\nhello\n"))) == "# Tides\n\n**Channel:** Sea\n**Published:** 2001-02-03\n**Duration:** 1:01\n\n## Transcript\n\nhello\n"
+    assert one(spark, hosts.retry_after(F.create_map(F.lit("retry-after"), F.lit("9")))) == 9 and one(spark, hosts.retry_after(F.create_map(F.lit("x"), F.lit("9")))) is None
+    assert one(spark, hosts.retry_after(F.create_map(F.lit("x-ratelimit-remaining"), F.lit("0"), F.lit("x-ratelimit-reset"), F.lit("5")))) == 0
+
+
+def test_rules_are_read_again(spark, tmp_path):
+    path = tmp_path / "rules.yaml"
+    with pytest.raises(Exception, match="rules.yaml"):
+        config.RulesFile(spark, str(path))
+    path.write_text("rules:\n- fetcher: a\n")
+    rules = config.RulesFile(spark, str(path))
+    assert [r["fetcher"] for r in rules().collect()] == ["a"]
+    path.write_text("rules:\n- fetcher: b\n- fetcher: c\n")
+    assert [r["fetcher"] for r in rules().collect()] == ["b", "c"]
+    path.write_text("nothing: good here")
+    assert [r["fetcher"] for r in rules().collect()] == ["b", "c"] and rules.error is not None
+    path.unlink()
+    assert rules().count() == 2
+
+
 def test_settings():
     s = config.load_settings("search: {bm25_weight: 0, rrf_k: 10}\nchunking: {size_tokens: 100}")
     assert s.search.bm25_weight == 1.0 and s.search.rrf_k == 10 and s.chunking.size_tokens == 100

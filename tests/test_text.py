@@ -4,9 +4,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.functions import pages, text, times
+from quern.functions import markdown, pages, text, times
 from quern.operators import lexical, search
 from quern.operators.chunking import Sizes, chunk_documents, chunk_text, packed, without_data_urls
+from quern.plans import fetched
 
 DOCS = [
     "The quick brown foxes jumped over the lazy dogs. A fox is running and jumps again.",
@@ -138,3 +139,61 @@ def test_pages_that_are_gone(spark):
     assert one(pages.is_pdf(F.lit("application/octet-stream"), F.lit("https://h/a.PDF"))) and not one(pages.is_pdf(F.lit("text/html"), F.lit("https://h/a.pdf")))
     assert one(pages.is_readable(F.lit("text/html; charset=utf-8"))) and not one(pages.is_readable(F.lit("image/png")))
     assert one(pages.pdf_markdown(F.lit("a\r\nb\n\n\n\nc"))) == "a\nb\n\nc"
+
+
+PAGE = """<html lang=en><head><title>Tides | Coast Radio</title><meta property="og:title" content="Tides"><meta name=author content="A. Moon"><meta property="article:published_time" content="2001-02-03T04:05:06Z"></head>
+<body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Tides &amp; <em>moons</em></h1><p>The sea rises <b>twice</b> a day,
+as <a href="/why">we know</a>.<br>And falls.<p>Use <code>tide()</code>:<pre>x = 1
+  y = 2</pre><ul><li>spring<li>neap<ol><li>low</ol></ul><blockquote><p>Time and tide</p><p>wait for no man.</p></blockquote>
+<table><tr><th>day<th>high</tr><tr><td>1<td>4|5</table><form><input><button>Send</button></form><script>x()</script><img src=m.png alt=moon><hr></article><footer>no</footer>"""
+MARKDOWN = """# Tides & *moons*
+
+The sea rises **twice** a day, as [we know](/why).
+And falls.
+
+Use `tide()`:
+
+```
+x = 1
+  y = 2
+```
+
+- spring
+- neap
+
+  1. low
+
+> Time and tide
+>
+> wait for no man.
+
+| day | high |
+| --- | --- |
+| 1 | 4\\|5 |
+
+![moon](m.png)
+
+---"""
+
+
+def test_markdown(spark):
+    got = markdown.extract(PAGE)
+    assert [x.strip() for x in got["markdown"].split("\n")] == [x.strip() for x in MARKDOWN.split("\n")]
+    assert (got["title"], got["author"], got["language"], got["published"], got["site"]) == ("Tides", "A. Moon", "en", "2001-02-03T04:05:06Z", None)
+    assert markdown.extract(None)["markdown"] == markdown.extract("<p> </p><script>x</script>")["markdown"] == ""
+    plain = "<div class=menu><a href=1>one link</a></div><div><p>" + "words of the text " * 20 + "</p><p>more of it</p></div><div>short</div>"
+    assert markdown.extract(plain)["markdown"].endswith("more of it") and "one link" not in markdown.extract(plain)["markdown"]
+    assert markdown.extract("<div>" * 3000 + "deep" + "</div>" * 3000)["markdown"] == "deep"
+
+
+def test_fetched_pages(spark):
+    long = PAGE.replace("And falls.", "And falls. " * 60)
+    rows = [
+        (1, "https://h/a", None, 200, "text/html", long), (2, "https://h/b", None, 404, "text/html", ""), (3, "https://h/c", None, 403, None, None), (4, "https://h/d", None, 500, None, None), (5, "https://h/e", None, 200, "image/png", "x"),
+        (6, "https://h/f", "https://h/login", 200, None, long), (7, "https://h/g", None, 200, "text/html", "<title>Page not found</title><p>x</p>"), (8, "https://h/h.pdf", None, 200, "application/pdf", "tide table\r\n" * 30), (9, "https://h/i", None, 200, "text/html", PAGE),
+    ]
+    got = {r["document_id"]: r for r in fetched.results(spark.createDataFrame(rows, "document_id long, url string, final_url string, status int, content_type string, body string")).collect()}
+    assert {k: (r["ok"], r["retry"]) for k, r in got.items()} == {1: (True, False), 2: (False, False), 3: (False, True), 4: (False, True), 5: (False, False), 6: (False, True), 7: (False, False), 8: (True, False), 9: (False, True)}
+    assert got[1]["markdown"].startswith("# Tides") and (got[1]["title"], got[1]["author"], got[1]["language"], got[1]["content_type"]) == ("Tides", "A. Moon", "en", "article")
+    assert got[1]["published_at"].year == 2001 and got[8]["content_type"] == "pdf" and "\r" not in got[8]["markdown"]
+    assert got[2]["error"].startswith("dead link") and got[7]["error"].startswith("dead link: title") and got[9]["error"] == "login wall: extracted text < 500 chars" and got[5]["error"].startswith("unsupported")
