@@ -54,6 +54,19 @@ select k, '# ' || case when k % 2 = 0 then 'about ' || k else '(no description)'
 select conv_id, turn, md5(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) as md5 from c""",
         "data_urls": r"""with d as (select doc_id, '![a ' || doc_id || '](data:image/png;base64,AAAA+/=) ' || coalesce(text, '') || ' data:font/woff;base64,BBBB end' as t from documents)
 select doc_id, md5(regexp_replace(regexp_replace(t, '!\[([^\]]*)\]\(data:[^)]*\)', '![\1](image)', 'g'), 'data:[a-zA-Z0-9/+.-]+;base64,[A-Za-z0-9+/=]+', '', 'g')) as md5 from d""",
+        "page_markdown": f"""with {_N}, l as (select k, chr(10) || chr(10) as p from n)
+select k, 'Page ' || k as title, 'A' || (k % 3) as author, 'en' as language, '# Number ' || k || p || trim(repeat('Sentence ' || k || ' of it. ', 30)) || p || 'A **bold** word and [a link](/x).' || p || '- one' || chr(10) || '- two ' || k
+ || p || '```' || chr(10) || 'x = ' || k || chr(10) || '```' as markdown from l""",
+        "fetched_pages": f"""with {_N}, l as (select k, k % 8 as way, length('# Number ' || k || 'A **bold** word and [a link](/x).' || '- one' || '- two ' || k || '```' || 'x = ' || k || '```') + 30 * length('Sentence ' || k || ' of it. ') - 1 + 11 as n from n)
+select k as document_id, way = 0 or way = 5 as ok, way in (2, 3, 7) as retry,
+case way when 1 then 'dead link: HTTP 404' when 2 then 'refused: HTTP 403' when 3 then 'HTTP 500' when 4 then 'unsupported content type: image/png' when 6 then 'dead link: title looks like a not-found page: Not found' when 7 then 'login wall: redirected to a login/auth path: /p' || k || '/login' end as error,
+case when way = 6 then 'Not found' when way in (0, 7) then 'Page ' || k end as title, case when way = 5 then 'pdf' else 'article' end as content_type, case when way = 0 then n when way = 5 then 40 * (length('line ' || k) + 1) - 1 end::int as n from l""",
+        "host_answers": f"""with {_N}, c as (select k, chr(10) as l, '**Repository:** o/r' || chr(10) as r from n)
+select k, '# Bug ' || k || ' (#' || k || ')' || l || l || r || '**State:** closed' || case when k % 2 = 0 then ' (completed)' else '' end || l || '**Author:** al' || l || '**Labels:** a' || l || '**Comments:** 2' || l || l || 'text' || l || l || '## Comments' || l || l
+ || '### bo (2001-02-03)' || l || l || 'no' || l || l || '_(1 more comments not shown)_' || l as issue, k % 3 = 0 as is_pull,
+'# Fix ' || k || ' (#' || k || ')' || l || l || r || '**State:** ' || case when k % 2 = 0 then 'merged' else 'open' end || l || '**Branches:** main ← b' || k || l || '**Diff:** +' || k || ' −1 across 2 files' || l || '**Comments:** 0' || l as pull,
+'# about ' || k || l || l || '**Stars:** ' || k || l || '**License:** MIT' || l as repo,
+'# V' || l || l || '**Channel:** C' || l || '**Published:** 2001-02-03' || l || case when k > 0 then '**Duration:** ' || case when k >= 3600 then (k // 3600) || ':' || lpad(((k // 60) % 60)::varchar, 2, '0') else (k // 60)::varchar end || ':' || lpad((k % 60)::varchar, 2, '0') || l else '' end as video from c""",
         "label_answers": f"with {_N} select k, case k % 4 when 3 then '' when 1 then '## **Topic ' || k else 'Topic ' || k end as name, case when k % 4 = 0 then 'About ' || k else '' end as summary from n",
         "label_prompts": f"with {_N} select (k // 8)::int as label, 'T' || min(k) as name, count(*)::varchar as summary from n group by k // 8",
         "judged_queries": "select * from (values (0, 'north sea', 'https://a.example.com/'), (0, 'north sea', 'https://b.example.com/'), (1, 'tides', 'https://c.example.com/')) t(query_id, query, url)",

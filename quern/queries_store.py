@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions import pages as page_rules
-from .functions import text, times
+from .functions import markdown, text, times
 from .operators import catalog, chunking, clustering, jobs, search
-from .plans import interests, worker
+from .plans import fetched, interests, worker
 from .queries import _bm25, _documents, _job_documents, _jobs, _now, _read, _round, _vectors
 from .queries import hybrid_search as _hybrid
-from .sources import bookmarks, config, readers
+from .sources import bookmarks, config, hosts, readers
 from .streaming import queue
 
 def _k() -> Column:
@@ -152,6 +152,45 @@ def data_urls(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.md5(chunking.without_data_urls(md)).alias("md5"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of numbers: an article among a menu, a form and a footer."""
+    long = F.repeat(_s("Sentence ", _k(), " of it. "), 30)
+    body = _s(
+        "<html lang='en'><head><title>Page ", _k(), "</title><meta name='author' content='A", _k() % 3, "'></head><body><nav><a href='/'>Home</a></nav><article><h1>Number ", _k(), "</h1><p>", F.trim(long), "<p>A <b>bold</b> word and <a href='/x'>a link</a>.<ul><li>one<li>two ", _k(),
+        "</ul><pre>x = ", _k(), "</pre><form><input><button>Go</button></form></article><footer>no</footer></body></html>",
+    )
+    return _numbered(spark, sf_dir).withColumn("body", body)
+
+
+def page_markdown(spark, sf_dir):
+    m = markdown.extracted(F.col("body"))
+    return _pages(spark, sf_dir).select("k", m.alias("m")).select("k", "m.title", "m.author", "m.language", "m.markdown")
+
+
+def fetched_pages(spark, sf_dir):
+    """Fetches of which some are refused, gone, unreadable, walled or PDFs."""
+    way = _k() % 8
+    status = F.when(way == 1, 404).when(way == 2, 403).when(way == 3, 500).otherwise(200)
+    kind = F.when(way == 4, "image/png").when(way == 5, "application/pdf").otherwise("text/html")
+    body = F.when(way == 6, "<title>Not found</title><p>x</p>").when(way == 5, F.repeat(_s("line ", _k(), "\r\n"), 40)).otherwise(F.col("body"))
+    end = F.when(way == 7, _s(_url(), "/login"))
+    answers = _pages(spark, sf_dir).select(_k().alias("document_id"), _url().alias("url"), end.alias("final_url"), status.alias("status"), kind.alias("content_type"), body.alias("body"))
+    return fetched.results(answers).select("document_id", "ok", "retry", "error", "title", "content_type", F.length("markdown").alias("n"))
+
+
+def host_answers(spark, sf_dir):
+    """Issues, pull requests and repositories as a code host's JSON."""
+    issue = _s('{"title": "Bug ', _k(), '", "body": " text ", "state": "closed", "state_reason": "', F.when(_k() % 2 == 0, "completed").otherwise(""), '", "user": {"login": "al"}, "labels": [{"name": "a"}], "comments": 2', F.when(_k() % 3 == 0, ', "pull_request": {}').otherwise(""), "}")
+    said = F.lit('[{"user": {"login": "bo"}, "body": " no ", "created_at": "2001-02-03T04:05:06Z"}]')
+    pull = _s('{"title": "Fix ', _k(), '", "state": "open", "merged": ', F.when(_k() % 2 == 0, "true").otherwise("false"), ', "base": {"ref": "main"}, "head": {"ref": "b', _k(), '"}, "additions": ', _k(), ', "deletions": 1, "changed_files": 2}')
+    repo = _s('{"description": "about ', _k(), '", "stargazers_count": ', _k(), ', "license": {"name": "MIT"}, "topics": []}')
+    o, r = F.lit("o"), F.lit("r")
+    return _numbered(spark, sf_dir).select(
+        "k", hosts.issue(o, r, _k(), issue, said).alias("issue"), hosts.is_pull(issue).alias("is_pull"), hosts.pull(o, r, _k(), pull, F.lit(None).cast("string")).alias("pull"), hosts.repository(repo, F.lit("")).alias("repo"),
+        hosts.video(_s('{"title": "V", "channel": "C", "upload_date": "20010203", "duration": ', _k(), "}"), F.lit(None).cast("string")).alias("video"),
+    )
+
+
 def label_answers(spark, sf_dir):
     answer = F.when(_k() % 4 == 0, _s("NAME: Topic ", _k(), "\nSUMMARY: About ", _k())).when(_k() % 4 == 1, _s("## **Topic ", _k(), "**\nmore")).when(_k() % 4 == 2, _s("Name - \"Topic ", _k(), "\"")).otherwise("this is a sentence of more than six words")
     return _numbered(spark, sf_dir).select("k", clustering.label_answer(answer).alias("a")).select("k", "a.*")
@@ -362,7 +401,7 @@ def query_terms(spark, sf_dir):
 
 
 NAMES = (
-    "export_html export_chrome export_safari firefox_folders time_rules fetch_classes reader_answers front_matters caption_texts video_pages code_threads code_pages pdf_texts data_urls label_answers label_prompts "
+    "page_markdown fetched_pages host_answers export_html export_chrome export_safari firefox_folders time_rules fetch_classes reader_answers front_matters caption_texts video_pages code_threads code_pages pdf_texts data_urls label_answers label_prompts "
     "judged_queries dispatch_rules bookmark_list bookmark_delete search_bookmarked hydrated_hits document_vectors latest_run refetch_jobs reindex_jobs corpus_stats orphan_jobs failed_documents state_changes "
     "dangling_documents stored_chunks worked_jobs worked_documents worked_search queue_drain cluster_counts interest_list query_terms"
 ).split()
