@@ -58,14 +58,27 @@ def _bare(text: str) -> str:
 _RUN = re.compile(r"[^\W_]+")
 
 
+_FORMS: dict[str, str] = {}
+_MOST_FORMS = 200_000
+
+
+def token(run: str) -> str:
+    """The index token of a run of letters and digits, remembered within bounds."""
+    found = _FORMS.get(run)
+    if found is None:
+        if len(_FORMS) >= _MOST_FORMS:
+            _FORMS.clear()
+        found = _FORMS[run] = stem(_bare(run))
+    return found
+
+
 def index_tokens(text: str | None) -> list[tuple[str, int, int]]:
     """(stemmed token, begin, end) of each run of letters and digits."""
-    return [(stem(_bare(m.group())), m.start(), m.end()) for m in _RUN.finditer(text or "")]
+    return [(token(m.group()), m.start(), m.end()) for m in _RUN.finditer(text or "")]
 
 
 # --- Porter's stemmer (M. F. Porter, "An algorithm for suffix stripping", 1980) -----------------------------
 
-_STEMS: dict[str, str] = {}
 _STEP2 = (
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("logi", "log"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
     ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
@@ -101,12 +114,7 @@ def _longest(word: str, rules) -> tuple[str, str] | None:
 
 def stem(word: str) -> str:
     """The stem of a lower-case token; short, very long and non-ASCII tokens stay."""
-    found = _STEMS.get(word)
-    if found is None:
-        if len(_STEMS) > 200_000:
-            _STEMS.clear()
-        found = _STEMS[word] = _stem(word) if 2 < len(word.encode()) < 64 and word.isascii() else word
-    return found
+    return _stem(word) if 2 < len(word.encode()) < 64 and word.isascii() else word
 
 
 def _stem(w: str) -> str:
@@ -148,7 +156,7 @@ def _stem(w: str) -> str:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed_tokens(texts: pd.Series) -> pd.Series:
-    return pd.Series([[t for t, _, _ in index_tokens(x)] for x in texts], dtype=object)
+    return pd.Series([list(map(token, _RUN.findall(x or ""))) for x in texts], dtype=object)
 
 
 def title_cased(word: Column) -> Column:

@@ -97,14 +97,16 @@ def frequency(terms: Column, phrase: list[str]) -> Column:
 def scores(indexed: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """(chunk_id, score) of the chunks that hold at least one of the phrases.
 
-    One pass counts, a second scores: the counts are one row, whatever the size of the corpus.
+    Chunks are cut into tokens once: what is counted of each, a few numbers, is exchanged, and both the statistics (one row,
+    whatever the size of the corpus) and the scores read that exchange.
     """
     distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
     if not distinct:
         return indexed.select("chunk_id", F.lit(0.0).alias("score")).where("false")
-    counted = indexed.select("chunk_id", "length", F.array(*(frequency(F.col("terms"), p) for p in distinct)).alias("tf"))
+    counted = indexed.select("chunk_id", "length", F.array(*(frequency(F.col("terms"), p) for p in distinct)).alias("tf")).where(F.col("chunk_id").isNotNull()).repartition("chunk_id")
     holding = [F.count_if(F.get("tf", F.lit(k)) > 0) for k in range(len(distinct))]
-    stats = counted.agg(F.count("*").alias("n_all"), F.avg("length").alias("mean"), F.array(*holding).alias("n_with"))
+    # all columns are used, so that the plan of both readers is the same up to the exchange
+    stats = counted.agg(F.count("chunk_id").alias("n_all"), F.avg("length").alias("mean"), F.array(*holding).alias("n_with"))
     # A chunk without a phrase scores 0 and any other more. A filter on the counts would be pushed down, and with it, for each phrase, the
     # whole tokenisation; one on the score stays above.
     return score_counts(counted, stats, [phrases.count(p) for p in distinct]).where("score > 0")
