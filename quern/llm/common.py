@@ -52,9 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern"
 
 
-def share(spark: SparkSession, value) -> Callable:
-    """A function that gives value on the executors: broadcast once, with its classes, and loaded once in each worker."""
-    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+def share(spark: SparkSession, value, most_bytes: int = 1 << 28) -> Callable:
+    """A function that gives value on the executors: broadcast once, with its classes, and loaded once in each worker. A value of more
+    than most_bytes is an error: it would be one that grows with the data."""
+    data = cloudpickle.dumps(value)
+    if len(data) > most_bytes:
+        raise ValueError(f"{len(data)} bytes are too many to send to every executor")
+    held = spark.sparkContext.broadcast(data)
 
     def get():
         found = getattr(held, "_loaded", None)
@@ -98,13 +102,14 @@ def maybe_among(df: DataFrame, ids: DataFrame, id_col: str = "id", bits: int = 2
     return held.where(F.expr(f"shiftrightunsigned(`{bit}`, cast(pmod(xxhash64(`{id_col}`), {1 << bits}L) % 64 as int)) & 1L") == 1).drop(word, bit)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = 1024) -> DataFrame:
     """Connected components of undirected links: (src long, dst long) to (node long, root long).
 
     root is the smallest node that links reach; only nodes with a link are returned. Alternates
     the large-star and small-star steps (Kiveris et al., 2014): each only groups by node with
-    map-side minima, so hubs spread, and the number of links never grows. Each round's links are
-    written to the shared folder. Empty input gives an empty result; null ends take no part.
+    map-side minima, and the number of links never grows. A hub's links, of which it is the smaller end, are not gathered: the minima of
+    nodes with more than a hundred-thousandth of all links (200,000 such nodes at most) are sent to where links are. Each round's links are
+    written to the shared folder. Empty input gives an empty result; null ends take no part. Nodes with `few` links or less are never hubs.
     """
     at = materialise(
         edges.where("src is not null and dst is not null and src <> dst")
@@ -113,7 +118,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     sign = _sign(at)
     while sign[0]:
-        after = materialise(_stars(at))
+        after = materialise(_stars(at, sign[0], few))
         new = _sign(after)
         forget(at)
         at = after
@@ -123,12 +128,16 @@ def components(edges: DataFrame) -> DataFrame:
     return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _stars(at: DataFrame) -> DataFrame:
-    """A large-star and a small-star step on links (u, v), u > v."""
+def _stars(at: DataFrame, count: int, few: int) -> DataFrame:
+    """A large-star and a small-star step on `count` links (u, v), u > v."""
     both = at.unionAll(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m"))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = low.where(F.col("n") > max(few, count // 100_000)).select("u", F.col("m").alias("hub"))
+    marked = at.select(F.col("v").alias("u"), F.col("u").alias("v")).join(F.broadcast(hubs), "u", "left")
+    near = marked.where("hub is not null").select("u", "v", F.col("hub").alias("m"))
+    rest = marked.where("hub is null").join(low, "u").select("u", "v", "m")
     # a centre keeps its own links: its smallest neighbour may be larger than itself; links that come twice go at the end
-    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    large = near.unionAll(rest).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
     least = large.groupBy("u").agg(F.min("v").alias("m"))
     return (
         large.join(least, "u")
