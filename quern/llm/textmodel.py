@@ -81,13 +81,14 @@ def _lists(column) -> list[np.ndarray]:
 
 
 class Loss:
-    """Mean logistic loss of labelled rows, plus l2 / 2 times the sum of squared weights, plus invariance times the mean squared difference of
+    """Mean logistic loss of labelled rows, each by its weight, plus l2 / 2 times the sum of squared weights, plus invariance times the mean squared difference of
     the scores (before the logistic function) of counterfactual pairs. The bias is the last weight.
 
     A row is the places of its weights. A pair is the places that only the text has, and those that only its copy has.
     """
 
-    def __init__(self, y: np.ndarray, rows: list[np.ndarray], n_weights: int, pairs: list[tuple[list[int], list[int]]], invariance: float, l2: float) -> None:
+    def __init__(self, y: np.ndarray, rows: list[np.ndarray], n_weights: int, pairs: list[tuple[list[int], list[int]]], invariance: float, l2: float, weight: np.ndarray | None = None) -> None:
+        self.share = np.full(len(y), 1 / len(y)) if weight is None else weight / weight.sum()
         self.y, self.n, self.invariance, self.l2, self.n_pairs = y, n_weights, invariance, l2, len(pairs)
         self.col, self.row = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), np.repeat(np.arange(len(y)), [len(r) for r in rows])
         flat = [(k, place, sign) for k, both in enumerate(pairs) for sign, places in zip((1.0, -1.0), both, strict=True) for place in places]
@@ -100,32 +101,35 @@ class Loss:
     def value(self, w: np.ndarray) -> float:
         s = self._scores(w)
         far = float((self.gaps(w) ** 2).mean()) if self.n_pairs else 0.0
-        return float((np.logaddexp(0, s) - self.y * s).mean()) + self.l2 / 2 * float((w[:-1] ** 2).sum()) + self.invariance * far
+        return float(((np.logaddexp(0, s) - self.y * s) * self.share).sum()) + self.l2 / 2 * float((w[:-1] ** 2).sum()) + self.invariance * far
 
     def _scores(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.col], minlength=len(self.y)) + w[-1]
 
     def gradient(self, w: np.ndarray) -> np.ndarray:
-        g = 1 / (1 + np.exp(-np.clip(self._scores(w), -500, 500))) - self.y
-        out = np.r_[np.bincount(self.col, weights=g[self.row], minlength=self.n) / len(self.y) + self.l2 * w[:-1], g.mean()]
+        g = (1 / (1 + np.exp(-np.clip(self._scores(w), -500, 500))) - self.y) * self.share
+        out = np.r_[np.bincount(self.col, weights=g[self.row], minlength=self.n) + self.l2 * w[:-1], g.sum()]
         if self.n_pairs:
             out[:-1] += 2 * self.invariance / self.n_pairs * np.bincount(self.place, weights=self.sign * self.gaps(w)[self.pair], minlength=self.n)
         return out
 
 
-def fit(y: np.ndarray, bins: list[np.ndarray], pairs: list[tuple[set[int], set[int]]] = (), invariance: float = 0.0, keep: int = 4096, least_rows: int = 4, always: set[int] = frozenset(), l2: float = 3e-5, steps: int = 400) -> Linear:
+def fit(y: np.ndarray, bins: list[np.ndarray], pairs: list[tuple[set[int], set[int]]] = (), invariance: float = 0.0, keep: int = 4096, least_rows: int = 4, always: set[int] = frozenset(), l2: float = 3e-5, steps: int = 400, balance: float = 0.0, weight: np.ndarray | None = None) -> Linear:
     """Logistic regression on the `keep` bins that tell the labels apart best, and on those of always.
 
     pairs: (bins that only a text has, bins that only its counterfactual has); invariance is the weight of the mean squared difference of
-    their scores in the loss. Without rows, or with one label only, the
+    their scores in the loss. weight: of each row, of which those of less than 1 have no say in which bins are chosen; balance: from 0, labels weigh as their rows do, to 1, both weigh alike. Without rows, or with one label only, the
     classifier gives all texts the smoothed rate of label 1.
     """
     n, ones = len(y), float(y.sum())
     bias = float(np.log((ones + 0.5) / (n - ones + 0.5)))
     if n == 0 or ones in (0, n):
         return Linear(bias, {}, len(pairs))
-    flat, row = np.concatenate(bins), np.repeat(np.arange(n, dtype=np.int32), [len(b) for b in bins])
-    all_, pos = np.bincount(flat, minlength=1 << BITS), np.bincount(flat, weights=y[row], minlength=1 << BITS)
+    weight = np.ones(n) if weight is None else weight
+    own = np.flatnonzero(weight >= 1)  # bins are chosen by whole rows
+    n, ones = len(own), float(y[own].sum())
+    flat, label = np.concatenate([bins[k] for k in own]), np.repeat(y[own], [len(bins[k]) for k in own])
+    all_, pos = np.bincount(flat, minlength=1 << BITS), np.bincount(flat, weights=label, minlength=1 << BITS)
     neg = all_ - pos
     odds = np.log((pos + 0.5) / (ones - pos + 0.5)) - np.log((neg + 0.5) / (n - ones - neg + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5) + 1 / (ones - pos + 0.5) + 1 / (n - ones - neg + 0.5))
@@ -135,7 +139,8 @@ def fit(y: np.ndarray, bins: list[np.ndarray], pairs: list[tuple[set[int], set[i
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
     weighed = lambda b: place[b][place[b] >= 0]
-    loss = Loss(y, [weighed(b) for b in bins], len(chosen), [tuple([int(place[b]) for b in side if place[b] >= 0] for side in pair) for pair in pairs], invariance, l2)
+    weight = weight * np.where(y == 1, n / ones, n / (n - ones)) ** balance
+    loss = Loss(y, [weighed(b) for b in bins], len(chosen), [tuple([int(place[b]) for b in side if place[b] >= 0] for side in pair) for pair in pairs], invariance, l2, weight)
     w = np.zeros(len(chosen) + 1)
     w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)

@@ -70,18 +70,20 @@ def carriers(y: np.ndarray, bins: list[np.ndarray], terms: list[list[int]], most
     return out
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, invariance: float = 1.0, most_carriers: int = 2000) -> Linear:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, invariance: float = 1.0, most_carriers: int = 2000, carried: float = 0.1, balance: float = 0.75) -> Linear:
     """A classifier of label_col, learned from at most max_rows labelled rows and most_carriers copies of them with a term
-    put in (the documented bounds of the sample). Contradicting labels of a row are two rows."""
+    put in (the documented bounds of the sample), each of which weighs `carried` of a row. The rarer label weighs more, by `balance`, as
+    textmodel.fit says. Contradicting labels of a row are two rows."""
     sample = textmodel.labelled_sample(df, labels, id_col, label_col, text_col, max_rows)
     y, bins, terms = textmodel.collect_features(sample, textmodel.word_features, terms_of)
-    carried = carriers(y, bins, terms, most_carriers)
-    put = [sorted(set(bins[k].tolist()) | textmodel.word_features(_FLAT[t])) for k, t in carried]
-    y = np.r_[y, [y[k] for k, _ in carried]]
-    bins, terms = [*bins, *(np.array(b, dtype=np.int32) for b in put)], [*terms, *([t] for _, t in carried)]
+    new = carriers(y, bins, terms, most_carriers)
+    put = [sorted(set(bins[k].tolist()) | textmodel.word_features(_FLAT[t])) for k, t in new]
+    weight = np.r_[np.ones(len(y)), np.full(len(new), carried)]
+    y = np.r_[y, [y[k] for k, _ in new]]
+    bins, terms = [*bins, *(np.array(b, dtype=np.int32) for b in put)], [*terms, *([t] for _, t in new)]
     pairs = [p for b, t in zip(bins, terms, strict=True) if t for p in counterfactuals(set(b.tolist()), t)]
     always = {b for t in _FLAT for b in textmodel.word_features(t)} if pairs else set()
-    return textmodel.fit(y, bins, pairs, invariance, always=always)
+    return textmodel.fit(y, bins, pairs, invariance, always=always, balance=balance, weight=weight)
 
 
 def predict(df: DataFrame, model: Linear, text_col: str = "text") -> DataFrame:

@@ -310,13 +310,13 @@ def test_counterfactuals():
         assert (gone, come) == (bins - copy, copy - bins)
 
 
-def plain_loss(y, rows, pairs, w, invariance, l2):
+def plain_loss(y, rows, pairs, w, invariance, l2, weight):
     total = 0.0
-    for label, places in zip(y, rows, strict=True):
+    for label, places, own in zip(y, rows, weight, strict=True):
         z = w[-1] + sum(w[k] for k in places)
-        total -= math.log(1 / (1 + math.exp(-z)) if label else 1 - 1 / (1 + math.exp(-z)))
+        total -= own * math.log(1 / (1 + math.exp(-z)) if label else 1 - 1 / (1 + math.exp(-z)))
     far = sum((sum(w[k] for k in gone) - sum(w[k] for k in come)) ** 2 for gone, come in pairs)
-    return total / len(y) + l2 / 2 * sum(x * x for x in w[:-1]) + (invariance * far / len(pairs) if pairs else 0.0)
+    return total / sum(weight) + l2 / 2 * sum(x * x for x in w[:-1]) + (invariance * far / len(pairs) if pairs else 0.0)
 
 
 @pytest.mark.parametrize("paired", [True, False])
@@ -326,11 +326,12 @@ def test_loss_by_plain_loops(paired):
     rows = [np.array(sorted(r.choice(9, r.integers(0, 6), replace=False).tolist()), dtype=np.int64) for _ in y]
     pairs = [([0, 3], [1]), ([2], []), ([], [8, 4]), ([], [])] if paired else []
     w = r.standard_normal(10)
-    loss = textmodel.Loss(y, rows, 9, pairs, 0.7, 0.02)
-    assert loss.value(w) == pytest.approx(plain_loss(y, rows, pairs, w.tolist(), 0.7, 0.02))
+    weight = r.uniform(0.1, 3, 30) if paired else np.ones(30)
+    loss = textmodel.Loss(y, rows, 9, pairs, 0.7, 0.02, weight if paired else None)
+    assert loss.value(w) == pytest.approx(plain_loss(y, rows, pairs, w.tolist(), 0.7, 0.02, weight))
     for k in range(10):
         step = np.eye(10)[k] * 1e-5
-        slope = (plain_loss(y, rows, pairs, (w + step).tolist(), 0.7, 0.02) - plain_loss(y, rows, pairs, (w - step).tolist(), 0.7, 0.02)) / 2e-5
+        slope = (plain_loss(y, rows, pairs, (w + step).tolist(), 0.7, 0.02, weight) - plain_loss(y, rows, pairs, (w - step).tolist(), 0.7, 0.02, weight)) / 2e-5
         assert loss.gradient(w)[k] == pytest.approx(slope, abs=1e-6)
 
 
