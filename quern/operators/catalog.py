@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from functools import reduce
 
@@ -85,6 +86,18 @@ def latest_run(runs: DataFrame, done_only: bool = False, tenant: str = "local")
     return (own.where("status = 'done'") if done_only else own).orderBy(F.desc("created_at"), "id").limit(1)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which the driver and all executors see: spark.checkpoint.dir, or what was set before. Where neither is set, a local
+    session uses a temporary folder, and a cluster one beside its warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        found = "file://" + tempfile.mkdtemp(prefix="quern-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 class ConcurrentWrite(RuntimeError):
     """Another writer has changed the table since it was read."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from .catalog import shared_folder
 from .vector_search import mean_pooled
 
 NOISE = -1
@@ -137,11 +138,10 @@ def with_component(edges: DataFrame) -> DataFrame:
     """Undirected edges (src, dst, ...; both directions) with component, the smallest node that each is connected to.
 
     Every node takes the smallest of its own and its neighbours' components, and then that node's, until none changes: each round groups by node
-    alone, and a long chain is halved by the second step. A round is checkpointed, in Spark's checkpoint folder where one is set.
+    alone, and a long chain is halved by the second step. Each round is checkpointed in the folder that executors share.
     """
-    spark = edges.sparkSession
-    lasting = spark.sparkContext.getCheckpointDir() is not None or spark.conf.get("spark.checkpoint.dir", None) is not None
-    keep = lambda df: df.checkpoint() if lasting else df.persist()
+    shared_folder(edges.sparkSession)
+    keep = lambda df: df.checkpoint()
     edges = keep(edges)
     at = keep(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("component")))
     while True:

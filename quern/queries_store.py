@@ -3,7 +3,6 @@ by expressions, so that SQL can tell what must come out."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -306,12 +305,8 @@ def dangling_documents(spark, sf_dir):
 
 
 def _tables(spark: SparkSession) -> catalog.Tables:
-    """A store of its own for one run: in Spark's checkpoint folder or the warehouse, in a temporary folder of a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        shared = "file://" + tempfile.mkdtemp(prefix="quern-store-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return catalog.Tables(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
+    """A store of its own for one run, in the folder that all executors share."""
+    return catalog.Tables(spark, f"{catalog.shared_folder(spark)}/store-{uuid.uuid4().hex}")
 
 
 def stored_chunks(spark, sf_dir):

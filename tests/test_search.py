@@ -139,6 +139,26 @@ def test_centring(spark):
     assert got["a1"] == got["a2"] == got["a3"] != got["b1"] == got["b2"] == got["b3"]
 
 
+@pytest.mark.parametrize("iters", [1, 2, 20])
+def test_components_are_swept_as_one_graph_is(spark, iters):
+    """Labels of one sweep over all edges, and of a sweep for each component, are the same."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([c + 0.5 * r.standard_normal((25, 6)) for c in 4 * r.standard_normal((5, 6))])
+    ids = r.permutation(len(x)) * 3
+    points = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids, x, strict=True)], "id long, embedding array<double>")
+    edges = clustering.undirected(clustering.knn_edges(clustering.unit_residuals(points, False), 4, 0.5, 16)).toPandas()
+    nodes = np.array(sorted(set(edges["src"])))
+    label = nodes[clustering.propagate(len(nodes), np.searchsorted(nodes, edges["src"]), np.searchsorted(nodes, edges["dst"]), edges["w"].to_numpy(), iters)]
+    want = {}
+    for n, k in zip(nodes.tolist(), label.tolist(), strict=True):
+        want.setdefault(k, []).append(n)
+    order = sorted((g for g in want.values() if len(g) >= 3), key=lambda g: (-len(g), g[0]))
+    got = {row["id"]: row["label"] for row in clustering.cluster(points, 4, 0.5, 3, iters, block=16).collect()}
+    assert got == {int(i): next((k for k, g in enumerate(order) if i in g), -1) for i in ids}
+    parts = clustering.with_component(spark.createDataFrame([(a, b) for a, b in zip(edges["src"].tolist(), edges["dst"].tolist(), strict=True)], "src long, dst long")).collect()
+    assert len({row["component"] for row in parts}) > 1 and all(row["component"] <= min(row["src"], row["dst"]) for row in parts)
+
+
 def test_propagation_is_sequential():
     # a path: each node sees what the one before it took
     src, dst = np.array([0, 1, 1, 2, 2, 3]), np.array([1, 0, 2, 1, 3, 2])
