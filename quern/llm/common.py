@@ -25,6 +25,28 @@ def fresh(df: DataFrame, *names: str) -> None:
         raise ValueError(f"the table has columns that this operator adds: {', '.join(clash)}")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, most_bytes: int = 1 << 24) -> None:
+    """From now on at most so many rows, and about so many bytes, go to a Python worker at a time: whole texts are what most operators here send, and a
+    batch of them is held in the executor and in the worker at once. Smaller settings of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+        held = spark.conf.get(key)
+        if not (held.rstrip("b").isdigit() and 0 < int(held.rstrip("b")) <= most):
+            spark.conf.set(key, str(most))
+
+
+def tidy() -> None:
+    """In a worker: gives memory that is free back to the system, as a worker lives on beside the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of df has, for an operator's own columns beside them."""
     taken = {c.lower() for c in df.columns}

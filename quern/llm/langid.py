@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
-from .common import fresh, share, unused
+from .common import fresh, share, small_batches, tidy, unused
 
 #: Bytes of text that are looked at together.
 _WINDOW = 1 << 18
@@ -174,6 +174,7 @@ def predict(df: DataFrame, model: Filters, text_col: str = "text") -> DataFrame:
     The score is the corrected share of n-grams that the language contains. Columns of df by these names are an error.
     """
     fresh(df, "lang_pred", "score")
+    small_batches(df.sparkSession)
     held = share(df.sparkSession, model)
 
     def of(batches: Iterator) -> Iterator:
@@ -183,6 +184,7 @@ def predict(df: DataFrame, model: Filters, text_col: str = "text") -> DataFrame:
             for k in range(0, max(1, len(batch)), _ROWS):
                 lang, score = predict_texts(held(), batch.slice(k, _ROWS))
                 yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
+            tidy()
 
     found = arrow_udf(of, "struct<lang:string,score:double>", ArrowUDFType.SCALAR_ITER)(F.col(text_col))
     (name,) = unused(df, "_found")

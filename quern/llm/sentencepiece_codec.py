@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
-from .common import fresh, share, unused
+from .common import fresh, share, small_batches, tidy, unused
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -36,7 +36,7 @@ _RAW = "\udfff"
 #: Characters that are looked at together, and rows; fewer lanes than _FEW are searched one after the other.
 _WINDOW, _ROWS, _FEW = 1 << 18, 512, 8
 #: Remembered pairs of pieces, and stretches: places of the table, and characters.
-_PAIRS_KEPT, _PLACES_KEPT, _CHARS_KEPT = 1 << 21, 1 << 20, 1 << 22
+_PAIRS_KEPT, _PLACES_KEPT, _CHARS_KEPT = 1 << 20, 1 << 19, 1 << 21
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -686,6 +686,7 @@ def _slices(batches: Iterator) -> Iterator:
     for batch in batches:
         for k in range(0, max(1, len(batch)), _ROWS):
             yield batch.slice(k, _ROWS)
+        tidy()
 
 
 def ids_of(held, text: Column, with_decoded: bool = False) -> Column:
@@ -712,12 +713,14 @@ def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """df with ids (array of int): null for a null text, empty for an empty one. The model is read on the
     driver, from path. A column ids of df is an error."""
     fresh(df, "ids")
+    small_batches(df.sparkSession)
     return df.withColumn("ids", ids_of(share(df.sparkSession, Model.read(path)), F.col(text_col)))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """df with the text of its ids; null for null ids. Null ids within a row, and those that the model doesn't have, stand for nothing. A column out_col of df is an error."""
     fresh(df, out_col)
+    small_batches(df.sparkSession)
     held = share(df.sparkSession, Model.read(path))
 
     def of(batches: Iterator) -> Iterator:
@@ -738,5 +741,6 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     once for both. Columns by these names are an error."""
     fresh(df, "ids", "decoded")
     both = ids_of(share(df.sparkSession, Model.read(path)), F.col(text_col), with_decoded=True)
+    small_batches(df.sparkSession)
     (name,) = unused(df, "_both")
     return df.select("*", both.alias(name)).select("*", F.col(f"{name}.ids").alias("ids"), F.col(f"{name}.decoded").alias("decoded")).drop(name)

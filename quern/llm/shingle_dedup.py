@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, forget, materialise, maybe_among
+from .common import components, forget, materialise, maybe_among, small_batches, tidy
 from .simhash import _roots
 
 #: Hashes that are permuted, and columns of a matrix that are multiplied, at a time; rows sent back at a time; hashes whose bits are counted.
@@ -96,6 +96,7 @@ def _sketches(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     keys.append(band_keys(once, bands, rows))
                 fp = np.array(fps, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(fp), _arrays(keys, pa.int64())], names=["id", "sig", "fp", "bands"])
+            tidy()
 
     return df.mapInArrow(of, "id long, sig binary, fp long, bands array<long>")
 
@@ -110,6 +111,7 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
             for s in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(s, _ROWS)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _arrays([np.unique(shingles(x.as_py(), words)) for x in part.column(2)], pa.int64())], names=["id", "root", "hashes"])
+            tidy()
 
     return df.mapInArrow(of, "id long, root long, hashes array<long>")
 
@@ -127,6 +129,7 @@ def _linked(tiles: DataFrame, least: float) -> DataFrame:
                 src, dst = set_links(ids, rows, least)
                 if len(src):
                     yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+            tidy()
 
     return tiles.select("ids", "sets").mapInArrow(compare, "src long, dst long")
 
@@ -183,6 +186,7 @@ def near_duplicates(
     the component of the rows with its set, null if none there has an id. Repeated rows and ids stay,
     each with its class. Other columns take no part. An empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     found = materialise(_sketches(texts, words, bands, rows))
     prints = materialise(found.groupBy("sig", "bands").agg(F.min("id").alias("id")))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, forget, materialise, unused
+from .common import components, forget, materialise, small_batches, tidy, unused
 
 #: Shingles whose bits are counted at a time; comparisons of a task; the base in which a cell's counts are digits, more than twice a count and the radius.
 _BLOCK, _WORK, _DIGIT = 65_536, 1 << 32, 101
@@ -165,6 +165,7 @@ def links(prints: DataFrame, radius: int = 3, tile: int = 16_384, parts: int | N
                 src, dst = tile_links(a[1].view(np.uint64), a[0], None if b[1] is None else b[1].view(np.uint64), b[0], radius)
                 if len(src):
                     yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+            tidy()
 
     out = materialise(both.mapInArrow(compare, "src long, dst long"))
     forget(cells, tiles, pairs)
@@ -179,6 +180,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component of its fingerprint, null if no row there has an id. Repeated rows and ids stay, each
     with its class. Other columns of df take no part.
     """
+    small_batches(df.sparkSession)
     found = materialise(df.select(F.col(id_col).cast("long").alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")))
     prints = materialise(found.groupBy("fp").agg(F.min("id").alias("id")))
     near = links(prints.where("id is not null"), radius, tile)
