@@ -12,42 +12,28 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
-def fuse(lists: list[DataFrame], weights: list[float] | None = None, k: int = 60, key: tuple[str, ...] = ()) -> DataFrame:
-    """(key columns, id, score) of ranked lists (id, rank): the sum of weight / (k + rank) over the lists that hold an id.
+def fuse(lists: list[DataFrame], weights: list[float] | None = None, k: int = 60, key: tuple[str, ...] = (), carried: list[dict[str, str]] | None = None) -> DataFrame:
+    """(key columns, id, score, ...) of ranked lists (id, rank, ...): the sum of weight / (k + rank) over the lists that hold an id.
 
-    k of 0 or less stands for 60, a missing weight for 1; ranks below 1 count nothing.
+    k of 0 or less stands for 60, a missing weight for 1; ranks below 1 count nothing. carried has, for each list, columns that it brings
+    along, by the names they get; a column of several lists is that of the first one that holds the id. Each list is read once.
     """
     k = k if k > 0 else 60
     weights = list(weights or [])
-    each = [
-        x.where("rank >= 1").select(*key, "id", (F.lit(float(weights[n]) if n < len(weights) else 1.0) / (k + F.col("rank"))).alias("part"), F.lit(n).alias("list"))
-        for n, x in enumerate(lists)
-    ]
-    both = each[0]
-    for x in each[1:]:
-        both = both.unionByName(x)
-    # The order of addition is that of the lists, so equal ranks give equal sums.
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("list", "part"))), lambda x: x["part"])
-    return both.groupBy(*key, "id").agg(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b).alias("score"))
-
-
-def fuse_carrying(lists: list[DataFrame], carried: list[dict[str, str]], weights: list[float] | None = None, k: int = 60, key: tuple[str, ...] = ()) -> DataFrame:
-    """fuse, with columns that the lists bring along: carried has, for each list, its columns by the names they get. Each list is read once; a
-    column of several lists is that of the first one that holds the id."""
-    k = k if k > 0 else 60
-    weights = list(weights or [])
-    names = list(dict.fromkeys(n for c in carried for n in c.values()))
-    kinds = {n: x.schema[c].dataType for x, cs in zip(lists, carried, strict=True) for c, n in cs.items()}
+    carried = carried or [{}] * len(lists)
+    kinds = {name: x.schema[c].dataType for x, own in zip(lists, carried, strict=True) for c, name in own.items()}
     each = []
-    for at, (x, cs) in enumerate(zip(lists, carried, strict=True)):
-        of = {n: c for c, n in cs.items()}
-        part = (F.lit(float(weights[at]) if at < len(weights) else 1.0) / (k + F.col("rank"))).alias("part")
-        each.append(x.where("rank >= 1").select(*key, "id", F.lit(at).alias("list"), part, *((F.col(of[n]) if n in of else F.lit(None).cast(kinds[n])).alias(f"_{n}") for n in names)))
+    for n, (x, own) in enumerate(zip(lists, carried, strict=True)):
+        of = {name: c for c, name in own.items()}
+        part = (F.lit(float(weights[n]) if n < len(weights) else 1.0) / (k + F.col("rank"))).alias("part")
+        brought = [(F.col(of[name]) if name in of else F.lit(None).cast(kind)).alias(f"_{name}") for name, kind in kinds.items()]
+        each.append(x.where("rank >= 1").select(*key, "id", part, F.lit(n).alias("list"), *brought))
     both = each[0]
     for x in each[1:]:
         both = both.unionByName(x)
+    # The order of addition is that of the lists, so equal ranks give equal sums.
     parts = F.transform(F.sort_array(F.collect_list(F.struct("list", "part"))), lambda x: x["part"])
-    first = [F.min_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("list"))).alias(n) for n in names]
+    first = [F.min_by(f"_{name}", F.when(F.col(f"_{name}").isNotNull(), F.col("list"))).alias(name) for name in kinds]
     return both.groupBy(*key, "id").agg(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b).alias("score"), *first)
 
 

@@ -86,7 +86,7 @@ def hybrid(bm25: DataFrame, near: DataFrame, k: int = 10, weights: tuple[float,
     legs = [x.withColumnRenamed("chunk_id", "id") for x in (bm25, near)]
     shown = {"snippet": "snippet"} if "snippet" in bm25.columns else {}
     carried = [{"document_id": "document_id", "score": "bm25_score", **shown}, {"document_id": "document_id", "score": "vector_score"}]
-    fused = fusion.fuse_carrying(legs, carried, list(weights), rrf_k)
+    fused = fusion.fuse(legs, list(weights), rrf_k, carried=carried)
     return fusion.collapse(fused.withColumnRenamed("id", "chunk_id"), strategy, k)
 
 

@@ -15,7 +15,7 @@ _WINDOWS = r"""
 d0 as (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') as ws from documents),
 w0 as (select doc_id, ws, unnest(generate_series(0, case when len(ws) <= 384 then 0 else ceil((len(ws) - 384) / 336.0)::int end)) as ord from d0 where len(ws) > 0),
 win as (select doc_id, ord::int as ord, ws[336 * ord + 1 : 336 * ord + 384] as words from w0),
-chunk as (select doc_id * 1000 + ord as chunk_id, doc_id as document_id, ord, array_to_string(words, ' ') as text from win)"""
+chunk as (select doc_id * 1000000 + ord as chunk_id, doc_id as document_id, ord, array_to_string(words, ' ') as text from win)"""
 
 _TF = ", ".join(f"len(list_filter(terms, lambda t: t = '{t}'))::double as tf{k}" for k, t in enumerate(TERMS))
 _SCORE = " + ".join(
@@ -37,7 +37,7 @@ bm as (select chunk_id, document_id, score, row_number() over (order by score de
 
 
 _NEAR = """
-v0 as (select vec_id * 1000 as chunk_id, vec_id as document_id, list_distance(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) as distance from embeddings where vec_id in (select doc_id from documents)),
+v0 as (select vec_id * 1000000 as chunk_id, vec_id as document_id, list_distance(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) as distance from embeddings where vec_id in (select doc_id from documents)),
 v1 as (select * from v0 order by distance, chunk_id limit 50),
 ve as (select chunk_id, document_id, distance, 1.0::double / (1.0::double + distance) as score, row_number() over (order by distance, chunk_id)::int as rank from v1)"""
 
@@ -114,7 +114,7 @@ select item_id, array_to_string(list_transform(ws, lambda w: '"' || w || '"'), '
         "bm25_topk": f"with {_top()} {browse}",
         "postings": f"""with {_BM25},
 p as (select chunk_id, unnest(terms) as term, generate_subscripts(terms, 1) - 1 as pl from tok)
-select term, chunk_id, count(*) as tf, min(pl)::int as first_at from p where term in ({", ".join(f"'{t}'" for t in TERMS)}) group by term, chunk_id""",
+select term, chunk_id, count(*) as tf, min(pl)::int as first_at from p group by term, chunk_id""",
         "search_filtered_type": f"with {_top("content_type in ('fr', 'de')")} {browse}",
         "search_filtered_source": f"with {_top("source in ('src1', 'src2', 'src3')")} {browse}",
         "search_filtered_host": f"with {_top(_HOST.format('url') + ' in ' + hosts)} {browse}",

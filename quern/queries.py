@@ -1,7 +1,7 @@
 """The registered queries of the engine and their SQL, over the driver's tables.
 
-How the tables stand for the engine's: documents are cut into windows of words, which are chunks (chunk_id = doc_id * 1000 + ord);
-embeddings are chunk vectors, of the chunk vec_id * 1000 or, where a document has many, of the document vec_id % 50; pages give URLs;
+How the tables stand for the engine's: documents are cut into windows of words, which are chunks (chunk_id = doc_id * 1,000,000 + ord);
+embeddings are chunk vectors, of the chunk vec_id * 1,000,000 or, where a document has many, of the document vec_id % 50; pages give URLs;
 events give jobs.
 """
 
@@ -38,7 +38,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = chunking.word_windows(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return w.select((F.col("doc_id") * 1000 + F.col("ord")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "ord", F.array_join("words", " ").alias("text"))
+    return w.select((F.col("doc_id") * 1_000_000 + F.col("ord")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "ord", F.array_join("words", " ").alias("text"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def _vectors(spark: SparkSession, sf_dir: str, documents: int = 0) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings")
     if documents:
         return e.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % documents).alias("document_id"), F.floor(F.col("vec_id") / documents).alias("ord"), "embedding")
-    return e.select((F.col("vec_id") * 1000).alias("chunk_id"), F.col("vec_id").alias("document_id"), F.lit(0).alias("ord"), "embedding")
+    return e.select((F.col("vec_id") * 1_000_000).alias("chunk_id"), F.col("vec_id").alias("document_id"), F.lit(0).alias("ord"), "embedding")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def bm25_phrases(spark, sf_dir):
 
 def postings(spark, sf_dir):
     p = lexical.postings(lexical.index(_chunks(spark, sf_dir), stemmed=False))
-    return p.where(F.col("term").isin(*TERMS)).select("term", "chunk_id", "tf", F.element_at("positions", 1).alias("first_at"))
+    return p.select("term", "chunk_id", "tf", F.element_at("positions", 1).alias("first_at"))
 
 
 def search_filtered_type(spark, sf_dir):
