@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, html_text, langid, line_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity
+from . import ann, embed_dedup, html_text, langid, line_dedup, mixing, periodic_runs, quality, sentencepiece_codec, simhash, toxicity
 from .common import table
 
 
@@ -64,6 +64,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, after repetitions are put into every tenth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    out = periodic_runs.collapse(docs).withColumn("best", periodic_runs.longest(F.col("runs")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
