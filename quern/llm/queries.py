@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, html_text, langid, line_dedup, mixing, periodic_runs, quality, sentencepiece_codec, simhash, toxicity
+from . import ann, embed_dedup, html_text, langid, line_dedup, mixing, periodic_runs, quality, ranked_search, sentencepiece_codec, simhash, toxicity
 from .common import table
 
 
@@ -74,12 +74,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.indexed(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op5_line_dedup": OP5_SQL, "op12_ranked_search": OP12_SQL}
 
 
 OP2_SQL = r"""
@@ -117,3 +122,15 @@ select doc_id, case when text is null then 0 else len(lines) end::int as n_lines
        md5(coalesce(array_to_string(kept, chr(10)), case when text is null then null else '' end)) as text_md5
 from k
 """
+
+OP12_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents where text is not null),
+s as (select count(*)::bigint as all_docs, sum(len(terms))::bigint as all_terms from d where len(terms) > 0),
+p as (select doc_id, n, term, count(*)::bigint as tf from (select doc_id, len(terms)::bigint as n, unnest(terms) as term from d) group by doc_id, n, term),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+w as (select term, floor(1000 * ln((2.0::double * all_docs + 2) / (2.0::double * count(*) + 1)))::bigint as w from p, s group by term, all_docs),
+r as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * all_docs) // all_terms))))::bigint as score
+      from q join w using (term) join p using (term), s group by item_id, doc_id),
+k as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from r where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 50
+"""
