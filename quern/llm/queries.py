@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, html_text, langid, line_dedup, mixing, periodic_runs, quality, ranked_search, sentencepiece_codec, simhash, toxicity
+from . import ann, bottom_k, embed_dedup, html_text, langid, line_dedup, mixing, periodic_runs, quality, ranked_search, sentencepiece_codec, simhash, toxicity
 from .common import table
 
 
@@ -79,6 +79,17 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bottom_k.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = bottom_k.with_sketch(docs, "edited", "edited_sketch")
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), bottom_k.written(own).alias("fingerprint"), bottom_k.written(edited).alias("edited_fingerprint"),
+        bottom_k.resemblance(own, edited).alias("near_edited"), bottom_k.resemblance(own, after).alias("near_next"),
+        bottom_k.containment(own, edited).alias("kept_in_edited"), bottom_k.distinct_count(own).alias("n_shingles"),
+    )
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
