@@ -18,6 +18,8 @@ from .common import fresh, materialise, unused
 #: Hashes are numbers of so many bits.
 BITS = 48
 K, WORDS = 128, 5
+#: Stands for a null id, so that it has a place in the order.
+NO_ID = -(1 << 63)
 
 
 def word_hashes(text: Column) -> Column:
@@ -68,9 +70,8 @@ def merge(parts: DataFrame, keys: list[str], sketch: str = "sketch", k: int = K)
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """What share of the shingles of either text both have, from 0 to 1; 1 for two texts without any."""
-    both, either = F.array_intersect(a, b), F.slice(F.sort_array(F.array_union(a, b)), 1, k)
-    shared = F.size(F.filter(both, lambda x: x <= F.try_element_at(either, F.lit(-1))))
-    return F.when(F.size(either) == 0, 1.0).otherwise(shared / F.size(either))
+    either = merged(a, b, k)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), either)) / F.size(either))
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
@@ -110,23 +111,19 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     The next document is the one with the next smaller id; after the last comes the first, so a table of one document has itself. edited: the text whose last
     n_chars / 2 code points, rounded down, are replaced by the first as many (or all) of the next document. Null texts are empty. Rows that share an
-    id follow each other by a hash of their texts; rows with the same id and text are one document and get equal results. Null ids come last.
+    id follow each other by a hash of their texts; rows with the same id and text are one document and get equal results. Null ids come last (as does the least long number, which stands for them).
     An empty table gives an empty result; other columns take no part.
 
     The order is found on ids alone, by ranges; then each document sends what its predecessor needs of it to where that one's kept part goes.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")).select("doc", "text", F.xxhash64("doc", "text").alias("h"), F.length("text").cast("long").alias("n"))
-    # null ids: below all others; what tells them from the least id is the hash
-    docs = docs.withColumn("id", F.coalesce("doc", F.lit(-(1 << 63))))
-    ranged = materialise(docs.select("id", "h", "n").distinct().repartitionByRange(F.desc("id"), F.desc("h")).withColumn("part", F.spark_partition_id()))
-    places = _order(ranged, "part")
-    here = with_sketch(docs, "text", "sketch", words, k).join(places, ["id", "h"])
-    copy = F.row_number().over(W.partitionBy("id", "h").orderBy("n"))
-    none = F.lit(None)
-    own = F.struct(F.col("id"), F.col("h"), F.lit(True).alias("own"), "doc", "n", F.expr("left(text, cast(n - n div 2 as int))").alias("part"), "sketch")
-    sent = F.struct(F.col("to_id").alias("id"), F.col("to_h").alias("h"), F.lit(False).alias("own"), none.cast("long").alias("doc"), none.cast("long").alias("n"), F.expr("left(text, cast(to_n div 2 as int))").alias("part"), "sketch")
-    both = here.withColumn("copy", copy).select(F.explode(F.when(F.col("copy") == 1, F.array(own, sent)).otherwise(F.array(own))).alias("x")).select("x.*")
-    given = F.max(F.when(~F.col("own"), F.struct("part", "sketch"))).over(W.partitionBy("id", "h"))  # one row is not its own
-    met = both.withColumn("given", given).where("own")
-    return met.select(F.col("doc").alias(id_col), F.col("n").alias("n_chars"), F.concat("part", "given.part").alias("edited"), "sketch", F.col("given.sketch").alias("next_sketch"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("id", "text"))
+    ranged = materialise(docs.select("id", "h", F.length("text").cast("long").alias("n")).distinct().repartitionByRange(F.desc("id"), F.desc("h")).withColumn("part", F.spark_partition_id()))
+    # texts are dealt out by id once: both joins read that exchange, which has the same three columns for each
+    here = docs.join(_order(ranged, "part").hint("merge"), ["id", "h"]).withColumn("copy", F.row_number().over(W.partitionBy("id", "h").orderBy("to_id")))
+    sent = with_sketch(here.where("copy = 1"), "text", "next_sketch", words, k)
+    sent = sent.select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), F.expr("left(text, cast(to_n div 2 as int))").alias("given"), "next_sketch")
+    n = F.length("text").cast("long")
+    met = with_sketch(docs.join(sent.hint("merge"), ["id", "h"]), "text", "sketch", words, k).withColumn("n_chars", n)
+    edited = F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), "given")
+    return met.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_chars", edited.alias("edited"), "sketch", "next_sketch")
