@@ -112,8 +112,8 @@ def scores(indexed: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return score_counts(counted, stats, [phrases.count(p) for p in distinct]).where("score > 0")
 
 
-def score_counts(counted: DataFrame, stats: DataFrame, repeats: list[int]) -> DataFrame:
-    """Scores from counts: counted has (chunk_id, length, tf array), stats one row (n_all, mean, n_with array)."""
+def score_counts(counted: DataFrame, stats: DataFrame, repeats: list[int], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scores from counts: counted has (chunk_id, columns of keep, length, tf array), stats one row (n_all, mean, n_with array)."""
     joined = counted.crossJoin(F.broadcast(stats))  # stats: one row
     total = F.lit(0.0)
     for k, times in enumerate(repeats):
@@ -122,7 +122,7 @@ def score_counts(counted: DataFrame, stats: DataFrame, repeats: list[int]) -> Da
         idf = F.when(idf > 0, idf).otherwise(1e-6)
         one = idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
         total = total + (one if times == 1 else one * times)
-    return joined.select("chunk_id", total.alias("score"))
+    return joined.select("chunk_id", *keep, total.alias("score"))
 
 
 def top(scored: DataFrame, limit: int = 50) -> DataFrame:
