@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKED, QUERY_STOPWORDS, QUERY_WORD, UNMARKED, index_tokens, stemmed_tokens
+from ..functions.text import MARKED, QUERY_STOPWORDS, QUERY_WORD, UNMARKED, index_tokens, query_words, stemmed_tokens
 from ..functions.text import tokens as plain_tokens
 
 K1, B = 1.2, 0.75
@@ -43,6 +43,13 @@ def postings(indexed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return each.select("term", "chunk_id", *keep, "length", F.transform(F.filter("places", lambda p: p["term"] == F.col("term")), lambda p: p["at"]).alias("positions")).select("term", "chunk_id", *keep, "length", F.size("positions").alias("tf"), "positions")
 
 
+def inverted(indexed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same rows as postings, for building an index of everything: tokens are exchanged once, by term and chunk, where postings looks through a chunk
+    for each of its distinct terms."""
+    each = indexed.select("chunk_id", *keep, "length", F.posexplode("terms").alias("at", "term")).where("term is not null")
+    return each.groupBy("term", "chunk_id", *keep, "length").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+
+
 def scores_of_postings(posted: DataFrame, stats: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """(chunk_id, score) from postings: only those of the query's terms are read. stats: one row (n_all, mean) of all chunks."""
     distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
@@ -67,6 +74,33 @@ def scores_of_postings(posted: DataFrame, stats: DataFrame, phrases: list[list[s
     return score_counts(counted, stats.crossJoin(held), [phrases.count(p) for p in distinct])
 
 
+def scores_of_queries(posted: DataFrame, stats: DataFrame, queries: DataFrame, digits: int = 9) -> DataFrame:
+    """(query_id, chunk_id, document_id, score) of the chunks that hold a phrase of each query (query_id, text), from postings with document_id.
+
+    Phrases are those of phrases_of without stems. Postings are joined by term with the distinct phrases of all queries, once; a phrase of several words
+    is where the positions of its words follow each other. Scores are rounded to `digits`, so that equal ones are equal in whatever order they are
+    added up. stats: one row (n_all, mean) of all chunks. Null texts, and queries without a word, find nothing; queries that share an id are one.
+    """
+    word = F.explode(F.transform(query_words(F.col("text")), plain_tokens))
+    said = queries.where("query_id is not null").select("query_id", word.alias("terms")).where(F.size("terms") > 0).withColumn("phrase", F.array_join("terms", " "))
+    asked = said.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
+    wanted = said.select("phrase", "terms").distinct().select("phrase", F.size("terms").alias("words"), F.posexplode("terms").alias("at", "term"))
+    met = posted.select("term", "chunk_id", "document_id", "length", "tf", "positions").join(wanted, "term")
+    one = met.where("words = 1").select("phrase", "chunk_id", "document_id", "length", F.col("tf").cast("long").alias("tf"))
+    # a start is a place where each word of the phrase stands as far on as it stands in the phrase
+    starts = met.where("words > 1").select("phrase", "words", "chunk_id", "document_id", "length", "at", F.explode("positions").alias("place"))
+    starts = starts.groupBy("phrase", "words", "chunk_id", "document_id", "length", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("n")).where("n = words")
+    several = starts.groupBy("phrase", "chunk_id", "document_id", "length").agg(F.count("*").alias("tf"))
+    hits = one.unionByName(several)
+    n = F.col("n_with")
+    idf = F.log((F.col("n_all") - n + 0.5) / (n + 0.5))
+    weights = hits.groupBy("phrase").agg(F.count("*").alias("n_with")).crossJoin(F.broadcast(stats)).select("phrase", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # stats: one row
+    tf = F.col("tf").cast("double")
+    part = F.col("times") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    each = hits.join(asked.join(weights, "phrase"), "phrase").select("query_id", "chunk_id", "document_id", part.alias("part"))
+    return each.groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum("part"), digits).alias("score"))
+
+
 def statistics(lengths: DataFrame) -> DataFrame:
     """One row (n_all, mean) of chunks' lengths."""
     return lengths.agg(F.count("*").alias("n_all"), F.avg("length").alias("mean"))

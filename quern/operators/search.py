@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -90,6 +91,26 @@ def hybrid(bm25: DataFrame, near: DataFrame, k: int = 10, weights: tuple[float,
     return fusion.collapse(fused.withColumnRenamed("id", "chunk_id"), strategy, k)
 
 
+def hybrid_queries(posted: DataFrame, lengths: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, limit: int = 50, documents: DataFrame | None = None, weights: tuple[float, float] = (1.0, 1.0), rrf_k: int = 60, strategy: str = "max") -> DataFrame:
+    """(query_id, document_id, score, rank, chunks): hybrid search for each of queries (query_id, text, embedding), in one plan.
+
+    posted and lengths: a written index (lexical.postings with document_id, and a row with the length of each chunk); vectors: (chunk_id, document_id,
+    embedding). Each leg gives a query's `limit` best chunks, of documents (document_id) alone if they are given. A query without
+    words, or without a vector, has the other leg only; one without either is not in the result.
+    """
+    scored = lexical.scores_of_queries(posted, lexical.statistics(lengths), queries)
+    if documents is not None:
+        kept = documents.select("document_id").distinct()
+        scored, vectors = scored.join(kept, "document_id", "left_semi"), vectors.join(kept, "document_id", "left_semi")
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    words = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    near = vector_search.nearest_many(vectors.select("chunk_id", "document_id", "embedding"), queries, limit)
+    legs = [x.withColumnRenamed("chunk_id", "id") for x in (words, near)]
+    carried = [{"document_id": "document_id", "score": "bm25_score"}, {"document_id": "document_id", "score": "vector_score"}]
+    fused = fusion.fuse(legs, [w or 1.0 for w in weights], rrf_k, key=("query_id",), carried=carried)
+    return fusion.collapse(fused.withColumnRenamed("id", "chunk_id"), strategy, k, key=("query_id",))
+
+
 def related(vectors: DataFrame, documents: DataFrame, document, k: int = 10, strategy: str = "max", fanout: int = 50, pooled: int = 64) -> DataFrame:
     """(document_id, score, rank, chunks) of the documents nearest to a document's mean vector.
 

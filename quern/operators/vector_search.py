@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,46 @@ def nearest(chunks: DataFrame, query: DataFrame, limit: int = 50, vector_col: st
     return ranked(best.withColumn("score", vectors.similarity(F.col("distance"))), F.asc("distance"), F.asc("chunk_id"))
 
 
+def nearest_many(chunks: DataFrame, queries: DataFrame, limit: int = 50, vector_col: str = "embedding", block: int = 1024) -> DataFrame:
+    """(query_id, chunks' columns but the vector, distance, score, rank): the `limit` rows nearest to each of queries (query_id, the vector), equal ones by chunk.
+
+    The queries are a stated set, sent round in blocks; each task keeps a query's best `limit` of each batch, and the shuffle what is best of a task. Null
+    vectors are near nothing, also as queries; an id that queries repeat counts once. Vectors of other lengths raise an error.
+    """
+    asked = queries.where(F.col(vector_col).isNotNull()).select("query_id", vector_col).toPandas().drop_duplicates("query_id")
+    own = chunks.where(F.col(vector_col).isNotNull())
+    rest = [f for f in own.schema.fields if f.name != vector_col]
+    kind = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *rest, T.StructField("distance", T.DoubleType())])
+    parts = [own.mapInPandas(_near(asked[s : s + block], vector_col, limit), kind) for s in range(0, max(1, len(asked)), block)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    best = W.partitionBy("query_id").orderBy("distance", "chunk_id")
+    return found.withColumn("score", vectors.similarity(F.col("distance"))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+
+def _near(asked: pd.DataFrame, vector_col: str, limit: int):
+    ids = asked["query_id"].to_numpy()
+    q = np.stack([np.asarray(v, dtype=np.float64) for v in asked[vector_col]]) if len(asked) else None
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if q is None or not len(b):
+                continue
+            if any(len(v) != q.shape[1] for v in b[vector_col]):
+                raise ValueError("vectors of different lengths")
+            x, rest = np.stack(b[vector_col]).astype(np.float64), b.drop(columns=[vector_col])
+            for i in range(len(q)):
+                away = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
+                # all that are as near as the last one stay, so that ties go by chunk
+                at = np.flatnonzero(away <= np.partition(away, limit - 1)[limit - 1]) if len(away) > limit else np.arange(len(away))
+                out = rest.iloc[at].copy()
+                out.insert(0, "query_id", ids[i])
+                yield out.assign(distance=away[at])
+
+    return of
+
+
 def mean_pooled(rows: DataFrame, key_cols: list[str], vector_col: str = "embedding", as_float: bool = True) -> DataFrame:
     """(keys, n, embedding): the mean of each group's vectors, summed in double precision.
 

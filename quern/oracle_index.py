@@ -2,13 +2,47 @@
 
 from __future__ import annotations
 
-from .oracle import _top
+from .functions.text import MARKED, QUERY_STOPWORDS, UNMARKED
+from .oracle import _WINDOWS, _list, _top
 
 _FOUND = "select chunk_id, document_id, round(score, 9) as score, rank from bm"
 
 
+_TOKENS = f"regexp_extract_all(translate(lower({{0}}), '{MARKED}', '{UNMARKED}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
+# Items have no phrase of several words.
+_ITEMS = f"""{_WINDOWS},
+tok as (select chunk_id, document_id, {_TOKENS.format("text")} as terms from chunk),
+st as (select count(*) as n_all, avg(len(terms)) as mean from tok),
+po as (select chunk_id, document_id, n as length, term, count(*)::double as tf from (select chunk_id, document_id, len(terms) as n, unnest(terms) as term from tok) group by chunk_id, document_id, n, term),
+ask as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({_TOKENS.format("w")}) as term from
+  (select item_id, unnest(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}''\\-]+'), lambda w: not list_contains({_list(QUERY_STOPWORDS)}, lower(w)))) as w from benchmark)) group by item_id, term),
+df as (select term, count(*) as n from po group by term),
+sc as (select query_id, chunk_id, document_id, round(sum(times * (case when ln((n_all - n + 0.5::double) / (n + 0.5::double)) > 0 then ln((n_all - n + 0.5::double) / (n + 0.5::double)) else 1e-6::double end)
+  * (tf * 2.2::double) / (tf + 1.2::double * (0.25::double + 0.75::double * length / mean))), 9) as score from ask join df using (term) join po using (term), st group by query_id, chunk_id, document_id),
+bm as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc) where rank <= 50),
+v0 as (select q.vec_id as query_id, e.vec_id * 1000000 as chunk_id, e.vec_id as document_id, list_distance(e.embedding::double[], q.embedding::double[]) as distance
+  from embeddings e, embeddings q where q.vec_id in (select item_id from benchmark)),
+ve as (select * from (select *, row_number() over (partition by query_id order by distance, chunk_id) as rank from v0) where rank <= 50),
+fu as (select coalesce(bm.query_id, ve.query_id) as query_id, coalesce(bm.chunk_id, ve.chunk_id) as chunk_id, coalesce(bm.document_id, ve.document_id) as document_id,
+  coalesce(1.0::double / (60 + bm.rank), 0.0::double) + coalesce(1.0::double / (60 + ve.rank), 0.0::double) as score from bm full join ve on bm.chunk_id = ve.chunk_id and bm.query_id = ve.query_id),
+hy as (select *, row_number() over (partition by query_id order by score desc, document_id)::int as rank from
+  (select query_id, document_id, max(score) as score, least(count(*), 3)::int as n_chunks from fu group by query_id, document_id)),
+hits as (select * from hy where rank <= 10)"""
+_RUNS = "(select distinct {0} as {1}, unnest(list_transform(generate_series(1, len(ws) - 7), lambda i: array_to_string(ws[i:i + 7], ' '))) as run from (select {0}, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') as ws from {2}))"
+_JUDGED = f"""
+j as (select distinct query_id, id from {_RUNS.format("doc_id", "id", "documents")} d join {_RUNS.format("item_id", "query_id", "benchmark")} q using (run)),
+sz as (select query_id, count(*) as num_relevant from j group by query_id),
+h as (select hits.query_id, rank, (j.id is not null) as hit from hits left join j on j.query_id = hits.query_id and j.id = hits.document_id),
+g as (select query_id, count(*) as seen, count(*) filter (hit) as found, sum(case when hit then 1.0::double / log2(rank + 1.0::double) else 0 end) as dcg, min(rank) filter (hit) as first from h group by query_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "bm25_blocks": f"with {_top()} {_FOUND}",
         "bm25_blocks_filtered": f"with {_top("content_type in ('fr', 'de')")} {_FOUND}",
+        "hybrid_queries": f"with {_ITEMS} select query_id, document_id, rank, round(score, 12) as score, n_chunks from hits",
+        "eval_retrieval": f"""with {_ITEMS}, {_JUDGED}
+select sz.query_id, num_relevant, coalesce(round(found / num_relevant::double, 9), 0.0::double) as recall, coalesce(round(found / seen::double, 9), 0.0::double) as precision,
+  coalesce(round(dcg / (select sum(1.0::double / log2(i + 1.0::double)) from generate_series(1, least(10, num_relevant)) t(i)), 9), 0.0::double) as ndcg, coalesce(round(1.0::double / first, 9), 0.0::double) as rr
+from sz left join g on g.query_id = sz.query_id""",
     }

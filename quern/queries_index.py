@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import impact, lexical
+from .operators import evaluation, impact, lexical, search, stage
 from .operators.catalog import shared_folder
-from .queries import QUERY, _chunks, _documents, _round
+from .queries import QUERY, _chunks, _documents, _read, _round, _vectors
 
 
 def _folder(spark: SparkSession) -> str:
@@ -33,7 +34,33 @@ def bm25_blocks_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(impact.search(_impact_index(spark, sf_dir), QUERY, stemmed=False, documents=documents).best, 9, "score")
 
 
-NAMES = "bm25_blocks bm25_blocks_filtered".split()
+def _asked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items as queries; an item's vector is the one of the same number."""
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return items.join(_read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+
+
+def _hybrid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = stage.keep(lexical.index(_chunks(spark, sf_dir), stemmed=False, keep=("document_id",)))
+    posted = stage.keep(lexical.inverted(indexed, keep=("document_id",)))
+    return search.hybrid_queries(posted, indexed.select("length"), _vectors(spark, sf_dir), _asked_items(spark, sf_dir))
+
+
+def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search for every benchmark item."""
+    hits = _hybrid_items(spark, sf_dir)
+    return _round(hits.select("query_id", "document_id", "rank", "score", F.size("chunks").alias("n_chunks")), 12, "score")
+
+
+def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval and its measures for every benchmark item: documents that share eight words in a row with it are relevant."""
+    found = _hybrid_items(spark, sf_dir).select("query_id", "rank", F.col("document_id").alias("id"))
+    documents = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    judged = evaluation.sharing_passages(documents, _asked_items(spark, sf_dir).select("query_id", "text"))
+    return _round(evaluation.per_query(found, judged, 10), 9, "recall", "precision", "ndcg", "rr")
+
+
+NAMES = "bm25_blocks bm25_blocks_filtered hybrid_queries eval_retrieval".split()
 
 
 def queries() -> dict:
