@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from . import nn_descent, propagation
 from .catalog import shared_folder
 from .vector_search import mean_pooled
 
@@ -110,15 +111,17 @@ def propagate(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, iters: in
     return label
 
 
-def cluster(points: DataFrame, k: int = 10, min_similarity: float = 0.5, min_size: int = 3, max_iters: int = 20, center: bool = False, id_col: str = "id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
+def cluster(points: DataFrame, k: int = 10, min_similarity: float = 0.5, min_size: int = 3, max_iters: int = 20, center: bool = False, id_col: str = "id", vector_col: str = "embedding", block: int = 2048, most_edges: int = 1 << 22, exact: bool = True) -> DataFrame:
     """(id, label) of each point; label -1 is noise.
 
-    Neighbours are found in parallel. Propagation goes node by node, each step seeing the one before; labels never leave a connected
-    component of the graph, so each component is swept in a task of its own, over its edges (at most 2 k for each point, without vectors), and the
-    result is that of one sweep over all. Points without edges never go there. Clusters are numbered by size,
-    largest first, then by their first member in the order of ids; those below min_size are noise.
+    Neighbours are found in parallel: all of them, or, unless exact is set, most of them by descent (nn_descent). Propagation goes node by node, each
+    step seeing the one before; labels never leave a connected component of the graph, so a component of at most most_edges edges is swept in a task of
+    its own, and larger ones by wavefronts (propagation); the result is that of one sweep over all. Points without edges never go
+    there. Clusters are numbered by size, largest first, then by their first member in the order of ids; those below min_size are noise.
     """
-    edges = undirected(knn_edges(unit_residuals(points, center, id_col, vector_col), k, min_similarity, block, id_col))
+    units = unit_residuals(points, center, id_col, vector_col)
+    near = knn_edges(units, k, min_similarity, block, id_col) if exact else nn_descent.graph(units, k, min_similarity, id_col=id_col).edges
+    edges = undirected(near)
     kind = points.schema[id_col].dataType.simpleString()
 
     def sweep(e: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +130,13 @@ def cluster(points: DataFrame, k: int = 10, min_similarity: float = 0.5, min_siz
         return pd.DataFrame({"id": ids, "root": ids[lab]})
 
     # Nodes keep their order among those of their component, so leaving the others out changes no label.
-    lab = with_component(edges).groupBy("component").applyInPandas(lambda e: sweep(e), f"id {kind}, root {kind}")
+    placed = with_component(edges)
+    large = placed.groupBy("component").count().where(F.col("count") > most_edges).select("component")
+    if large.isEmpty():
+        lab = placed.groupBy("component").applyInPandas(lambda e: sweep(e), f"id {kind}, root {kind}")
+    else:
+        small = placed.join(large, "component", "left_anti").groupBy("component").applyInPandas(lambda e: sweep(e), f"id {kind}, root {kind}")
+        lab = small.unionByName(propagation.propagate(placed.join(large, "component", "left_semi").select("src", "dst", "w"), max_iters))
     groups = lab.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("first")).where(F.col("size") >= min_size)
     numbered = groups.withColumn("label", (F.row_number().over(W.orderBy(F.desc("size"), "first")) - 1).cast("int"))  # a row for each cluster
     named = lab.join(numbered.select("root", "label"), "root").select(F.col("id").alias("_id"), "label")

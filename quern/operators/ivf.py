@@ -29,12 +29,14 @@ SMALL, QUERIES = 20_000, 1024
 
 @dataclass(frozen=True)
 class Codes:
-    """centres (cells x length), books (parts x codes x length of a part); probe: how many cells a search looks into. recall: what that reached on the sample."""
+    """centres (cells x length), books (parts x codes x length of a part); probe: how many cells a search looks into. recall: what that reached on the sample; rows: how many
+    rows had a vector."""
 
     centres: np.ndarray
     books: np.ndarray
     probe: int
     recall: float
+    rows: int = 0
 
     @property
     def bytes(self) -> int:
@@ -92,7 +94,7 @@ def train(rows: DataFrame, k: int = 10, cells: int | None = None, parts: int = 1
     parts = math.gcd(parts, x.shape[1])
     rest, width = x - centres[Codes(centres, np.zeros((0, 0, 0)), 0, 0.0).cells(x)], x.shape[1] // parts
     books = np.stack([_means(rest[:, p * width : (p + 1) * width], min(codes, len(x)), rng) for p in range(parts)])
-    made = Codes(centres, books, count, 1.0)
+    made = Codes(centres, books, count, 1.0, n)
     if not few:
         return made
     truth = _true(held, q_ids, q, k)
@@ -100,7 +102,7 @@ def train(rows: DataFrame, k: int = 10, cells: int | None = None, parts: int = 1
     at = made.cells(_matrix(truth["embedding"])).tolist()
     ranks = np.sort([order[i][c] for i, c in zip(truth["query_id"].tolist(), at, strict=True)])
     probe = int(ranks[math.ceil(recall * len(ranks)) - 1]) + 1 if len(ranks) else count
-    return Codes(centres, books, probe, float((ranks < probe).mean()) if len(ranks) else 1.0)
+    return Codes(centres, books, probe, float((ranks < probe).mean()) if len(ranks) else 1.0, n)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -154,23 +156,27 @@ def write(rows: DataFrame, codes: Codes, path: str, keep: tuple[str, ...] = ("do
 
     placed = rows.where("embedding is not null").select("id", *keep, "embedding", place("embedding").alias("at")).select("id", *keep, "at.code", "embedding", "at.cell")
     placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(f"{path}/rows")
-    books = {"centres": codes.centres.tolist(), "books": codes.books.tolist(), "probe": codes.probe, "recall": codes.recall}
+    books = {"centres": codes.centres.tolist(), "books": codes.books.tolist(), "probe": codes.probe, "recall": codes.recall, "rows": codes.rows}
     spark.createDataFrame([(json.dumps(books),)], "books string").coalesce(1).write.parquet(f"{path}/books")
 
 
 def read(spark: SparkSession, path: str) -> VectorIndex:
     books = json.loads(spark.read.parquet(f"{path}/books").first()[0])
-    codes = Codes(np.array(books["centres"]), np.array(books["books"]), books["probe"], books["recall"])
+    codes = Codes(np.array(books["centres"]), np.array(books["books"]), books["probe"], books["recall"], books["rows"])
     return VectorIndex(spark.read.parquet(f"{path}/rows"), codes)
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int = 50, rerank: int = 10, probe: int | None = None, documents: DataFrame | None = None) -> DataFrame:
+def search(index: VectorIndex, queries: DataFrame, k: int = 50, rerank: int = 10, probe: int | None = None, documents: DataFrame | None = None, small: int = SMALL) -> DataFrame:
     """(query_id, id, kept columns, distance, score, rank): the k rows found nearest to each of queries (query_id, embedding), equal ones by id.
 
     rerank * k rows with the least coded distances are ranked by their vectors. documents (document_id): only their rows are ranked at all; a
     query that finds fewer than k of them in its cells is asked again in all cells. queries are read in blocks of QUERIES; null
-    vectors find nothing.
+    vectors find nothing. Of a table of up to `small` rows all vectors are compared.
     """
+    if index.codes.rows <= small:
+        rows = index.rows if documents is None else index.rows.join(documents.select("document_id").distinct(), "document_id", "left_semi")
+        found = vector_search.nearest_many(rows.drop("code", "cell").withColumnRenamed("id", "chunk_id"), queries.select("query_id", "embedding"), k)
+        return found.withColumnRenamed("chunk_id", "id")
     asked = queries.where("embedding is not null").select("query_id", "embedding").toPandas().drop_duplicates("query_id")  # the stated query set
     parts = [_search(index, asked[s : s + QUERIES], k, rerank, probe or index.codes.probe, documents) for s in range(0, len(asked), QUERIES)] or [_search(index, asked, k, rerank, 1, documents)]
     out = parts[0]
