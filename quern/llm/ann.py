@@ -6,8 +6,9 @@ about `bucket_rows` rows; the last rotation may count fewer axes, so the number
 steps. A query looks into the buckets that lose least, over all tables, against the axes that are nearest to it. Candidates are then ranked by
 exact cosine in double precision.
 
-How many buckets are looked into comes from a bounded sample of queries, whose true neighbours one scan of all
-rows finds: as many as reach the recall that is asked for.
+How many buckets are looked into comes from a bounded sample of rows that are no queries, whose true neighbours one scan of all
+rows finds: as many as reach the recall that is asked for. Where the neighbours are far that may be most buckets, up to all of them, with which
+none is missed. What the buckets reach is then measured on other rows of the sample.
 
 Rows and queries meet in bins of buckets: a query goes to a bin once, with all buckets that it looks into there. A bucket of more
 than `chunk` rows is dealt over several bins of its own, to each of which its queries go, so no task holds an unbounded bucket.
@@ -51,8 +52,8 @@ def rotated(x: np.ndarray, table: int, seed: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Tables:
     """How vectors of one length are hashed: `tables` tables of `rotations` rotations, the last of which counts `axes`
-    axes; queries look into `probe` buckets, of which at most `most` are of one table. recall is what the sample reached,
-    on `sampled` queries (without any: 1)."""
+    axes; queries look into `probe` buckets, of which at most `most` are of one table. recall is what the `sampled` rows reached that
+    fixed `probe` (without any: 1), held_out what `measured` others reach."""
 
     length: int
     tables: int
@@ -63,6 +64,8 @@ class Tables:
     probe: int = 0
     recall: float = 1.0
     sampled: int = 0
+    held_out: float = 1.0
+    measured: int = 0
 
     @property
     def padded(self) -> int:
@@ -178,31 +181,63 @@ def _true_neighbours(own: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarr
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank").toPandas()
 
 
-def fit(own: DataFrame, asked: DataFrame, k: int, tables: int, bucket_rows: int, recall: float, sample: int, seed: int) -> dict[int, Tables]:
+def first_lists(t: Tables, q_ids: np.ndarray, q: np.ndarray, asked_by: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """For each neighbour (a row of near, of the query with the id asked_by), how many buckets its query looks into before the first that holds it;
+    t.listed if none of the listed ones does."""
+    order = dict(zip(q_ids.tolist(), t.probes(q, t.listed), strict=True))
+    return np.array([int(np.append(np.flatnonzero(np.isin(order[i], b)), t.listed)[0]) for i, b in zip(asked_by.tolist(), t.buckets(near), strict=True)], dtype=np.int64)
+
+
+def reaching(t: Tables, q_ids: np.ndarray, q: np.ndarray, asked_by: np.ndarray, near: np.ndarray, recall: float) -> Tables:
+    """t with as many probes as find the share `recall` of these neighbours; more buckets of a table are listed, up to all, until they do."""
+    t = replace(t, most=min(t.most, t.cells))
+    while True:
+        ranks = np.sort(first_lists(t, q_ids, q, asked_by, near))
+        probe = int(ranks[math.ceil(recall * len(ranks)) - 1]) + 1
+        if probe <= t.listed or t.most >= t.cells:
+            probe = min(probe, t.listed)
+            return replace(t, probe=probe, recall=float((ranks < probe).mean()), sampled=len(q))
+        t = replace(t, most=min(t.cells, 4 * t.most))
+
+
+def _drawn(own: DataFrame, asked: DataFrame, sample: int, seed: int) -> pd.DataFrame:
+    """(id, v, d, place) of at most `sample` rows of each length by a hash of their ids: of rows that are no queries as long as there are enough."""
+    first = W.partitionBy("d").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    rows = own.withColumn("place", F.row_number().over(first)).where(F.col("place") <= 4 * sample).toPandas().drop_duplicates("id")
+    among = asked.where(F.col("id").isin(*rows["id"].tolist())).select("id").distinct() if len(rows) else None
+    also = {r["id"] for r in among.collect()} if among is not None else set()
+    rows = rows.assign(also=rows["id"].isin(also)).sort_values(["also", "place"], kind="stable")
+    return rows.groupby("d").head(sample).drop(columns="also")
+
+
+def fit(own: DataFrame, asked: DataFrame, k: int, tables: int, bucket_rows: int, recall: float, sample: int, seed: int, least: float = 0.9) -> dict[int, Tables]:
     """The tables for each length of vectors (id, v, d); a row for each length comes to the driver.
 
-    A sample of at most `sample` queries of a length, by a hash of their ids, fixes how many buckets are looked into.
+    A sample of at most `sample` rows of a length, by a hash of their ids, fixes how many buckets are looked into; half as many others measure
+    what that reaches. Rows of asked are drawn only where there are too few others. A fit below `least` is an error.
     """
     rows = {r["d"]: r["count"] for r in own.groupBy("d").count().collect()}
-    first = W.partitionBy("d").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    drawn = asked.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("id", "v", "d").toPandas()
-    drawn = drawn[drawn["d"].isin(list(rows))].drop_duplicates("id")
+    drawn = _drawn(own, asked, sample + sample // 2, seed)
     by = {int(d): (part["id"].to_numpy(), unit(stacked(part["v"]))) for d, part in drawn.groupby("d")}
     truth = _true_neighbours(own, by, k) if by else pd.DataFrame({"d": []})
     out = {}
     for d, n in rows.items():
         t = tables_for(n, d, tables, bucket_rows, seed)
-        near = truth[truth["d"] == d]
-        if not len(near):
+        q_ids, q = by[d]
+        fitted = max(1, min(sample, 2 * len(q) // 3))
+        parts = []
+        for at in (slice(0, fitted), slice(fitted, None)):
+            near = truth[(truth["d"] == d) & truth["query_id"].isin(q_ids[at])]
+            parts.append((q_ids[at], q[at], near["query_id"].to_numpy(), unit(stacked(near["v"])) if len(near) else np.zeros((0, d))))
+        if not len(parts[0][2]):
             out[d] = replace(t, probe=t.listed)
             continue
-        q_ids, q = by[d]
-        order = dict(zip(q_ids.tolist(), t.probes(q, t.listed), strict=True))
-        where = t.buckets(unit(stacked(near["v"])))
-        # the first bucket on a query's list that holds its neighbour
-        ranks = np.sort([int(np.append(np.flatnonzero(np.isin(order[i], b)), t.listed)[0]) for i, b in zip(near["query_id"].tolist(), where, strict=True)])
-        probe = min(t.listed, int(ranks[math.ceil(recall * len(ranks)) - 1]) + 1)
-        out[d] = replace(t, probe=probe, recall=float((ranks < probe).mean()), sampled=len(q))
+        t = reaching(t, *parts[0], recall)
+        if t.recall < min(least, recall):
+            raise ValueError(f"the buckets of vectors of length {d} reach a recall of {t.recall}")
+        if len(parts[1][2]):
+            t = replace(t, held_out=float((first_lists(t, *parts[1]) < t.probe).mean()), measured=len(parts[1][1]))
+        out[d] = t
     return out
 
 
@@ -215,8 +250,8 @@ def search(
     queries has the same two columns; a row with the query's own id is no candidate. Nearest first, ties to
     the smaller id. Vectors that `proper` refuses and null ids take no part; a query meets vectors of its own length. Repeated
     ids are returned once, with their nearest vector. Fewer than k are returned if fewer are found; an empty table gives an
-    empty result. Other columns take no part. index: what `fit` gave, else it is fitted here, on at most `sample` queries of a length, to reach
-    the recall on them.
+    empty result. Other columns take no part. index: what `fit` gave, else it is fitted here, on at most `sample` rows of a length that are no
+    queries, to reach the recall on them.
     """
     own, asked = _vectors(df, id_col, vector_col), _vectors(queries, id_col, vector_col)
     index = fit(own, asked, k, tables, bucket_rows, recall, sample, seed) if index is None else index

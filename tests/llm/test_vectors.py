@@ -189,3 +189,28 @@ def test_search_counts_ids_not_rows(spark):
     df = table(spark, np.repeat(x, 12, axis=0), np.repeat(np.arange(7), 12))
     got = ann.search(df, df.where("vec_id = 0").limit(1), tables=1, index={16: ann.Tables(16, 1, 1, 16, 11, probe=1)}).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+
+
+def test_probes_follow_the_recall():
+    """Tables for a hundred million rows whose nearest rows are no nearer than chance has it, which the first 4,096 buckets of a table don't hold often enough."""
+    r = np.random.default_rng(8)
+    t = ann.tables_for(100_000_000, 64, 4, 512, 11)
+    q = units(r.standard_normal((24, 64)))
+    side = r.standard_normal((24, 5, 64))
+    side -= (side * q[:, None]).sum(axis=2, keepdims=True) * q[:, None]
+    near = (0.45 * q[:, None] + np.sqrt(1 - 0.45**2) * side / np.linalg.norm(side, axis=2, keepdims=True)).reshape(-1, 64)
+    ids, by = np.arange(24), np.repeat(np.arange(24), 5)
+    assert (ann.first_lists(t, ids, q, by, near) < t.listed).mean() < 0.95
+    fitted = ann.reaching(t, ids, q, by, near, 0.97)
+    assert fitted.recall >= 0.97 and fitted.most > t.most and fitted.probe < fitted.tables * fitted.cells
+
+
+def test_fit_is_measured_on_other_rows(spark):
+    x = rng.standard_normal((600, 16))
+    own = ann._vectors(table(spark, x), "vec_id", "embedding")
+    asked = own.where("id % 50 = 0")
+    drawn = ann._drawn(own, asked, 90, 11)
+    assert len(drawn) == 90 and not set(drawn["id"]) & set(range(0, 600, 50))
+    t = ann.fit(own, asked, 5, 4, 16, 0.95, 60, 11)[16]
+    assert (t.sampled, t.measured) == (60, 30) and t.held_out >= 0.88
+    assert len(ann._drawn(asked, asked, 90, 11)) == 12
