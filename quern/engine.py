@@ -168,9 +168,17 @@ class Engine:
         tags = catalog.tag_union(marks.withColumn("tags", F.to_json("tags"))).select("document_id", F.to_json("tags").alias("tags"))
         wide = chunks.join(docs.select("document_id", "title"), "document_id", "left").join(tags, "document_id", "left")
         terms = self.tables.scratch(lexical.index(wide, columns=("text", "title", "tags"), keep=("document_id",)))
+        posted = self.tables.scratch(shaped("postings", lexical.inverted(terms, keep=("document_id",))))
+        # what is added and what goes, before it goes
+        old = self.tables.read("chunk_lengths").join(keys, "document_id", "left_semi")
+        sums, counts = lexical.changes(terms, 1).unionByName(lexical.changes(old, -1)), lexical.term_changes(posted, 1)
+        if not old.isEmpty():
+            counts = counts.unionByName(lexical.term_changes(self.tables.read("postings").join(keys, "document_id", "left_semi"), -1))
+        self.tables.append("index_statistics", shaped("index_statistics", sums))
+        self.tables.merge("term_statistics", shaped("term_statistics", counts.groupBy("term").agg(F.sum("chunks").alias("chunks")).where("chunks <> 0")), order=("term",))
         self.tables.merge("chunk_lengths", shaped("chunk_lengths", terms), "document_id", keys)
-        self.tables.merge("postings", shaped("postings", lexical.postings(terms, keep=("document_id",))), "document_id", keys, order=("term", "chunk_id"))
-        self.tables.drop(terms)
+        self.tables.merge("postings", posted, "document_id", keys, order=("term", "chunk_id"))
+        self.tables.drop(terms, posted)
         self._set_states(keys.distinct().select(F.col("document_id").alias("id"), F.lit("fetched").alias("state")), now)
 
     def search(self, query: str, k: int = 10, filters: search.Filters = search.Filters()) -> DataFrame:
@@ -178,7 +186,8 @@ class Engine:
             raise ValueError("a query is needed")
         s = self.settings.search
         docs = search.matching(self._own("documents").withColumnRenamed("id", "document_id"), filters, self.tables.read("bookmarks"))
-        bm25 = search.index_search(self.tables.read("postings"), self.tables.read("chunk_lengths"), self.tables.read("chunks"), docs, query, s.pre_fanout)
+        stats, frequencies = lexical.summed_statistics(self.tables.read("index_statistics")), self.tables.read("term_statistics")
+        bm25 = search.index_search(self.tables.read("postings"), self.tables.read("chunk_lengths"), self.tables.read("chunks"), docs, query, s.pre_fanout, stats, frequencies)
         asked = self.spark.createDataFrame([(s.query_prefix + query,)], "text string").select(self.embed(F.col("text")).alias("v"))
         near = search.vector_leg(self.tables.read("chunk_vectors"), docs, asked, s.pre_fanout)
         hits = search.hybrid(bm25, near, k if k > 0 else 10, (s.bm25_weight, s.vector_weight), s.rrf_k, s.collapse)
@@ -190,6 +199,19 @@ class Engine:
         hits = search.related(self.tables.read("chunk_vectors"), docs, document_id, k if k > 0 else 10, self.settings.search.collapse)
         return search.hydrate(hits, docs).orderBy("rank")
 
+    def search_queries(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, document_id, score, rank, chunks) of hybrid search for each of queries (query_id, text), in one plan."""
+        s = self.settings.search
+        asked = queries.select("query_id", "text", self.embed(F.concat(F.lit(s.query_prefix), F.col("text"))).alias("embedding"))
+        docs = self._own("documents").select(F.col("id").alias("document_id"))
+        stats = lexical.summed_statistics(self.tables.read("index_statistics"))
+        return search.hybrid_queries(self.tables.read("postings"), stats, self.tables.read("chunk_vectors"), asked, k if k > 0 else 10, s.pre_fanout, docs, (s.bm25_weight, s.vector_weight), s.rrf_k, s.collapse, stemmed=True)
+
+    def evaluate_queries(self, queries: DataFrame, judged: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+        """Searches for queries (query_id, text) and measures the results against judged (query_id, id); the measures of each query, and their means."""
+        found = self.tables.scratch(self.search_queries(queries, k).select("query_id", "rank", F.col("document_id").alias("id")))
+        return self.evaluate(found, judged, k)
+
     def evaluate(self, rankings: DataFrame, judged: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
         per = evaluation.per_query(rankings, judged, k)
         return per, evaluation.means(per)
@@ -200,12 +222,17 @@ class Engine:
         return interests.rebuild(self.tables, F.current_timestamp() if now is None else now, self.settings.clustering, self.labeler, self.settings.tenant_id, self.clusterer)
 
     def interest(self, cluster_id: str, members: int = 50) -> DataFrame:
-        """One topic with its most central members."""
-        found = self._one(self._own("clusters").where(F.col("id") == cluster_id), cluster_id)
+        """One topic of the last done run with its most central members."""
+        found = self._one(self._topics().where(F.col("id") == cluster_id), cluster_id)
         return interests.interests(found, self.tables.read("cluster_documents").where(F.col("cluster_id") == cluster_id), self.tables.read("documents"), 1, members)
 
+    def _topics(self) -> DataFrame:
+        """Topics of the last done run: rows of one that is on its way, or has failed, are not among them."""
+        done = catalog.latest_run(self.tables.read("cluster_runs"), True, self.settings.tenant_id).select(F.col("id").alias("run_id"))
+        return self._own("clusters").join(F.broadcast(done), "run_id", "left_semi")  # one row
+
     def interests(self, limit: int = 50, members: int = 5) -> DataFrame:
-        return interests.interests(self.tables.read("clusters"), self.tables.read("cluster_documents"), self.tables.read("documents"), limit, members)
+        return interests.interests(self._topics(), self.tables.read("cluster_documents"), self.tables.read("documents"), limit, members)
 
     def jobs(self, kind: str = "", status: str = "", limit: int = 50) -> DataFrame:
         return jobs.with_documents(self.tables.read("jobs"), self.tables.read("documents"), self.tables.read("document_extractions"), limit, kind=kind, status=status)

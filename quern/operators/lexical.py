@@ -50,13 +50,17 @@ def inverted(indexed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return each.groupBy("term", "chunk_id", *keep, "length").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
-def scores_of_postings(posted: DataFrame, stats: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(chunk_id, score) from postings: only those of the query's terms are read. stats: one row (n_all, mean) of all chunks."""
+def scores_of_postings(posted: DataFrame, stats: DataFrame, phrases: list[list[str]], keep: tuple[str, ...] = (), frequencies: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, columns of keep, score) from postings: only those of the query's terms are read. stats: one row (n_all, mean) of all chunks.
+
+    frequencies (term, chunks: signed sums of the chunks that hold a term): they are looked up where each phrase is one word, so posted may be a part of
+    all postings, as of some documents; else chunks are counted here.
+    """
     distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
     if not distinct:
-        return posted.select("chunk_id", F.lit(0.0).alias("score")).where("false")
+        return posted.select("chunk_id", *keep, F.lit(0.0).alias("score")).where("false")
     own = posted.where(F.col("term").isin(*sorted({t for p in distinct for t in p})))
-    hits = own.groupBy("chunk_id").agg(F.max("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    hits = own.groupBy("chunk_id", *keep).agg(F.max("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
     none = F.array().cast("array<int>")
     of = lambda t: F.coalesce(F.try_element_at("at", F.lit(t)), none)
 
@@ -69,20 +73,25 @@ def scores_of_postings(posted: DataFrame, stats: DataFrame, phrases: list[list[s
     def moved(places: Column, by: int) -> Column:
         return F.transform(places, lambda p: p - by)
 
-    counted = hits.select("chunk_id", "length", F.array(*map(count, distinct)).alias("tf")).where(F.exists("tf", lambda t: t > 0))
+    counted = hits.select("chunk_id", *keep, "length", F.array(*map(count, distinct)).alias("tf")).where(F.exists("tf", lambda t: t > 0))
+    if frequencies is not None and all(len(p) == 1 for p in distinct):
+        each = frequencies.where(F.col("term").isin(*(p[0] for p in distinct))).groupBy("term").agg(F.sum("chunks").alias("n"))
+        by = F.map_from_entries(F.collect_list(F.struct("term", "n")))  # the query's terms at most
+        held = each.agg(by.alias("by")).select(F.array(*(F.coalesce(F.try_element_at("by", F.lit(p[0])), F.lit(0).cast("long")) for p in distinct)).alias("n_with"))
+        return score_counts(counted, stats.crossJoin(held), [phrases.count(p) for p in distinct], keep)
     held = counted.agg(F.array(*(F.count_if(F.get("tf", F.lit(k)) > 0) for k in range(len(distinct)))).alias("n_with"))
-    return score_counts(counted, stats.crossJoin(held), [phrases.count(p) for p in distinct])
+    return score_counts(counted, stats.crossJoin(held), [phrases.count(p) for p in distinct], keep)
 
 
-def scores_of_queries(posted: DataFrame, stats: DataFrame, queries: DataFrame, digits: int = 9) -> DataFrame:
+def scores_of_queries(posted: DataFrame, stats: DataFrame, queries: DataFrame, digits: int = 9, stemmed: bool = False) -> DataFrame:
     """(query_id, chunk_id, document_id, score) of the chunks that hold a phrase of each query (query_id, text), from postings with document_id.
 
-    Phrases are those of phrases_of without stems. Postings are joined by term with the distinct phrases of all queries, once; a phrase of several words
+    Phrases are those of phrases_of. Postings are joined by term with the distinct phrases of all queries, once; a phrase of several words
     is where the positions of its words follow each other. Scores are rounded to `digits`, so that equal ones are equal in whatever order they are
     added up. stats: one row (n_all, mean) of all chunks. Null texts, and queries without a word, find nothing; queries that share an id are one.
     """
-    word = F.explode(F.transform(query_words(F.col("text")), plain_tokens))
-    said = queries.where("query_id is not null").select("query_id", word.alias("terms")).where(F.size("terms") > 0).withColumn("phrase", F.array_join("terms", " "))
+    words = queries.where("query_id is not null").select("query_id", F.explode(query_words(F.col("text"))).alias("word"))
+    said = words.select("query_id", (stemmed_tokens if stemmed else plain_tokens)(F.col("word")).alias("terms")).where(F.size("terms") > 0).withColumn("phrase", F.array_join("terms", " "))
     asked = said.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
     wanted = said.select("phrase", "terms").distinct().select("phrase", F.size("terms").alias("words"), F.posexplode("terms").alias("at", "term"))
     met = posted.select("term", "chunk_id", "document_id", "length", "tf", "positions").join(wanted, "term")
@@ -106,6 +115,21 @@ def statistics(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_all"), F.avg("length").alias("mean"))
 
 
+def summed_statistics(changes: DataFrame) -> DataFrame:
+    """One row (n_all, mean) of signed sums (chunks, tokens)."""
+    return changes.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n_all"), (F.sum("tokens") / F.sum("chunks")).alias("mean"))
+
+
+def changes(lengths: DataFrame, sign: int) -> DataFrame:
+    """One row (chunks, tokens): what chunks' lengths add to the statistics, or take away."""
+    return lengths.agg((F.count("*") * sign).alias("chunks"), (F.coalesce(F.sum("length"), F.lit(0)) * sign).cast("long").alias("tokens"))
+
+
+def term_changes(posted: DataFrame, sign: int) -> DataFrame:
+    """(term, chunks): in how many more, or fewer, chunks each term stands."""
+    return posted.groupBy("term").agg((F.count("*") * sign).alias("chunks"))
+
+
 def phrases_of(query: str, stemmed: bool = True) -> list[list[str]]:
     """The query's phrases, as tokens, repeats included; a hyphenated word is a phrase of its parts."""
     import regex

@@ -60,10 +60,20 @@ def bm25_search(chunks: DataFrame, documents: DataFrame, query: str, limit: int
     return _best(lexical.scores(lexical.index(chunks, columns=columns, stemmed=stemmed), phrases), chunks, documents, phrases, limit, with_snippets)
 
 
-def index_search(posted: DataFrame, lengths: DataFrame, chunks: DataFrame, documents: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """bm25_search, with snippets, over a written index: postings and chunk lengths. Texts are read for snippets alone."""
+def index_search(
+    posted: DataFrame, lengths: DataFrame, chunks: DataFrame, documents: DataFrame, query: str, limit: int = 50, stats: DataFrame | None = None, frequencies: DataFrame | None = None
+) -> DataFrame:
+    """bm25_search, with snippets, over a written index: postings and chunk lengths, or, where they are kept, one row of statistics (n_all, mean) and
+    terms' frequencies. Postings of the query's terms are read; of chunks, the texts of the `limit` best ones. Postings
+    without document_id are joined with chunks for it."""
     phrases = lexical.phrases_of(query)
-    return _best(lexical.scores_of_postings(posted, lexical.statistics(lengths), phrases), chunks, documents, phrases, limit, True)
+    keep = ("document_id",) if "document_id" in posted.columns else ()
+    found = lexical.scores_of_postings(posted, lexical.statistics(lengths) if stats is None else stats, phrases, keep, frequencies)
+    found = found if keep else found.join(chunks.select("chunk_id", "document_id"), "chunk_id")
+    best = lexical.top(found.join(documents.select("document_id"), "document_id", "left_semi"), limit).select("chunk_id", "score", "document_id", "rank")
+    rows = best.collect()  # `limit` rows
+    texts = chunks.where(F.col("chunk_id").isin(*(r["chunk_id"] for r in rows))).select("chunk_id", lexical.snippets(F.col("text"), phrases).alias("snippet"))
+    return chunks.sparkSession.createDataFrame(rows, best.schema).join(texts, "chunk_id")
 
 
 def _best(found: DataFrame, chunks: DataFrame, documents: DataFrame, phrases: list[list[str]], limit: int, with_snippets: bool) -> DataFrame:
@@ -91,14 +101,14 @@ def hybrid(bm25: DataFrame, near: DataFrame, k: int = 10, weights: tuple[float,
     return fusion.collapse(fused.withColumnRenamed("id", "chunk_id"), strategy, k)
 
 
-def hybrid_queries(posted: DataFrame, lengths: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, limit: int = 50, documents: DataFrame | None = None, weights: tuple[float, float] = (1.0, 1.0), rrf_k: int = 60, strategy: str = "max") -> DataFrame:
+def hybrid_queries(posted: DataFrame, stats: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, limit: int = 50, documents: DataFrame | None = None, weights: tuple[float, float] = (1.0, 1.0), rrf_k: int = 60, strategy: str = "max", stemmed: bool = False) -> DataFrame:
     """(query_id, document_id, score, rank, chunks): hybrid search for each of queries (query_id, text, embedding), in one plan.
 
-    posted and lengths: a written index (lexical.postings with document_id, and a row with the length of each chunk); vectors: (chunk_id, document_id,
+    posted: a written index (lexical.postings or inverted, with document_id); stats: one row (n_all, mean) of all chunks; vectors: (chunk_id, document_id,
     embedding). Each leg gives a query's `limit` best chunks, of documents (document_id) alone if they are given. A query without
     words, or without a vector, has the other leg only; one without either is not in the result.
     """
-    scored = lexical.scores_of_queries(posted, lexical.statistics(lengths), queries)
+    scored = lexical.scores_of_queries(posted, stats, queries, stemmed=stemmed)
     if documents is not None:
         kept = documents.select("document_id").distinct()
         scored, vectors = scored.join(kept, "document_id", "left_semi"), vectors.join(kept, "document_id", "left_semi")

@@ -14,11 +14,11 @@ def results(answers: DataFrame) -> DataFrame:
     A page that is gone, by its status or by what it says, is a dead link and fails for good, as does what is no page. An answer to a
     robot, a login wall or a page without text is to be tried again, maybe by another reader. pdf: the text of a PDF is in body.
     """
-    ext = markdown.extracted(F.col("body"))
     found = answers.withColumn("kind", pages.fetch_class(F.col("status"))).withColumn("pdf", pages.is_pdf(F.col("content_type"), F.col("url")))
     read = (F.col("kind") == "ok") & ~F.col("pdf") & pages.is_readable(F.col("content_type"))
-    # only pages that can be read are parsed
-    found = found.withColumn("read", read).withColumn("page", F.when(read, ext))
+    # a Python function runs on every row, whatever stands around it: other bodies are not sent to it
+    page = markdown.extracted(F.when(read, F.col("body")))
+    found = found.withColumn("read", read).withColumn("page", F.when(read, page))
     end = F.coalesce("final_url", "url")
     gone = pages.gone(F.col("page.title"), F.col("url"), end)
     wall = pages.login_wall(F.col("page.markdown"), F.coalesce("page.title", F.lit("")), F.col("url"), end)

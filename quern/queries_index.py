@@ -43,7 +43,7 @@ def _asked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hybrid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = stage.keep(lexical.index(_chunks(spark, sf_dir), stemmed=False, keep=("document_id",)))
     posted = stage.keep(lexical.inverted(indexed, keep=("document_id",)))
-    return search.hybrid_queries(posted, indexed.select("length"), _vectors(spark, sf_dir), _asked_items(spark, sf_dir))
+    return search.hybrid_queries(posted, lexical.statistics(indexed), _vectors(spark, sf_dir), _asked_items(spark, sf_dir))
 
 
 def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,9 @@ EXTRACTIONS = _table({"id": _S, "document_id": _S, "fetcher": _S, "status": _S,
 CHUNKS = _table({"chunk_id": _S, "document_id": _S, "ord": _I, "text": _S}, {"extraction_id": _S, "token_count": _I})
 CHUNK_VECTORS = _table({"chunk_id": _S, "document_id": _S, "ord": _I, "embedding": T.ArrayType(T.FloatType())})
 CHUNK_LENGTHS = _table({"chunk_id": _S, "document_id": _S, "length": _I})
+#: Signed sums: what each change added and took away.
+INDEX_STATISTICS = _table({"chunks": _L, "tokens": _L})
+TERM_STATISTICS = _table({"term": _S, "chunks": _L})
 POSTINGS = _table({"term": _S, "chunk_id": _S, "length": _I, "tf": _I, "positions": T.ArrayType(_I), "document_id": _S})
 BOOKMARKS = _table(
     {"id": _S, "tenant_id": _S, "url": _S, "source": _S, "saved_at": _TS, "created_at": _TS, "updated_at": _TS},
@@ -39,7 +42,7 @@ PARSED_BOOKMARK = _table({"url": _S}, {"title": _S, "folder_path": _S, "tags": T
 
 #: Tables by their names in a store.
 STORED = {
-    "documents": DOCUMENTS, "document_extractions": EXTRACTIONS, "chunks": CHUNKS, "chunk_vectors": CHUNK_VECTORS, "chunk_lengths": CHUNK_LENGTHS, "postings": POSTINGS, "bookmarks": BOOKMARKS, "jobs": JOBS,
+    "documents": DOCUMENTS, "document_extractions": EXTRACTIONS, "chunks": CHUNKS, "chunk_vectors": CHUNK_VECTORS, "chunk_lengths": CHUNK_LENGTHS, "postings": POSTINGS, "index_statistics": INDEX_STATISTICS, "term_statistics": TERM_STATISTICS, "bookmarks": BOOKMARKS, "jobs": JOBS,
     "cluster_runs": CLUSTER_RUNS, "clusters": CLUSTERS, "cluster_documents": CLUSTER_DOCUMENTS,
 }
 

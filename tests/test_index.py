@@ -115,7 +115,7 @@ def test_hybrid_of_many_queries_is_that_of_each(spark, chunks):
     vectors = vectors_of(spark, 300)
     asked = spark.createDataFrame([(1, "w5 w50"), (2, "w7"), (3, None)], "query_id long, text string").join(vectors.where("chunk_id < 4").select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id", "left")
     kept = spark.createDataFrame([(k,) for k in range(250)], "document_id long")
-    got = search.hybrid_queries(lexical.inverted(indexed, ("document_id",)), indexed.select("length"), vectors, asked, documents=kept).collect()
+    got = search.hybrid_queries(lexical.inverted(indexed, ("document_id",)), lexical.statistics(indexed), vectors, asked, documents=kept).collect()
     for q, text in ((1, "w5 w50"), (2, "w7")):
         words = search.bm25_search(chunks, kept, text, stemmed=False)
         near = search.vector_leg(vectors, kept, vectors.where(F.col("chunk_id") == q).select("embedding"))
