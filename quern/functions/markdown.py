@@ -1,7 +1,7 @@
 """Pages to Markdown: the part of a page that holds its text, converted element by element.
 
-The part is the page's article or main element if it has one with text, else the element whose paragraphs hold most text outside of
-links. Menus, forms and what is no text are left out everywhere.
+The part is the page's article or main element if it has one with text, else the element with the best score: paragraphs count for the elements around
+them, links against them, and what belongs to the best element beside it is joined to it. Menus, forms and what is no text are left out everywhere.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCKS = frozenset("address article blockquote body dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _OWN_END = {"li": ("ul", "ol"), "p": (), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 _META = {"og:title": "title", "author": "author", "article:author": "author", "og:site_name": "site", "article:published_time": "published", "date": "published"}
+_PARAGRAPHS = frozenset("p pre blockquote ul ol dl table".split())
+_COMMAS = ",،、，"
 _SPACE, _BREAK = re.compile(r"\s+"), "\0"
 
 
@@ -71,17 +73,6 @@ class _Tree(html.parser.HTMLParser):
         self.open[-1].children.append(data)
 
 
-def _size(node: Node, linked: bool = False) -> int:
-    """Characters of a part outside of links and of what is skipped."""
-    total = 0
-    for c in node.children:
-        if isinstance(c, str):
-            total += 0 if linked else len(c.strip())
-        elif c.tag not in _SKIPPED:
-            total += _size(c, linked or c.tag == "a")
-    return total
-
-
 def _every(node: Node) -> list[Node]:
     out, todo = [], [node]
     while todo:
@@ -91,17 +82,81 @@ def _every(node: Node) -> list[Node]:
     return out
 
 
+class _Measures:
+    """For each element: characters of its text outside of links and within them, and commas; without what is skipped. One walk, however deep."""
+
+    def __init__(self, every: list[Node]) -> None:
+        self.plain, self.linked, self.commas, self.parent = {}, {}, {}, {}
+        for n in reversed(every):  # children before their parents
+            plain = linked = commas = 0
+            for c in n.children:
+                if isinstance(c, str):
+                    plain += len(c.strip())
+                    commas += sum(map(c.count, _COMMAS))
+                elif c.tag not in _SKIPPED:
+                    self.parent[id(c)] = n
+                    plain, linked, commas = plain + self.plain[id(c)], linked + self.linked[id(c)], commas + self.commas[id(c)]
+            if n.tag == "a":
+                plain, linked = 0, plain + linked
+            self.plain[id(n)], self.linked[id(n)], self.commas[id(n)] = plain, linked, commas
+
+    def density(self, n: Node) -> float:
+        """The share of an element's text that is in links."""
+        all_ = self.plain[id(n)] + self.linked[id(n)]
+        return self.linked[id(n)] / all_ if all_ else 0.0
+
+
+def _candidates(every: list[Node], m: _Measures, least: int) -> dict[int, float]:
+    """Scores of elements: each paragraph of at least so many characters counts for its parent, by half for that one's parent, and by a third beyond."""
+    scores: dict[int, float] = {}
+    for n in every:
+        own = n.tag in _PARAGRAPHS or n.tag in ("div", "section", "td") and not any(isinstance(c, Node) and c.tag in _BLOCKS for c in n.children)
+        size = m.plain[id(n)]
+        if not own or size < least:
+            continue
+        points, up, share = 1 + m.commas[id(n)] + min(size / 100, 3), m.parent.get(id(n)), 1.0
+        for level in range(2, 5):
+            if up is None:
+                break
+            scores[id(up)] = scores.get(id(up), 0.0) + points * share
+            up, share = m.parent.get(id(up)), 1 / level if level < 3 else 1 / 3
+    return scores
+
+
+def _joined(best: Node, score: float, scores: dict[int, float], m: _Measures) -> Node:
+    """The best element with those beside it that hold text too: a score of a fifth of its own, or paragraphs with few links."""
+    up = m.parent.get(id(best))
+    if up is None:
+        return best
+    out = Node("div", {})
+    for c in up.children:
+        if isinstance(c, str) or c.tag in _SKIPPED:
+            continue
+        worth = scores.get(id(c), 0.0) * (1 - m.density(c))
+        text = c.tag in _PARAGRAPHS and m.plain[id(c)] >= 80 and m.density(c) < 0.25
+        if c is best or worth >= max(10, score / 5) or text or re.fullmatch("h[1-6]", c.tag) and out.children == []:
+            out.children.append(c)
+    return out if len(out.children) > 1 else best
+
+
 def main_part(root: Node) -> Node:
+    """The page's article or main element if it has one with a paragraph of text. Else the element with the best score, less its share of links, with what belongs to it
+    beside it; if that has little text, shorter paragraphs count too, if they lead to nearly all text; at last the whole page."""
     every = _every(root)
+    m = _Measures(every)
     named = [n for n in every if n.tag in ("article", "main") or n.attrs.get("role") == "main"]
-    best = max(named, key=_size, default=None)
-    if best is not None and _size(best) >= 140:
+    best = max(named, key=lambda n: m.plain[id(n)], default=None)
+    if best is not None and m.plain[id(best)] >= 25:
         return best
-    # the element whose own paragraphs, and those of its children by half, hold most
-    own = {id(n): sum(_size(c) for c in n.children if isinstance(c, Node) and c.tag in ("p", "pre", "blockquote", "ul", "ol", "table")) for n in every}
-    worth = lambda n: own[id(n)] + sum(own.get(id(c), 0) for c in n.children if isinstance(c, Node) and c.tag in ("div", "section")) / 2
-    found = max(every, key=worth, default=root)
-    return found if worth(found) else root
+    for least, enough in ((25, 250), (1, 0.9 * m.plain[id(root)])):
+        scores = _candidates(every, m, least)
+        rated = [(scores[id(n)] * (1 - m.density(n)), n) for n in every if id(n) in scores]
+        score, best = max(rated, key=lambda x: x[0], default=(0.0, None))
+        if best is not None and score > 0:
+            found = _joined(best, score, scores, m)
+            if sum(m.plain[id(c)] for c in (found.children if id(found) not in m.plain else [found])) >= enough:
+                return found
+    return root
 
 
 def _inline(node: Node) -> str:
@@ -129,6 +184,8 @@ def _inline(node: Node) -> str:
             out.append(f"*{bare}*")
         elif c.tag in ("code", "kbd", "samp"):
             out.append(f"`{bare}`")
+        elif c.tag in _BLOCKS:  # words of two blocks are never one
+            out.append(f" {text} ")
         else:
             out.append(text)
     return _SPACE.sub(" ", "".join(out))
@@ -146,14 +203,60 @@ def _indented(text: str, first: str, rest: str) -> str:
     return "\n".join((rest if k else first) + x if x else "" for k, x in enumerate(text.split("\n")))
 
 
-def _table(node: Node) -> str:
-    rows = [[_line(c).replace("|", "\\|") for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in _every(node) if r.tag == "tr"]
-    rows = [r for r in rows if any(r)]
+def _rows(node: Node) -> tuple[list[Node], list[Node]]:
+    """A table's rows, without those of tables in its cells; and what else stands in it: its captions, and text outside of cells."""
+    rows, rest, todo = [], [], list(reversed(node.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            if c.strip():
+                rest.append(_holding([c]))
+        elif c.tag == "tr":
+            rows.append(c)
+            rest += [_holding([x]) for x in c.children if (isinstance(x, Node) and x.tag not in ("td", "th", *_SKIPPED)) or (isinstance(x, str) and x.strip())]
+        elif c.tag in ("thead", "tbody", "tfoot"):
+            todo += reversed(c.children)
+        elif c.tag not in _SKIPPED:
+            rest.append(_holding([c]))
+    return rows, rest
+
+
+def _holding(children: list) -> Node:
+    out = Node("div", {})
+    out.children = children
+    return out
+
+
+def _table(node: Node) -> list[str]:
+    """A table as blocks: what stands outside of its rows, then its rows; cells with several blocks each as they are, one after the other, as a page laid out
+    by a table has them."""
+    found, rest = _rows(node)
+    cells = [[c for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in found]
+    out = [b for x in rest for b in blocks(x)]
+    if any(sum(isinstance(x, Node) and x.tag in _BLOCKS for x in c.children) > 1 or any(isinstance(x, Node) and x.tag == "table" for x in c.children) for r in cells for c in r):
+        return out + [b for r in cells for c in r for b in blocks(c)]
+    rows = [r for r in ([_line(c).replace("|", "\\|") for c in r] for r in cells) if any(r)]
     if not rows:
-        return ""
+        return out
     width = max(map(len, rows))
-    line = lambda cells: "| " + " | ".join([*cells, *[""] * (width - len(cells))]) + " |"
-    return "\n".join([line(rows[0]), "|" + " --- |" * width, *map(line, rows[1:])])
+    line = lambda row: "| " + " | ".join([*row, *[""] * (width - len(row))]) + " |"
+    return [*out, "\n".join([line(rows[0]), "|" + " --- |" * width, *map(line, rows[1:])])]
+
+
+def _items(node: Node) -> list[Node]:
+    """A list's items; text and elements outside of them are items too."""
+    out: list[Node] = []
+    loose = None
+    for c in node.children:
+        if isinstance(c, Node) and c.tag == "li":
+            out.append(c)
+            loose = None
+        elif isinstance(c, Node) or c.strip() or loose is not None:
+            if loose is None:
+                loose = Node("li", {})
+                out.append(loose)
+            loose.children.append(c)
+    return out
 
 
 def blocks(node: Node) -> list[str]:
@@ -183,11 +286,11 @@ def blocks(node: Node) -> list[str]:
             inner = "\n\n".join(blocks(c))
             out += ["\n".join(("> " + x).rstrip() for x in inner.split("\n"))] if inner else []
         elif c.tag in ("ul", "ol"):
-            items = [(n, "\n\n".join(blocks(i))) for n, i in enumerate((i for i in c.children if isinstance(i, Node) and i.tag == "li"), 1)]
+            items = [(n, "\n\n".join(blocks(i))) for n, i in enumerate(_items(c), 1)]
             marks = [(f"{n}. " if c.tag == "ol" else "- ", t) for n, t in items if t]
             out += ["\n".join(_indented(t, m, " " * len(m)) for m, t in marks)] if marks else []
         elif c.tag == "table":
-            out += [t] if (t := _table(c)) else []
+            out += _table(c)
         elif c.tag == "hr":
             out.append("---")
         else:

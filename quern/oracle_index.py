@@ -40,6 +40,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "bm25_blocks": f"with {_top()} {_FOUND}",
         "bm25_blocks_filtered": f"with {_top("content_type in ('fr', 'de')")} {_FOUND}",
+        # each page of the tables has an article, whose elements are p, b, br and h1
+        "page_words": r"""with t as (select page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&(amp|quot|copy|middot);', ' ', 'g') as body from pages),
+w as (select page_id, regexp_extract_all(body, '[\p{L}\p{N}]+') as w, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&') as title from t)
+select page_id, md5(trim(regexp_replace(title, '\s+', ' ', 'g'))) as title_md5, len(w)::int as n_words, md5(array_to_string(w, ' ')) as words_md5 from w""",
         "hybrid_queries": f"with {_ITEMS} select query_id, document_id, rank, round(score, 12) as score, n_chunks from hits",
         "eval_retrieval": f"""with {_ITEMS}, {_JUDGED}
 select sz.query_id, num_relevant, coalesce(round(found / num_relevant::double, 9), 0.0::double) as recall, coalesce(round(found / seen::double, 9), 0.0::double) as precision,

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import markdown
 from .operators import evaluation, impact, lexical, search, stage
 from .operators.catalog import shared_folder
 from .queries import QUERY, _chunks, _documents, _read, _round, _vectors
@@ -60,7 +61,14 @@ def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(evaluation.per_query(found, judged, 10), 9, "recall", "precision", "ndcg", "rr")
 
 
-NAMES = "bm25_blocks bm25_blocks_filtered hybrid_queries eval_retrieval".split()
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each page's main part, in order, and its title."""
+    page = _read(spark, sf_dir, "pages").select("page_id", markdown.extracted(F.col("html")).alias("page"))
+    words = F.regexp_extract_all(F.col("page.markdown"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return page.select("page_id", F.md5("page.title").alias("title_md5"), words.alias("w")).select("page_id", "title_md5", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
+
+
+NAMES = "page_words bm25_blocks bm25_blocks_filtered hybrid_queries eval_retrieval".split()
 
 
 def queries() -> dict:

@@ -197,3 +197,25 @@ def test_fetched_pages(spark):
     assert got[1]["markdown"].startswith("# Tides") and (got[1]["title"], got[1]["author"], got[1]["language"], got[1]["content_type"]) == ("Tides", "A. Moon", "en", "article")
     assert got[1]["published_at"].year == 2001 and got[8]["content_type"] == "pdf" and "\r" not in got[8]["markdown"]
     assert got[2]["error"].startswith("dead link") and got[7]["error"].startswith("dead link: title") and got[9]["error"] == "login wall: extracted text < 500 chars" and got[5]["error"].startswith("unsupported")
+
+
+LONG = "Some words of a text, and more of them, which go on for a while. " * 5
+
+
+def test_markdown_loses_no_text():
+    of = lambda page: markdown.extract(page)["markdown"]
+    assert of("<ul><li>" * 300 + "deep words" + "</li></ul>" * 300).endswith("deep words")
+    assert of("<ul>loose<p>para</p><li>one</li></ul>") == "- loose\n\n  para\n- one"
+    assert of("<table><caption>Cap</caption>out<tr><td>x<p>y</td><td>z</td></tr></table>").split() == "Cap out | x y | z | | --- | --- |".split()
+    assert of("<table><tr><td><h2>Head</h2><p>one</p><table><tr><td>in</td></tr></table></td><td>side</td></tr></table>") == "## Head\n\none\n\n| in |\n| --- |\n\nside"
+    assert len(of("<div>" * 5000 + "deep " * 20 + "</div>" * 5000)) == 99
+
+
+def test_markdown_of_pages_without_an_article():
+    """Paragraphs count for the elements around them, links against them; what is beside the best element and holds text is joined."""
+    menu = "<div class=a>" + "<a href=/x>a link, with text</a> " * 40 + "</div>"
+    page = f"{menu}<div><h2>Head</h2><div><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div></div><div><ul>{'<li><a href=/y>more, links</a></li>' * 30}</ul></div>"
+    got = markdown.extract(page)["markdown"]
+    assert got == "\n\n".join(["## Head", *[LONG.strip()] * 3])
+    short = "<div><p>A few words.</p><p>A few more.</p></div>"
+    assert markdown.extract(short)["markdown"] == "A few words.\n\nA few more."
