@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.text import MARKED, QUERY_STOPWORDS, UNMARKED
-from .oracle import _WINDOWS, _list, _top
+from .oracle import _CENTERED, _WINDOWS, _list, _top
 
 _FOUND = "select chunk_id, document_id, round(score, 9) as score, rank from bm"
 
@@ -36,6 +36,26 @@ h as (select hits.query_id, rank, (j.id is not null) as hit from hits left join
 g as (select query_id, count(*) as seen, count(*) filter (hit) as found, sum(case when hit then 1.0::double / log2(rank + 1.0::double) else 0 end) as dcg, min(rank) filter (hit) as first from h group by query_id)"""
 
 
+# Label propagation node by node: a step of the recursion is a node of a sweep, and its state the labels of all nodes.
+_PROPAGATED = f"""{_CENTERED},
+v as (select id, list(x order by pl) as v from u group by id),
+w as (select a.id as src, b.id as dst, list_inner_product(a.v, b.v) as w from v a join v b on a.id <> b.id),
+k as (select src, dst, w from (select *, row_number() over (partition by src order by w desc, dst) as r from w where w >= 0.3) where r <= 10),
+e as (select src, dst, max(w) as w from (select src, dst, w from k union all select dst, src, w from k) group by src, dst),
+ix as (select id, row_number() over (order by id) as i from (select distinct src as id from e)),
+nb as (select a.i, list(b.i order by b.i) as near, list(e.w order by b.i) as ws from e join ix a on a.id = e.src join ix b on b.id = e.dst group by a.i),
+cn as (select count(*)::bigint as n from ix),
+lp as (
+  select 0::bigint as t, (select list(i order by i) from ix) as labels, false as changed
+  union all
+  select t + 1, list_concat(labels[1 : i - 1], [new], labels[i + 1 : ]), (t % n > 0 and changed) or new <> labels[i]
+  from (select t, n, i, labels, changed, list_sort(list_transform(list_distinct(said), lambda x: {{'v': -list_sum(list_transform(list_filter(list_zip(said, ws), lambda y: y[1] = x), lambda y: y[2])), 'x': x}}))[1].x as new
+        from (select lp.t, cn.n, nb.i, lp.labels, lp.changed, nb.ws, list_transform(nb.near, lambda j: lp.labels[j]) as said from lp, cn, nb where nb.i = lp.t % cn.n + 1 and lp.t < 20 * cn.n and (lp.t % cn.n > 0 or lp.t = 0 or lp.changed)))),
+z as (select id, (select labels from lp order by t desc limit 1)[i] as root from ix),
+g as (select root, row_number() over (order by count(*) desc, min(id)) - 1 as label from z group by root having count(*) >= 3)
+select e.vec_id as id, coalesce(g.label, -1)::int as label from embeddings e left join z on z.id = e.vec_id left join g on g.root = z.root"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "bm25_blocks": f"with {_top()} {_FOUND}",
@@ -44,6 +64,7 @@ def oracle_sql() -> dict[str, str]:
         "page_words": r"""with t as (select page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&(amp|quot|copy|middot);', ' ', 'g') as body from pages),
 w as (select page_id, regexp_extract_all(body, '[\p{L}\p{N}]+') as w, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&') as title from t)
 select page_id, md5(trim(regexp_replace(title, '\s+', ' ', 'g'))) as title_md5, len(w)::int as n_words, md5(array_to_string(w, ' ')) as words_md5 from w""",
+        "cluster_knn_lpa": f"with recursive {_PROPAGATED}",
         "hybrid_queries": f"with {_ITEMS} select query_id, document_id, rank, round(score, 12) as score, n_chunks from hits",
         "eval_retrieval": f"""with {_ITEMS}, {_JUDGED}
 select sz.query_id, num_relevant, coalesce(round(found / num_relevant::double, 9), 0.0::double) as recall, coalesce(round(found / seen::double, 9), 0.0::double) as precision,
