@@ -36,6 +36,22 @@ h as (select hits.query_id, rank, (j.id is not null) as hit from hits left join
 g as (select query_id, count(*) as seen, count(*) filter (hit) as found, sum(case when hit then 1.0::double / log2(rank + 1.0::double) else 0 end) as dcg, min(rank) filter (hit) as first from h group by query_id)"""
 
 
+# The tables' documents are one paragraph each: windows of 384 words, 48 of them shared, each cut at 3,500 bytes. A step of the recursion is a piece; upto: bytes of a
+# window's words, and of a space after each, summed up.
+_CHUNKED = """
+ws as (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') as ws from documents),
+wi as (select doc_id, unnest(generate_series(0, case when len(ws) <= 384 then 0 else ceil((len(ws) - 384) / 336.0)::int end)) as nr, ws from ws where len(ws) > 0),
+wo as (select doc_id, nr, ws[336 * nr + 1 : 336 * nr + 384] as w from wi),
+up as (select doc_id, nr, w, list_transform(generate_series(1, len(w)), lambda k: list_sum(list_transform(w[1 : k], lambda x: strlen(x) + 1))::bigint) as upto from wo),
+pc as (
+  select doc_id, nr, 0 as piece, 1::bigint as a, len(list_filter(upto, lambda x: x - 1 <= 3500))::bigint as e, w, upto from up
+  union all
+  select doc_id, nr, piece + 1, a, len(list_filter(upto, lambda x: x - before - 1 <= 3500))::bigint, w, upto
+  from (select *, case when a = 1 then 0 else upto[a - 1] end as before from
+    (select doc_id, nr, piece, w, upto, case when upto[e + 1] - (case when st = 1 then 0 else upto[st - 1] end) - 1 > 3500 then e + 1 else st end as a
+     from (select *, greatest(a, len(list_filter(upto, lambda x: x <= upto[e] - 218)) + 1)::bigint as st from pc where e < len(w))))),
+ch as (select doc_id, nr, piece, e - a + 1 as token_count, array_to_string(w[a : e], ' ') as text from pc)
+select doc_id, (row_number() over (partition by doc_id order by nr, piece) - 1)::int as ord, token_count::int as token_count, strlen(text)::int as bytes, md5(text) as text_md5 from ch"""
 # Label propagation node by node: a step of the recursion is a node of a sweep, and its state the labels of all nodes.
 _PROPAGATED = f"""{_CENTERED},
 v as (select id, list(x order by pl) as v from u group by id),
@@ -64,6 +80,7 @@ def oracle_sql() -> dict[str, str]:
         "page_words": r"""with t as (select page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&(amp|quot|copy|middot);', ' ', 'g') as body from pages),
 w as (select page_id, regexp_extract_all(body, '[\p{L}\p{N}]+') as w, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&') as title from t)
 select page_id, md5(trim(regexp_replace(title, '\s+', ' ', 'g'))) as title_md5, len(w)::int as n_words, md5(array_to_string(w, ' ')) as words_md5 from w""",
+        "chunk_documents": f"with recursive {_CHUNKED}",
         "cluster_knn_lpa": f"with recursive {_PROPAGATED}",
         "hybrid_queries": f"with {_ITEMS} select query_id, document_id, rank, round(score, 12) as score, n_chunks from hits",
         "eval_retrieval": f"""with {_ITEMS}, {_JUDGED}
