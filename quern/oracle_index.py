@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .functions.text import MARKED, QUERY_STOPWORDS, UNMARKED
-from .oracle import _CENTERED, _WINDOWS, _list, _top
+from .oracle import _CENTERED, _NEAR, _WINDOWS, _list, _top
 
+_KEPT = "content_type in ('fr', 'de') and source in ('src0', 'src1', 'src2', 'src3', 'src4', 'src5')"
 _FOUND = "select chunk_id, document_id, round(score, 9) as score, rank from bm"
 
 
@@ -80,6 +81,10 @@ def oracle_sql() -> dict[str, str]:
         "page_words": r"""with t as (select page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&(amp|quot|copy|middot);', ' ', 'g') as body from pages),
 w as (select page_id, regexp_extract_all(body, '[\p{L}\p{N}]+') as w, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&') as title from t)
 select page_id, md5(trim(regexp_replace(title, '\s+', ' ', 'g'))) as title_md5, len(w)::int as n_words, md5(array_to_string(w, ' ')) as words_md5 from w""",
+        "hybrid_bitmaps": f"""with {_top(_KEPT)}, {_NEAR.replace("select doc_id from documents", f"select document_id from doc where {_KEPT}")},
+fu as (select coalesce(bm.document_id, ve.document_id) as document_id, coalesce(1.0::double / (60 + bm.rank), 0.0::double) + coalesce(1.0::double / (60 + ve.rank), 0.0::double) as score from bm full join ve on bm.chunk_id = ve.chunk_id),
+g as (select document_id, max(score) as score, least(count(*), 3)::int as n_chunks from fu group by document_id)
+select document_id, round(score, 12) as score, row_number() over (order by score desc, document_id)::int as rank, n_chunks from g order by g.score desc, document_id limit 10""",
         "chunk_documents": f"with recursive {_CHUNKED}",
         "cluster_knn_lpa": f"with recursive {_PROPAGATED}",
         "hybrid_queries": f"with {_ITEMS} select query_id, document_id, rank, round(score, 12) as score, n_chunks from hits",

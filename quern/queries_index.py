@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import markdown
-from .operators import evaluation, impact, lexical, search, stage
+from .functions import markdown, urls
+from .operators import bitmaps, evaluation, impact, lexical, search, stage, vector_search
 from .operators.catalog import shared_folder
-from .queries import QUERY, _chunks, _documents, _read, _round, _vectors
+from .queries import QUERY, _asked, _chunks, _documents, _read, _round, _vectors
 
 
 def _folder(spark: SparkSession) -> str:
@@ -68,7 +68,30 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("page_id", F.md5("page.title").alias("title_md5"), words.alias("w")).select("page_id", "title_md5", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
-NAMES = "page_words bm25_blocks bm25_blocks_filtered hybrid_queries eval_retrieval".split()
+def _numbered_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Postings and vectors that carry their documents' numbers, statistics, and the bitmaps of languages, sources and hosts: all that a search reads."""
+    documents = stage.keep(bitmaps.numbered(_documents(spark, sf_dir)))
+    numbers = documents.select("document_id", "number")
+    indexed = stage.keep(lexical.index(_chunks(spark, sf_dir), stemmed=False, keep=("document_id",)))
+    posted = stage.keep(lexical.inverted(indexed, keep=("document_id",)).join(numbers, "document_id"))
+    near = stage.keep(_vectors(spark, sf_dir).join(numbers, "document_id"))
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("type", F.col("content_type")), ("source", F.col("source")), ("host", urls.hostname(F.col("url"))))))
+    maps = stage.keep(bitmaps.build(documents.select("number", F.explode(fields).alias("f")).select("f.field", "f.value", "number")))
+    return posted, lexical.statistics(indexed), near, maps
+
+
+def hybrid_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search of two languages and six sources: both legs test bitmaps, and nothing is joined with documents."""
+    posted, stats, near, maps = _numbered_index(spark, sf_dir)
+    allowed = bitmaps.matching(maps, {"type": ("fr", "de"), "source": tuple(f"src{k}" for k in range(6)), "host": ()})
+    scored = lexical.scores_of_postings(posted, stats, lexical.phrases_of(QUERY, False), ("document_id", "number"))
+    words = lexical.top(bitmaps.kept(scored, allowed).drop("number"))
+    found = vector_search.nearest(bitmaps.kept(near, allowed).select("chunk_id", "document_id", "embedding"), _asked(spark, sf_dir))
+    hits = search.hybrid(words, found)
+    return _round(hits.select("document_id", "score", "rank", F.size("chunks").alias("n_chunks")), 12, "score")
+
+
+NAMES = "hybrid_bitmaps page_words bm25_blocks bm25_blocks_filtered hybrid_queries eval_retrieval".split()
 
 
 def queries() -> dict:

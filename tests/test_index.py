@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import clustering, evaluation, impact, ivf, lexical, nn_descent, propagation, search, vector_search
+from quern.operators import bitmaps, clustering, evaluation, impact, ivf, lexical, nn_descent, propagation, search, vector_search
 
 
 @pytest.fixture(scope="module")
@@ -254,3 +254,33 @@ def test_clusters_of_large_components(spark):
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(clustering.cluster(points, 4, 0.3, most_edges=20, max_iters=4)) == key(clustering.cluster(points, 4, 0.3, max_iters=4))
     assert key(clustering.cluster(points, 4, 0.3, exact=False)) == key(clustering.cluster(points, 4, 0.3))
+
+
+# --- bitmaps -----------------------------------------------------------------------------------------------------------
+
+
+def test_bitmaps_keep_what_filters_keep(spark):
+    rng = random.Random(6)
+    rows = [(k * 37, rng.choice(["en", "fr", None]), rng.choice(["a", "b", "c"])) for k in range(3000)]
+    documents = bitmaps.numbered(spark.createDataFrame(rows, "document_id long, type string, source string").repartition(7))
+    assert [r["number"] for r in documents.orderBy("document_id").collect()] == list(range(3000))
+    wide = documents.withColumn("number", F.col("number") * 50)  # several buckets
+    values = wide.select("number", F.lit("type").alias("field"), F.col("type").alias("value")).unionByName(wide.select("number", F.lit("source").alias("field"), F.col("source").alias("value")))
+    maps = bitmaps.build(values)
+    for types, sources in ((("fr",), ("a", "c")), ((), ("b",)), (("en", "fr"), ()), (("de",), ("a",))):
+        allowed = bitmaps.matching(maps, {"type": types, "source": sources})
+        want = {i for i, t, s in rows if (not types or t in types) and (not sources or s in sources)}
+        for most in (1 << 20, 0):
+            got = bitmaps.kept(wide, allowed, most)
+            assert sorted(r["document_id"] for r in got.collect()) == sorted(want)
+            assert got.columns == wide.columns
+    with pytest.raises(ValueError):
+        bitmaps.matching(maps, {"type": ()})
+    assert bitmaps.numbered(documents.drop("number").where("false")).count() == 0
+
+
+def test_bitmaps_of_odd_rows(spark):
+    rows = [("f", "v", 0), ("f", "v", 0), ("f", None, 1), (None, "v", 2), ("f", "v", None), ("f", "v", 40_000)]
+    allowed = bitmaps.matching(bitmaps.build(spark.createDataFrame(rows, "field string, value string, number long")), {"f": ("v",)})
+    numbers = spark.createDataFrame([(0,), (1,), (2,), (40_000,), (32_768,), (None,)], "number long")
+    assert sorted(r["number"] for r in bitmaps.kept(numbers, allowed).collect()) == [0, 40_000]
