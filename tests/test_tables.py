@@ -375,3 +375,36 @@ def test_engine(spark, tmp_path):
     e.delete_bookmark(first[0]["id"])
     assert e.tables.read("bookmarks").count() == 8
     assert np.isfinite(e.job_metrics(now=now()).count())
+
+
+def test_failing_hosts_as_a_stream(spark, tmp_path):
+    """Changes of a replayed table end where the batch operator does, and forgotten hosts leave no state."""
+    from pyspark.sql import Window as W
+
+    from quern.streaming import hosts
+
+    rows = [(f"h{k % 5}", f"k{k % 3}", f"2024-01-01 00:{k:02d}:00") for k in range(40)] + [("old", "k1", "2024-01-01 00:00:30"), ("h1", "k9", "2024-01-01 00:36:00"), (None, "k1", "2024-01-01 00:05:00")]
+    source = spark.createDataFrame(rows, "host string, kind string, at string").selectExpr("host", "kind", "timestamp(at) as seen_at")
+    for n, until in enumerate(("00:15:00", "00:30:00", "00:59:00")):
+        since = ("00:00:00", "00:15:00", "00:30:00")[n]
+        source.where(f"seen_at >= timestamp'2024-01-01 {since}' and seen_at < timestamp'2024-01-01 {until}'").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    before = spark.conf.get(hosts.PROVIDER[0], None)
+    seen: list = []
+    try:
+        spark.conf.unset(hosts.PROVIDER[0])
+        with pytest.raises(ValueError):
+            hosts.live_hosts(stream, 600)
+        spark.conf.set(*hosts.PROVIDER)
+        q = hosts.live_hosts(stream, 600).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend((n, *r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        assert q.exception() is None
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    finally:
+        spark.conf.unset(hosts.PROVIDER[0]) if before is None else spark.conf.set(hosts.PROVIDER[0], before)
+    changes = spark.createDataFrame(seen, "batch long, host string, kind string, seen_at timestamp, live boolean")
+    order = W.partitionBy("host").orderBy(F.desc("batch"), F.desc("seen_at"), "live")
+    last = {r["host"]: (r["kind"], r["live"]) for r in changes.withColumn("n", F.row_number().over(order)).where("n = 1").collect()}
+    want = {r["host"]: r["kind"] for r in jobs.live_hosts(source.where("host is not null"), F.lit("2024-01-01 00:39:00").cast("timestamp"), 600).collect()}
+    assert {h: k for h, (k, live) in last.items() if live} == want and last["old"] == ("k1", False)
+    assert kept[-1] >= len(want)
