@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.text import LABEL_STOPWORDS
-from .oracle import _JOBS, _list, _top
+from .oracle import _HOST, _JOBS, _list, _top
 from .oracle import oracle_sql as first
 from .queries import NOW
 
@@ -69,8 +69,12 @@ select k, '# Bug ' || k || ' (#' || k || ')' || l || l || r || '**State:** close
 '# V' || l || l || '**Channel:** C' || l || '**Published:** 2001-02-03' || l || case when k > 0 then '**Duration:** ' || case when k >= 3600 then (k // 3600) || ':' || lpad(((k // 60) % 60)::varchar, 2, '0') else (k // 60)::varchar end || ':' || lpad((k % 60)::varchar, 2, '0') || l else '' end as video from c""",
         "label_answers": f"with {_N} select k, case k % 4 when 3 then '' when 1 then '## **Topic ' || k else 'Topic ' || k end as name, case when k % 4 = 0 then 'About ' || k else '' end as summary from n",
         "label_prompts": f"with {_N} select (k // 8)::int as label, 'T' || min(k) as name, count(*)::varchar as summary from n group by k // 8",
-        "judged_queries": "select * from (values (0, 'north sea', 'https://a.example.com/'), (0, 'north sea', 'https://b.example.com/'), (1, 'tides', 'https://c.example.com/')) t(query_id, query, url)",
-        "dispatch_rules": "select * from (values (1, 'host_suffix', '.a.com', 'x'), (2, 'host_in', 'b.com,c.com', 'skip'), (3, 'any', '', 'y')) t(rule_no, kind, hosts, fetcher)",
+        "judged_queries": f"""with h as (select {_HOST.format("url")} as host, count(*) as n from pages group by 1)
+select query_id, query, url, coalesce(n, 0) as n_pages from (values (0, 'north sea', 'https://ththre.example.com/', 'ththre.example.com'), (0, 'north sea', 'https://b.example.com/', 'b.example.com'), (1, 'tides', 'https://spam-farm.example.org/x', 'spam-farm.example.org')) t(query_id, query, url, host) left join h using (host)""",
+        "dispatch_rules": f"""with h as (select {_HOST.format("url")} as host from pages),
+d as (select case when host = 'example.org' or ends_with(host, '.example.org') then 1 when host in ('ththre.example.com', 'blog.ththan.example.net') then 2 else 3 end as rule_no from h)
+select rule_no, kind, hosts, fetcher, count(d.rule_no) as n_pages from (values (1, 'host_suffix', '.example.org', 'x'), (2, 'host_in', 'ththre.example.com,blog.ththan.example.net', 'skip'), (3, 'any', '', 'y')) t(rule_no, kind, hosts, fetcher)
+left join d using (rule_no) group by rule_no, kind, hosts, fetcher""",
         "bookmark_list": f"""with {_MARKS}, p as (select * from m where source = 'html' and folder_path like '/F2%' and id > 'b00000010' order by id limit 20)
 select id, folder_path, case when count(*) over () = 20 then max(id) over () end as next_cursor from p""",
         "bookmark_delete": f"with {_MARKS} select source, count(*) as n, min(id) as first from m where doc_id % 2 <> 0 group by source",

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions import pages as page_rules
-from .functions import markdown, text, times
+from .functions import markdown, text, times, urls
 from .operators import catalog, chunking, clustering, jobs, search
-from .plans import fetched, interests, worker
+from .plans import fetched, imports, interests, worker
 from .queries import _bm25, _documents, _job_documents, _jobs, _now, _read, _round, _vectors
 from .queries import hybrid_search as _hybrid
 from .sources import bookmarks, config, hosts, readers
@@ -203,16 +203,25 @@ def label_prompts(spark, sf_dir):
 
 # --- settings --------------------------------------------------------------------------------------------------------
 
-JUDGED = "queries:\n- query: north sea\n  relevant: [https://a.example.com/, https://b.example.com/]\n- query: tides\n  relevant: [https://c.example.com/]\n"
+JUDGED = "queries:\n- query: north sea\n  relevant: [https://ththre.example.com/, https://b.example.com/]\n- query: tides\n  relevant: [https://spam-farm.example.org/x]\n"
+
+
+DISPATCH = "rules:\n- match: {host_suffix: .example.org}\n  fetcher: x\n- match: {host_in: [ththre.example.com, blog.ththan.example.net]}\n  fetcher: skip\n- fetcher: y\n"
 
 
 def judged_queries(spark, sf_dir):
-    return config.load_judgements(spark, JUDGED)
+    """Judgements joined with how many pages have the host of a judged URL."""
+    hosts = _read(spark, sf_dir, "pages").groupBy(urls.hostname(F.col("url")).alias("host")).agg(F.count("*").alias("n_pages"))
+    judged = config.load_judgements(spark, JUDGED).withColumn("host", urls.hostname(F.col("url")))
+    return judged.join(hosts, "host", "left").select("query_id", "query", "url", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
 
 
 def dispatch_rules(spark, sf_dir):
-    rules = config.load_rules("rules:\n- match: {host_suffix: .a.com}\n  fetcher: x\n- match: {host_in: [b.com, c.com]}\n  fetcher: skip\n- fetcher: y\n")
-    return config.rules_table(spark, rules).select("rule_no", "kind", F.array_join("hosts", ",").alias("hosts"), "fetcher")
+    """Rules with how many pages each of them decides: those that no rule before it covers."""
+    rules = config.rules_table(spark, config.load_rules(DISPATCH))
+    decided = imports.dispatched(_read(spark, sf_dir, "pages").select("url"), rules.withColumn("fetcher", F.col("rule_no").cast("string")))
+    counts = decided.groupBy(F.col("fetcher").cast("int").alias("rule_no")).agg(F.count("*").alias("n_pages"))
+    return rules.join(counts, "rule_no", "left").select("rule_no", "kind", F.array_join("hosts", ",").alias("hosts"), "fetcher", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
 
 
 # --- the store -------------------------------------------------------------------------------------------------------
