@@ -161,7 +161,12 @@ def scores(indexed: DataFrame, phrases: list[list[str]]) -> DataFrame:
     distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
     if not distinct:
         return indexed.select("chunk_id", F.lit(0.0).alias("score")).where("false")
-    counted = indexed.select("chunk_id", "length", F.array(*(frequency(F.col("terms"), p) for p in distinct)).alias("tf")).where(F.col("chunk_id").isNotNull()).repartition("chunk_id")
+    # a chunk's tokens are gone through once; words are counted among those that the query has
+    words = [p[0] for p in distinct if len(p) == 1]
+    few = F.filter("terms", lambda t: t.isin(*words)) if words else F.array().cast("array<string>")
+    own = indexed.select("chunk_id", "length", "terms", few.alias("few"))
+    counts = (frequency(F.col("few") if len(p) == 1 else F.col("terms"), p) for p in distinct)
+    counted = own.select("chunk_id", "length", F.array(*counts).alias("tf")).where(F.col("chunk_id").isNotNull()).repartition("chunk_id")
     holding = [F.count_if(F.get("tf", F.lit(k)) > 0) for k in range(len(distinct))]
     # all columns are used, so that the plan of both readers is the same up to the exchange
     stats = counted.agg(F.count("chunk_id").alias("n_all"), F.avg("length").alias("mean"), F.array(*holding).alias("n_with"))

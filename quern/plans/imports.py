@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import catalog, chunking, jobs
+from ..operators.stage import keep
 from ..schemas import SOURCES
 
 
@@ -45,11 +46,12 @@ def import_bookmarks(incoming: DataFrame, documents: DataFrame, bookmarks: DataF
     """Adds bookmarks (place, url, title, folder_path, tags, saved_at) of one source.
 
     Those that can't be indexed go, by reason; the first MOST_ERRORS of them are listed. A document is made for a URL that has none; of bookmarks with one URL the first is added,
-    unless there is one from this source; an added one whose document is pending gets a fetch job.
+    unless there is one from this source; an added one whose document is pending gets a fetch job. What is incoming is written once, with its canonical
+    URLs, to the folder for checkpoints, and the results read that.
     """
     if source not in SOURCES:
         raise ValueError(f"source must be one of {', '.join(SOURCES)}")
-    seen = filtered(incoming)
+    seen = keep(filtered(incoming))  # canonical URLs are found once, in Python
     good = seen.where("reason is null").select("place", F.col("normalized").alias("url"), "title", "folder_path", "tags", F.coalesce("saved_at", now).alias("saved_at"))
     own = documents.where(F.col("tenant_id") == tenant).select("url", F.col("id").alias("document_id"), "state")
     made = good.select("url").distinct().join(own, "url", "left_anti")
