@@ -1,4 +1,7 @@
-"""Registered queries over written indexes, many queries at once, and graphs. Indexes are written to the folder for checkpoints."""
+"""Registered queries over written indexes, many queries at once, and graphs. Indexes are written to the folder for checkpoints.
+
+vector_cells and knn_descent are approximate and have no SQL: tests/test_index.py compares them with all pairs.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import markdown, urls
-from .operators import bitmaps, evaluation, impact, lexical, search, stage, vector_search
+from .operators import bitmaps, clustering, evaluation, impact, ivf, lexical, nn_descent, search, stage, vector_search
 from .operators.catalog import shared_folder
-from .queries import QUERY, _asked, _chunks, _documents, _read, _round, _vectors
+from .queries import QUERY, _asked, _chunks, _documents, _points, _read, _round, _vectors
 
 
 def _folder(spark: SparkSession) -> str:
@@ -91,7 +94,22 @@ def hybrid_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(hits.select("document_id", "score", "rank", F.size("chunks").alias("n_chunks")), 12, "score")
 
 
-NAMES = "hybrid_bitmaps page_words bm25_blocks bm25_blocks_filtered hybrid_queries eval_retrieval".split()
+def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors found nearest to every hundredth one, from an index in cells."""
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("document_id"), "embedding")
+    path = _folder(spark)
+    ivf.write(rows, ivf.train(rows), path)
+    asked = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return _round(ivf.search(ivf.read(spark, path), asked, 10, rerank=20, small=0).select("query_id", "rank", "id", "distance"), 9, "distance")
+
+
+def knn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of knn_graph by descent: most of its edges."""
+    units = clustering.unit_residuals(_points(spark, sf_dir), center=False)
+    return _round(clustering.undirected(nn_descent.graph(units, 10, 0.3).edges), 6, "w")
+
+
+NAMES = "vector_cells knn_descent hybrid_bitmaps page_words bm25_blocks bm25_blocks_filtered hybrid_queries eval_retrieval".split()
 
 
 def queries() -> dict:

@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quern import queries_store
+from quern import queries_index, queries_store
 from quern.queries import NAMES as FIRST
 
-NAMES = [*FIRST, *queries_store.NAMES]
+NAMES = [*FIRST, *queries_store.NAMES, *queries_index.NAMES]
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,7 +32,7 @@ def plain(row):
 
 
 @have_tables
-@pytest.mark.parametrize("name", ["hybrid_search", "chunk_windows", "bm25_topk", "related_docs", "url_normalize", "import_counts", "job_metrics", "documents_upsert", "cluster_summary", "eval_means", *(n for n in queries_store.NAMES if n not in ("worked_jobs", "worked_search"))])
+@pytest.mark.parametrize("name", ["hybrid_search", "chunk_windows", "bm25_topk", "related_docs", "url_normalize", "import_counts", "job_metrics", "documents_upsert", "cluster_summary", "eval_means", *(n for n in queries_index.NAMES if n not in ("vector_cells", "knn_descent")), *(n for n in queries_store.NAMES if n not in ("worked_jobs", "worked_search"))])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

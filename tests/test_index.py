@@ -1,5 +1,6 @@
 """Indexes in blocks and cells, many queries at once, graphs by descent, propagation by wavefronts."""
 
+import os
 import random
 import uuid
 
@@ -8,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quern import queries, queries_index
 from quern.operators import bitmaps, clustering, evaluation, impact, ivf, lexical, nn_descent, propagation, search, vector_search
 
 
@@ -284,3 +286,20 @@ def test_bitmaps_of_odd_rows(spark):
     allowed = bitmaps.matching(bitmaps.build(spark.createDataFrame(rows, "field string, value string, number long")), {"f": ("v",)})
     numbers = spark.createDataFrame([(0,), (1,), (2,), (40_000,), (32_768,), (None,)], "number long")
     assert sorted(r["number"] for r in bitmaps.kept(numbers, allowed).collect()) == [0, 40_000]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_approximate_queries_against_all_pairs(spark):
+    """The registered queries on whole tables: nine tenths of what comparing all pairs gives."""
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = e["vec_id"].to_numpy(), np.stack(e["embedding"]).astype(np.float64)
+    away = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {(int(ids[i]), int(ids[j])) for i in np.flatnonzero(ids % 100 == 0) for j in np.argsort(away[i], kind="stable")[:10]}
+    got = queries_index.vector_cells(spark, SMALL).collect()
+    assert len(got) == len(want) and len({(r["query_id"], r["id"]) for r in got} & want) >= 0.9 * len(want)
+    exact = {(r["src"], r["dst"]): r["w"] for r in queries.knn_graph(spark, SMALL).collect()}
+    made = {(r["src"], r["dst"]): r["w"] for r in queries_index.knn_descent(spark, SMALL).collect()}
+    assert len(made.keys() & exact.keys()) >= 0.9 * len(exact)
