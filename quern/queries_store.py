@@ -344,12 +344,20 @@ def _fetched(pages: DataFrame) -> DataFrame:
     )
 
 
+#: The stores that _worked has made, by application and tables.
+_STORES: dict[tuple[str, str], Engine] = {}
+
+
 def _worked(spark: SparkSession, sf_dir: str) -> Engine:
-    """A store that starts empty: pages are imported as bookmarks, fetched from a made-up web and indexed by jobs."""
+    """A store that starts empty: pages are imported as bookmarks, fetched from a made-up web and indexed by jobs. The queries that read it share one run."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _STORES and _STORES[key].tables.exists("jobs"):
+        return _STORES[key]
     e = Engine(spark, _tables(spark).root, config.load_settings("embedding_dim: 3\nsearch: {bm25_weight: 1000}"), _embedded)
     incoming = _numbered(spark, sf_dir).select(_k().alias("place"), _url().alias("url"), F.lit("").alias("title"), F.lit("").alias("folder_path"), F.array(F.lit("t")).alias("tags"), F.lit(None).cast("timestamp").alias("saved_at"))
     e.import_bookmarks(incoming, "html", _now())
     e.work(_fetched, now=_now())
+    _STORES[key] = e
     return e
 
 
