@@ -95,7 +95,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op5_line_dedup": OP5_SQL, "op12_ranked_search": OP12_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op5_line_dedup": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op12_ranked_search": OP12_SQL}
 
 
 OP2_SQL = r"""
@@ -134,6 +134,17 @@ select doc_id, case when text is null then 0 else len(lines) end::int as n_lines
 from k
 """
 
+# All pairs, so for small tables.
+OP6_SQL = r"""
+with recursive v as (select vec_id, embedding::double[] as v from embeddings),
+p as (select vec_id, v, sqrt(list_inner_product(v, v)) as norm from v where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+e as (select a.vec_id as src, b.vec_id as dst from p a join p b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.95::double),
+r as (select vec_id, vec_id as root from v union select e.dst, r.root from r join e on e.src = r.vec_id),
+c as (select vec_id, min(root) as component_id from r group by vec_id),
+n as (select src, count(distinct dst) as n from e group by src)
+select c.vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, c.vec_id = component_id as kept from c left join n on n.src = c.vec_id
+"""
+
 OP12_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents where text is not null),
 s as (select count(*)::bigint as all_docs, sum(len(terms))::bigint as all_terms from d where len(terms) > 0),

@@ -214,3 +214,18 @@ def test_fit_is_measured_on_other_rows(spark):
     t = ann.fit(own, asked, 5, 4, 16, 0.95, 60, 11)[16]
     assert (t.sampled, t.measured) == (60, 30) and t.held_out >= 0.88
     assert len(ann._drawn(asked, asked, 90, 11)) == 12
+
+
+def test_links_against_sql(spark, tmp_path):
+    """The registered SQL, over all pairs, on vectors with near copies, chains, and rows that take no part."""
+    import duckdb
+
+    r = np.random.default_rng(12)
+    x = [v for c in r.standard_normal((12, 16)) for v in (c, c + 0.05 * r.standard_normal(16), c + 0.12 * r.standard_normal(16), 3 * c)]
+    df = table(spark, [*x, *ODD])
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/e/*.parquet')")
+    want = con.execute(queries.oracle_sql()["op6_embedding_dedup"]).fetchall()
+    got = embed_dedup.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(n for _, n, _, _ in want) > 50
