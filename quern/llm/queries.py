@@ -137,8 +137,9 @@ from k
 # All pairs, so for small tables.
 OP6_SQL = r"""
 with recursive v as (select vec_id, embedding::double[] as v from embeddings),
-p as (select vec_id, v, sqrt(list_inner_product(v, v)) as norm from v where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
-e as (select a.vec_id as src, b.vec_id as dst from p a join p b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.95::double),
+g as (select vec_id, case when len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0 then v end as v from v),
+p as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from g where v is not null),
+e as (select a.vec_id as src, b.vec_id as dst from p a join p b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) / (a.norm * b.norm) >= 0.95::double),
 r as (select vec_id, vec_id as root from v union select e.dst, r.root from r join e on e.src = r.vec_id),
 c as (select vec_id, min(root) as component_id from r group by vec_id),
 n as (select src, count(distinct dst) as n from e group by src)
