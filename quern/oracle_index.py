@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .functions.text import MARKED, QUERY_STOPWORDS, UNMARKED
-from .oracle import _CENTERED, _NEAR, _WINDOWS, _list, _top
+from .oracle import _AT, _CENTERED, _NEAR, _WINDOWS, _list, _normalized, _top
+from .oracle import oracle_sql as first
 
 _KEPT = "content_type in ('fr', 'de') and source in ('src0', 'src1', 'src2', 'src3', 'src4', 'src5')"
 _FOUND = "select chunk_id, document_id, round(score, 9) as score, rank from bm"
@@ -85,6 +86,13 @@ select page_id, md5(trim(regexp_replace(title, '\s+', ' ', 'g'))) as title_md5,
 fu as (select coalesce(bm.document_id, ve.document_id) as document_id, coalesce(1.0::double / (60 + bm.rank), 0.0::double) + coalesce(1.0::double / (60 + ve.rank), 0.0::double) as score from bm full join ve on bm.chunk_id = ve.chunk_id),
 g as (select document_id, max(score) as score, least(count(*), 3)::int as n_chunks from fu group by document_id)
 select document_id, round(score, 12) as score, row_number() over (order by score desc, document_id)::int as rank, n_chunks from g order by g.score desc, document_id limit 10""",
+        "clamped_metrics": first()["job_metrics"].replace(_AT, "timestamp '2024-01-20 00:00:00'").replace("interval 20 day", "interval 1 hour"),
+        "rebuilt_topics": """with d as (select distinct vec_id % 20 as id from embeddings), l as (select id, id % 4 - 1 as label from d)
+select count(*)::int as size, array_to_string(list_sort(list(id::varchar)), ',') as members, 'by_label' as algo, 'done' as status, (select count(*) from d)::int as num_documents,
+  (select count(distinct label) from l where label >= 0)::int as num_clusters, (select count(*) from l where label < 0)::int as num_noise from l where label >= 0 group by label""",
+        "manual_bookmark": f"""with n as (select distinct {_normalized("url")} as url from pages)
+select 'html' as what, count(*) as n, null::varchar as text from n union all select 'manual', 1, null union all select 'documents', count(*) + 1, null from n
+union all select 'bookmark', 2, 'By hand https://by-hand.example.com/a b,a' union all select 'document', 1, 'pending https://by-hand.example.com/a'""",
         "chunk_documents": f"with recursive {_CHUNKED}",
         "cluster_knn_lpa": f"with recursive {_PROPAGATED}",
         "hybrid_queries": f"with {_ITEMS} select query_id, document_id, rank, round(score, 12) as score, n_chunks from hits",

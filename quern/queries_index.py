@@ -10,10 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .functions import markdown, urls
 from .operators import bitmaps, clustering, evaluation, impact, ivf, lexical, nn_descent, search, stage, vector_search
 from .operators.catalog import shared_folder
-from .queries import QUERY, _asked, _chunks, _documents, _points, _read, _round, _vectors
+from .queries import QUERY, _asked, _chunks, _documents, _jobs, _points, _read, _round, _vectors
+from .sources.config import Settings
 
 
 def _folder(spark: SparkSession) -> str:
@@ -109,7 +111,50 @@ def knn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(clustering.undirected(nn_descent.graph(units, 10, 0.3).edges), 6, "w")
 
 
-NAMES = "vector_cells knn_descent hybrid_bitmaps page_words bm25_blocks bm25_blocks_filtered hybrid_queries eval_retrieval".split()
+def clamped_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a window that is out of range, which is then an hour."""
+    e = Engine(spark, _folder(spark))
+    e.tables.replace("jobs", _jobs(spark, sf_dir))
+    return _round(e.job_metrics(0, F.lit("2024-01-20 00:00:00").cast("timestamp")), 3, "mean_ms", "p50_ms", "p95_ms", "p99_ms")
+
+
+def rebuilt_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics by a clusterer of one's own, rebuilt twice over all vectors: those of the last done run, with its settings."""
+
+    def by_label(points: DataFrame, settings) -> DataFrame:
+        return points.select("id", (F.col("id").cast("long") % 4 - 1).cast("int").alias("label"))
+
+    e = Engine(spark, _folder(spark), Settings(embedding_dim=64), clusterer=by_label)
+    rows = _vectors(spark, sf_dir, 20).select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id"), F.col("ord").cast("int").alias("ord"), "embedding")
+    e.tables.replace("chunk_vectors", rows)
+    ids = rows.select(F.col("document_id").alias("id")).distinct()
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    e.tables.replace("documents", e._shaped(ids.select("id", F.lit("local").alias("tenant_id"), F.concat(F.lit("http://d/"), "id").alias("url"), F.lit("article").alias("content_type"), F.lit("fetched").alias("state"), now.alias("created_at"), now.alias("updated_at")), e.tables.read("documents")))
+    e.rebuild_interests(now)
+    e.rebuild_interests(now + F.make_dt_interval(hours=F.lit(1)))
+    runs = e.tables.read("cluster_runs").select("algo", "status", "num_documents", "num_clusters", "num_noise")
+    return e.interests(50, 100).select("size", F.array_join(F.sort_array(F.transform("members", lambda m: m["document_id"])), ",").alias("members")).crossJoin(F.broadcast(runs))  # one row
+
+
+def manual_bookmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages imported as bookmarks, then one added by hand: bookmarks by source, documents, and the added one as lookups by id give it."""
+    e = Engine(spark, _folder(spark))
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("place"), "url", F.lit("").alias("title"), F.lit("/Web").alias("folder_path"), F.array().cast("array<string>").alias("tags"), F.lit(None).cast("timestamp").alias("saved_at"))
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    e.import_bookmarks(pages, "html", now)
+    e.add_bookmark("https://By-Hand.example.com:443/a?utm_source=x", "By hand", ["b", "a"], now)
+    marks = e.tables.read("bookmarks")
+    own = marks.where("source = 'manual'").first()
+    one, document = e.bookmark(own["id"]), e.document(own["document_id"])
+    return (
+        marks.groupBy(F.col("source").alias("what")).agg(F.count("*").alias("n"), F.lit(None).cast("string").alias("text"))
+        .unionByName(e.tables.read("documents").agg(F.lit("documents").alias("what"), F.count("*").alias("n"), F.lit(None).cast("string").alias("text")))
+        .unionByName(one.select(F.lit("bookmark").alias("what"), F.size("tags").cast("long").alias("n"), F.concat_ws(" ", "title", "url", F.array_join("tags", ",")).alias("text")))
+        .unionByName(document.select(F.lit("document").alias("what"), F.lit(1).cast("long").alias("n"), F.concat_ws(" ", "state", "url").alias("text")))
+    )
+
+
+NAMES = "manual_bookmark clamped_metrics rebuilt_topics vector_cells knn_descent hybrid_bitmaps page_words bm25_blocks bm25_blocks_filtered hybrid_queries eval_retrieval".split()
 
 
 def queries() -> dict:
