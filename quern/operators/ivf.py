@@ -76,7 +76,10 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) ->
     return centres
 
 
-def train(rows: DataFrame, k: int = 10, cells: int | None = None, parts: int = 16, codes: int = 256, sample: int = 65_536, asked: int = 64, recall: float = 0.95, seed: int = 3, most_cells: int = 65_536) -> Codes:
+def train(
+    rows: DataFrame, k: int = 10, cells: int | None = None, parts: int = 16, codes: int = 256, sample: int = 65_536, asked: int = 64,
+    recall: float = 0.95, seed: int = 3, most_cells: int = 65_536,
+) -> Codes:
     """Cells and code books of rows (id, embedding), from at most `sample` of them by a hash of their ids: about the root of the number of rows in cells.
 
     `asked` other rows, as queries, fix how many cells are looked into: as many as hold the share `recall` of their k nearest rows, which

@@ -98,7 +98,10 @@ def _listed(edges: DataFrame, pool: int) -> DataFrame:
     return once.withColumn("_place", place).where(F.col("_place") <= pool).drop("_place")
 
 
-def graph(units: DataFrame, k: int = 10, least: float = -1.0, pool: int = 30, trees: int = 4, leaf: int = 256, sample: int = 12, rounds: int = 12, stop: float = 0.001, group_rows: int = 16_384, seed: int = 5, id_col: str = "id") -> Graph:
+def graph(
+    units: DataFrame, k: int = 10, least: float = -1.0, pool: int = 30, trees: int = 4, leaf: int = 256, sample: int = 12, rounds: int = 12,
+    stop: float = 0.001, group_rows: int = 16_384, seed: int = 5, id_col: str = "id",
+) -> Graph:
     """The k near neighbours that were found for each point of units (id, unit: a vector of length 1), at a cosine of at least `least`; equal ones by id.
 
     A list holds `pool` neighbours while it is improved; `sample` of each kind (new or not, listed or listing) are brought together at a node. Ends when a

@@ -70,7 +70,8 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each page's main part, in order, and its title."""
     page = _read(spark, sf_dir, "pages").select("page_id", markdown.extracted(F.col("html")).alias("page"))
     words = F.regexp_extract_all(F.col("page.markdown"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    return page.select("page_id", F.md5("page.title").alias("title_md5"), words.alias("w")).select("page_id", "title_md5", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
+    found = page.select("page_id", F.md5("page.title").alias("title_md5"), words.alias("w"))
+    return found.select("page_id", "title_md5", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
 def _numbered_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -125,11 +126,16 @@ def rebuilt_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         return points.select("id", (F.col("id").cast("long") % 4 - 1).cast("int").alias("label"))
 
     e = Engine(spark, _folder(spark), Settings(embedding_dim=64), clusterer=by_label)
-    rows = _vectors(spark, sf_dir, 20).select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id"), F.col("ord").cast("int").alias("ord"), "embedding")
+    named = (F.col(c).cast("string").alias(c) for c in ("chunk_id", "document_id"))
+    rows = _vectors(spark, sf_dir, 20).select(*named, F.col("ord").cast("int").alias("ord"), "embedding")
     e.tables.replace("chunk_vectors", rows)
     ids = rows.select(F.col("document_id").alias("id")).distinct()
     now = F.lit("2024-01-20 00:00:00").cast("timestamp")
-    e.tables.replace("documents", e._shaped(ids.select("id", F.lit("local").alias("tenant_id"), F.concat(F.lit("http://d/"), "id").alias("url"), F.lit("article").alias("content_type"), F.lit("fetched").alias("state"), now.alias("created_at"), now.alias("updated_at")), e.tables.read("documents")))
+    documents = ids.select(
+        "id", F.lit("local").alias("tenant_id"), F.concat(F.lit("http://d/"), "id").alias("url"), F.lit("article").alias("content_type"), F.lit("fetched").alias("state"),
+        now.alias("created_at"), now.alias("updated_at"),
+    )
+    e.tables.replace("documents", e._shaped(documents, e.tables.read("documents")))
     e.rebuild_interests(now)
     e.rebuild_interests(now + F.make_dt_interval(hours=F.lit(1)))
     runs = e.tables.read("cluster_runs").select("algo", "status", "num_documents", "num_clusters", "num_noise")
@@ -139,7 +145,10 @@ def rebuilt_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manual_bookmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages imported as bookmarks, then one added by hand: bookmarks by source, documents, and the added one as lookups by id give it."""
     e = Engine(spark, _folder(spark))
-    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("place"), "url", F.lit("").alias("title"), F.lit("/Web").alias("folder_path"), F.array().cast("array<string>").alias("tags"), F.lit(None).cast("timestamp").alias("saved_at"))
+    pages = _read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("place"), "url", F.lit("").alias("title"), F.lit("/Web").alias("folder_path"), F.array().cast("array<string>").alias("tags"),
+        F.lit(None).cast("timestamp").alias("saved_at"),
+    )
     now = F.lit("2024-01-20 00:00:00").cast("timestamp")
     e.import_bookmarks(pages, "html", now)
     e.add_bookmark("https://By-Hand.example.com:443/a?utm_source=x", "By hand", ["b", "a"], now)

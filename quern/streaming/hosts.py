@@ -67,5 +67,6 @@ def live_hosts(failures: DataFrame, ttl_seconds: int = 900, late: str = "0 secon
     spark = failures.sparkSession
     if spark.conf.get(PROVIDER[0], None) != PROVIDER[1]:
         raise ValueError(f"{PROVIDER[0]} must be {PROVIDER[1]}")
-    rows = failures.where("host is not null and seen_at is not null").withWatermark("seen_at", late).selectExpr("cast(host as string) as host", "cast(kind as string) as kind", "unix_micros(seen_at) as micros", "seen_at")
+    known = failures.where("host is not null and seen_at is not null").withWatermark("seen_at", late)
+    rows = known.selectExpr("cast(host as string) as host", "cast(kind as string) as kind", "unix_micros(seen_at) as micros", "seen_at")
     return rows.groupBy("host").transformWithStateInPandas(_Latest(ttl_seconds), CHANGE, "update", "EventTime")
