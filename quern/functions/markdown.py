@@ -149,11 +149,13 @@ def main_part(root: Node) -> Node:
     if best is not None and m.plain[id(best)] >= 25:
         return best
     for least, enough in ((25, 250), (1, 0.9 * m.plain[id(root)])):
+        if least == 1 and best is not None and m.plain[id(best)]:  # nothing else holds more than a few words
+            return best
         scores = _candidates(every, m, least)
         rated = [(scores[id(n)] * (1 - m.density(n)), n) for n in every if id(n) in scores]
-        score, best = max(rated, key=lambda x: x[0], default=(0.0, None))
-        if best is not None and score > 0:
-            found = _joined(best, score, scores, m)
+        score, found = max(rated, key=lambda x: x[0], default=(0.0, None))
+        if found is not None and score > 0:
+            found = _joined(found, score, scores, m)
             if sum(m.plain[id(c)] for c in (found.children if id(found) not in m.plain else [found])) >= enough:
                 return found
     return root
