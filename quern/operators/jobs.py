@@ -83,9 +83,10 @@ def runnable(now: Column, kinds: tuple[str, ...] = ()) -> Column:
     return out & F.col("kind").isin(*kinds) if kinds else out
 
 
-def claim(jobs: DataFrame, now: Column, n: int = 1, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """The n oldest jobs that may run, as they are once claimed."""
-    best = jobs.where(runnable(now, kinds)).orderBy("created_at", "id").limit(n)
+def claim(jobs: DataFrame, now: Column, n: int | None = 1, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """The n oldest jobs that may run, or all of them if n is None, as they are once claimed."""
+    due = jobs.where(runnable(now, kinds))
+    best = due if n is None else due.orderBy("created_at", "id").limit(n)
     return best.withColumns({"status": F.lit("running"), "attempts": F.col("attempts") + 1, "started_at": now, "updated_at": now})
 
 

@@ -15,9 +15,9 @@ from ..operators.catalog import Tables
 Handler = Callable[[DataFrame], DataFrame]
 
 
-def drain(tables: Tables, arrived: DataFrame | None, handler: Handler, now: Column, kinds: tuple[str, ...] = (), n: int = 10_000, max_attempts: int = 5, on_failed: Callable[[DataFrame], None] | None = None) -> int:
-    """Adds arrived jobs, then claims, handles and ends those that may run, n at a time, until none is left; returns how many
-    were handled.
+def drain(tables: Tables, arrived: DataFrame | None, handler: Handler, now: Column, kinds: tuple[str, ...] = (), n: int | None = None, max_attempts: int = 5, on_failed: Callable[[DataFrame], None] | None = None) -> int:
+    """Adds arrived jobs, then claims, handles and ends those that may run, n at a time or else all that are due at once, until none is left; returns
+    how many were handled. Rounds have a fixed cost, so with a fixed n they would take a time that grows with the queue however many machines there are.
 
     Each step is written before the next one reads it: a claim (jobs are running from then on, and stay so if the handler is
     lost), what the handler says of it, and what becomes of its jobs. So a handler sees a claimed job once. Jobs that arrive again (a

@@ -222,6 +222,21 @@ def test_each_job_is_handled_once(spark, tmp_path, answer):
     assert {r["status"] for r in rows} == ({"done"} if answer == "true" else {"done", "failed"}) and {r["attempts"] for r in rows} == {1}
 
 
+def test_all_due_jobs_are_claimed_at_once(spark, tmp_path):
+    """Rounds don't grow with the queue: each costs dozens of small Spark jobs."""
+    t, calls = catalog.Tables(spark, str(tmp_path / "t")), []
+    k = F.col("id")
+    due = spark.range(10_001).select(F.concat(F.lit("j"), k.cast("string")).alias("id"), F.lit("local").alias("tenant_id"), F.lit("fetch").alias("kind"), F.lit("{}").alias("payload"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"), now().alias("run_after"), now().alias("created_at"))
+    t.replace("jobs", due.select(*((F.col(f.name) if f.name in due.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in t.read("jobs").schema)))
+
+    def handle(rows):
+        calls.append(rows.count())
+        return rows.select("id", F.lit(True).alias("ok"), F.lit(False).alias("retry"), F.lit(None).cast("string").alias("error"))
+
+    assert queue.drain(t, None, handle, now()) == 10_001 and calls == [10_001]
+    assert t.read("jobs").where("status = 'done' and attempts = 1").count() == 10_001
+
+
 def test_jobs_of_a_lost_handler_run_again(spark, tmp_path):
     src, t = str(tmp_path / "in"), catalog.Tables(spark, str(tmp_path / "t"))
     table(spark, [job("a"), job("b")]).write.parquet(src)
