@@ -7,6 +7,8 @@ whatever filters a query has; length and tf count all indexed columns together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,20 +36,32 @@ def index(chunks: DataFrame, id_col: str = "chunk_id", columns: tuple[str, ...]
 def postings(indexed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(term, chunk_id, columns of keep, length, tf, positions): the index turned round, for tables that are looked up by term.
 
-    A chunk's own tokens make its postings, so nothing but a chunk's distinct terms is gathered in one place, and nothing is
-    shuffled. Write it in the order of terms: a query then reads the files and row groups of its own terms alone.
+    A chunk's own tokens make its postings: they are sorted, and each run of one term is a posting. So a chunk costs little more than its tokens, nothing
+    but a chunk's terms is gathered in one place, and nothing is shuffled. Write it in the order of terms: a query then reads the files and
+    row groups of its own terms alone.
     """
-    places = F.transform("terms", lambda t, k: F.struct(t.alias("term"), k.alias("at")))
-    distinct = F.array_distinct(F.filter("terms", lambda t: t.isNotNull()))
-    each = indexed.select("chunk_id", *keep, "length", F.explode(distinct).alias("term"), places.alias("places"))
-    return each.select("term", "chunk_id", *keep, "length", F.transform(F.filter("places", lambda p: p["term"] == F.col("term")), lambda p: p["at"]).alias("positions")).select("term", "chunk_id", *keep, "length", F.size("positions").alias("tf"), "positions")
+    placed = F.filter(F.transform("terms", lambda t, k: F.struct(t.alias("term"), k.alias("at"))), lambda x: x["term"].isNotNull())
+    each = indexed.select("chunk_id", *keep, "length", F.inline(_held(F.sort_array(placed), _runs)))
+    return each.select("term", "chunk_id", *keep, "length", F.size("positions").alias("tf"), "positions")
+
+
+def _held(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value found once however often it is read."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _runs(placed: Column) -> Column:
+    """(term, positions) of each run of one term among sorted (term, at)."""
+    n = F.size(placed)
+    first = lambda k: (k == 0) | (F.get(placed, k)["term"] != F.get(placed, k - 1)["term"])
+    begins = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)), first)
+    places = lambda b, end: F.transform(F.slice(placed, b + 1, end - b), lambda x: x["at"])
+    return _held(begins, lambda s: F.transform(s, lambda b, k: F.struct(F.get(placed, b)["term"].alias("term"), places(b, F.coalesce(F.get(s, k + 1), n)).alias("positions"))))
 
 
 def inverted(indexed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The same rows as postings, for building an index of everything: tokens are exchanged once, by term and chunk, where postings looks through a chunk
-    for each of its distinct terms."""
-    each = indexed.select("chunk_id", *keep, "length", F.posexplode("terms").alias("at", "term")).where("term is not null")
-    return each.groupBy("term", "chunk_id", *keep, "length").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+    """postings, for building an index of everything."""
+    return postings(indexed, keep)
 
 
 def scores_of_postings(posted: DataFrame, stats: DataFrame, phrases: list[list[str]], keep: tuple[str, ...] = (), frequencies: DataFrame | None = None) -> DataFrame:

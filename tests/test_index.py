@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import queries, queries_index
-from quern.operators import bitmaps, clustering, evaluation, impact, ivf, lexical, nn_descent, propagation, search, vector_search
+from quern.operators import bitmaps, clustering, evaluation, impact, ivf, lexical, nn_descent, propagation, search, stage, vector_search
 
 
 @pytest.fixture(scope="module")
@@ -87,6 +87,24 @@ def test_scores_of_many_queries_are_those_of_each(spark, chunks):
     assert {r["query_id"] for r in got} <= {1, 2, 5}
 
 
+def test_postings_of_a_long_chunk(spark):
+    """A chunk costs little more than its tokens, though each of them is another term; nothing is shuffled."""
+    import time
+
+    n = 20_000
+    word = F.when(F.col("id") < n - 2, F.concat(F.lit("w"), F.col("id").cast("string"))).otherwise(F.lit("w7"))
+    terms = spark.range(n).agg(F.transform(F.sort_array(F.collect_list(F.struct("id", word.alias("w")))), lambda x: x["w"]).alias("w"))
+    rows = spark.createDataFrame([(1, 2, [None, "b", "a", None, "b"]), (2, 0, []), (3, 0, None)], "chunk_id long, length int, terms array<string>")
+    indexed = stage.keep(rows.unionByName(terms.select(F.lit(4).cast("long").alias("chunk_id"), F.lit(n).alias("length"), F.col("w").alias("terms"))))
+    began = time.time()
+    got = {(r["chunk_id"], r["term"]): (r["tf"], r["positions"]) for r in lexical.postings(indexed).collect()}
+    assert time.time() - began < 20
+    assert {k: v for k, v in got.items() if k[0] < 4} == {(1, "a"): (1, [2]), (1, "b"): (2, [1, 4])}
+    assert got[(4, "w7")] == (3, [7, n - 2, n - 1]) and got[(4, "w19997")] == (1, [n - 3]) and sum(v[0] for k, v in got.items() if k[0] == 4) == n
+    for turned in (lexical.postings(indexed), lexical.inverted(indexed)):
+        assert "Exchange" not in turned._jdf.queryExecution().executedPlan().toString()
+
+
 def test_inverted_is_postings(chunks):
     indexed = lexical.index(chunks, stemmed=False)
     key = lambda df: sorted((r["term"], r["chunk_id"], r["length"], r["tf"], r["positions"]) for r in df.collect())
