@@ -37,7 +37,8 @@ def per_query(rankings: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
 def sharing_passages(documents: DataFrame, queries: DataFrame, words: int = 8) -> DataFrame:
     """(query_id, id): the documents (id, text) that have `words` words in a row in common with a query (query_id, text), as judgements.
 
-    Runs of words are compared by a hash of 64 bits, as an equi-join. Texts of fewer words, and null ones, share nothing.
+    Runs of words are compared by a hash of 64 bits, as an equi-join. The queries are a stated set: their runs are sent round, and none of a document's is
+    shuffled. Texts of fewer words, and null ones, share nothing.
     """
 
     def runs(df: DataFrame, key: str) -> DataFrame:
@@ -45,7 +46,7 @@ def sharing_passages(documents: DataFrame, queries: DataFrame, words: int = 8) -
         cut = df.select(key, F.transform(split, lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= words)
         return cut.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.slice("w", i, words)))).alias("run"))
 
-    return runs(documents, "id").join(runs(queries, "query_id").distinct(), "run").select("query_id", "id").distinct()
+    return runs(documents, "id").join(F.broadcast(runs(queries, "query_id").distinct()), "run").select("query_id", "id").distinct()
 
 
 def means(results: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def scores_of_postings(posted: DataFrame, stats: DataFrame, phrases: list[list[s
 def scores_of_queries(posted: DataFrame, stats: DataFrame, queries: DataFrame, digits: int = 9, stemmed: bool = False) -> DataFrame:
     """(query_id, chunk_id, document_id, score) of the chunks that hold a phrase of each query (query_id, text), from postings with document_id.
 
-    Phrases are those of phrases_of. Postings are joined by term with the distinct phrases of all queries, once; a phrase of several words
+    Phrases are those of phrases_of. The queries are a stated set, so their distinct phrases are sent round and meet the postings where these lie; a phrase of several words
     is where the positions of its words follow each other. Scores are rounded to `digits`, so that equal ones are equal in whatever order they are
     added up. stats: one row (n_all, mean) of all chunks. Null texts, and queries without a word, find nothing; queries that share an id are one.
     """
@@ -108,7 +108,7 @@ def scores_of_queries(posted: DataFrame, stats: DataFrame, queries: DataFrame, d
     said = words.select("query_id", (stemmed_tokens if stemmed else plain_tokens)(F.col("word")).alias("terms")).where(F.size("terms") > 0).withColumn("phrase", F.array_join("terms", " "))
     asked = said.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
     wanted = said.select("phrase", "terms").distinct().select("phrase", F.size("terms").alias("words"), F.posexplode("terms").alias("at", "term"))
-    met = posted.select("term", "chunk_id", "document_id", "length", "tf", "positions").join(wanted, "term")
+    met = posted.select("term", "chunk_id", "document_id", "length", "tf", "positions").join(F.broadcast(wanted), "term")
     one = met.where("words = 1").select("phrase", "chunk_id", "document_id", "length", F.col("tf").cast("long").alias("tf"))
     # a start is a place where each word of the phrase stands as far on as it stands in the phrase
     starts = met.where("words > 1").select("phrase", "words", "chunk_id", "document_id", "length", "at", F.explode("positions").alias("place"))
@@ -120,7 +120,8 @@ def scores_of_queries(posted: DataFrame, stats: DataFrame, queries: DataFrame, d
     weights = hits.groupBy("phrase").agg(F.count("*").alias("n_with")).crossJoin(F.broadcast(stats)).select("phrase", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # stats: one row
     tf = F.col("tf").cast("double")
     part = F.col("times") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    each = hits.join(asked.join(weights, "phrase"), "phrase").select("query_id", "chunk_id", "document_id", part.alias("part"))
+    # A chunk's hits are brought together once, before queries multiply them; what follows is by chunk too, and exchanges nothing.
+    each = hits.repartition("chunk_id").join(F.broadcast(asked.join(weights, "phrase")), "phrase").select("query_id", "chunk_id", "document_id", part.alias("part"))
     return each.groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum("part"), digits).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import uuid
 
 import numpy as np
@@ -105,6 +106,26 @@ def test_postings_of_a_long_chunk(spark):
         assert "Exchange" not in turned._jdf.queryExecution().executedPlan().toString()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_queries_exchange_hits_before_they_multiply(spark, chunks):
+    """What is exchanged is a hit for each phrase, not a row for each query that has it; runs of words of documents are not exchanged at all."""
+    indexed = stage.keep(lexical.index(chunks, stemmed=False, keep=("document_id",)))
+    posted, asked = stage.keep(lexical.inverted(indexed, keep=("document_id",))), spark.createDataFrame([(k, f"w5 w9 w1-w2 w{k}") for k in range(40)], "query_id int, text string")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = lexical.scores_of_queries(posted, lexical.statistics(indexed), asked)
+        plan = re.sub(r"#\d+L?", "", plan_of(scored))
+        assert "hashpartitioning(query_id, chunk_id" not in plan and "hashpartitioning(chunk_id," in plan
+        shared = evaluation.sharing_passages(chunks.select(F.col("chunk_id").alias("id"), "text"), asked, 2)
+        assert "hashpartitioning(run" not in plan_of(shared)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
 def test_inverted_is_postings(chunks):
     indexed = lexical.index(chunks, stemmed=False)
     key = lambda df: sorted((r["term"], r["chunk_id"], r["length"], r["tf"], r["positions"]) for r in df.collect())
