@@ -4,6 +4,9 @@ The first lists come from leaves of random hyperplanes: points on the same side
 node brings together a bounded sample of those on its list and of those that list it, and each pair of them with at least one that is new there is
 compared. So a point costs the same number of comparisons a round however many points there are. Rounds end when hardly any list changes.
 
+A vector is sent to every node that meets it, so lists are improved with one byte for each component. What may be among the best of a list, by a bound on
+what the bytes are off, is compared once more by the vectors themselves at the end.
+
 clustering.knn_edges is the exact graph, of which this one has most edges; how many depends on the data and on `pool`.
 """
 
@@ -17,7 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import vectors
 from .stage import drop, keep
 
 
@@ -68,16 +73,40 @@ def _codes(units: Column, trees: int, planes: int, seed: int) -> Column:
     return of(units)
 
 
+_CODED = T.StructType([T.StructField("code", T.BinaryType()), *(T.StructField(c, T.DoubleType()) for c in ("scale", "off", "norm"))])
+
+
+@F.pandas_udf(_CODED)
+def _bytes(units: pd.Series) -> pd.DataFrame:
+    """A vector as one byte for each component and their scale; how far these are off, and its length. One that isn't finite has a scale of NaN."""
+    out = []
+    for v in units:
+        x = np.asarray(v, dtype=np.float64)
+        top = float(np.abs(x).max()) if len(x) else 0.0
+        if not math.isfinite(top):
+            out.append((bytes(len(x)), math.nan, 0.0, 0.0))
+            continue
+        scale = top / 127
+        code = np.rint(x / scale) if scale > 0 else np.zeros(len(x))
+        out.append((code.astype(np.int8).tobytes(), scale, float(np.sqrt(((x - code * scale) ** 2).sum())), float(np.sqrt((x * x).sum()))))
+    return pd.DataFrame(out, columns=["code", "scale", "off", "norm"])
+
+
+def _vectors(b: pd.DataFrame) -> np.ndarray:
+    """What codes and scales stand for, as rows."""
+    return np.frombuffer(b"".join(b["code"]), dtype=np.int8).reshape(len(b), -1) * b["scale"].to_numpy()[:, None]
+
+
 def _leaves(rows: DataFrame, points: int, pool: int, trees: int, leaf: int, seed: int, count) -> DataFrame:
     """First lists (src, dst, w): the best `pool` of a point in each of its leaves, of about `leaf` points and twice as many at most on average."""
     planes = max(0, math.ceil(math.log2(max(1, points / leaf))))
-    placed = rows.select("id", "unit", F.posexplode(_codes(F.col("unit"), trees, planes, seed) if planes else F.array_repeat(F.lit(0).cast("long"), trees)).alias("tree", "code"))
-    sizes = placed.groupBy("tree", "code").agg(F.ceil(F.count("*") / leaf).cast("long").alias("parts"))
-    dealt = placed.join(sizes, ["tree", "code"]).withColumn("part", F.expr(f"pmod(xxhash64(id, tree, {seed}), parts)"))
+    placed = rows.select("id", "code", "scale", F.posexplode(_codes(F.col("unit"), trees, planes, seed) if planes else F.array_repeat(F.lit(0).cast("long"), trees)).alias("tree", "leaf"))
+    sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / leaf).cast("long").alias("parts"))
+    dealt = placed.join(sizes, ["tree", "leaf"]).withColumn("part", F.expr(f"pmod(xxhash64(id, tree, {seed}), parts)"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        x, ids = np.stack(b["unit"].to_list()).astype(np.float64), b["id"].to_numpy()
+        x, ids = _vectors(b), b["id"].to_numpy()
         near = x @ x.T
         near[ids[:, None] == ids[None, :]] = -np.inf
         count.add(len(ids) * (len(ids) - 1) // 2)
@@ -88,14 +117,32 @@ def _leaves(rows: DataFrame, points: int, pool: int, trees: int, leaf: int, seed
         i, j = i[fine], j[fine]
         return pd.DataFrame({"src": ids[i], "dst": ids[j], "w": _weights(x, i, j)})
 
-    return dealt.groupBy("tree", "code", "part").applyInPandas(compare, f"src {kind}, dst {kind}, w double")
-
-
-def _listed(edges: DataFrame, pool: int) -> DataFrame:
-    """(src, dst, w, fresh): the best `pool` of each src; an edge that was there before is not fresh."""
-    once = edges.groupBy("src", "dst").agg(F.max("w").alias("w"), F.bool_and("fresh").alias("fresh"))
+    return dealt.groupBy("tree", "leaf", "part").applyInPandas(compare, f"src {kind}, dst {kind}, w double")
+
+
+def _listed(edges: DataFrame, pool: int, k: int, n: int) -> DataFrame:
+    """(src, dst, w, fresh, new, at, floor, kth, place) from edges (src, dst, w, fresh, new): the best `pool` of each src. An edge that was there before is
+    neither fresh nor new. at: its place; floor: what an edge must be over to get onto the list; kth: the weight in place k; place: in which it is drawn in
+    round n among fresh ones or the others. All is by src, so edges are exchanged once."""
+    once = edges.repartition("src").groupBy("src", "dst").agg(F.max("w").alias("w"), F.bool_and("fresh").alias("fresh"), F.bool_and("new").alias("new"))
+    best = once.withColumn("at", F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "dst"))).where(F.col("at") <= pool)
+    own = W.partitionBy("src")
+    floor, kth = F.when(F.count("*").over(own) >= pool, F.min("w").over(own)).otherwise(-2.0), F.max(F.when(F.col("at") == k, F.col("w"))).over(own)
+    drawn = F.row_number().over(W.partitionBy("src", "fresh").orderBy(F.xxhash64("src", "dst", F.lit(n))))
+    return best.withColumns({"floor": floor, "kth": kth}).withColumn("place", drawn)
+
+
+def _exact(lists: DataFrame, rows: DataFrame, k: int, least: float) -> DataFrame:
+    """The k best of each list by the vectors themselves. Sums over bytes are off by no more than `most`, so an edge that is further below the one in
+    place k than twice that is not among them."""
+    off, norm = rows.agg(F.max("off"), F.max("norm")).first()
+    most = off * norm + (norm + off) * off + 1e-9
+    may = lists.where((F.col("kth").isNull() | (F.col("w") >= F.col("kth") - 2 * most)) & (F.col("w") >= least - most)).select("src", "dst")
+    there = may.join(rows.select(F.col("id").alias("dst"), F.col("unit").alias("_there")), "dst")
+    both = there.join(rows.select(F.col("id").alias("src"), F.col("unit").alias("_here")), "src")
+    found = both.select("src", "dst", vectors.dot(F.col("_here"), F.col("_there")).alias("w")).where(F.col("w") >= least)
     place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "dst"))
-    return once.withColumn("_place", place).where(F.col("_place") <= pool).drop("_place")
+    return found.withColumn("_place", place).where(F.col("_place") <= k).select("src", "dst", "w")
 
 
 def graph(
@@ -109,16 +156,17 @@ def graph(
     distinct. Vectors of several lengths are an error, as in the exact graph. An empty table gives no edges.
     """
     spark, kind = units.sparkSession, units.schema[id_col].dataType.simpleString()
-    rows = keep(units.where(F.exists("unit", lambda x: x != 0)).select(F.col(id_col).alias("id"), "unit"))
+    coded = units.where(F.exists("unit", lambda x: x != 0)).select(F.col(id_col).alias("id"), "unit", _bytes("unit").alias("_coded"))
+    rows = keep(coded.select("id", "unit", "_coded.*"))
     points, compared = rows.count(), spark.sparkContext.accumulator(0)
     if rows.agg(F.count_distinct(F.size("unit"))).first()[0] > 1:
         raise ValueError("vectors of different lengths")
     first = _leaves(rows, max(1, points), pool, trees, leaf, seed, compared)
-    lists, n = keep(_listed(first.withColumn("fresh", F.lit(True)), pool)), 0
+    lists, n = keep(_listed(first.withColumns({"fresh": F.lit(True), "new": F.lit(True)}), pool, k, 1)), 0
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("node", kind="stable")
-        x, ids = np.stack(b["unit"].to_list()).astype(np.float64), b["member"].to_numpy()
+        x, ids = _vectors(b), b["member"].to_numpy()
         fresh, floor, node = b["fresh"].to_numpy(), b["floor"].to_numpy(), b["node"].to_numpy()
         edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
         left, right, pairs = [], [], 0
@@ -135,29 +183,28 @@ def graph(
 
     while n < rounds:
         n += 1
-        drawn = F.row_number().over(W.partitionBy("src", "fresh").orderBy(F.xxhash64("src", "dst", F.lit(n))))
-        marked = lists.withColumn("place", drawn)
-        listing = marked.where(F.col("place") <= sample).select(F.col("src").alias("node"), F.col("dst").alias("member"), "fresh")
+        listing = lists.where(F.col("place") <= sample).select(F.col("src").alias("node"), F.col("dst").alias("member"), "fresh")
         back = F.row_number().over(W.partitionBy("dst", "fresh").orderBy(F.xxhash64("dst", "src", F.lit(n))))
-        listed = lists.withColumn("place", back).where(F.col("place") <= sample).select(F.col("dst").alias("node"), F.col("src").alias("member"), "fresh")
-        # a member of both kinds is one member
-        members = listing.unionByName(listed).groupBy("node", "member").agg(F.bool_or("fresh").alias("fresh"))
-        floors = lists.groupBy("src").agg(F.when(F.count("*") >= pool, F.min("w")).otherwise(-2.0).alias("floor"))
-        held = rows.join(floors, F.col("id") == F.col("src"), "left").select(F.col("id").alias("member"), "unit", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+        listed = lists.select("src", "dst", "fresh").repartition("dst").withColumn("back", back).where(F.col("back") <= sample)
+        # a member of both kinds is one member; where none is fresh no pair meets
+        all_ = listing.unionByName(listed.select(F.col("dst").alias("node"), F.col("src").alias("member"), "fresh")).repartition("node")
+        members = all_.groupBy("node", "member").agg(F.bool_or("fresh").alias("fresh"))
+        members = members.withColumn("any", F.bool_or("fresh").over(W.partitionBy("node"))).where("any").drop("any")
+        floors = lists.where("at = 1").select(F.col("src").alias("id"), "floor")
+        held = rows.select("id", "code", "scale").join(floors, "id", "left").select(F.col("id").alias("member"), "code", "scale", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
         groups = max(1, math.ceil(points * 4 * sample / group_rows))
         met = members.join(held, "member").withColumn("group", F.expr(f"pmod(xxhash64(node), {groups})"))
         found = met.groupBy("group").applyInPandas(join, f"src {kind}, dst {kind}, w double")
-        old = marked.select("src", "dst", "w", (F.col("fresh") & (F.col("place") > sample)).alias("fresh"))
-        turned = lists.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-        better = keep(_listed(old.unionByName(found.unionByName(turned).withColumn("fresh", F.lit(True))), pool))
-        changed = better.join(lists.select("src", "dst"), ["src", "dst"], "left_anti").count()
+        old = lists.select("src", "dst", "w", (F.col("fresh") & (F.col("place") > sample)).alias("fresh"), F.lit(False).alias("new"))
+        # lists only get better, so an edge that the other side didn't take when it was new is none that it takes later
+        turned = lists.where("new").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+        better = keep(_listed(old.unionByName(found.unionByName(turned).withColumns({"fresh": F.lit(True), "new": F.lit(True)})), pool, k, n + 1))
+        changed = better.where("new").count()
         drop(lists)
         lists = better
         if changed <= stop * pool * points:
             break
-    place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "dst"))
-    best = lists.where(F.col("w") >= least).withColumn("_place", place).where(F.col("_place") <= k).select("src", "dst", "w")
-    return Graph(best, compared.value, n, points)
+    return Graph(_exact(lists, rows, k, least) if points else lists.select("src", "dst", "w"), compared.value, n, points)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

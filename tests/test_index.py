@@ -279,6 +279,34 @@ def test_descent_weights_are_those_of_the_exact_graph(spark):
     assert key(nn_descent.graph(units, 5, 0.3).edges) == key(clustering.knn_edges(units, 5, 0.3))
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have dealt out."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_descent_deals_out_bytes_of_vectors(spark):
+    """A vector meets each node that lists it, as a byte for each component: with floats it was 1.5 times what is allowed here."""
+    n, dim = 600, 256
+    units = clustering.unit_residuals(vectors_of(spark, n, dim).withColumnRenamed("chunk_id", "id"), center=False).localCheckpoint()
+    before = shuffled(spark)
+    made = nn_descent.graph(units, 5, pool=8, leaf=32, trees=2, sample=6, rounds=4, stop=0.0)
+    after = shuffled(spark)
+    assert made.rounds == 4 and sum(after[i] for i in after.keys() - before.keys()) < n * made.rounds * 8 * dim
+
+
+def test_descent_ranks_by_the_vectors_themselves(spark):
+    """Cosines that bytes can't tell apart, and vectors that aren't finite."""
+    rng = np.random.default_rng(8)
+    x = np.r_[np.ones((1, 16)), np.ones((40, 16)) + rng.standard_normal((40, 16)) * 1e-4]
+    rows = [(k, [float(c) for c in v / np.sqrt((v * v).sum())]) for k, v in enumerate(x)]
+    rows += [(50, [float("nan")] + [0.5] * 15), (51, [float("inf")] * 16)]
+    units = spark.createDataFrame(rows, "id long, unit array<double>")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(nn_descent.graph(units, 5, pool=41).edges) == key(clustering.knn_edges(units.where("id < 50"), 5, -1.0))
+
+
 def test_descent_of_odd_tables(spark):
     kind = "id long, unit array<float>"
     assert nn_descent.graph(spark.createDataFrame([], kind)).edges.count() == 0
