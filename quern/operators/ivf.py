@@ -50,8 +50,12 @@ class Codes:
 
     def coded(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """(rows x parts) bytes: the code nearest to each part of what a vector is beyond its cell's centre."""
-        rest, width = x - self.centres[cell], self.books.shape[2]
-        return np.stack([_squared(rest[:, p * width : (p + 1) * width], book).argmin(axis=1) for p, book in enumerate(self.books)], axis=1).astype(np.uint8)
+        width, out = self.books.shape[2], np.zeros((len(x), len(self.books)), dtype=np.uint8)
+        for k in range(0, len(x), 1024):
+            rest = x[k : k + 1024] - self.centres[cell[k : k + 1024]]
+            for p, book in enumerate(self.books):
+                out[k : k + 1024, p] = _squared(rest[:, p * width : (p + 1) * width], book).argmin(axis=1)
+        return out
 
     def distances(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of a query to rows of one cell, as their codes have it."""
@@ -188,6 +192,44 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 50, rerank: int = 10
     return out
 
 
+def _least(away: np.ndarray, ids: np.ndarray, most: int, who: np.ndarray | None = None) -> np.ndarray:
+    """Places of the `most` least distances, of each of who if given; equal ones by id."""
+    if who is not None:
+        order = np.lexsort((ids, away, who))
+        who = who[order]
+        return order[np.arange(len(who)) - np.searchsorted(who, who) < most]
+    if len(away) <= most:
+        return np.arange(len(away))
+    at = np.flatnonzero(away <= np.partition(away, most - 1)[most - 1])
+    return at if len(at) == most else at[np.lexsort((ids[at], away[at]))[:most]]
+
+
+def _rough(batches: Iterator[pd.DataFrame], codes: Codes, q: np.ndarray, wanted: dict[int, np.ndarray], most: int) -> Iterator[pd.DataFrame]:
+    """(query, cell, id, away): the `most` rows of a task (cell, id, code) with the least coded distances to each of q. What is held is cut to these
+    whenever it is twice as much and more, so it depends on `most` and the queries, not on rows or cells."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n, limit = 0, max(1 << 16, 2 * most * len(q))
+
+    def cut() -> tuple[np.ndarray, ...]:
+        who, cell, ids, away = map(np.concatenate, zip(*held, strict=True))
+        at = _least(away, ids, most, who)
+        return who[at], cell[at], ids[at], away[at]
+
+    for b in batches:
+        for c, part in b.groupby("cell"):
+            code, ids = np.stack([np.frombuffer(x, dtype=np.uint8) for x in part["code"]]), part["id"].to_numpy()
+            for i in wanted[c]:
+                away = codes.distances(q[i], c, code)
+                at = _least(away, ids, most)
+                held.append((np.full(len(at), i), np.full(len(at), c), ids[at], away[at]))
+                n += len(at)
+                if n > limit:
+                    held = [cut()]
+                    n = len(held[0][0])
+    if held:
+        yield pd.DataFrame(dict(zip(("query", "cell", "id", "away"), cut(), strict=True)))
+
+
 def _search(index: VectorIndex, asked: pd.DataFrame, k: int, rerank: int, probe: int, documents: DataFrame | None) -> DataFrame:
     codes, rows, spark = index.codes, index.rows, index.rows.sparkSession
     if documents is not None:
@@ -200,25 +242,18 @@ def _search(index: VectorIndex, asked: pd.DataFrame, k: int, rerank: int, probe:
         sizes = np.cumsum(np.array([[held.get(c, 0) for c in row] for row in order.tolist()]), axis=1)
         enough = np.maximum(probe, (sizes < k).sum(axis=1) + 1)
         near = [row[:n] for row, n in zip(order, enough, strict=True)]
-    wanted: dict[int, list[int]] = {}
+    lists: dict[int, list[int]] = {}
     for i, row in enumerate(near):
         for c in row.tolist():
-            wanted.setdefault(c, []).append(i)
+            lists.setdefault(c, []).append(i)
+    wanted = {c: np.array(i, dtype=np.int32) for c, i in lists.items()}
     most, sent = rerank * k, spark.sparkContext.broadcast((codes, q, q_ids, wanted))
     own = rows.where(F.col("cell").isin(*wanted))  # folders of these cells alone
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, q, q_ids, wanted = sent.value
-        for b in batches:
-            out = []
-            for cell, part in b.groupby("cell"):
-                code, ids = np.stack([np.frombuffer(c, dtype=np.uint8) for c in part["code"]]), part["id"].to_numpy()
-                for i in wanted[cell]:
-                    away = codes.distances(q[i], cell, code)
-                    at = np.argpartition(away, most - 1)[:most] if len(away) > most else np.arange(len(away))
-                    out.append(pd.DataFrame({"query_id": q_ids[i], "cell": cell, "id": ids[at], "away": away[at]}))
-            if out:
-                yield pd.concat(out)
+        for found in _rough(batches, codes, q, wanted, most):
+            yield pd.DataFrame({"query_id": q_ids[found["query"].to_numpy()], "cell": found["cell"], "id": found["id"], "away": found["away"]})
 
     kind, queries_kind = rows.schema["id"].dataType.simpleString(), "string" if len(q_ids) and isinstance(q_ids[0], str) else "long"
     rough = own.select("cell", "id", "code").mapInPandas(score, f"query_id {queries_kind}, cell int, id {kind}, away double")

@@ -279,6 +279,27 @@ def test_descent_weights_are_those_of_the_exact_graph(spark):
     assert key(nn_descent.graph(units, 5, 0.3).edges) == key(clustering.knn_edges(units, 5, 0.3))
 
 
+def test_cells_hold_a_bounded_number_of_rough_hits():
+    """A task holds what its queries can need, however many cells and rows it reads; equal distances go by id. It held a frame for each query and cell."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    centres, books = rng.standard_normal((40, 8)), rng.standard_normal((4, 16, 2))
+    codes, q, most = ivf.Codes(centres, books, 40, 1.0, 8000), rng.standard_normal((150, 8)), 5
+    rows = pd.DataFrame({"cell": np.arange(8000) % 40, "id": rng.permutation(8000), "code": [bytes(r) for r in rng.integers(0, 16, (8000, 4), dtype=np.uint8)]})
+    wanted = {c: np.arange(150, dtype=np.int32) for c in range(40)}
+    tracemalloc.start()
+    got = pd.concat(ivf._rough(iter([rows[:5000], rows[5000:]]), codes, q, wanted, most))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 150 * most and peak < 16 << 20
+    for i in (0, 77, 149):
+        all_ = [(float(a), int(k)) for c, part in rows.groupby("cell") for a, k in zip(codes.distances(q[i], c, np.stack([np.frombuffer(x, dtype=np.uint8) for x in part["code"]])), part["id"], strict=True)]
+        assert [(r.away, r.id) for r in got[got["query"] == i].itertuples()] == sorted(all_)[:most]
+    named = ivf._least(np.zeros(6), np.array(["b", "a", "d", "c", "f", "e"], dtype=object), 3)
+    assert sorted(named.tolist()) == [0, 1, 3]
+
+
 def shuffled(spark):
     """Bytes that all stages so far have dealt out."""
     gateway = spark.sparkContext._gateway
