@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CHUNK = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("token_count", T.IntegerType())]))
+#: Characters of chunks that a task holds before it hands them on.
+HELD = 1 << 20
 
 
 def without_data_urls(text: Column) -> Column:
@@ -124,18 +125,40 @@ def chunk_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, ord, chunk_id, text, token_count, embed_text) of each chunk, ord from 0. embed_text has the prefix that an embedding
     model wants; what is stored has not. A blank text has no chunks."""
     size = size.proper()
-
-    @F.pandas_udf(_CHUNK)
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"text": t, "token_count": n} for t, n in chunk_text(x, size)] for x in texts], dtype=object)
-
-    pieces = df.select(F.col(id_col), F.posexplode(cut(without_data_urls(F.col(text_col)))).alias("ord", "piece"))
+    fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("ord", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("token_count", T.IntegerType())]
+    texts = df.select(F.col(id_col).alias("id"), without_data_urls(F.col(text_col)).alias("text"))
+    pieces = texts.mapInArrow(lambda batches: _cut(batches, size), T.StructType(fields))
     return pieces.select(
-        id_col, "ord", F.concat_ws("#", F.col(id_col).cast("string"), F.col("ord").cast("string")).alias("chunk_id"), F.col("piece.text").alias("text"), F.col("piece.token_count").alias("token_count"),
-        F.concat(F.lit(prefix), F.col("piece.text")).alias("embed_text"),
+        F.col("id").alias(id_col), "ord", F.concat_ws("#", F.col("id").cast("string"), F.col("ord").cast("string")).alias("chunk_id"), "text", "token_count",
+        F.concat(F.lit(prefix), F.col("text")).alias("embed_text"),
     )
 
 
+def _cut(batches: Iterator[pa.RecordBatch], size: Sizes, held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """(id, ord, text, token_count) of batches (id, text). Texts are read one by one and chunks handed on when they have `held` characters,
+    so that of a batch nothing but itself is held."""
+    for b in batches:
+        ids, texts = b.columns
+        who, ords, pieces, counts, n = [], [], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            columns = [ids.take(pa.array(who, pa.int64())), pa.array(ords, pa.int32()), pa.array(pieces, texts.type), pa.array(counts, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["id", "ord", "text", "token_count"])
+
+        for k, x in enumerate(texts):
+            for o, (text, count) in enumerate(chunk_text(x.as_py(), size)):
+                who.append(k)
+                ords.append(o)
+                pieces.append(text)
+                counts.append(count)
+                n += len(text)
+                if n >= held:
+                    yield made()
+                    who, ords, pieces, counts, n = [], [], [], [], 0
+        if who:
+            yield made()
+
+
 def word_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 384, overlap: int = 48) -> DataFrame:
     """(id, ord, words, token_count): the windows of texts of one paragraph, before the limit on bytes, by expressions
     alone. A window starts `words - overlap` words after the one before; the last one reaches the end."""

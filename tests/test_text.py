@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.functions import markdown, pages, text, times
-from quern.operators import lexical, search
+from quern.operators import chunking, lexical, search
 from quern.operators.chunking import Sizes, chunk_documents, chunk_text, packed, without_data_urls
 from quern.plans import fetched
 
@@ -107,6 +107,28 @@ def test_data_urls_and_prefix(spark):
     assert [(r["doc_id"], r["ord"], r["text"], r["embed_text"]) for r in got] == [(1, 0, "see ![a chart](image) and end", "p: see ![a chart](image) and end")]
 
 
+def test_chunks_are_handed_on_as_they_are_made(spark):
+    """A batch of long texts is not held a second time as words or chunks; a text's chunks may be handed on in parts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = " ".join(f"word{k}" for k in range(20_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([text] * 60)], ["id", "text"])
+    size, rows = Sizes(overlap=48), []
+    tracemalloc.start()
+    for made in chunking._cut(iter([batch]), size):
+        rows += zip(made["id"].to_pylist(), made["ord"].to_pylist(), made["token_count"].to_pylist(), strict=True)
+        assert sum(map(len, made["text"].to_pylist())) < 2 * chunking.HELD
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [n for _, n in chunk_text(text, size)]
+    assert rows == [(i, o, n) for i in range(60) for o, n in enumerate(want)] and peak < 8 * chunking.HELD
+    df = spark.createDataFrame([("b", "x y"), (None, "z"), ("a", text)], "id string, text string")
+    got = sorted(((r["id"], r["ord"], r["text"]) for r in chunk_documents(df, "id", size=size).collect()), key=str)
+    assert got == sorted([("b", 0, "x y"), (None, 0, "z")] + [("a", o, t) for o, (t, _) in enumerate(chunk_text(text, size))], key=str)
+
+
 def test_times(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(times.from_1601_micros(F.lit("13371638400000000"))).year == 2024
