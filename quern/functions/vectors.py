@@ -36,5 +36,10 @@ def minus(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length 1, as floats; a zero vector stays."""
-    norm = F.sqrt(squared(a))
-    return F.when(norm > 0, F.transform(a, lambda x: (x.cast("double") * (1.0 / norm)).cast("float"))).otherwise(F.transform(a, lambda x: x.cast("float")))
+
+    def of(v: Column, norm: Column) -> Column:
+        return F.when(norm > 0, F.transform(v, lambda x: (x.cast("double") * (1.0 / norm)).cast("float"))).otherwise(F.transform(v, lambda x: x.cast("float")))
+
+    # arrays of one element hold the vector and its norm, which would be found anew for each component
+    both = F.transform(F.array(a), lambda v: F.struct(v.alias("v"), F.sqrt(squared(v)).alias("norm")))
+    return F.get(F.transform(both, lambda b: of(b["v"], b["norm"])), F.lit(0))

@@ -32,13 +32,76 @@ def unit_residuals(points: DataFrame, center: bool = True, id_col: str = "id", v
     return both.select(id_col, vectors.unit(v).alias("unit"))
 
 
-def knn_edges(units: DataFrame, k: int = 10, least: float = 0.5, block: int = 2048, id_col: str = "id") -> DataFrame:
+def _pair_edges(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray, k: int, least: float, same: bool, cells: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """The best k of y for each row of x and, unless they are the same rows, the best k of x for each row of y; both in the order of ids.
+
+    Products are made once for both sides, a strip of about `cells` at a time, in single precision; what these may be off is left as a margin, and what may be among the best is
+    weighed in double precision. Of y's rows the best k so far are held, and what is not better than the last of these is left out.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        x32, y32 = x.astype(np.float32), y.astype(np.float32)
+        far = np.sqrt(max((x * x).sum(axis=1).max(), (y * y).sum(axis=1).max()))
+    off = (x.shape[1] + 8) * 1.2e-7 * far * far
+    if not (off < 1e-3 and np.isfinite(x32).all() and np.isfinite(y32).all()):  # vectors that are not of length 1
+        x32, y32, off = x, y, 1e-9
+
+    def exact(r: np.ndarray, j: np.ndarray) -> np.ndarray:
+        # added from the first component to the last, whatever the size of the block
+        w = np.zeros(len(r))
+        for c in range(x.shape[1]):
+            w += x[r, c] * y[j, c]
+        return w
+
+    def likely(side: np.ndarray, w: np.ndarray) -> np.ndarray:
+        order = np.lexsort((-w, side))
+        first = np.searchsorted(side[order], side[order])
+        last = np.minimum(first + k - 1, np.searchsorted(side[order], side[order], side="right") - 1)
+        return order[w[order] >= w[order][last] - 2 * off]
+
+    def best(side: np.ndarray, other: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((other, -w, side))
+        side, other, w = side[order], other[order], w[order]
+        at = np.arange(len(side)) - np.searchsorted(side, side) < k
+        return side[at], other[at], w[at]
+
+    floor, held, n = np.full(len(y), least), [], 0
+    step = max(1, cells // max(1, len(y)))
+    for s in range(0, len(x), step):
+        rough = x32[s : s + step] @ y32.T
+        if same:
+            rough[xi[s : s + step][:, None] == yi[None, :]] = -np.inf
+        r, j = np.nonzero(rough >= least - off)
+        w = rough[r, j].astype(np.float64)
+        one = likely(r, w)
+        a, b, v = s + r[one], j[one], exact(s + r[one], j[one])
+        a, b, v = best(a[v >= least], b[v >= least], v[v >= least])
+        yield pd.DataFrame({"src": xi[a], "dst": yi[b], "w": v})
+        if same:
+            continue
+        fine = w >= floor[j] - off
+        r, j, w = r[fine], j[fine], w[fine]
+        one = likely(j, w)
+        a, b, v = j[one], s + r[one], exact(s + r[one], j[one])
+        held.append(best(a[v >= least], b[v >= least], v[v >= least]))
+        n += len(held[-1][0])
+        if n > 2 * k * len(y):
+            held = [best(*map(np.concatenate, zip(*held, strict=True)))]
+            a, _, v = held[0]
+            n, last = len(a), np.flatnonzero(np.arange(len(a)) - np.searchsorted(a, a) == k - 1)
+            floor[a[last]] = v[last]
+    if held:
+        a, b, v = best(*map(np.concatenate, zip(*held, strict=True)))
+        yield pd.DataFrame({"src": yi[a], "dst": xi[b], "w": v})
+
+
+def knn_edges(units: DataFrame, k: int = 10, least: float = 0.5, block: int = 16_384, id_col: str = "id") -> DataFrame:
     """(src, dst, w): each node's k nearest others at a cosine of at least `least`, equal ones by id.
 
-    Exact: blocks of rows meet in pairs, each unordered pair in one task that multiplies two bounded matrices and keeps the best k of
-    each row of either side; a second step keeps the best k of those. Zero vectors have no edges. Vectors of different lengths are an error.
+    Exact: blocks of rows (of `block` on average, less where there are fewer than 16) meet in pairs, each unordered pair in one task that multiplies two bounded matrices and
+    keeps the best k of each row of either side; a second step keeps the best k of those. A row is sent once for each block, so blocks are as large as a
+    task's memory has room for. Zero vectors have no edges. Vectors of different lengths are an error.
     """
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int")
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / block), F.least(F.lit(16), F.ceil(F.count("*") / min(block, 2048)))).cast("int")
     counts = units.agg(n_blocks.alias("blocks"))
     rows = units.where(F.exists("unit", lambda x: x != 0)).crossJoin(F.broadcast(counts))  # one row
     rows = rows.withColumn("block", F.expr(f"cast(pmod(xxhash64({id_col}), blocks) as int)"))
@@ -46,33 +109,15 @@ def knn_edges(units: DataFrame, k: int = 10, least: float = 0.5, block: int = 20
     dealt = rows.select(F.col(id_col).alias("id"), "unit", "block", sides.alias("s")).select("id", "unit", "block", "s.*")
     kind = units.schema[id_col].dataType.simpleString()
 
-    def kept(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray) -> Iterator[pd.DataFrame]:
-        """The best k of y for each row of x; y is in the order of ids."""
-        for s in range(0, len(x), 256):
-            rough = x[s : s + 256] @ y.T
-            rough[xi[s : s + 256][:, None] == yi[None, :]] = -np.inf
-            if rough.shape[1] > k:  # all that may be among the k best
-                floor = np.partition(rough, -k, axis=1)[:, -k][:, None]
-                rough[rough < floor - 1e-9] = -np.inf
-            r, j = np.nonzero(rough >= least - 1e-9)
-            # added from the first component to the last, whatever the size of the block
-            w = np.zeros(len(r))
-            for c in range(x.shape[1]):
-                w += x[s + r, c] * y[j, c]
-            r, j, w = r[w >= least], j[w >= least], w[w >= least]
-            order = np.lexsort((j, -w, r))
-            r, j, w = r[order], j[order], w[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            best = place < k
-            yield pd.DataFrame({"src": xi[s + r[best]], "dst": yi[j[best]], "w": w[best]})
-
     def best(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id", kind="stable")
         low = (b["block"] == b["low"]).to_numpy()
         x, ids = np.stack(b["unit"].to_list()).astype(np.float64), b["id"].to_numpy()
-        sides = [(low, low)] if low.all() else [(low, ~low), (~low, low)]
-        out = [f for one, other in sides if one.any() and other.any() for f in kept(x[one], ids[one], x[other], ids[other])]
-        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "w": []})
+        same = bool((b["low"] == b["high"]).iloc[0])
+        if not same and (low.all() or not low.any()):
+            return pd.DataFrame({"src": [], "dst": [], "w": []})
+        other = low if same else ~low
+        return pd.concat(list(_pair_edges(x[low], ids[low], x[other], ids[other], k, least, same)))
 
     found = dealt.groupBy("low", "high").applyInPandas(best, f"src {kind}, dst {kind}, w double")
     order = W.partitionBy("src").orderBy(F.desc("w"), "dst")
@@ -111,7 +156,7 @@ def propagate(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, iters: in
     return label
 
 
-def cluster(points: DataFrame, k: int = 10, min_similarity: float = 0.5, min_size: int = 3, max_iters: int = 20, center: bool = False, id_col: str = "id", vector_col: str = "embedding", block: int = 2048, most_edges: int = 1 << 22, exact: bool = True) -> DataFrame:
+def cluster(points: DataFrame, k: int = 10, min_similarity: float = 0.5, min_size: int = 3, max_iters: int = 20, center: bool = False, id_col: str = "id", vector_col: str = "embedding", block: int = 16_384, most_edges: int = 1 << 22, exact: bool = True) -> DataFrame:
     """(id, label) of each point; label -1 is noise.
 
     Neighbours are found in parallel: all of them, or, unless exact is set, most of them by descent (nn_descent). Propagation goes node by node, each

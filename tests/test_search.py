@@ -121,6 +121,59 @@ def labels(df):
     return {r["id"]: r["label"] for r in df.collect()}
 
 
+@pytest.mark.parametrize("least, cells", [(-1.0, 64), (0.2, 1 << 20), (0.2, 300)])
+def test_pairs_of_blocks_are_multiplied_once(least, cells):
+    """Both sides of two blocks from one product, in strips, equal ones by id: as all pairs of either side."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((90, 6))
+    v[40:55], v[70:80] = v[3], v[3]  # equal weights
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    ids = np.sort(rng.permutation(500)[:90])
+    low = np.arange(90) % 3 > 0
+
+    def plain(one, other):
+        out = []
+        for i in one:
+            w = [(-sum(float(a) * float(b) for a, b in zip(v[i], v[j], strict=True)), int(ids[j])) for j in other if j != i]
+            out += [(int(ids[i]), j, -x) for x, j in sorted(w)[:4] if -x >= least]
+        return sorted(out)
+
+    x, y = np.flatnonzero(low), np.flatnonzero(~low)
+    made = lambda a, b, same: sorted((int(r.src), int(r.dst), r.w) for f in clustering._pair_edges(v[a], ids[a], v[b], ids[b], 4, least, same, cells) for r in f.itertuples())
+    near = lambda rows: [(a, b, round(w, 12)) for a, b, w in rows]
+    assert near(made(x, y, False)) == near(sorted(plain(x, y) + plain(y, x)))
+    assert near(made(x, x, True)) == near(plain(x, x))
+
+
+def test_rows_are_sent_to_few_blocks(spark):
+    """A row is dealt out once for each block of 16,384 rows, or for 16 where there are few: it was for each block of 2,048."""
+    units = spark.range(70_000).select("id", F.array(F.lit(1.0), F.col("id") / 70_000).alias("unit"))
+    plan = clustering.knn_edges(units, 3, 2.0)
+    gateway = spark.sparkContext._gateway
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    known = {stages().apply(k).stageId() for k in range(stages().size())}
+    assert plan.count() == 0
+    found = stages()
+    dealt = max(found.apply(k).shuffleWriteRecords() for k in range(found.size()) if found.apply(k).stageId() not in known)
+    assert dealt <= 16 * 70_000
+
+
+def test_units_cost_their_length(spark):
+    """The norm is found once, not for each component: 6,000 of them would be 36 million steps a vector."""
+    import time
+
+    from quern.functions import vectors
+
+    rows = spark.range(20).select(F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda k: k.cast("double")).alias("v"))
+    start = time.time()
+    got = rows.select(vectors.unit(F.col("v")).alias("u")).select(F.sum(vectors.squared(F.col("u"))).alias("s")).first()["s"]
+    assert abs(got - 20) < 1e-4 and time.time() - start < 10
+    odd = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id int, v array<double>").select("id", vectors.unit(F.col("v")).alias("u"))
+    assert {r["id"]: r["u"] and [round(x, 6) for x in r["u"]] for r in odd.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None}
+
+
 @pytest.mark.parametrize("block", [2048, 2])
 def test_clusters_and_noise(spark, block):
     got = labels(clustering.cluster(points(spark, POINTS), block=block))
