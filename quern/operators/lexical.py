@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKED, QUERY_STOPWORDS, QUERY_WORD, UNMARKED, index_tokens, query_words, stemmed_tokens
+from ..functions.text import MARKED, QUERY_STOPWORDS, QUERY_WORD, UNMARKED, index_tokens, phrase_counts, query_words, stemmed_tokens
 from ..functions.text import tokens as plain_tokens
 
 K1, B = 1.2, 0.75
@@ -167,27 +167,44 @@ def frequency(terms: Column, phrase: list[str]) -> Column:
     return F.when(F.size(terms) >= len(phrase), F.size(F.filter(starts, lambda k: F.coalesce(same(k), F.lit(False))))).otherwise(0)
 
 
-def scores(indexed: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(chunk_id, score) of the chunks that hold at least one of the phrases.
-
-    Chunks are cut into tokens once: what is counted of each, a few numbers, is exchanged, and both the statistics (one row,
-    whatever the size of the corpus) and the scores read that exchange.
-    """
+def scores(indexed: DataFrame, phrases: list[list[str]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, columns of keep, score) of the chunks that hold at least one of the phrases."""
     distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
     if not distinct:
-        return indexed.select("chunk_id", F.lit(0.0).alias("score")).where("false")
+        return indexed.select("chunk_id", *keep, F.lit(0.0).alias("score")).where("false")
     # a chunk's tokens are gone through once; words are counted among those that the query has
     words = [p[0] for p in distinct if len(p) == 1]
     few = F.filter("terms", lambda t: t.isin(*words)) if words else F.array().cast("array<string>")
-    own = indexed.select("chunk_id", "length", "terms", few.alias("few"))
+    own = indexed.select("chunk_id", *keep, "length", "terms", few.alias("few"))
     counts = (frequency(F.col("few") if len(p) == 1 else F.col("terms"), p) for p in distinct)
-    counted = own.select("chunk_id", "length", F.array(*counts).alias("tf")).where(F.col("chunk_id").isNotNull()).repartition("chunk_id")
+    return _scored(own.select("chunk_id", *keep, "length", F.array(*counts).alias("tf")), phrases, keep)
+
+
+def scores_of_texts(chunks: DataFrame, phrases: list[list[str]], columns: tuple[str, ...] = ("text",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """scores of chunks that are searched once, without an index: phrases (of stems) are counted where texts are read, and no token leaves there."""
+    distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
+    if not distinct:
+        return chunks.select("chunk_id", *keep, F.lit(0.0).alias("score")).where("false")
+    own = chunks.select("chunk_id", *keep, phrase_counts([F.col(c) for c in columns], distinct).alias("counts"))
+    # never null: the scores would leave nulls out below the exchange, the statistics would not, and texts would be gone through once for each
+    length, tf = F.coalesce(F.get("counts", F.lit(0)), F.lit(0)), F.coalesce(F.slice("counts", 2, len(distinct)), F.array().cast("array<int>"))
+    return _scored(own.select("chunk_id", *keep, length.alias("length"), tf.alias("tf")), phrases, keep)
+
+
+def _scored(counts: DataFrame, phrases: list[list[str]], keep: tuple[str, ...]) -> DataFrame:
+    """Scores above 0 from (chunk_id, columns of keep, length, tf array).
+
+    Chunks are cut into tokens once: what is counted of each, a few numbers, is exchanged, and both the statistics (one row,
+    whatever the size of the corpus) and the scores read that exchange.
+    """
+    distinct = list(dict.fromkeys(map(tuple, phrases)))
+    # all columns are used, those of keep by the exchange, so that the plan of both readers is the same up to it
+    counted = counts.where(F.col("chunk_id").isNotNull()).repartition("chunk_id", *keep)
     holding = [F.count_if(F.get("tf", F.lit(k)) > 0) for k in range(len(distinct))]
-    # all columns are used, so that the plan of both readers is the same up to the exchange
     stats = counted.agg(F.count("chunk_id").alias("n_all"), F.avg("length").alias("mean"), F.array(*holding).alias("n_with"))
     # A chunk without a phrase scores 0 and any other more. A filter on the counts would be pushed down, and with it, for each phrase, the
     # whole tokenisation; one on the score stays above.
-    return score_counts(counted, stats, [phrases.count(p) for p in distinct]).where("score > 0")
+    return score_counts(counted, stats, [phrases.count(list(p)) for p in distinct], keep).where("score > 0")
 
 
 def score_counts(counted: DataFrame, stats: DataFrame, repeats: list[int], keep: tuple[str, ...] = ()) -> DataFrame:

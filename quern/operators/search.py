@@ -57,7 +57,12 @@ def bm25_search(chunks: DataFrame, documents: DataFrame, query: str, limit: int
     Statistics count all chunks; documents decide afterwards which may be returned. An empty result for a query without words.
     """
     phrases = lexical.phrases_of(query, stemmed)
-    return _best(lexical.scores(lexical.index(chunks, columns=columns, stemmed=stemmed), phrases), chunks, documents, phrases, limit, with_snippets)
+    keep = ("document_id",)
+    if stemmed:
+        found = lexical.scores_of_texts(chunks, phrases, columns, keep)
+    else:
+        found = lexical.scores(lexical.index(chunks, columns=columns, stemmed=False, keep=keep), phrases, keep)
+    return _best(found, chunks, documents, phrases, limit, with_snippets)
 
 
 def index_search(
@@ -71,18 +76,25 @@ def index_search(
     found = lexical.scores_of_postings(posted, lexical.statistics(lengths) if stats is None else stats, phrases, keep, frequencies)
     found = found if keep else found.join(chunks.select("chunk_id", "document_id"), "chunk_id")
     best = lexical.top(found.join(documents.select("document_id"), "document_id", "left_semi"), limit).select("chunk_id", "score", "document_id", "rank")
-    rows = best.collect()  # `limit` rows
-    texts = chunks.where(F.col("chunk_id").isin(*(r["chunk_id"] for r in rows))).select("chunk_id", lexical.snippets(F.col("text"), phrases).alias("snippet"))
-    return chunks.sparkSession.createDataFrame(rows, best.schema).join(texts, "chunk_id")
+    return _with_snippets(best, chunks, phrases, ("chunk_id",))
 
 
 def _best(found: DataFrame, chunks: DataFrame, documents: DataFrame, phrases: list[list[str]], limit: int, with_snippets: bool) -> DataFrame:
-    allowed = chunks.select("chunk_id", "document_id").join(documents.select("document_id"), "document_id", "left_semi")
-    best = lexical.top(found.join(allowed, "chunk_id"), limit)
-    if with_snippets:
-        texts = chunks.select("chunk_id", "text").join(F.broadcast(best.select("chunk_id")), "chunk_id")  # `limit` rows
-        best = best.join(texts.select("chunk_id", lexical.snippets(F.col("text"), phrases).alias("snippet")), "chunk_id")
-    return best
+    # Documents without an id are left out by the table alone: a plain equality would leave them out of the scores too, below the exchange that the
+    # statistics share, and chunks would be cut into tokens twice.
+    kept = documents.where("document_id is not null").select(F.col("document_id").alias("kept"))
+    best = lexical.top(found.select("chunk_id", "score", "document_id").join(kept, F.col("document_id").eqNullSafe(F.col("kept")), "left_semi"), limit)
+    # by document too: a filter on the chunk alone may only be known when all documents are cut into chunks
+    return _with_snippets(best, chunks, phrases, ("document_id", "chunk_id")) if with_snippets else best
+
+
+def _with_snippets(best: DataFrame, chunks: DataFrame, phrases: list[list[str]], by: tuple[str, ...]) -> DataFrame:
+    """best with snippets of its chunks, which are picked by the columns `by`. Its rows are fetched, so that they are found once."""
+    rows = best.collect()  # `limit` rows
+    for c in by:
+        chunks = chunks.where(F.col(c).isin(*{r[c] for r in rows}))
+    texts = chunks.select("chunk_id", lexical.snippets(F.col("text"), phrases).alias("snippet"))
+    return chunks.sparkSession.createDataFrame(rows, best.schema).join(texts, "chunk_id")
 
 
 def vector_leg(vectors: DataFrame, documents: DataFrame, query: DataFrame, limit: int = 50) -> DataFrame:

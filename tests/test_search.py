@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import clustering, evaluation, fusion, search, vector_search
+from quern.operators import clustering, evaluation, fusion, lexical, search, vector_search
 
 
 def ranking(spark, ids):
@@ -75,6 +75,25 @@ def test_filters_hold_in_both_legs(spark, filters, found):
     assert filters.empty() == (len(found) == 3)
 
 
+@pytest.mark.parametrize("stemmed", [True, False])
+def test_a_search_goes_through_the_texts_once(spark, stemmed):
+    """Statistics and scores read one pass, document ids come along; chunks of no document count in the statistics, and are not returned."""
+    rows = [(k, None if k % 7 == 0 else k % 5, f"w{k % 3} common stone w{k % 11}" + " pad" * (k % 4)) for k in range(60)]
+    schema, read = "chunk_id long, document_id long, text string", spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    chunks = spark.createDataFrame(rows, schema)
+    docs = spark.createDataFrame([(1,), (2,), (None,), (2,)], "document_id long")
+    got = search.bm25_search(chunks.mapInArrow(passed, schema), docs, "w1 stones common-stone", 100, stemmed=stemmed).collect()
+    assert read.value == len(rows)
+    scores = {r["chunk_id"]: r["score"] for r in lexical.scores(lexical.index(chunks, stemmed=stemmed), lexical.phrases_of("w1 stones common-stone", stemmed)).collect()}
+    assert {r["chunk_id"]: r["score"] for r in got} == {k: scores[k] for k, d, _ in rows if d in (1, 2)} and len(got) == len({r["chunk_id"] for r in got}) > 10
+
+
 def test_hybrid_keeps_each_legs_scores(spark):
     docs, vectors, chunks, _ = corpus(spark)
     bm25 = search.bm25_search(chunks, docs.where("document_id <> 'llm'"), "kubernetes")

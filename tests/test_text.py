@@ -68,6 +68,39 @@ def test_bm25_and_snippets_match_fts5(spark):
         assert shown == {k: v[1] for k, v in want.items() if "<em>" in v[1]}, query
 
 
+STEMS = [a for a, _ in text._STEP2 + text._STEP3] + list(text._STEP4) + "s es ies sses ed ing eed y e ll at bl iz".split()
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text("abeilostyz", max_size=4), st.lists(st.sampled_from(STEMS), max_size=4))
+def test_tokens_begin_as_their_stems(head, tail):
+    word = head + "".join(tail)
+    assert word.startswith(text._begins(text.stem(word)))
+
+
+def test_phrases_are_counted_as_among_tokens():
+    queries = ["foxes", "state-of-the-art database art", "the-lazy the lazy-dog", "Zürich naïve", "ability-able able", "e", "ΣΑΣ σας", "서울", "on on-on", "İstanbul", "o'clock"]
+    texts = [
+        *DOCS, None, "FOXES fóx ſox fox_fox foxes-fox", "abilities ABLY able -- able", "ΣΑΣ'Α σας ΣΑΣ", "서울 서울시", "on on on on\u0301on ones", "the,lazy -- LAZILY dog's the\n\nlazy", "ISTANBUL İstanbul istanbul'e 1e e E é x\u00b2", "o'clock o_clock o clocks",
+    ]
+    for query in queries:
+        phrases = [list(p) for p in dict.fromkeys(map(tuple, (p for w in query.split() for p in lexical.phrases_of(w) or [[t for t, _, _ in text.index_tokens(w)]])))]
+        count = text.phrase_counter(phrases)
+        for t in texts:
+            tokens = [x for x, _, _ in text.index_tokens(t)]
+            assert count(t) == [len(tokens), *(sum(tokens[k : k + len(p)] == p for k in range(len(tokens))) for p in phrases)], (query, t)
+
+
+def test_few_words_are_stemmed_for_phrases(monkeypatch):
+    """Texts of ever new words cost no stem for each, only for those that a phrase may begin with."""
+    seen = []
+    monkeypatch.setattr(text, "stem", lambda w, of=text.stem: seen.append(w) or of(w))
+    monkeypatch.setattr(text, "_FORMS", {})
+    words = [f"{a}{b}{c}ing" for a in "bcdfghklmn" for b in "aeiou" for c in "bcdfghklmn"]
+    assert text.phrase_counter([["fox"], ["state", "of"]])(" ".join([*words, "foxes stated ofs staters on"])) == [len(words) + 5, 1, 1]
+    assert sorted(seen) == ["foxes", "ofs", "stated"]
+
+
 def test_no_words_no_hits(spark):
     chunks = spark.createDataFrame([(1, 1, "a b c")], "chunk_id long, document_id long, text string")
     assert search.bm25_search(chunks, chunks.select("document_id"), "the of").count() == 0
